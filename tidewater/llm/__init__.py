@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 
-def queries() -> dict:
-    from . import exact_dedup
+def _modules() -> tuple:
+    from . import exact_dedup, quality
+
+    return exact_dedup, quality
 
-    found = {}
-    for module in (exact_dedup,):
-        found |= {k: v for k, v in vars(module).items() if k.startswith("op") and k[2:3].isdigit()}
-    return found
+
+def queries() -> dict:
+    return {k: v for module in _modules() for k, v in vars(module).items() if k.startswith("op") and k[2:3].isdigit()}
 
 
 def oracle_sql() -> dict:
-    from . import exact_dedup
+    from . import exact_dedup, quality
 
-    return {"op1_exact_dedup": exact_dedup.SQL}
+    return {"op1_exact_dedup": exact_dedup.SQL, "op2_quality": quality.SQL}
