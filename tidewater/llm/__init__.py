@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _modules() -> tuple:
-    from . import exact_dedup, quality
+    from . import exact_dedup, quality, simhash
 
-    return exact_dedup, quality
+    return exact_dedup, quality, simhash
 
 
 def queries() -> dict:
@@ -14,6 +14,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    from . import exact_dedup, quality
+    from . import exact_dedup, quality, simhash
 
     return {"op1_exact_dedup": exact_dedup.SQL, "op2_quality": quality.SQL}
