@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _modules() -> tuple:
-    from . import exact_dedup, quality, simhash
+    from . import exact_dedup, pieces, quality, simhash
 
-    return exact_dedup, quality, simhash
+    return exact_dedup, quality, pieces, simhash
 
 
 def queries() -> dict:
@@ -14,6 +14,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    from . import exact_dedup, quality, simhash
+    from . import exact_dedup, quality
 
     return {"op1_exact_dedup": exact_dedup.SQL, "op2_quality": quality.SQL}
