@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _modules() -> tuple:
-    from . import exact_dedup, pieces, quality, simhash
+    from . import exact_dedup, mixing, pieces, quality, simhash
 
-    return exact_dedup, quality, pieces, simhash
+    return exact_dedup, quality, mixing, pieces, simhash
 
 
 def queries() -> dict:

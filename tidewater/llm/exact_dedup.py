@@ -235,6 +235,30 @@ def exact_dedup(docs: DataFrame, in_snapshot=None, digest_len: int = 32) -> Data
     )
 
 
+def drop_duplicates(docs: DataFrame) -> DataFrame:
+    """The documents without the copies, all columns.
+
+    Decisions go by doc_id: rows that repeat a doc_id with another text stay if any of them stays; of fully repeated
+    rows one stays. Rows without a doc_id go only if their text's class has another row that stays.
+    """
+    scratch = Scratch(docs.sparkSession)
+    found = scratch.save(exact_dedup(docs), "found")
+    # a row goes unless its class keeps it; several rows under one id are told apart by their text
+    per_id = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max("kept").alias("stays"))
+    plain = scratch.save(per_id.where("n = 1 AND NOT stays AND doc_id IS NOT NULL").select("doc_id"), "gone")
+    mixed = scratch.save(per_id.where("n > 1 OR doc_id IS NULL").select("doc_id"), "mixed")
+    if mixed.isEmpty():
+        return docs.join(plain, "doc_id", "left_anti").select(docs.columns)
+    rest = docs.join(mixed, docs["doc_id"].eqNullSafe(mixed["doc_id"]), "left_anti").select(docs.columns)
+    several = docs.join(mixed, docs["doc_id"].eqNullSafe(mixed["doc_id"]), "left_semi").select(docs.columns)
+    body = F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), " \t\n\x0b\x0c\r", "")
+    several = several.withColumn("__sha", F.sha2(body, 256)).withColumn("__n", F.char_length(F.coalesce("text", F.lit(""))))
+    nth = F.row_number().over(Window.partitionBy("doc_id", "__sha").orderBy(F.col("__n").desc()))
+    stay = found.where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__kept")).distinct()
+    chosen = several.withColumn("__nth", nth).where("__nth = 1").join(stay, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__sha") == F.col("__kept")), "left_semi")
+    return rest.join(plain, "doc_id", "left_anti").select(docs.columns).unionByName(chosen.select(docs.columns))
+
+
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's class of equal texts: even doc_ids as the snapshot, the rest as the incoming batch."""
     return exact_dedup(documents(spark, sf_dir))
