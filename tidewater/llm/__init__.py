@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _modules() -> tuple:
-    from . import exact_dedup, mixing, pieces, quality, simhash
+    from . import exact_dedup, licenses, mixing, pieces, quality, secrets, simhash
 
-    return exact_dedup, quality, mixing, pieces, simhash
+    return exact_dedup, quality, mixing, licenses, pieces, secrets, simhash
 
 
 def queries() -> dict:
