@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _modules() -> tuple:
-    from . import exact_dedup, licenses, mixing, pieces, quality, secrets, simhash
+    from . import exact_dedup, language, licenses, mixing, pieces, quality, secrets, simhash, token_counts, urls
 
-    return exact_dedup, quality, mixing, licenses, pieces, secrets, simhash
+    return exact_dedup, quality, mixing, licenses, token_counts, urls, pieces, secrets, simhash, language
 
 
 def queries() -> dict:
