@@ -38,7 +38,8 @@ def targets(sizes: DataFrame) -> DataFrame:
     level = (F.sum("source_size").over(everything) - capped) / (F.sum("w").over(everything) - gone)
     per = per.withColumn("level", level)
     # the first source, by ratio, that the level does not reach: all before it are capped
-    open_ = F.when(F.col("level") <= F.col("ratio"), F.struct("ratio", "level"))
+    per = per.withColumn("nth", F.row_number().over(Window.orderBy("ratio", F.col("source").asc_nulls_last())))
+    open_ = F.when(F.col("level") <= F.col("ratio"), F.struct("nth", "level"))
     level = F.coalesce(F.min(open_).over(everything)["level"], F.lit(float("inf")))
     return per.select("source", "source_size", F.least(F.col("cap"), level * F.col("w")).alias("target"))
 
