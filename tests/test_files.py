@@ -32,9 +32,13 @@ def test_long_union(spark, tmp_path):
     assert trace.union_long([a, b]).columns == ["a", "b", "c"]
 
 
-def test_run(spark):
+def test_run(spark, tmp_path):
     c = simulate.Config(steps=30, every=10, fanout_samples=4)
-    rows = {r["t"]: r for r in simulate.run(spark, c).collect()}
+    series = simulate.run(spark, c)
+    trace.write_trace(simulate.trace_of(series), str(tmp_path / "run"))
+    kinds = [json.loads(r[0])["type"] for r in spark.read.text(str(tmp_path / "run")).collect()]
+    assert kinds[0] == "state" and kinds.count("step") == 30 and kinds.count("rebalance") == 3 and kinds.count("growth") == 3
+    rows = {r["t"]: r for r in series.collect()}
     assert sorted(rows) == list(range(1, 31))
     for t, r in rows.items():
         loads = json.loads(r["cluster_loads"])
@@ -67,3 +71,10 @@ def test_stream_heat_over_batches(spark, tmp_path):
         if t in seen:
             assert abs(seen[t] - heat) < 1e-9
     assert len(seen) == 20
+
+
+def test_parts_can_be_replaced(spark):
+    """A policy that moves nothing, and a cost model without heat."""
+    parts = simulate.Parts(reassign=lambda c, layout, popularity: (layout, []), heat=lambda w: w.select("t", "server", "work", F.col("work").alias("latency"), F.lit(0.0).alias("heat")))
+    rows = simulate.run(spark, simulate.Config(steps=12, every=4, fanout_samples=2, growth_frac=0.0, split_hot=False), parts).collect()
+    assert all(r["rebalance_slice_moved_count"] == 0 and abs(r["latency"] - r["workload"]) < 1e-6 * r["workload"] for r in rows)

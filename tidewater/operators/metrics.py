@@ -84,6 +84,23 @@ def heat(work: DataFrame, chunk: int = 2000) -> DataFrame:
     return out.withColumn("latency", F.col("work") * (1 + ALPHA * cold)).select("t", "server", "work", "latency", "heat")
 
 
+def request_latency(routed: DataFrame) -> DataFrame:
+    """t, request, server, work, latency of single requests (t, request, server, work), served in the order of their numbers.
+
+    Within a tick a server heats up with each request; it cools once, at the tick's end. So a request finds the heat of
+    the ticks before it and BETA times the work that the tick has brought the server so far.
+    """
+    ticks = routed.select("t").distinct()
+    per = routed.groupBy("t", "server").agg(F.sum("work").alias("work"))
+    grid = ticks.join(F.broadcast(per.agg(F.collect_set("server").alias("m"))), F.lit(True)).select("t", F.explode("m").alias("server"))
+    whole = grid.join(per, ["t", "server"], "left").na.fill(0.0, ["work"])
+    order = Window.partitionBy("server").orderBy("t")
+    start = heat(whole).select("server", "t", F.coalesce(F.lag("heat").over(order), F.lit(0.0)).alias("start"))
+    so_far = Window.partitionBy("t", "server").orderBy("request").rowsBetween(Window.unboundedPreceding, -1)
+    out = routed.withColumn("before", F.coalesce(F.sum("work").over(so_far), F.lit(0.0))).join(start, ["t", "server"])
+    return out.select("t", "request", "server", "work", (F.col("work") * (1 + ALPHA * (F.col("start") + BETA * F.col("before")))).alias("latency"))
+
+
 def p95(series: DataFrame, value: str, by: tuple = ()) -> DataFrame:
     """The value at rank floor(0.95 * (n - 1)) from 0, without interpolation."""
     own = Window.partitionBy(*by)

@@ -233,6 +233,22 @@ def latency_series(spark, sf_dir):
     return metrics.heat(_work(bound(spark, sf_dir))).groupBy("t").agg(F.sum("latency").alias("latency"))
 
 
+@query(
+    """, rq AS (SELECT t, event_id AS request, server, cost * share AS work FROM ev JOIN shares USING (k)), rr AS (SELECT t, request, server, sum(work) AS work FROM rq GROUP BY t, request, server),
+    pt AS (SELECT t, server, coalesce(sum(rr.work), 0) AS work FROM ticks CROSS JOIN (SELECT DISTINCT server FROM rr) LEFT JOIN rr USING (t, server) GROUP BY t, server),
+    ht AS (SELECT t, server, power(CAST(0.98 AS DOUBLE), t + 1) * sum(CAST(0.01 AS DOUBLE) * work * power(CAST(0.98 AS DOUBLE), -t)) OVER (PARTITION BY server ORDER BY t) AS heat FROM pt),
+    st AS (SELECT t, server, coalesce(lag(heat) OVER (PARTITION BY server ORDER BY t), 0) AS start FROM ht),
+    so AS (SELECT *, coalesce(sum(work) OVER (PARTITION BY t, server ORDER BY request ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM rr)
+    SELECT t, request, server, round(work, 6) AS work, round(work * (1 + CAST(0.0005 AS DOUBLE) * (start + CAST(0.01 AS DOUBLE) * before)), 6) AS latency FROM so JOIN st USING (t, server)"""
+)
+def latency_per_request(spark, sf_dir):
+    from .bind import events
+
+    b = bound(spark, sf_dir)
+    routed = events(spark, sf_dir).join(routing.shares(b.slices), "k").groupBy("t", F.col("event_id").alias("request"), "server").agg(F.sum(F.col("cost") * F.col("share")).alias("work"))
+    return metrics.request_latency(routed)
+
+
 _P95 = _HEAT + ", ticklat AS (SELECT t, sum(latency) AS latency FROM lat GROUP BY t), ranked AS (SELECT latency, row_number() OVER (ORDER BY latency) AS r, count(*) OVER () AS n FROM ticklat)"
 
 

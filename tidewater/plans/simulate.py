@@ -11,6 +11,7 @@ tick, imbalance, extremes of servers, utilisation and sizes under the one after
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -170,7 +171,11 @@ def _split(c: Config, layout: pd.DataFrame, hot: list[int]) -> tuple[pd.DataFram
     return layout, actions
 
 
-def _reassign(c: Config, layout: pd.DataFrame, loads: np.ndarray) -> tuple[pd.DataFrame, list[dict]]:
+def reassign(c: Config, layout: pd.DataFrame, popularity: np.ndarray) -> tuple[pd.DataFrame, list[dict]]:
+    """A new layout and its moves. Greedy goes by the slices' loads; the min-max policy by the keys' base popularity.
+
+    After the min-max policy each key is one slice, and loads are unknown until the next tick.
+    """
     if policy(c.policy) == "greedy":
         layout = layout.sort_values("slice_id", ignore_index=True)
         moves = balance(*(layout[x].to_numpy() for x in ("slice_id", "size", "load", "server")), {s: c.capacity for s in range(c.n_servers)}, c.churn_budget)
@@ -178,7 +183,7 @@ def _reassign(c: Config, layout: pd.DataFrame, loads: np.ndarray) -> tuple[pd.Da
         return layout.assign(server=[to.get(s, v) for s, v in zip(layout["slice_id"], layout["server"])]), [{"kind": "reassign", **m} for m in moves]
     sizes = layout.groupby("k")["size"].sum().reindex(range(c.n_keys), fill_value=0.0)
     current = _ordered(layout).drop_duplicates("k").set_index("k")["server"].reindex(range(c.n_keys), fill_value=0)
-    to = assign(sizes.to_numpy(), key_costs(c) * loads / np.maximum(key_costs(c), EPS), current.to_numpy().copy(), np.full(c.n_servers, c.capacity), c.max_moves)
+    to = assign(sizes.to_numpy(), key_costs(c) * popularity, current.to_numpy().copy(), np.full(c.n_servers, c.capacity), c.max_moves)
     return pd.DataFrame({"slice_id": np.arange(1, c.n_keys + 1), "k": np.arange(c.n_keys), "size": sizes.to_numpy(), "server": to, "load": 0.0}), []
 
 
@@ -197,7 +202,7 @@ def _changes(before: pd.DataFrame, after: pd.DataFrame) -> dict[str, int]:
     }
 
 
-def adapt(c: Config, loads: dict[int, np.ndarray], hot: dict[int, list[int]]) -> tuple[pd.DataFrame, pd.DataFrame, pd.DataFrame]:
+def adapt(c: Config, loads: dict[int, np.ndarray], hot: dict[int, list[int]], popularity: np.ndarray, reassign: Callable) -> tuple[pd.DataFrame, pd.DataFrame, pd.DataFrame]:
     """Layouts of all epochs, one event row per rebalance tick, and (t, server, load) after each. loads, hot: by rebalance tick."""
     import json
 
@@ -207,7 +212,7 @@ def adapt(c: Config, loads: dict[int, np.ndarray], hot: dict[int, list[int]]) ->
         before = _with_loads(layout, loads[t])
         grown, growth_actions, cursor = _grow(c, before, loads[t], cursor) if c.growth_frac > 0 or c.growth_add > 0 else (before, [], cursor)
         cut, split_actions = _split(c, grown, hot.get(t, [])) if c.split_hot else (grown, [])
-        layout, moves = _reassign(c, cut, loads[t])
+        layout, moves = reassign(c, cut, popularity)
         actions = split_actions + moves
         left += [(t, s, float(layout.loc[layout["server"] == s, "load"].sum())) for s in range(c.n_servers)]
         events.append({"t": t, "growth_event": int(bool(growth_actions)), "growth_added_total": float(sum(a["delta"] for a in growth_actions)), "growth_slices": len(growth_actions), "growth_servers": json.dumps(sorted({a["server"] for a in growth_actions})), "growth_clusters": json.dumps(list(dict.fromkeys(a["cluster"] for a in growth_actions))), "growth_actions": json.dumps(growth_actions), "rebalance_actions": json.dumps(actions), **_changes(before, layout)})
@@ -218,28 +223,40 @@ def adapt(c: Config, loads: dict[int, np.ndarray], hot: dict[int, list[int]]) ->
 # ---- the run
 
 
+@dataclass(frozen=True)
+class Parts:
+    """What a run is made of; each part can be replaced by another of the same signature."""
+
+    ticks: Callable[[SparkSession, Config], DataFrame] = ticks
+    hot_sets: Callable[[DataFrame, Config], DataFrame] = hot_sets
+    plan: Callable[[DataFrame, DataFrame, DataFrame, int], DataFrame] = planner.plan_counts
+    heat: Callable[[DataFrame], DataFrame] = metrics.heat
+    reassign: Callable[[Config, pd.DataFrame, np.ndarray], tuple[pd.DataFrame, list[dict]]] = reassign
+
+
 def _named(entries):
     """Keys of sorted entries as strings, as JSON has them."""
     return F.transform(entries, lambda e: F.struct(e["key"].cast("string").alias("key"), e["value"].alias("value")))
 
 
-def run(spark: SparkSession, c: Config) -> DataFrame:
+def run(spark: SparkSession, c: Config, parts: Parts = Parts()) -> DataFrame:
     """The time series: a row per tick, maps and sets as JSON."""
-    at = written(ticks(spark, c).coalesce(1))
-    hot = written(hot_sets(at, c).coalesce(1))
+    at = written(parts.ticks(spark, c).coalesce(1))
+    hot = written(parts.hot_sets(at, c).coalesce(1))
     keys = workload.zipf(spark, c.n_keys, c.zipf_s, c.seed)
     keys = written(keys.coalesce(1))
-    counts = written(planner.plan_counts(at, keys, hot, c.nprobe))
+    counts = written(parts.plan(at, keys, hot, c.nprobe))
     costs = spark.createDataFrame([(k, float(x)) for k, x in enumerate(key_costs(c))], "k int, cost double")
     work = planner.cost_of(counts, costs)
     loads: dict[int, np.ndarray] = {t: np.zeros(c.n_keys) for t in range(c.every, c.steps + 1, c.every)} if c.every > 0 else {}
     if loads:  # a row per key and rebalance
         for r in work.where(F.col("t") % c.every == 0).collect():
             loads[r["t"]][r["k"]] += r["cost"]
+    popularity = np.array([r["prob"] for r in keys.orderBy("k").collect()])
     hot_lists = {t: [] for t in loads}
     for r in hot.where(F.col("t") % max(1, c.every) == 0).orderBy("t", "place").collect() if loads else []:
         hot_lists[r["t"]].append(r["k"])
-    layouts, events, left = adapt(c, loads, hot_lists)
+    layouts, events, left = adapt(c, loads, hot_lists, popularity, parts.reassign)
     slices = spark.createDataFrame(layouts[["epoch", "slice_id", "k", "size", "server"]].astype({"epoch": "int64", "slice_id": "int64", "k": "int32", "size": "float64", "server": "int32"}))
     every = c.every if c.every > 0 else c.steps + 1
     before, after = F.floor((F.col("t") - 1) / every), F.floor(F.col("t") / every)
@@ -253,7 +270,7 @@ def run(spark: SparkSession, c: Config) -> DataFrame:
     routed = alloc.select("t", "server", F.col("load").alias("work")).unionByName(work.join(primary, "k").select("t", "server", (F.col("cost") * PRIMARY_BIAS).alias("work"))).groupBy("t", "server").agg(F.sum("work").alias("work"))
     grid = at.select("t").withColumn("server", F.explode(F.sequence(F.lit(0), F.lit(c.n_servers - 1))))
     per = grid.join(routed, ["t", "server"], "left").withColumn("reached", F.col("work").isNotNull()).na.fill(0.0, ["work"])
-    heat = metrics.heat(per.select("t", "server", "work")).select("t", "server", "latency", "heat")
+    heat = parts.heat(per.select("t", "server", "work")).select("t", "server", "latency", "heat")
     # on a rebalance tick, loads are those that the event left: new shards have none yet, split ones share
     moved = alloc.where(before == after).groupBy("t", "server").agg(F.sum("load").alias("load"))
     if len(left):
@@ -305,6 +322,21 @@ def run(spark: SparkSession, c: Config) -> DataFrame:
     return out.withColumn("fanout_var", metrics.rolling_variance(out, "fanout", c.window, c.burn_in))
 
 
+def trace_of(series: DataFrame) -> list[DataFrame]:
+    """Events of a run for trace.write_trace: the first state, then per tick step, growth and rebalance."""
+    from ..sources.trace import event
+
+    growth = [x for x in series.columns if x.startswith("growth_")]
+    changes = [x for x in series.columns if x.startswith("rebalance_")]
+    steps = [x for x in series.columns if x != "rebalance" and x not in growth and x not in changes]
+    first = series.where("t = 1").select(F.lit(0).alias("t"), F.lit(0).alias("place"), event("state", F.lit(0).alias("t"), F.lit("init").alias("reason"), "slice_loads", "n_clusters_total").alias("line"))
+    out = [first, series.select("t", F.lit(1).alias("place"), event("step", *steps).alias("line"))]
+    for place, (kind, flag, columns) in enumerate((("growth", "growth_event", growth), ("rebalance", "rebalance", changes)), 2):
+        if flag in series.columns and columns:
+            out.append(series.where(F.col(flag) == 1).select("t", F.lit(place).alias("place"), event(kind, "t", *columns).alias("line")))
+    return out
+
+
 def summary(series: DataFrame) -> DataFrame:
     """avg_latency, p95_latency and the last imbalance of a run."""
     last = series.agg(F.avg("latency").alias("avg_latency"), F.max_by("imbalance", "t").alias("imbalance"))
@@ -331,7 +363,7 @@ def _small_run(c: Config) -> dict:
         latency.append(float((work * (1 + metrics.ALPHA * heat)).sum()))
         heat = (heat + metrics.BETA * work) * (1 - metrics.DECAY)
         if c.every > 0 and t % c.every == 0:
-            layout, _ = _reassign(c, layout, loads)
+            layout, _ = reassign(c, layout, p)
             layout = _with_loads(layout, loads)
     util = np.bincount(layout["server"], weights=layout["load"], minlength=c.n_servers) / np.array([cap[s] for s in range(c.n_servers)])
     ranked = sorted(latency)
