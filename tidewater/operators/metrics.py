@@ -61,8 +61,14 @@ def hot_ratio(counts: DataFrame, hot: DataFrame) -> DataFrame:
     return out.select("t", "work_units", F.when(F.col("work_units") > 0, F.col("hits") / F.col("work_units")).otherwise(0.0).alias("hot_probe_ratio"))
 
 
+def _cooled(order) -> Column:
+    """Heat that a tick finds: that of the row before, less what ticks without a row have cooled; 0 at first."""
+    gap = F.col("t") - 1 - F.lag("t").over(order)
+    return F.coalesce(F.lag("heat").over(order) * F.pow(F.lit(1 - DECAY), gap), F.lit(0.0))
+
+
 def heat(work: DataFrame, chunk: int = 2000) -> DataFrame:
-    """t, server, work, latency, heat from every server's work in every tick (t = 1, 2, ...).
+    """t, server, work, latency, heat from servers' work in ticks (t = 1, 2, ...); in ticks without a row a server only cools.
 
     A tick costs work * (1 + ALPHA * heat before it); then heat grows by BETA * work and decays. As a linear recurrence
     it has a closed form per chunk of ticks; what a chunk leaves behind is carried to the later ones, so the powers
@@ -80,7 +86,7 @@ def heat(work: DataFrame, chunk: int = 2000) -> DataFrame:
     last = lambda k: F.coalesce(F.lag("left", k).over(Window.partitionBy("server").orderBy("chunk")), F.lit(0.0)) * q ** (chunk * (k - 1))
     ends = ends.withColumn("carried", last(1) + last(2)).drop("left")
     out = fresh.join(ends, ["server", "chunk"]).withColumn("heat", F.col("own") + F.col("carried") * F.pow(F.lit(q), F.col("n")))
-    cold = F.coalesce(F.lag("heat").over(Window.partitionBy("server").orderBy("t")), F.lit(0.0))
+    cold = _cooled(Window.partitionBy("server").orderBy("t"))
     return out.withColumn("latency", F.col("work") * (1 + ALPHA * cold)).select("t", "server", "work", "latency", "heat")
 
 
@@ -95,7 +101,7 @@ def request_latency(routed: DataFrame) -> DataFrame:
     grid = ticks.join(F.broadcast(per.agg(F.collect_set("server").alias("m"))), F.lit(True)).select("t", F.explode("m").alias("server"))
     whole = grid.join(per, ["t", "server"], "left").na.fill(0.0, ["work"])
     order = Window.partitionBy("server").orderBy("t")
-    start = heat(whole).select("server", "t", F.coalesce(F.lag("heat").over(order), F.lit(0.0)).alias("start"))
+    start = heat(whole).select("server", "t", _cooled(order).alias("start"))
     so_far = Window.partitionBy("t", "server").orderBy("request").rowsBetween(Window.unboundedPreceding, -1)
     out = routed.withColumn("before", F.coalesce(F.sum("work").over(so_far), F.lit(0.0))).join(start, ["t", "server"])
     return out.select("t", "request", "server", "work", (F.col("work") * (1 + ALPHA * (F.col("start") + BETA * F.col("before")))).alias("latency"))

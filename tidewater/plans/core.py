@@ -220,7 +220,7 @@ def hot_probe_ratio(spark, sf_dir):
     return metrics.hot_ratio(counts, hot)
 
 
-_HEAT = ", heat AS (SELECT t, server, work, power(CAST(0.98 AS DOUBLE), t + 1) * sum(CAST(0.01 AS DOUBLE) * work * power(CAST(0.98 AS DOUBLE), -t)) OVER (PARTITION BY server ORDER BY t) AS heat FROM work), lat AS (SELECT *, work * (1 + CAST(0.0005 AS DOUBLE) * coalesce(lag(heat) OVER (PARTITION BY server ORDER BY t), 0)) AS latency FROM heat)"
+_HEAT = ", heat AS (SELECT t, server, work, power(CAST(0.98 AS DOUBLE), t + 1) * sum(CAST(0.01 AS DOUBLE) * work * power(CAST(0.98 AS DOUBLE), -t)) OVER (PARTITION BY server ORDER BY t) AS heat FROM work), lat AS (SELECT *, work * (1 + CAST(0.0005 AS DOUBLE) * coalesce(lag(heat) OVER (PARTITION BY server ORDER BY t) * power(CAST(0.98 AS DOUBLE), t - 1 - lag(t) OVER (PARTITION BY server ORDER BY t)), 0)) AS latency FROM heat)"
 
 
 @query(_HEAT + " SELECT t, server, round(work, 6) AS work, round(latency, 6) AS latency, round(heat, 6) AS heat FROM lat")
@@ -237,7 +237,7 @@ def latency_series(spark, sf_dir):
     """, rq AS (SELECT t, event_id AS request, server, cost * share AS work FROM ev JOIN shares USING (k)), rr AS (SELECT t, request, server, sum(work) AS work FROM rq GROUP BY t, request, server),
     pt AS (SELECT t, server, coalesce(sum(rr.work), 0) AS work FROM ticks CROSS JOIN (SELECT DISTINCT server FROM rr) LEFT JOIN rr USING (t, server) GROUP BY t, server),
     ht AS (SELECT t, server, power(CAST(0.98 AS DOUBLE), t + 1) * sum(CAST(0.01 AS DOUBLE) * work * power(CAST(0.98 AS DOUBLE), -t)) OVER (PARTITION BY server ORDER BY t) AS heat FROM pt),
-    st AS (SELECT t, server, coalesce(lag(heat) OVER (PARTITION BY server ORDER BY t), 0) AS start FROM ht),
+    st AS (SELECT t, server, coalesce(lag(heat) OVER (PARTITION BY server ORDER BY t) * power(CAST(0.98 AS DOUBLE), t - 1 - lag(t) OVER (PARTITION BY server ORDER BY t)), 0) AS start FROM ht),
     so AS (SELECT *, coalesce(sum(work) OVER (PARTITION BY t, server ORDER BY request ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM rr)
     SELECT t, request, server, round(work, 6) AS work, round(work * (1 + CAST(0.0005 AS DOUBLE) * (start + CAST(0.01 AS DOUBLE) * before)), 6) AS latency FROM so JOIN st USING (t, server)"""
 )

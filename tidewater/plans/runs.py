@@ -51,7 +51,7 @@ def stream_tick_load(spark, sf_dir):
     return out.select(t.cast("int").alias("t"), "k", "load", "n")
 
 
-@query(", w AS (SELECT t, server, CAST(sum(coalesce(cost, 0)) AS DOUBLE) AS work FROM ticks CROSS JOIN servers LEFT JOIN (SELECT t, k % 8 AS server, cost FROM ev) USING (t, server) GROUP BY t, server), h AS (SELECT t, server, work, power(CAST(0.98 AS DOUBLE), t + 1) * sum(CAST(0.01 AS DOUBLE) * work * power(CAST(0.98 AS DOUBLE), -t)) OVER (PARTITION BY server ORDER BY t) AS heat FROM w) SELECT server, t, round(work, 6) AS work, round(work * (1 + CAST(0.0005 AS DOUBLE) * coalesce(lag(heat) OVER (PARTITION BY server ORDER BY t), 0)), 6) AS latency, round(heat, 6) AS heat FROM h")
+@query(", w AS (SELECT t, server, CAST(sum(coalesce(cost, 0)) AS DOUBLE) AS work FROM ticks CROSS JOIN servers LEFT JOIN (SELECT t, k % 8 AS server, cost FROM ev) USING (t, server) GROUP BY t, server), h AS (SELECT t, server, work, power(CAST(0.98 AS DOUBLE), t + 1) * sum(CAST(0.01 AS DOUBLE) * work * power(CAST(0.98 AS DOUBLE), -t)) OVER (PARTITION BY server ORDER BY t) AS heat FROM w) SELECT server, t, round(work, 6) AS work, round(work * (1 + CAST(0.0005 AS DOUBLE) * coalesce(lag(heat) OVER (PARTITION BY server ORDER BY t) * power(CAST(0.98 AS DOUBLE), t - 1 - lag(t) OVER (PARTITION BY server ORDER BY t)), 0)), 6) AS latency, round(heat, 6) AS heat FROM h")
 def stream_heat(spark, sf_dir):
     b = bound(spark, sf_dir)
     from ..operators.routing import filled
