@@ -76,3 +76,39 @@ def null_safe(a: DataFrame, b: DataFrame, names: list[str]):
 def word_count(text="text"):
     """Number of [^\\x20\\x09-\\x0D]+ in a text (null: 0), without Python."""
     return F.coalesce(F.regexp_count(F.col(text), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+
+
+#: 64-bit words of a screen: 8 MiB of bits, whatever the input.
+SCREEN_WORDS = 1 << 20
+
+
+def _bits(h):
+    """Four bits of a word for a hash."""
+    out = F.lit(0).cast("long")
+    for k in range(4):
+        bit = F.shiftrightunsigned(h, 20 + 6 * k).bitwiseAND(F.lit(63)).cast("int")
+        out = out.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), bit))
+    return out
+
+
+def screened(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The documents that may have one of the ids (doc_id, nulls too), and the rest, which surely have none.
+
+    A Bloom filter of fixed size (one word and four bits in it for each id) is built by a grouped bit_or and broadcast
+    as at most SCREEN_WORDS rows; so the texts of the rest need no shuffle. A filter that too many ids fill only lets
+    more through.
+    """
+    h = F.xxhash64(F.col("doc_id").cast("long"))
+    word = h.bitwiseAND(F.lit(SCREEN_WORDS - 1))
+    words = F.broadcast(ids.select(word.alias("__word"), _bits(h).alias("__bits")).groupBy("__word").agg(F.bit_or("__bits").alias("__bits")))
+    own = docs.withColumns({"__of": word, "__want": _bits(h)})
+    marked = own.join(words, own["__of"] == words["__word"], "left")
+    hit = F.coalesce(F.col("__bits").bitwiseAND(F.col("__want")) == F.col("__want"), F.lit(False))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return marked.where(hit).select(columns), marked.where(~hit).select(columns)
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The documents whose doc_id is none of the ids; only texts of possible ones are shuffled."""
+    maybe, rest = screened(docs, ids)
+    return rest.unionByName(maybe.join(ids, "doc_id", "left_anti").select(docs.columns))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPACES, Scratch, code_points, documents, null_safe, rows, table
+from .common import SPACES, Scratch, code_points, documents, null_safe, rows, screened, table, without
 
 #: Snapshot keys in one filter, and rows of one class compared in one task.
 BUCKET_KEYS, SALT_ROWS = 65_536, 1_000
@@ -188,8 +188,8 @@ def ingest(scratch: Scratch, snapshot: Snapshot, incoming: DataFrame) -> DataFra
 def _unequal(scratch: Scratch, docs: DataFrame, rows_: DataFrame, classes: DataFrame, digest_len: int) -> DataFrame:
     """Byte check: the rows whose text differs from that of their class's best row, with their bytes."""
     multi = classes.where("members > 1").select("key", "members", "best")
-    ids = rows_.join(multi.select("key"), "key", "left_semi").select("doc_id").distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    ids = scratch.save(rows_.join(multi.select("key"), "key", "left_semi").select("doc_id").distinct(), "multi_ids")
+    texts, _ = screened(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ids)
     texts = texts.join(ids, texts["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi")
     bodies = texts.mapInArrow(_digest(digest_len, True), "doc_id long, key binary, n_cp long, body binary")
     bodies = scratch.save(bodies.join(multi, "key"), "bodies")
@@ -215,7 +215,7 @@ def exact_dedup(docs: DataFrame, in_snapshot=None, digest_len: int = 32) -> Data
     snapshot = build_snapshot(scratch, all_rows.where(old))
     classes = scratch.save(ingest(scratch, snapshot, all_rows.where(~old)), "classes")
     unequal = scratch.save(_unequal(scratch, docs, all_rows, classes, digest_len), "unequal")
-    scratch.drop("bodies", "incoming", "screened", "filters", "snapshot")
+    scratch.drop("bodies", "multi_ids", "incoming", "screened", "filters", "snapshot")
     again = Window.partitionBy("key", "doc_id", "n_cp").orderBy("sha")
     numbered = all_rows.withColumn("nth", F.row_number().over(again))
     if not unequal.isEmpty():  # texts that share a digest: classes by all bytes
@@ -248,7 +248,7 @@ def drop_duplicates(docs: DataFrame) -> DataFrame:
     plain = scratch.save(per_id.where("n = 1 AND NOT stays AND doc_id IS NOT NULL").select("doc_id"), "gone")
     mixed = scratch.save(per_id.where("n > 1 OR doc_id IS NULL").select("doc_id"), "mixed")
     if mixed.isEmpty():
-        return docs.join(plain, "doc_id", "left_anti").select(docs.columns)
+        return without(docs, plain)
     rest = docs.join(mixed, docs["doc_id"].eqNullSafe(mixed["doc_id"]), "left_anti").select(docs.columns)
     several = docs.join(mixed, docs["doc_id"].eqNullSafe(mixed["doc_id"]), "left_semi").select(docs.columns)
     body = F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), " \t\n\x0b\x0c\r", "")
@@ -256,7 +256,7 @@ def drop_duplicates(docs: DataFrame) -> DataFrame:
     nth = F.row_number().over(Window.partitionBy("doc_id", "__sha").orderBy(F.col("__n").desc()))
     stay = found.where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__kept")).distinct()
     chosen = several.withColumn("__nth", nth).where("__nth = 1").join(stay, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__sha") == F.col("__kept")), "left_semi")
-    return rest.join(plain, "doc_id", "left_anti").select(docs.columns).unionByName(chosen.select(docs.columns))
+    return without(rest, plain).unionByName(chosen.select(docs.columns))
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

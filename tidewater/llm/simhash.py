@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, documents, rows, table
+from .common import Scratch, documents, rows, table, without
 
 SHINGLE, SEED, MAX_BITS, TILE = 4, 42, 4, 4096
 MIN_SHARED = 8 - MAX_BITS
@@ -190,7 +190,7 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     scratch = Scratch(docs.sparkSession)
     found = scratch.save(near_duplicates(docs), "components")
     gone = scratch.save(found.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
-    left = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    left = without(docs, gone)
     twice = scratch.save(found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"), "twice")
     if twice.isEmpty():
         return left
