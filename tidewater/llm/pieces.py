@@ -31,7 +31,9 @@ from .common import documents, rows, table
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
 #: Chunks kept by a worker; symbols beyond which a chunk is encoded by the heap.
-CACHE, SHORT = 700_000, 60
+CACHE, SHORT = 250_000, 60
+#: Chunks encoded and checked together.
+PART = 1 << 14
 #: No pair.
 _NONE = np.int64(1) << 40
 _LETTERS = re.compile(r"[^\W\d_]")
@@ -222,12 +224,13 @@ class Pieces:
         if len(self.cache) + len(chunks) > CACHE:
             self.cache.clear()
             self.unlike.clear()
+        return sum(self._learn_part(chunks[at : at + PART]) for at in range(0, len(chunks), PART))
+
+    def _learn_part(self, chunks: list[str]) -> int:
         spaced = [c.replace(" ", SPACE) for c in chunks]
         short = [c for c in spaced if len(c) <= SHORT]
-        ids, digits, decoded = {}, self.digits, self.decoded
-        for at in range(0, len(short), 1 << 15):
-            ids |= zip(part := short[at : at + (1 << 15)], self.side_by_side(part))
-        ids |= {c: self.agenda(c) for c in spaced if len(c) > SHORT}
+        digits, decoded = self.digits, self.decoded
+        ids = dict(zip(short, self.side_by_side(short))) | {c: self.agenda(c) for c in spaced if len(c) > SHORT}
         wrong = self._check(spaced, ids)
         for c, s in zip(chunks, spaced):
             own = ids[s]
@@ -306,7 +309,7 @@ def model_path() -> str:
 
 
 #: Chunks looked up together.
-GROUP = 400_000
+GROUP = 100_000
 
 
 def coded(path: str | None, batches, of):
@@ -321,6 +324,7 @@ def coded(path: str | None, batches, of):
                 yield _flush(model, group, of)
                 group, size = [], 0
         yield _flush(model, group, of)
+        pa.default_memory_pool().release_unused()
 
 
 def _flush(model: Pieces, group: list, of) -> list:
