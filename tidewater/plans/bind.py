@@ -37,11 +37,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def keys(spark: SparkSession, n: int) -> DataFrame:
-    return spark.range(n).select(F.col("id").cast("int").alias("k"), (1 + F.col("id") * 7 % 5).cast("double").alias("size"))
+    return spark.range(0, n, 1, 1).select(F.col("id").cast("int").alias("k"), (1 + F.col("id") * 7 % 5).cast("double").alias("size"))
 
 
 def servers(spark: SparkSession, n: int) -> DataFrame:
-    return spark.range(n).select(F.col("id").cast("int").alias("server"), (40 + F.col("id") % 3 * 5).cast("double").alias("capacity"))
+    return spark.range(0, n, 1, 1).select(F.col("id").cast("int").alias("server"), (40 + F.col("id") % 3 * 5).cast("double").alias("capacity"))
 
 
 def home_layout(keys_: DataFrame, n_servers: int) -> DataFrame:
