@@ -47,7 +47,7 @@ def require_routed(work: DataFrame, slices: DataFrame) -> None:
 def slice_loads(work: DataFrame, slices: DataFrame) -> DataFrame:
     """t, slice_id, server, load; slices without work in a tick have load 0."""
     loads = allocate(work, slices).groupBy("t", "slice_id").agg(F.sum("load").alias("load"))
-    return filled(work.select("t").distinct(), slices.select("slice_id", "server"), loads, "slice_id", "load")
+    return densified(loads, slices.select("slice_id", "server"), "slice_id", "load")
 
 
 def filled(ticks: DataFrame, members: DataFrame, values: DataFrame, key: str, value: str) -> DataFrame:
@@ -57,6 +57,17 @@ def filled(ticks: DataFrame, members: DataFrame, values: DataFrame, key: str, va
     return grid.join(values.select("t", key, value), ["t", key], "left").withColumn(value, F.coalesce(value, F.lit(0.0)))
 
 
+def densified(values: DataFrame, members: DataFrame, key: str, value: str) -> DataFrame:
+    """As filled, for the ticks of the values themselves: a tick's values gather in one map, at most one per member.
+
+    The work is scanned once, and the result lies by t, so sums and extremes per tick need no further shuffle.
+    """
+    cells = values.groupBy("t").agg(F.map_from_entries(F.collect_list(F.struct(key, value))).alias("__cells"))
+    everyone = members.agg(F.collect_list(F.struct(*members.columns)).alias("m"))
+    grid = cells.join(F.broadcast(everyone), F.lit(True)).select("t", "__cells", F.explode("m").alias("m"))
+    return grid.select("t", "m.*", F.coalesce(F.try_element_at("__cells", F.col(f"m.{key}")), F.lit(0.0)).alias(value))
+
+
 def biased_work(work: DataFrame, slices: DataFrame, primaries: DataFrame, bias: float = PRIMARY_BIAS) -> DataFrame:
     """t, server, work: routed cost, and bias times each key's cost on its primary server."""
     routed = allocate(work, slices).select("t", "server", F.col("load").alias("work"))
@@ -65,9 +76,9 @@ def biased_work(work: DataFrame, slices: DataFrame, primaries: DataFrame, bias:
 
 
 def server_loads(work: DataFrame, slices: DataFrame, servers: DataFrame) -> DataFrame:
-    """t, server, capacity, load of every server, from its slices."""
+    """t, server, capacity, load of every server, from its slices, in each tick with routed work."""
     loads = allocate(work, slices).groupBy("t", "server").agg(F.sum("load").alias("load"))
-    return filled(work.select("t").distinct(), servers.select("server", "capacity"), loads, "server", "load")
+    return densified(loads, servers.select("server", "capacity"), "server", "load")
 
 
 def utils(loads: DataFrame, history: DataFrame | None = None) -> DataFrame:

@@ -14,7 +14,7 @@ def _loads(b):
 
 def _work(b):
     raw = routing.biased_work(b.work, b.slices, layout.primaries(b.slices))
-    return routing.filled(b.work.select("t").distinct(), b.servers.select("server"), raw, "server", "work")
+    return routing.densified(raw, b.servers.select("server"), "server", "work")
 
 
 @query("SELECT slice_id, lo, hi, round(size, 6) AS size, server FROM home")
