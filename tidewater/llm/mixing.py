@@ -114,14 +114,14 @@ class Mix:
         self.expected = scratch.save(classes.groupBy("source").applyInPandas(_expected, f"source {kind}, cls int, e double"), "expected")
         keyed = _keyed(_with(self.rows, self.expected, "source", "cls"))
         certain = keyed.groupBy("source").agg(F.sum(F.col("whole") * F.col("size")).alias("certain"))
-        budget = _with(self.targets, certain, "source").select("source", (F.col("target") - F.col("certain")).alias("budget"))
+        budget = scratch.save(_with(self.targets, certain, "source").select("source", (F.col("target") - F.col("certain")).alias("budget")), "budget")
         ranges = scratch.save(keyed.where("key IS NOT NULL").groupBy("source", "range").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("n")), "ranges")
         # at most RANGES rows of each source
         upto = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, 0)
         found = _with(ranges, budget, "source").withColumn("upto", F.sum("words").over(upto)).withColumn("n_upto", F.sum("n").over(upto))
         over = F.col("upto") > F.col("budget")
         cut = found.groupBy("source").agg(F.min(F.when(over, F.col("range"))).alias("first"), F.min(F.when(over, F.struct("range", "upto", "words", "n_upto"))).alias("at"), F.first("budget").alias("budget"))
-        cut = cut.select("source", "first", (F.col("budget") - F.col("at.upto") + F.col("at.words")).alias("left"), F.col("at.n_upto").alias("n_first"))
+        cut = scratch.save(cut.select("source", "first", (F.col("budget") - F.col("at.upto") + F.col("at.words")).alias("left"), F.col("at.n_upto").alias("n_first")), "cut")
         last = _with(found, cut, "source").where(F.col("n_upto") >= F.col("n_first") + TOP_UP).groupBy("source").agg(F.min("range").alias("last"))
         self.cuts = scratch.save(_with(cut, last, "source").select("source", "first", "left", F.coalesce("last", F.lit(RANGES)).alias("last")), "cuts")
         self.ranked = _with(keyed, self.cuts, "source")
