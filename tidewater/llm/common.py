@@ -45,7 +45,10 @@ class Scratch:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The table; where its files give fewer partitions than there are cores, dealt out over these."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return docs if docs.rdd.getNumPartitions() >= cores else docs.repartition(cores)
 
 
 def rows(batch: pa.RecordBatch, binary: str | None = None, step: int = SLICE) -> Iterator[tuple]:
