@@ -102,6 +102,18 @@ def test_fuzzy_search_equals_whole_text_search():
         assert got == want
 
 
+def test_fuzzy_search_finds_every_occurrence():
+    """Repeated notices of any number of edits, close together, and one that begins before an earlier seed's window."""
+    found = licenses.notices()
+    notice = licenses.NOTICES["gpl"]
+    text = f"{notice.replace('licensed', 'licenced')} and {notice} then {notice.replace('version', 'versn')}"
+    spans = [s for s in found.search(text) if s[0] == "gpl"]
+    assert [s[3] for s in spans] == [1, 0, 2] and [text[s[1] : s[2]] for s in spans][1] == notice
+    assert licenses.merged([(50, 120), (10, 60), (300, 310)]) == [[10, 120], [300, 310]]
+    joined = licenses.words_of(b"cc by " * 3000 + b"all rights reserved")
+    assert licenses.scan(joined, found.search)[1:4] == (3001, 0, 6000)
+
+
 # ---- 5: token counts
 
 

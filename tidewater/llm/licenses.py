@@ -54,9 +54,20 @@ def seeds(notice: str, k: int) -> list[tuple[int, str]]:
     return [(a, notice[a:b]) for a, b in zip(cuts, cuts[1:])]
 
 
+def merged(windows: list[tuple[int, int]]) -> list[list[int]]:
+    """Disjoint windows that cover the same places. Later seeds may start earlier ones, so they are sorted first."""
+    out: list[list[int]] = []
+    for lo, hi in sorted(windows):
+        if out and lo <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], hi)
+        else:
+            out.append([lo, hi])
+    return out
+
+
 class Notices:
     def __init__(self, notices: dict[str, str], error_every: int = ERROR_EVERY):
-        self.found = [(label, text, k := len(text) // error_every, regex.compile(f"(?b)(?:{regex.escape(text)}){{e<={k}}}")) for label, text in notices.items()]
+        self.found = [(label, text, k := len(text) // error_every, regex.compile(f"(?e)(?:{regex.escape(text)}){{e<={k}}}")) for label, text in notices.items()]
         by_seed: dict[str, list[tuple[int, int]]] = {}
         for n, (_, text, k, _) in enumerate(self.found):
             for at, seed in seeds(text, k):
@@ -68,22 +79,17 @@ class Notices:
 
     def search(self, joined: str) -> list[tuple[str, int, int, int, float]]:
         """(label, start, end, edits, similarity) of each occurrence; offsets in the joined words."""
-        windows: dict[int, list[list[int]]] = {}
+        windows: dict[int, list[tuple[int, int]]] = {}
         for end, (length, places) in self.automaton.iter(joined):
             for n, at in places:
                 _, text, k, _ = self.found[n]
                 start = end + 1 - length - at
                 lo, hi = max(0, start - 2 * k), min(len(joined), start + len(text) + 2 * k)
-                own = windows.setdefault(n, [])
-                if own and lo <= own[-1][1]:
-                    own[-1][1] = max(own[-1][1], hi)
-                else:
-                    own.append([lo, hi])
+                windows.setdefault(n, []).append((lo, hi))
         out = []
         for n, own in windows.items():
             label, text, k, pattern = self.found[n]
-            own.sort()
-            for lo, hi in own:
+            for lo, hi in merged(own):
                 for m in pattern.finditer(joined, lo, hi):
                     edits = sum(m.fuzzy_counts)
                     out.append((label, m.start(), m.end(), edits, 1 - edits / len(text)))
@@ -103,9 +109,10 @@ def scan(text: bytes, search) -> tuple:
     padded = b" " + joined + b" "
     starts, labels = [], set()
     for phrase, label in _BASE:
-        at = padded.find(phrase)
+        at, word, counted = padded.find(phrase), 0, 0
         while at >= 0:
-            starts.append(padded.count(b" ", 0, at))
+            word, counted = word + padded.count(b" ", counted, at), at
+            starts.append(word)
             labels.add(label)
             at = padded.find(phrase, at + 1)
     spans = search(joined.decode())
