@@ -8,9 +8,10 @@ the odds of the fraction p = e - floor(e) (Pareto order sampling); they are take
 words are reached. The ranks are cut by a histogram over 65,536 key ranges, so only the range in which the words run
 out is ordered row by row, with TOP_UP further documents of which those are taken that still fit.
 
-u comes from doc_id alone: reruns agree. Ties go by doc_id, then size. Null and empty texts have size 0 and are not taken. A
-null source is a source. Repeated rows are drawn row by row in mix(); mix_documents() decides by (doc_id, source,
-size). Other columns are ignored by mix() and kept by mix_documents(). An empty table gives an empty result.
+u comes from a hash of doc_id and text: reruns agree, and rows that share a doc_id (or have none) are spread over the
+ranges. Ties go by doc_id, then size. Null and empty texts have size 0 and are not taken. A null source is a source.
+Repeated rows are drawn row by row in mix(); mix_documents() decides by source and hash. Other columns are ignored by
+mix() and kept by mix_documents(). An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -62,12 +63,13 @@ def _expected(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _sized(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("size", word_count("text"))
+    """source, size and the hash that a row's draw comes from."""
+    return docs.withColumns({"size": word_count("text"), "h": F.xxhash64("doc_id", "text", F.lit("mix"))})
 
 
 def _keyed(df: DataFrame) -> DataFrame:
     """With whole copies, inclusion chance, ranking key and its range."""
-    bits = F.xxhash64("doc_id", F.lit("mix")).bitwiseAND(F.lit((1 << 52) - 1))
+    bits = F.col("h").bitwiseAND(F.lit((1 << 52) - 1))
     u = (bits + 0.5) / float(1 << 52)
     p = F.col("e") - F.floor("e")
     key = F.when((p > 0) & (F.col("size") > 0), u / (1 - u) * (1 - p) / p)
@@ -98,7 +100,7 @@ def _fit(pdf: pd.DataFrame) -> pd.DataFrame:
     over = np.where(picked, np.inf, np.abs(pdf["size"].to_numpy(float) - left))
     if len(over) and over.min() < left:  # one more comes nearer than none
         picked[int(over.argmin())] = True
-    return pdf.assign(picked=picked)[["doc_id", "source", "size", "picked"]]
+    return pdf.assign(picked=picked)[["doc_id", "source", "size", "h", "picked"]]
 
 
 class Mix:
@@ -106,7 +108,7 @@ class Mix:
 
     def __init__(self, docs: DataFrame):
         self.scratch = scratch = Scratch(docs.sparkSession)
-        narrow = _sized(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "text")).select("doc_id", "source", "size")
+        narrow = _sized(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "text")).select("doc_id", "source", "size", "h")
         self.rows = scratch.save(narrow.withColumn("cls", _class()), "sizes")
         self.targets = scratch.save(targets(self.rows), "targets")
         classes = _with(self.rows.groupBy("source", "cls").agg(F.sum("size").alias("words")), self.targets, "source")
@@ -128,8 +130,8 @@ class Mix:
         self.inside = F.col("key").isNotNull() & F.col("first").isNotNull() & F.col("range").between(F.col("first"), F.col("last"))
         before = F.col("key").isNotNull() & (F.col("first").isNull() | (F.col("range") < F.col("first")))
         self.extra = F.coalesce(before, F.lit(False)).cast("long")
-        window = self.ranked.where(self.inside).select("doc_id", "source", "size", "key", "left")
-        self.fit = scratch.save(window.groupBy("source").applyInPandas(_fit, f"doc_id long, source {kind}, size long, picked boolean"), "fit")
+        window = self.ranked.where(self.inside).select("doc_id", "source", "size", "h", "key", "left")
+        self.fit = scratch.save(window.groupBy("source").applyInPandas(_fit, f"doc_id long, source {kind}, size long, h long, picked boolean"), "fit")
 
 
 def mix(docs: DataFrame) -> DataFrame:
@@ -144,14 +146,11 @@ def mix(docs: DataFrame) -> DataFrame:
 def mix_documents(docs: DataFrame) -> DataFrame:
     """The mixed documents, all columns, each as often as it is taken."""
     m = Mix(docs)
-    if "__id" in docs.columns or "__copies" in docs.columns:
-        raise ValueError("columns __id and __copies are used here")
-    picked = m.scratch.save(m.fit.where("picked").select(F.col("doc_id").alias("p_id"), F.col("source").alias("p_source"), F.col("size").alias("p_size")).distinct(), "picked")
-    own = docs.select(F.struct("*").alias("__row"), F.col("doc_id").cast("long").alias("doc_id"), "source", word_count("text").alias("size"))
+    picked = m.scratch.save(m.fit.where("picked").select(F.col("source").alias("p_source"), F.col("h").alias("p_h")).distinct(), "picked")
+    own = _sized(docs.select(F.struct("*").alias("__row"), F.col("doc_id").cast("long").alias("doc_id"), "source", "text"))
     own = _with(_keyed(_with(own.withColumn("cls", _class()), m.expected, "source", "cls")), m.cuts, "source")
-    hit = F.col("doc_id").eqNullSafe(F.col("p_id")) & F.col("source").eqNullSafe(F.col("p_source")) & (F.col("size") == F.col("p_size"))
-    own = own.join(picked, hit, "left")
-    extra = F.when(F.coalesce(m.inside, F.lit(False)), F.col("p_size").isNotNull().cast("long")).otherwise(m.extra)
+    own = own.join(picked, F.col("source").eqNullSafe(F.col("p_source")) & (F.col("h") == F.col("p_h")), "left")
+    extra = F.when(F.coalesce(m.inside, F.lit(False)), F.col("p_h").isNotNull().cast("long")).otherwise(m.extra)
     copies = F.when(F.col("size") > 0, F.col("whole") + extra).otherwise(0)
     return own.select("__row", F.explode(F.array_repeat(F.lit(0), copies.cast("int"))).alias("__nth")).select("__row.*")
 
