@@ -7,7 +7,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tidewater.llm import common, exact_dedup, simhash
+from tidewater.llm import common, exact_dedup, mixing, quality, simhash
 
 from ..conftest import SF
 from .helpers import odd_documents, prose, table
@@ -50,6 +50,21 @@ def test_exact_empty_and_clashing_columns(spark):
     assert exact_dedup.drop_duplicates(clash).columns == clash.columns
 
 
+CLASHING = ("__of", "__want", "__WORD", "__bits", "__sha", "__n", "__nth", "__id", "__copies", "__row", "size", "h", "a.b", "count")
+
+
+@pytest.mark.parametrize("stage", [exact_dedup.drop_duplicates, simhash.drop_near_duplicates, mixing.mix_documents, quality.clean_documents])
+def test_extra_columns_come_through(spark, stage):
+    """Columns that are named like an operator's own keep their values."""
+    docs = table(spark, odd_documents() + [(20, prose(3, 80) + ".", "en", "x")])
+    plain = sorted(stage(docs).select("doc_id", "text").collect(), key=str)
+    got = stage(docs.withColumns({c: F.lit(c) for c in CLASHING}))
+    assert got.columns == [*docs.columns, *CLASHING]
+    rows = got.collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in rows), key=str) == [tuple(r) for r in plain] and plain
+    assert all(tuple(r)[-len(CLASHING) :] == CLASHING for r in rows)
+
+
 def test_exact_drop(spark):
     rows = odd_documents()
     left = exact_dedup.drop_duplicates(table(spark, rows)).collect()
@@ -65,6 +80,19 @@ def test_snapshot_and_batches(spark):
         assert Counter(tuple(r) for r in got) == plain_classes(rows)
 
 
+def test_batch_larger_than_the_snapshot(spark, monkeypatch):
+    """Its keys are dealt out to copies of the one filter."""
+    monkeypatch.setattr(exact_dedup, "BUCKET_KEYS", 16)
+    scratch = common.Scratch(spark)
+    rows = [(i, prose(i, 4), "en", "x") for i in range(200)]
+    digests = exact_dedup.digests(table(spark, rows))
+    snapshot = exact_dedup.build_snapshot(scratch, digests.where("doc_id < 10"))
+    assert snapshot.buckets == 1
+    flags = exact_dedup.screen(scratch.save(exact_dedup._grouped(digests), "grouped"), snapshot).collect()
+    assert len(flags) == 200 and {r["best"]["doc_id"] for r in flags if r["hit"]} >= set(range(10)) and sum(r["hit"] for r in flags) < 20
+    assert Counter(tuple(r) for r in exact_dedup.exact_dedup(table(spark, rows), in_snapshot=F.col("doc_id") < 3).collect()) == plain_classes(rows)
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 3, 10, 1000, 60_000])
 def test_fuse_filter(n):
     keys = np.unique(np.random.default_rng(n).integers(0, 2**64, n, dtype=np.uint64))

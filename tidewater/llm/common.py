@@ -68,6 +68,19 @@ def table(schema: pa.Schema, data: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
+def columns(df: DataFrame) -> list:
+    """All columns, whatever characters their names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """The name, or one like it, that no column of df has in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def null_safe(a: DataFrame, b: DataFrame, names: list[str]):
     """Join condition under which nulls are equal."""
     out = a[names[0]].eqNullSafe(b[names[0]])
@@ -102,16 +115,22 @@ def screened(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     more through.
     """
     h = F.xxhash64(F.col("doc_id").cast("long"))
-    word = h.bitwiseAND(F.lit(SCREEN_WORDS - 1))
-    words = F.broadcast(ids.select(word.alias("__word"), _bits(h).alias("__bits")).groupBy("__word").agg(F.bit_or("__bits").alias("__bits")))
-    own = docs.withColumns({"__of": word, "__want": _bits(h)})
-    marked = own.join(words, own["__of"] == words["__word"], "left")
-    hit = F.coalesce(F.col("__bits").bitwiseAND(F.col("__want")) == F.col("__want"), F.lit(False))
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    return marked.where(hit).select(columns), marked.where(~hit).select(columns)
+    slot = h.bitwiseAND(F.lit(SCREEN_WORDS - 1))
+    of, want, word, bits = (fresh(docs, c) for c in ("__of", "__want", "__word", "__bits"))
+    words = F.broadcast(ids.select(slot.alias(word), _bits(h).alias(bits)).groupBy(word).agg(F.bit_or(bits).alias(bits)))
+    own = docs.withColumns({of: slot, want: _bits(h)})
+    marked = own.join(words, own[of] == words[word], "left")
+    hit = F.coalesce(F.col(bits).bitwiseAND(F.col(want)) == F.col(want), F.lit(False))
+    return marked.where(hit).select(columns(docs)), marked.where(~hit).select(columns(docs))
 
 
-def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents whose doc_id is none of the ids; only texts of possible ones are shuffled."""
+def parted(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The documents whose doc_id is one of the ids (nulls too), and the rest; only texts of possible ones are shuffled."""
     maybe, rest = screened(docs, ids)
-    return rest.unionByName(maybe.join(ids, "doc_id", "left_anti").select(docs.columns))
+    same = maybe["doc_id"].eqNullSafe(ids["doc_id"])
+    return maybe.join(ids, same, "left_semi"), rest.unionByName(maybe.join(ids, same, "left_anti"))
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The documents whose doc_id is none of the ids."""
+    return parted(docs, ids)[1]

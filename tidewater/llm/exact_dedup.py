@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPACES, Scratch, code_points, documents, null_safe, rows, screened, table, without
+from .common import SPACES, Scratch, code_points, columns, documents, fresh, null_safe, parted, rows, screened, table, without
 
 #: Snapshot keys in one filter, and rows of one class compared in one task.
 BUCKET_KEYS, SALT_ROWS = 65_536, 1_000
@@ -161,7 +161,11 @@ def build_snapshot(scratch: Scratch, rows_: DataFrame) -> Snapshot:
 
 
 def screen(grouped: DataFrame, snapshot: Snapshot) -> DataFrame:
-    """grouped with `hit`: false only for keys that the snapshot does not hold."""
+    """grouped with `hit`: false only for keys that the snapshot does not hold.
+
+    A batch that is larger than the snapshot is dealt out: about BUCKET_KEYS of its keys meet one copy of a filter.
+    """
+    parts = max(1, -(-grouped.count() // (snapshot.buckets * BUCKET_KEYS)))
 
     def probe(new: pd.DataFrame, filt: pd.DataFrame) -> pd.DataFrame:
         if new.empty:
@@ -169,8 +173,9 @@ def screen(grouped: DataFrame, snapshot: Snapshot) -> DataFrame:
         hit = in_fuse(filt.iloc[0].to_dict(), _key64(new["key"])) if len(filt) else np.zeros(len(new), bool)
         return pd.DataFrame({"key": new["key"], "hit": hit})
 
-    keys = grouped.select("key", _bucket(snapshot.buckets).alias("bucket"))
-    flags = keys.groupBy("bucket").cogroup(snapshot.filters.groupBy("bucket")).applyInPandas(probe, "key binary, hit boolean")
+    keys = grouped.select("key", _bucket(snapshot.buckets).alias("bucket"), F.pmod(F.xxhash64("key", F.lit("part")), F.lit(parts)).cast("int").alias("part"))
+    filters = snapshot.filters.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    flags = keys.groupBy("bucket", "part").cogroup(filters.groupBy("bucket", "part")).applyInPandas(probe, "key binary, hit boolean")
     return grouped.join(flags, "key")
 
 
@@ -249,14 +254,14 @@ def drop_duplicates(docs: DataFrame) -> DataFrame:
     mixed = scratch.save(per_id.where("n > 1 OR doc_id IS NULL").select("doc_id"), "mixed")
     if mixed.isEmpty():
         return without(docs, plain)
-    rest = docs.join(mixed, docs["doc_id"].eqNullSafe(mixed["doc_id"]), "left_anti").select(docs.columns)
-    several = docs.join(mixed, docs["doc_id"].eqNullSafe(mixed["doc_id"]), "left_semi").select(docs.columns)
+    several, rest = parted(docs, mixed)
+    sha, n, nth = (fresh(docs, c) for c in ("__sha", "__n", "__nth"))
     body = F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), " \t\n\x0b\x0c\r", "")
-    several = several.withColumn("__sha", F.sha2(body, 256)).withColumn("__n", F.char_length(F.coalesce("text", F.lit(""))))
-    nth = F.row_number().over(Window.partitionBy("doc_id", "__sha").orderBy(F.col("__n").desc()))
-    stay = found.where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__kept")).distinct()
-    chosen = several.withColumn("__nth", nth).where("__nth = 1").join(stay, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__sha") == F.col("__kept")), "left_semi")
-    return without(rest, plain).unionByName(chosen.select(docs.columns))
+    several = several.withColumns({sha: F.sha2(body, 256), n: F.char_length(F.coalesce("text", F.lit("")))})
+    first = several.withColumn(nth, F.row_number().over(Window.partitionBy("doc_id", sha).orderBy(F.col(n).desc()))).where(F.col(nth) == 1)
+    stay = found.where("kept").select("doc_id", "text_sha256").distinct()
+    chosen = first.join(stay, first["doc_id"].eqNullSafe(stay["doc_id"]) & (first[sha] == stay["text_sha256"]), "left_semi")
+    return without(rest, plain).unionByName(chosen.select(columns(docs)))
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

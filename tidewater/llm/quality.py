@@ -126,7 +126,9 @@ def clean_documents(docs: DataFrame) -> DataFrame:
                 columns[at] = texts
                 yield pa.RecordBatch.from_arrays(columns, names=part.schema.names)
 
-    out = docs.mapInArrow(run, docs.schema)
+    # by place, as names with dots cannot be sent to Arrow
+    placed = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    out = placed.mapInArrow(run, placed.schema).toDF(*docs.columns)
     return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, documents, rows, table, without
+from .common import Scratch, columns, documents, fresh, parted, rows, table, without
 
 SHINGLE, SEED, MAX_BITS, TILE = 4, 42, 4, 4096
 MIN_SHARED = 8 - MAX_BITS
@@ -194,9 +194,10 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     twice = scratch.save(found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"), "twice")
     if twice.isEmpty():
         return left
-    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last()))
-    repeated = left.join(twice, "doc_id", "left_semi").select(docs.columns).withColumn("__nth", nth).where("__nth = 1").drop("__nth")
-    return left.join(twice, "doc_id", "left_anti").select(docs.columns).unionByName(repeated)
+    several, single = parted(left, twice)
+    nth = fresh(docs, "__nth")
+    first = several.withColumn(nth, F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last()))).where(F.col(nth) == 1)
+    return single.unionByName(first.select(columns(docs)))
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
