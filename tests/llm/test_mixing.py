@@ -1,9 +1,10 @@
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidewater.llm import mixing
+from tidewater.llm import common, mixing
 
 from ..conftest import SF
 from .helpers import odd_documents, prose, table
@@ -74,6 +75,26 @@ def test_chances_follow_expectations(spark):
     assert e[("a", 7)] > e[("a", 3)]
 
 
+def test_crossing_equals_a_plain_scan(spark):
+    """The range in which a running sum exceeds its limit, for a null source and for limits that are never met, too."""
+    rng = np.random.default_rng(8)
+    data = {s: sorted((int(r), int(rng.integers(1, 90)), int(rng.integers(1, 4))) for r in rng.choice(mixing.RANGES, n, replace=False)) for s, n in (("a", 3000), (None, 40), ("c", 1), ("d", 500))}
+    ranges = spark.createDataFrame([(s, *row) for s, own in data.items() for row in own], "source string, range int, words long, n long")
+    for column, at in (("words", 1), ("n", 2)):
+        limits = {s: float(sum(row[at] for row in own) * f) for (s, own), f in zip(data.items(), (0.4, 0.99, -1, 1))}
+        want = set()
+        for s, own in data.items():
+            words = n = 0
+            for r, w, k in own:
+                if (words + w if at == 1 else n + k) > limits[s]:
+                    want.add((s, r, limits[s], words, n + k))
+                    break
+                words, n = words + w, n + k
+        frame = spark.createDataFrame(list(limits.items()), "source string, limit double")
+        got = mixing._crossing(common.Scratch(spark), ranges, frame, column).select("source", "range", "limit", "words_before", "n_upto")
+        assert {tuple(r) for r in got.collect()} == want and len(want) == 3
+
+
 def test_odd_rows(spark):
     docs = table(spark, odd_documents()).withColumn("target", F.lit("clash"))
     rows = mixing.mix(docs).collect()

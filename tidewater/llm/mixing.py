@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, documents, word_count
 
-WEIGHTS, MAX_COPIES, TILT, RANGES, TOP_UP = (1, 2, 3), 3, 0.05, 65_536, 256
+WEIGHTS, MAX_COPIES, TILT, RANGES, BLOCK, TOP_UP = (1, 2, 3), 3, 0.05, 65_536, 256, 256
 
 
 def targets(sizes: DataFrame) -> DataFrame:
@@ -103,6 +103,25 @@ def _fit(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf.assign(picked=picked)[["doc_id", "source", "size", "h", "picked"]]
 
 
+def _crossing(scratch: Scratch, ranges: DataFrame, limits: DataFrame, column: str) -> DataFrame:
+    """source, range, limit, words_before, n_upto: where a source's running sum of the column first exceeds its limit.
+
+    Blocks of BLOCK ranges are summed first, then the one block of each source is searched, so that no window holds
+    more than RANGES / BLOCK or BLOCK rows of a source.
+    """
+    upto = lambda c, by: F.sum(c).over(Window.partitionBy("source").orderBy(by).rowsBetween(Window.unboundedPreceding, 0))
+    ranges = ranges.withColumn("block", F.floor(F.col("range") / BLOCK).cast("int"))
+    blocks = ranges.groupBy("source", "block").agg(F.sum("words").alias("words"), F.sum("n").alias("n"))
+    sums = [upto(c, "block") for c in ("words", "n")]
+    blocks = blocks.select("source", "block", *(s.alias(c) for s, c in zip(sums, ("words", "n"))), *((s - F.col(c)).alias(f"{c}_base") for s, c in zip(sums, ("words", "n"))))
+    block = _with(blocks, limits, "source").where(F.col(column) > F.col("limit")).groupBy("source").agg(F.min(F.struct("block", "words_base", "n_base", "limit")).alias("at"))
+    block = scratch.save(block.select("source", "at.*"), f"block_{column}")
+    own = _with(ranges, block, "source", "block").where("limit IS NOT NULL")
+    own = own.select("source", "range", "limit", "words", *((F.col(f"{c}_base") + upto(c, "range")).alias(f"{c}_upto") for c in ("words", "n")))
+    at = F.min(F.struct("range", "limit", (F.col("words_upto") - F.col("words")).alias("words_before"), "n_upto")).alias("at")
+    return own.where(F.col(f"{column}_upto") > F.col("limit")).groupBy("source").agg(at).select("source", "at.*")
+
+
 class Mix:
     """The plan of a mix: expected copies by source and size class, and where each source's words run out."""
 
@@ -118,14 +137,11 @@ class Mix:
         certain = keyed.groupBy("source").agg(F.sum(F.col("whole") * F.col("size")).alias("certain"))
         budget = scratch.save(_with(self.targets, certain, "source").select("source", (F.col("target") - F.col("certain")).alias("budget")), "budget")
         ranges = scratch.save(keyed.where("key IS NOT NULL").groupBy("source", "range").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("n")), "ranges")
-        # at most RANGES rows of each source
-        upto = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, 0)
-        found = _with(ranges, budget, "source").withColumn("upto", F.sum("words").over(upto)).withColumn("n_upto", F.sum("n").over(upto))
-        over = F.col("upto") > F.col("budget")
-        cut = found.groupBy("source").agg(F.min(F.when(over, F.col("range"))).alias("first"), F.min(F.when(over, F.struct("range", "upto", "words", "n_upto"))).alias("at"), F.first("budget").alias("budget"))
-        cut = scratch.save(cut.select("source", "first", (F.col("budget") - F.col("at.upto") + F.col("at.words")).alias("left"), F.col("at.n_upto").alias("n_first")), "cut")
-        last = _with(found, cut, "source").where(F.col("n_upto") >= F.col("n_first") + TOP_UP).groupBy("source").agg(F.min("range").alias("last"))
-        self.cuts = scratch.save(_with(cut, last, "source").select("source", "first", "left", F.coalesce("last", F.lit(RANGES)).alias("last")), "cuts")
+        first = scratch.save(_crossing(scratch, ranges, budget.withColumnRenamed("budget", "limit"), "words"), "first")
+        need = first.select("source", (F.col("n_upto") + TOP_UP - 1).cast("double").alias("limit"))
+        last = _crossing(scratch, ranges, need, "n").select("source", F.col("range").alias("last"))
+        cuts = _with(first.select("source", F.col("range").alias("first"), (F.col("limit") - F.col("words_before")).alias("left")), last, "source")
+        self.cuts = scratch.save(cuts.withColumn("last", F.coalesce("last", F.lit(RANGES))), "cuts")
         self.ranked = _with(keyed, self.cuts, "source")
         self.inside = F.col("key").isNotNull() & F.col("first").isNotNull() & F.col("range").between(F.col("first"), F.col("last"))
         before = F.col("key").isNotNull() & (F.col("first").isNull() | (F.col("range") < F.col("first")))
