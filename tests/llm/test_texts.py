@@ -340,6 +340,27 @@ def test_kneser_ney_equals_plain():
     assert np.allclose(np.exp(model.log_p(packed)), [p(g) for g in probes], rtol=1e-9)
 
 
+def test_language_keeps_all_grams(spark):
+    """More grams than were once kept of a language: the tables give what Model() gives of all of them."""
+    rng = np.random.default_rng(8)
+    words = ["".join(w) for w in rng.choice(list("abcdefghijklmnopqrstuvwxyz"), (80_000, 6))]
+    texts = [" ".join(words[i : i + 1000] + words[:50]) for i in range(0, len(words), 1000)]
+    rows = [(i, t, "en", "x") for i, t in enumerate(texts)] + [(1000 + i, prose(i, 40), "de", "x") for i in range(9)]
+    got = language.learn(table(spark, rows))
+    assert got.names == ["de", "en"]
+    for name, model in zip(got.names, got.models):
+        counted = Counter(w for _, t, la, _ in rows if la == name for w in language.words_of(t))
+        codes, of = language.grams(list(counted))
+        unique, inverse = np.unique(codes, return_inverse=True)
+        n = np.bincount(inverse, weights=np.array(list(counted.values()))[of]).astype(int)
+        once, twice = (n == 1).sum(), (n == 2).sum()
+        plain = language.Model(unique, n, once / (once + 2 * twice) if once and twice else 0.5)
+        assert name == "de" or len(unique) > 1 << 18
+        assert np.array_equal(model.grams[-1][0], unique)
+        probes = np.concatenate([unique[::7], rng.integers(0, 1 << 60, 500)])
+        assert np.allclose(model.log_p(probes), plain.log_p(probes), rtol=1e-9)
+
+
 # ---- SQL where there is some
 
 
