@@ -281,6 +281,54 @@ def test_candidates_are_exact():
         assert secrets.candidates(text) == want
 
 
+def planted(n=120):
+    """Documents whose base patterns teach what stands after a word of context, in several forms."""
+    rng = np.random.default_rng(9)
+    letters = lambda k: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), k))
+    digits = lambda k: "".join(rng.choice(list("0123456789"), k))
+    value = lambda i: [letters(12 + i % 8), digits(9 + i % 4), letters(3) + digits(3 + i % 2)][i % 3]
+    return [(i, f"{prose(i, 6)} login password: {value(i)} then {prose(900 + i, 6)} code: {digits(2)}", "en", "x") for i in range(n)]
+
+
+def test_field_tags_every_token(spark):
+    """Secrets of letters, of digits and of six characters, after a word that no base pattern knows."""
+    import hashlib
+
+    field = secrets.train(table(spark, planted()))
+    for value in ("correcthorsebattery", "4711081512", "abc123"):
+        text = f"quiet river login passwort: {value} then stone cloud"
+        got = secrets.scan(text.encode(), field)
+        a = text.index(value)
+        assert got[4] == f"crf:{a}:{a + len(value)}" and got[5] == 1
+        assert got[3] == hashlib.sha256(b"").hexdigest()
+    assert secrets.scan(b"quiet river then stone cloud light: paper", field)[5] == 0
+
+
+def test_stretches_are_exact():
+    """Decoding the stretches gives what Viterbi over all tokens gives, whatever the weights."""
+    rng = np.random.default_rng(10)
+    vocabulary = ["P@ssw0rd!2024", "key", ":", "=", "abc", "abc123", "4711", "café", "\n", "deadbeef00", "the", "-", "token"]
+    names = {f for w in vocabulary for t in secrets.tokens(w.encode())[0] for f in secrets.own_features(t) + secrets.near_features(t)}
+    names = sorted(names | set(secrets.tight_features(True, True) + secrets.tight_features(False, False)))
+    for n in range(60):
+        state, move = rng.normal(0, 1, (len(names), 3)), rng.normal(0, 1, (3, 3))
+        state[names.index("bias"), 2] += n % 10
+        field = secrets.Field({f: k for k, f in enumerate(names)}, state, move)
+        text = "".join(w + " " * int(rng.integers(0, 2)) for w in rng.choice(vocabulary, int(rng.integers(1, 60)))).encode()
+        t, starts, ends = secrets.tokens(text)
+        assert b"".join(t) == re.sub(rb"\s", b"", text) and all(text[a:b] == w for w, a, b in zip(t, starts, ends))
+        tight, p = [False, *(starts[1:] == ends[:-1]), False], [b"", b"", b"", *t, b""]
+        near = secrets.near_features
+        run = [[*secrets.own_features(w), near(p[k + 2])[0], near(p[k + 1])[1], near(p[k])[2], near(p[k + 4])[3], *secrets.tight_features(tight[k], tight[k + 1]), *secrets.file_features(text)] for k, w in enumerate(t)]
+        want = []
+        for k, label in enumerate(field.viterbi(run)):
+            if label == secrets.B:
+                want.append([starts[k], ends[k]])
+            elif label == secrets.I:
+                want[-1][1] = ends[k]
+        assert secrets.Tagger(field).spans(text) == want
+
+
 # ---- 10: languages
 
 

@@ -1,11 +1,14 @@
 """Operator 8: secret scans by a linear-chain conditional random field over the base patterns.
 
-Base patterns (assign, access, hex) are matched in the whole text. The field tags tokens as begin, inside or outside
-of a secret. Only tokens of 8 and more characters with a letter and a digit may be inside a secret; all others are
-outside by constraint, so the chain falls apart at them and Viterbi decodes each run of candidates exactly. Features
-are a token's shape, the neighbouring words and features of the file (never the base match itself). The weights are
-fitted with forward-backward gradients on a bounded sample: of about TRAIN_DOCS documents chosen by a hash of their
-doc_id, the first TRAIN_RUNS runs by a hash of document and place, labelled by the base patterns.
+Base patterns (assign, access, hex) are matched in the whole text. The field tags every token of it as begin, inside or
+outside of a secret: words of letters, digits, +/_.- and characters beyond ASCII, and each other mark by itself. Features
+are a token's shape, the neighbouring tokens and features of the file (never the base match itself). All tokens are
+scored; by these scores, tokens in no stretch whose bound reaches that of staying outside cannot be inside a secret under
+the fitted weights, so that Viterbi over the stretches that are left decodes the whole text exactly.
+
+The weights are fitted with forward-backward gradients on a bounded sample: in about TRAIN_DOCS documents chosen by a hash
+of their doc_id, pieces of PIECE tokens labelled by the base patterns, half of TRAIN_RUNS with a label and half without
+by a hash of document and place, weighted by how rarely they are drawn.
 
 Null and empty texts have no spans. Without training runs no span is added. Repeated rows give repeated results; other
 columns are ignored. Spans of the method that overlap a base span are left out.
@@ -13,9 +16,13 @@ columns are ignored. Spans of the method that overlap a base span are left out.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
-from itertools import accumulate
+import sys
+from bisect import bisect_left
+from itertools import accumulate, compress
+from math import log2
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +35,9 @@ ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 ACCESS, HEX = re.compile(rb"AKIA[A-Z0-9]+"), re.compile(rb"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "crf")
 TRAIN_DOCS, TRAIN_RUNS, EPOCHS, RATE, L2 = 200_000, 20_000, 60, 0.5, 1e-4
+PIECE = 16
+#: Distinct tokens whose scores a worker keeps.
+CACHE = 300_000
 MIN_CHARS = 8
 B, I, O = 0, 1, 2
 
@@ -36,6 +46,11 @@ _DIGITS = re.compile(rb"[0-9]+")
 _CHARS = frozenset(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")
 _NOT_CHARS = re.compile(rb"[^A-Za-z0-9+/_.=-]")
 _LETTER = re.compile(rb"[A-Za-z]")
+_ALNUM = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+_LOWER = bytes(0x39 if 48 <= c < 58 else c + 32 if 65 <= c < 91 else c for c in range(256))
+#: What own features but entropy and hex tell apart of a byte.
+_CLASS = bytes(0x39 if 48 <= c < 58 else 0x41 if 65 <= c < 91 else 0x61 if 97 <= c < 123 else 0x2D if c in _CHARS else 0x2A for c in range(256))
+_BITS = [0.0, *[c * log2(c) for c in range(1, 257)]]
 _HEXED = bytes(0x78 if c in b"0123456789abcdef" else 0x20 for c in range(256))
 
 
@@ -52,7 +67,7 @@ def base_spans(text: bytes) -> list[tuple[int, str, int, int]]:
 
 
 def candidates(text: bytes) -> list[tuple[int, int]]:
-    """Tokens that may be inside a secret: found from their digits, so prose costs little."""
+    """Runs of MIN_CHARS and more with a letter and a digit, the usual look of a secret: a feature, no condition."""
     out, after = [], 0
     for m in _DIGITS.finditer(text):
         a, b = m.span()
@@ -68,7 +83,7 @@ def candidates(text: bytes) -> list[tuple[int, int]]:
     return out
 
 
-_WORD_BEFORE = re.compile(rb"([^\x20\x09-\x0D]{1,24})([\x20\x09-\x0D]*)$")
+_PARTS = re.compile(rb"[\x20\x09-\x0D]+|[A-Za-z0-9+/_.\x80-\xff-]+|[^\x20\x09-\x0D]")
 
 
 def _shape(token: bytes) -> str:
@@ -76,57 +91,62 @@ def _shape(token: bytes) -> str:
     return "".join(k for k, before in zip(kinds, [None, *kinds]) if k != before)[:6]
 
 
-def features(text: bytes, a: int, b: int, file: list[str]) -> list[str]:
-    token = text[a:b]
+def _word(token: bytes) -> bytes:
+    return token[-12:].translate(_LOWER)
+
+
+def _entropy(token: bytes) -> int:
+    """Twice the entropy of a token's first bytes, in whole bits."""
+    token = token[:256]
+    return int(2 * (log2(len(token)) - sum(map(_BITS.__getitem__, map(token.count, set(token)))) / len(token)) + 1e-9)
+
+
+def own_features(token: bytes) -> list[str]:
     n = len(token)
-    counts = np.bincount(np.frombuffer(token[:256], np.uint8))
-    share = counts[counts > 0] / min(n, 256)
-    entropy = float(-(share * np.log2(share)).sum())
-    digits = sum(48 <= c < 58 for c in token)
-    before, after = text[max(0, a - 40) : a].split(), text[b : b + 40].split()
-    word = lambda w: re.sub(rb"[0-9]", b"9", w[-12:].lower()).decode("ascii", "replace")
+    digits = len(token) - len(token.translate(None, b"0123456789"))
     return [
         "bias",
         f"shape={_shape(token)}",
-        f"len={min(n // 4, 12)}",
-        f"entropy={int(entropy * 2)}",
+        f"len={min(n // 2, 24)}",
+        f"entropy={_entropy(token)}",
         f"digits={digits * 5 // n}",
         f"hex={not token.translate(None, b'0123456789abcdef')}",
         f"upper={not token.translate(None, b'ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789')}",
-        f"marks={sum(not (48 <= c < 58 or 65 <= c < 91 or 97 <= c < 123) for c in token) * 4 // n}",
-        f"before={word(before[-1]) if before else ''}",
-        f"before2={word(before[-2]) if len(before) > 1 else ''}",
-        f"glue={text[a - 1 : a].decode('ascii', 'replace')}",
-        f"after={text[b : b + 1].decode('ascii', 'replace')}",
-        f"next={word(after[0]) if after else ''}",
-        *file,
+        f"marks={len(token.translate(None, _ALNUM)) * 4 // n}",
+        f"usual={bool(candidates(token))}",
     ]
 
 
+def near_features(token: bytes) -> list[str]:
+    """What a token says of those one, two and three after it and of the one before it."""
+    word = _word(token).decode("latin-1")
+    return [f"before={word}", f"before2={word}", f"before3={word}", f"next={word}"]
+
+
+def tight_features(before: bool, after: bool) -> list[str]:
+    return [f"glue={bool(before)}", f"after={bool(after)}"]
+
+
 def file_features(text: bytes) -> list[str]:
     low = text[:].lower()
     return [f"file-key={any(k in low for k in _KEYWORDS)}", f"file-lines={min(text.count(b'\n').bit_length(), 8)}", f"file-equals={min(text.count(b'=').bit_length(), 6)}"]
 
 
-def runs(text: bytes) -> list[list[tuple[int, int]]]:
-    """Candidates with nothing but characters that belong to no word between them form one run."""
-    out: list[list[tuple[int, int]]] = []
-    for a, b in candidates(text):
-        if out and not re.search(rb"[A-Za-z0-9\x80-\xff]", text[out[-1][-1][1] : a]):
-            out[-1].append((a, b))
-        else:
-            out.append([(a, b)])
-    return out
+def tokens(text: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Every token with its start and end."""
+    parts = _PARTS.findall(text)
+    ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))
+    blank = np.fromiter(map(bytes.isspace, parts), bool, len(parts))
+    return list(compress(parts, ~blank)), np.r_[0, ends[:-1]][~blank] if parts else ends, ends[~blank]
 
 
-def labels(run: list[tuple[int, int]], base: list) -> list[int]:
+def labels(starts: np.ndarray, ends: np.ndarray, base: list) -> np.ndarray:
     """By the base patterns: begin at a value's first token, inside after it."""
-    out, last = [], None
-    for a, b in run:
-        own = next((k for k, (s, _, e, v) in enumerate(base) if v < b and a < e), None)
-        out.append(O if own is None else I if own == last else B)
-        last = own
-    return out
+    own = np.full(len(starts), -1)
+    for k in reversed(range(len(base))):
+        _, _, e, v = base[k]
+        own[np.searchsorted(ends, v, "right") : np.searchsorted(starts, e)] = k
+    return np.where(own < 0, O, np.where(own == np.r_[-1, own[:-1]], I, B))
 
 
 # ---- the field
@@ -151,7 +171,10 @@ class Field:
         return np.array([self.state[[self.index[f] for f in fs if f in self.index]].sum(axis=0) if fs else np.zeros(3) for fs in run])
 
     def viterbi(self, run: list[list[str]]) -> list[int]:
-        s, move = self.scores(run), self.move + _ALLOWED
+        return self.decode(self.scores(run))
+
+    def decode(self, s: np.ndarray) -> list[int]:
+        move = self.move + _ALLOWED
         best, back = s[0] + move[O], []
         for row in s[1:]:
             x = best[:, None] + move
@@ -164,8 +187,9 @@ class Field:
         return out[::-1]
 
     @classmethod
-    def fit(cls, data: list[tuple[list[list[str]], list[int]]], epochs: int = EPOCHS) -> Field | None:
+    def fit(cls, data: list[tuple[list[list[str]], list[int]]], epochs: int = EPOCHS, weights: list[float] | None = None) -> Field | None:
         """Adagrad on the regularised conditional log-likelihood; runs of one length go through forward-backward together."""
+        weights = [1.0] * len(data) if weights is None else weights
         if not data:
             return None
         index: dict[str, int] = {}
@@ -176,17 +200,17 @@ class Field:
         state, move = np.zeros((len(index), 3)), np.zeros((3, 3))
         g_state, g_move = np.full_like(state, 1e-6), np.full_like(move, 1e-6)
         by_length: dict[int, list] = {}
-        for run, y in data:
-            by_length.setdefault(len(run), []).append(([[index[f] for f in fs] for fs in run], y))
+        for (run, y), weight in zip(data, weights):
+            by_length.setdefault(len(run), []).append(([[index[f] for f in fs] for fs in run], y, weight))
         packs = []
         for length, group in by_length.items():
-            token = np.repeat(np.arange(len(group) * length), [len(fs) for run, _ in group for fs in run])
-            ids = np.array([i for run, _ in group for fs in run for i in fs])
-            packs.append((length, len(group), token, ids, np.array([y for _, y in group])))
-        total = len(data)
+            token = np.repeat(np.arange(len(group) * length), [len(fs) for run, _, _ in group for fs in run])
+            ids = np.array([i for run, _, _ in group for fs in run for i in fs])
+            packs.append((length, len(group), token, ids, np.array([y for _, y, _ in group]), np.array([w for _, _, w in group])))
+        total = sum(weights)
         for _ in range(epochs):
             d_state, d_move = -L2 * total * state, -L2 * total * move
-            for length, n, token, ids, y in packs:
+            for length, n, token, ids, y, w in packs:
                 s = np.stack([np.bincount(token, weights=state[ids, k], minlength=n * length) for k in range(3)], axis=1).reshape(n, length, 3)
                 m = move + _ALLOWED
                 fwd = np.empty_like(s)
@@ -199,14 +223,14 @@ class Field:
                     bwd[:, t] = _logsumexp(m + (s[:, t + 1] + bwd[:, t + 1])[:, None, :], 2)
                 z = _logsumexp(fwd[:, -1] + m[:, O], 1)
                 p = np.exp(fwd + bwd - z[:, None, None])
-                err = (np.eye(3)[y] - p).reshape(n * length, 3)
+                err = ((np.eye(3)[y] - p) * w[:, None, None]).reshape(n * length, 3)
                 for k in range(3):
                     d_state[:, k] += np.bincount(ids, weights=err[token, k], minlength=len(index))
                 d_move[O] += err.reshape(n, length, 3)[:, 0].sum(axis=0)
                 d_move[:, O] += err.reshape(n, length, 3)[:, -1].sum(axis=0)
                 for t in range(1, length):
-                    pair = np.exp(fwd[:, t - 1][:, :, None] + m + (s[:, t] + bwd[:, t])[:, None, :] - z[:, None, None]).sum(axis=0)
-                    np.add.at(d_move, (y[:, t - 1], y[:, t]), 1)
+                    pair = (np.exp(fwd[:, t - 1][:, :, None] + m + (s[:, t] + bwd[:, t])[:, None, :] - z[:, None, None]) * w[:, None, None]).sum(axis=0)
+                    np.add.at(d_move, (y[:, t - 1], y[:, t]), w)
                     d_move -= pair
             g_state += d_state**2
             g_move += d_move**2
@@ -215,45 +239,145 @@ class Field:
         return cls(index, state, move)
 
 
-def _samples(batches):
-    schema = pa.schema([("rank", pa.int64()), ("run", pa.list_(pa.list_(pa.string()))), ("y", pa.list_(pa.int64()))])
+def _share(name: str) -> float:
+    return int.from_bytes(hashlib.blake2b(name.encode(), digest_size=7).digest(), "big") / 2**56
+
+
+_SAMPLE = pa.schema([("labelled", pa.bool_()), ("rank", pa.float64()), ("tokens", pa.list_(pa.binary())), ("tight", pa.list_(pa.bool_())), ("y", pa.list_(pa.int64())), ("file", pa.list_(pa.string()))])
+
+
+def _samples(batches, share: float):
+    """Pieces with a base label of all documents, those without of a share of them; three tokens before and one after stand by."""
     for batch in batches:
         out = []
         for doc_id, text in rows(batch, "text"):
             text = text or b""
-            found = runs(text)
-            if found:
-                base, file = base_spans(text), file_features(text)
-                for k, run in enumerate(found):
-                    rank = int.from_bytes(hashlib.blake2b(f"{doc_id}:{k}".encode(), digest_size=7).digest(), "big")
-                    for at in range(0, len(run), 16):  # a sample may cut a long run
-                        part = run[at : at + 16]
-                        out.append((rank, [features(text, a, b, file) for a, b in part], labels(part, base)))
-        yield table(schema, out)
+            base = base_spans(text)
+            drawn = _share(str(doc_id)) < share
+            if not (base or drawn):
+                continue
+            own, starts, ends = tokens(text)
+            y, file = labels(starts, ends, base), file_features(text)
+            tight = np.r_[False, starts[1:] == ends[:-1], False]
+            padded = [b"", b"", b"", *own, b""]
+            for at in range(0, len(own), PIECE):
+                part = y[at : at + PIECE].tolist()
+                labelled = any(k != O for k in part)
+                if labelled or drawn:
+                    part[0] = B if part[0] == I else part[0]
+                    out.append((labelled, _share(f"{doc_id}:{at}"), padded[at : at + len(part) + 4], tight[at : at + len(part) + 1].tolist(), part, file))
+        yield table(_SAMPLE, out)
 
 
 def train(docs: DataFrame, limit: int = TRAIN_RUNS) -> Field | None:
-    share = min(1.0, TRAIN_DOCS / max(1, docs.count()))
-    cut = min(int(-(2**63) + share * 2**64), 2**63 - 1)
+    n, size = docs.agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))).first()
+    part = min(1.0, TRAIN_DOCS / max(1, n))
+    cut = min(int(-(2**63) + part * 2**64), 2**63 - 1)
     chosen = docs.where(F.xxhash64(F.col("doc_id").cast("long")) <= F.lit(cut))
-    found = chosen.select("doc_id", "text").mapInArrow(_samples, "rank long, run array<array<string>>, y array<long>")
-    sample = found.orderBy("rank", F.to_json("run")).limit(limit).collect()
-    return Field.fit([(r["run"], list(r["y"])) for r in sample])
+    # about three times the pieces wanted, at eight bytes a token
+    share = min(1.0, 3 * limit * PIECE * 8 / max(1, part * (size or 0)))
+    found = chosen.select("doc_id", "text").mapInArrow(lambda b: _samples(b, share), "labelled boolean, rank double, tokens array<binary>, tight array<boolean>, y array<long>, file array<string>")
+    data, weights = [], []
+    own, near = functools.cache(own_features), functools.cache(lambda t: [sys.intern(f) for f in near_features(t)])
+    for labelled in (True, False):
+        sample = found.where(F.col("labelled") == labelled).orderBy("rank", F.to_json(F.struct("tokens"))).limit(limit // 2).collect()
+        reached = sample[-1]["rank"] if sample and len(sample) == limit // 2 else 1.0
+        if labelled and not sample:
+            return None
+        for r in sample:
+            t, file = list(map(bytes, r["tokens"])), list(map(sys.intern, r["file"]))
+            run = [[*own(t[k]), near(t[k - 1])[0], near(t[k - 2])[1], near(t[k - 3])[2], near(t[k + 1])[3], *map(sys.intern, tight_features(*r["tight"][k - 3 : k - 1])), *file] for k in range(3, len(t) - 1)]
+            data.append((run, list(r["y"])))
+            weights.append(1 / max(reached, 1e-9) / (1 if labelled else share))
+    return Field.fit(data, weights=weights)
+
+
+class Tagger(dict):
+    """Tags whole texts by a field, with scores relative to outside.
+
+    Token to the number of its own features' score (upper 32 bits) and of its score as a neighbour (lower). Tokens of
+    one look share their own score; neighbours the field does not know share number 0.
+    """
+
+    def __init__(self, field: Field):
+        super().__init__()
+        self.field = field
+        move = field.move + _ALLOWED - field.move[O, O]
+        self.move = np.maximum(move[:, :2].max(axis=0) + np.maximum(move[:2, O], 0), -1e9)
+        self.tight = np.array([[self._sum([tight_features(x, x)[k]]) for x in (False, True)] for k in (0, 1)])
+        known = [f.split("=", 1)[1].encode("latin-1") for f in field.index if f.split("=", 1)[0] in ("before", "before2", "before3", "next")]
+        self.words = {w: k for k, w in enumerate(dict.fromkeys(known), 1)}
+        self.near = np.zeros((len(self.words) + 1, 4, 2))
+        for word, k in self.words.items():
+            self.near[k] = [self._sum([f]) for f in near_features(word)]
+        self.edge = self.near[self.words.get(b"", 0)]
+        self.looks: dict[tuple, int] = {}
+        self.own = np.zeros((1024, 2))
+
+    def _sum(self, found: list[str]) -> np.ndarray:
+        at = [self.field.index[f] for f in found if f in self.field.index]
+        total = self.field.state[at].sum(axis=0)
+        return total[:2] - total[O]
+
+    def __missing__(self, token: bytes) -> int:
+        look = token.translate(_CLASS), not token.translate(None, b"0123456789abcdef"), _entropy(token)
+        at = self.looks.get(look)
+        if at is None:
+            at = self.looks[look] = len(self.looks)
+            if at == len(self.own):
+                self.own = np.concatenate([self.own, np.zeros_like(self.own)])
+            self.own[at] = self._sum(own_features(token))
+        out = self[token] = at << 32 | self.words.get(_word(token), 0)
+        return out
+
+    def relative(self, text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The scores of begin and inside against outside of each token, and its start and end."""
+        if len(self) > CACHE:
+            self.clear()
+            self.looks.clear()
+        own, starts, ends = tokens(text)
+        at = np.fromiter(map(self.__getitem__, own), np.int64, len(own))
+        near = self.near[at & 0xFFFFFFFF]
+        s = self.own[at >> 32] + self._sum(file_features(text))
+        for k in (1, 2, 3):
+            s[k:] += near[: max(0, len(at) - k), k - 1]
+            s[:k] += self.edge[k - 1]
+        s[:-1] += near[1:, 3]
+        s[-1:] += self.edge[3]
+        tight = np.r_[False, starts[1:] == ends[:-1], False].astype(int)
+        s += self.tight[0][tight[: len(own)]] + self.tight[1][tight[1 : len(own) + 1]]
+        return s, starts, ends
+
+    def stretches(self, s: np.ndarray) -> list[tuple[int, int]]:
+        """Stretches beyond which no token is in a block whose bound reaches that of staying outside."""
+        bound = (s + self.move).max(axis=1)
+        total = np.cumsum(bound)
+        left = total - np.minimum.accumulate(np.r_[0, total[:-1]])  # best sum that ends here
+        right = np.maximum.accumulate(total[::-1])[::-1] - np.r_[0, total[:-1]]  # best sum that starts here
+        open_ = np.r_[False, left + right - bound >= -1e-6, False]
+        edges = np.flatnonzero(open_[1:] != open_[:-1])
+        return list(zip(edges[::2].tolist(), edges[1::2].tolist()))
+
+    def spans(self, text: bytes) -> list[list[int]]:
+        s, starts, ends = self.relative(text)
+        out: list[list[int]] = []
+        for a, b in self.stretches(s) if len(s) else []:
+            for k, label in enumerate(self.field.decode(np.c_[s[a:b], np.zeros(b - a)]), a):
+                if label == B:
+                    out.append([int(starts[k]), int(ends[k])])
+                elif label == I:
+                    out[-1][1] = int(ends[k])
+        return out
 
 
-def scan(text: bytes, field: Field | None) -> tuple:
+def scan(text: bytes, field: Field | Tagger | None) -> tuple:
     base = base_spans(text)
     own = []
-    if field is not None and (found := runs(text)):
-        file = file_features(text)
-        for run in found:
-            y = field.viterbi([features(text, a, b, file) for a, b in run])
-            for k, label in enumerate(y):
-                if label == B:
-                    own.append([run[k][0], run[k][1]])
-                elif label == I and own:
-                    own[-1][1] = run[k][1]
-        own = [(a, "crf", b, a) for a, b in own if not any(s < b and a < e for s, _, e, _ in base)]
+    if field is not None:
+        found = (field if isinstance(field, Tagger) else Tagger(field)).spans(text)
+        # base spans by start: of those that start before a span's end, the farthest end
+        starts, reach = [s for s, *_ in base], list(accumulate((e for _, _, e, _ in base), max))
+        own = [(a, "crf", b, a) for a, b in found if not ((k := bisect_left(starts, b)) and reach[k - 1] > a)]
     every = sorted([*base, *own], key=lambda x: (x[0], KINDS.index(x[1]), x[2]))
     offsets = sorted({x for s, _, e, _ in every for x in (s, e)})
     counts = accumulate(code_points(text[a:b]) for a, b in zip([0, *offsets], offsets))
@@ -271,7 +395,7 @@ def scan_secrets(docs: DataFrame, field: Field | None = None) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("n_assign", pa.int64()), ("n_access", pa.int64()), ("n_hex", pa.int64()), ("base_sha256", pa.string()), ("spans", pa.string()), ("n_crf", pa.int64())])
 
     def run(batches):
-        own = sent.value
+        own = sent.value and Tagger(sent.value)
         for batch in batches:
             yield table(schema, [(doc_id, *scan(text or b"", own)) for doc_id, text in rows(batch, "text")])
 
