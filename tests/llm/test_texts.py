@@ -304,6 +304,20 @@ def test_field_tags_every_token(spark):
     assert secrets.scan(b"quiet river then stone cloud light: paper", field)[5] == 0
 
 
+def test_field_spans_are_exact(spark):
+    """The spans that the field adds, to the character: of one token, and of several in one secret."""
+    rng = np.random.default_rng(5)
+    hexes = lambda n: "".join(rng.choice(list("0123456789abcdef"), n))
+    rows = [(i, f"some words here key {hexes(32)} and more text v1.{i} build{i}x", "en", "x") for i in range(80)] + [(500, "some words here key " + "-".join([hexes(16), hexes(15)]) + " and more", "en", "x")]
+    got = {r["doc_id"]: r for r in secrets.scan_secrets(table(spark, rows)).collect()}
+    assert (got[500]["spans"], got[500]["n_crf"]) == ("crf:20:52", 1)
+    rows = [(i, f"{prose(i, 5)} password: {hexes(8)}={hexes(8)}={hexes(8)} then {prose(i + 500, 5)}", "en", "x") for i in range(120)]
+    field = secrets.train(table(spark, rows))
+    text = f"{prose(7, 5)} password\t: 12ab34cd=ef56ab78=90cd12ef then {prose(8, 5)}"  # the base patterns allow no tab
+    a = text.index("12ab34cd")
+    assert secrets.scan(text.encode(), field)[4:] == (f"crf:{a}:{a + 26}", 1)
+
+
 def test_stretches_are_exact():
     """Decoding the stretches gives what Viterbi over all tokens gives, whatever the weights."""
     rng = np.random.default_rng(10)
