@@ -214,3 +214,13 @@ def test_plan_counts_sum(spark):
     hot = spark.createDataFrame([(1, 3, 2.0), (1, 4, 1.0), (2, 0, 1.0)], "t int, k int, weight double")
     got = planner.plan_counts(requests, workload.zipf(spark, 10, 1.0), hot, 7).groupBy("t").agg(F.sum("cnt").alias("n"))
     assert {r["t"]: r["n"] for r in got.collect()} == {1: 259, 2: 77, 3: 35}
+
+
+def test_assignment_swaps():
+    """Ten keys fill both servers, so that only swaps lower the peak; both keys of a swap count as moves."""
+    load = np.array([9.0, 8, 7, 6, 5, 1, 1, 1, 1, 1])
+    now, size, cap = np.repeat([0, 1], 5), np.ones(10), np.array([5.0, 5])
+    peak = lambda at: np.bincount(at, weights=load, minlength=2).max()
+    got = rebalance.assign(size, load, now, cap, 4)
+    assert peak(got) == 20 and (got != now).sum() <= 4 and (np.bincount(got) == 5).all()
+    assert (rebalance.assign(size, load, now, cap, 1) == now).all()

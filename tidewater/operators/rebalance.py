@@ -99,12 +99,17 @@ def assign(size: np.ndarray, load: np.ndarray, current: np.ndarray, capacity: np
         raise ValueError("sizes, loads and servers differ in length")
     if len(current) and (current.min() < 0 or current.max() >= len(capacity)):
         raise ValueError("a current server is out of range")
-    now = current.copy()
-    work, held = (np.bincount(now, weights=x, minlength=len(capacity)) for x in (load, size))
+    held = np.bincount(current, weights=size, minlength=len(capacity))
     if (held > capacity + EPS).any():
         raise ValueError("no feasible assignment known: a server is over capacity")
     if 0 < len(size) <= EXACT:
         return _exact(size, load, current, capacity, max_moves)
+    return _descend(size, load, current, capacity, max_moves)
+
+
+def _descend(size, load, current, capacity, max_moves):
+    now = current.copy()
+    work, held = (np.bincount(now, weights=x, minlength=len(capacity)) for x in (load, size))
     while True:
         top = int(work.argmax())
         best, choice = work[top] - 1e-9, None
@@ -114,14 +119,27 @@ def assign(size: np.ndarray, load: np.ndarray, current: np.ndarray, capacity: np
                     continue
                 peak = max(work[top] - load[i], work[j] + load[i])
                 if peak < best:
-                    best, choice = peak, (i, j)
+                    best, choice = peak, (i, j, None)
+            moved = (now != current).sum() - (now[i] != current[i])
+            for k in np.flatnonzero(now != top):
+                j = now[k]
+                if moved - (j != current[k]) + (j != current[i]) + (top != current[k]) > max_moves:
+                    continue
+                if held[j] + size[i] - size[k] > capacity[j] + EPS or held[top] + size[k] - size[i] > capacity[top] + EPS:
+                    continue
+                peak = max(work[top] - load[i] + load[k], work[j] + load[i] - load[k])
+                if peak < best:
+                    best, choice = peak, (i, int(j), k)
         if choice is None:
             return now
-        i, j = choice
+        i, j, k = choice
         for x, own in ((work, load), (held, size)):
-            x[top] -= own[i]
-            x[j] += own[i]
+            step = own[i] - (0 if k is None else own[k])
+            x[top] -= step
+            x[j] += step
         now[i] = j
+        if k is not None:
+            now[k] = top
 
 
 #: Keys up to which assignments are exact.
