@@ -132,14 +132,85 @@ def test_ledger(spark):
     assert totals() == {("x", "en"): (1, 0), ("y", "de"): (1, 4), (None, None): (1, 1)}
 
 
+def _changes(spark, op, rows):
+    return table(spark, rows).select(F.lit(op).alias("op"), "doc_id", "source", "lang", "text")
+
+
+def _words(ledger):
+    return {(r["source"], r["lang"]): (r["docs"], r["tokens"]) for r in ledger.totals().where(F.col("tokenizer") == token_counts.WORDS).collect()}
+
+
 def test_ledger_redoes_a_lost_batch(spark):
     ledger = token_counts.Ledger(spark, Scratch(spark).base)
-    rows = table(spark, [(1, "a b", "en", "x")]).select(F.lit("insert").alias("op"), "doc_id", "source", "lang", "text")
+    rows = _changes(spark, "insert", [(1, "a b", "en", "x")])
     ledger.apply("1", rows)
-    fs, marker = ledger._path("commits/1")
-    fs.delete(marker, False)  # as if the job died before its marker
-    assert ledger.totals().count() == 0 and ledger.apply("1", rows)
-    assert ledger.totals().where("tokens = 2").count() >= 1
+    fs, commit = ledger._path("commits/000000000")
+    fs.delete(commit, False)  # as if the job died before its commit
+    assert ledger.totals().count() == 0 and ledger.committed() == []
+    assert ledger.apply("1", rows) and not ledger.apply("1", rows)
+    assert _words(ledger) == {("x", "en"): (1, 2)} and ledger.committed() == ["1"]
+
+
+def test_ledger_repeated_ids(spark):
+    """Inserts count row by row; of several revises of a doc_id one stands; clashing columns and other ops do nothing."""
+    ledger = token_counts.Ledger(spark, Scratch(spark).base)
+    assert ledger.apply("1", _changes(spark, "insert", [(1, "a b", "en", "x"), (1, "a b", "en", "x"), (2, "c", "en", "x")]))
+    assert _words(ledger) == {("x", "en"): (3, 5)}
+    batch = _changes(spark, "revise", [(1, "d e f", "en", "x"), (1, "d e f", "en", "x"), (1, "g", "en", "x"), (None, "lost", "en", "x")])
+    batch = batch.unionByName(_changes(spark, "delete", [(2, None, None, None), (2, None, None, None)])).unionByName(_changes(spark, "other", [(2, "x", "en", "x")]))
+    assert ledger.apply("2", batch.withColumns({"h": F.lit("clash"), "words": F.lit("clash"), "sign": F.lit("clash")}))
+    assert _words(ledger) in ({("x", "en"): (1, 3)}, {("x", "en"): (1, 1)})
+    assert ledger.apply("3", _changes(spark, "delete", [(1, None, None, None)]))
+    assert _words(ledger) == {}
+
+
+def test_ledger_compacts(spark, monkeypatch):
+    """Totals and later deletes see the same through a compacted base."""
+    monkeypatch.setattr(token_counts, "KEEP", 3)
+    ledger, held = token_counts.Ledger(spark, Scratch(spark).base), {}
+    for n in range(7):
+        rows = [(i, prose(n * 50 + i, 1 + i % 4), "en", "x") for i in range(n, n + 5)]
+        assert ledger.apply(f"b{n}", _changes(spark, "revise", rows))
+        held |= {i: len(t.split()) for i, t, *_ in rows}
+        assert _words(ledger) == {("x", "en"): (len(held), sum(held.values()))}
+    kinds = [c["batch"] for c in ledger.log()]
+    assert kinds.count(None) == 2 and ledger.committed() == [f"b{n}" for n in range(7)]
+    ledger.tidy()
+    assert ledger.apply("gone", _changes(spark, "delete", [(i, None, None, None) for i in held])) and _words(ledger) == {}
+    assert not ledger.apply("b0", _changes(spark, "insert", [(1, "a", "en", "x")]))
+
+
+def test_ledger_fences_writers(spark, monkeypatch):
+    """A writer that was overtaken works from the new state."""
+    place = Scratch(spark).base
+    ledger, other = token_counts.Ledger(spark, place), token_counts.Ledger(spark, place)
+    ledger.apply("1", _changes(spark, "insert", [(1, "a b", "en", "x")]))
+    before, raced = ledger._entries, []
+
+    def entries(log, changes, scratch):
+        found = before(log, changes, scratch)
+        if not raced:
+            raced.append(other.apply("2", _changes(spark, "revise", [(1, "a b c d", "en", "x")])))
+        return found
+
+    monkeypatch.setattr(ledger, "_entries", entries)
+    assert ledger.apply("3", _changes(spark, "delete", [(1, None, None, None)]))
+    assert raced == [True] and ledger.committed() == ["1", "2", "3"] and _words(ledger) == {}
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.text(alphabet="ab  \u2581\n\t.,\u00e9", max_size=80), st.integers(1, 9))
+def test_parts_add_up(text, long):
+    library = pieces.pieces(pieces.model_path()).library
+    assert sum(len(library.encode(p)) for p in token_counts.parts_of(text, long)) == len(library.encode(text))
+    assert token_counts.piece_counts([text, "", text + "x"], library.encode, long) == [len(library.encode(t)) for t in (text, "", text + "x")]
+
+
+def test_token_counts_of_odd_rows(spark):
+    library = pieces.pieces(pieces.model_path()).library
+    got = Counter(tuple(r) for r in token_counts.count_tokens(table(spark, odd_documents()).withColumn("op", F.lit("clash"))).collect())
+    want = Counter((i, s, la, name, n) for i, t, la, s in odd_documents() for name, n in ((token_counts.WORDS, len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))), (token_counts.PIECES, len(library.encode(t or "")))))
+    assert got == want and token_counts.count_tokens(table(spark, [])).count() == 0
 
 
 def test_token_query_equals_plain(spark):

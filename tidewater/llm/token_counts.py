@@ -1,51 +1,115 @@
 """Operator 5: token counts kept by signed deltas.
 
 A ledger lives in a folder of the shared store. Each batch of changes (insert, delete, revise) becomes signed entries,
-(doc_id, source, lang, tokenizer, tokens, sign), and a rollup of them by source, language and tokenizer version. A
-batch counts once its commit marker stands, which is written last: a batch that was lost midway is written anew, one
-that was committed is not applied again. Totals add the committed rollups, never the documents.
-
-delete takes away all that the ledger holds of a doc_id; revise does, and inserts the new text. Null texts have 0
-tokens; null sources and languages are groups of their own; rows without a doc_id can be inserted only. Repeated rows
-count as often as they stand. Other columns are ignored. An empty batch commits an empty delta.
+(doc_id, source, lang, tokenizer, tokens, sign), dealt into buckets by a hash of doc_id, and a rollup of them by source,
+language and tokenizer version. A batch counts once its commit stands, which is written last: a numbered file that
+names the batch and its folder and that only one writer can bring into place. So a batch that was lost midway is written
+anew, one that was committed is not applied again, and a writer that was overtaken starts again from the new state.
+Totals add the committed rollups, never the documents. After KEEP batches they are compacted into one base of net
+entries; earlier folders stay until tidy().
+
+delete takes away all that the ledger holds of a doc_id before the batch; revise does, and inserts the new text. Deletes
+and revises read the buckets that their doc_ids fall in. Of several revise rows of one doc_id in a batch one stands (the
+greatest hash of text, source and lang); insert rows all count, repeated ones as often as they stand. Rows with another
+or no op, and delete and revise rows without a doc_id, do nothing. Null texts have 0 tokens; null sources and languages
+are groups of their own. Other columns are ignored. An empty batch commits an empty delta.
+
+Tokens are counted by the sentencepiece library, texts of any length whole: those over LONG characters in parts that
+begin at a run of spaces, which no piece reaches over.
 """
 
 from __future__ import annotations
 
+import functools
+import json
+import re
+import uuid
+from collections.abc import Iterator
+
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, documents, table
-from .pieces import model_path, pieces
+from .common import Scratch, documents
+from .pieces import SPACE, model_path, pieces
 
 #: Version names change with the tokenizer: counts of different ones never add up.
 WORDS, PIECES = "words-1", "piece-bpe-32k-1"
 KEYS = ("source", "lang", "tokenizer")
+#: Parts of the ledger by doc_id; batches between two compactions; characters encoded in one piece or one call.
+BUCKETS, KEEP, LONG = 64, 16, 1 << 18
+
+_CUT = re.compile(r"(?<! ) (?=[\s\S])")
+
+
+def parts_of(text: str, long: int = LONG) -> Iterator[str]:
+    """Texts whose numbers of pieces add up to that of the text. Each but the first begins a run of spaces, less one space."""
+    if len(text) > long:
+        text, at = text.replace(SPACE, " "), 0
+        while found := _CUT.search(text, at + long):
+            yield text[at : found.start()]
+            at = found.end()  # the space that the library puts before a text stands for this one
+        text = text[at:]
+    yield text
+
+
+def piece_counts(texts: list[str], encode, long: int = LONG) -> list[int]:
+    """Number of pieces of each text; the library gets about `long` characters at once."""
+    n, part, of, size = [0] * len(texts), [], [], 0
+    for k, text in enumerate(texts):
+        for own in parts_of(text, long):
+            part.append(own)
+            of.append(k)
+            size += len(own)
+            if size > long:
+                for i, ids in zip(of, encode(part)):
+                    n[i] += len(ids)
+                part, of, size = [], [], 0
+    for i, ids in zip(of, encode(part)):
+        n[i] += len(ids)
+    return n
 
 
 def _counted(batches):
-    schema = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), ("lang", pa.string()), ("words", pa.int64()), ("pieces", pa.int64())])
-    model = pieces(model_path())
+    schema = pa.schema([("op", pa.string()), ("doc_id", pa.int64()), ("source", pa.string()), ("lang", pa.string()), ("h", pa.int64()), ("words", pa.int64()), ("pieces", pa.int64())])
+    encode = pieces(model_path()).library.encode
     for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            part = batch.slice(at, 256)
-            ids, sources, langs, texts = (c.to_pylist() for c in part.columns)
-            cut = [model.chunks(t or "") for t in texts]
-            new = list({c for own in cut for c in own if c not in model.cache})
-            if len(new) < 200_000:
-                model.learn(new)
-            yield table(schema, [(i, s, la, len((t or "").encode().split()), model.found(own)[1]) for i, s, la, t, own in zip(ids, sources, langs, texts, cut)])
+        for at in range(0, batch.num_rows, 128):
+            part = batch.slice(at, 128)
+            texts = [t or "" for t in part.column("text").to_pylist()]
+            words = pa.array([len(t.encode().split()) for t in texts], pa.int64())
+            counts = pa.array(piece_counts(texts, encode), pa.int64())
+            yield pa.RecordBatch.from_arrays([*(part.column(f.name).cast(f.type) for f in list(schema)[:5]), words, counts], schema=schema)
 
 
-def count_tokens(docs: DataFrame) -> DataFrame:
-    """doc_id, source, lang, tokenizer, tokens: a row per document and tokenizer version."""
-    columns = [F.col("doc_id").cast("long").alias("doc_id"), *(F.col(c).cast("string").alias(c) for c in ("source", "lang", "text"))]
-    counted = docs.select(*columns).mapInArrow(_counted, "doc_id long, source string, lang string, words long, pieces long")
+def _tokenised(changes: DataFrame) -> DataFrame:
+    """op, doc_id, source, lang, h (a hash of text, source and lang), words, pieces."""
+    own = [F.col("op").cast("string").alias("op"), F.col("doc_id").cast("long").alias("doc_id"), *(F.col(c).cast("string").alias(c) for c in ("source", "lang"))]
+    given = changes.select(*own, F.xxhash64("text", "source", "lang").alias("h"), F.col("text").cast("string").alias("text"))
+    return given.mapInArrow(_counted, "op string, doc_id long, source string, lang string, h long, words long, pieces long")
+
+
+def _by_tokenizer(counted: DataFrame) -> DataFrame:
     both = F.explode(F.array(F.struct(F.lit(WORDS).alias("tokenizer"), F.col("words").alias("tokens")), F.struct(F.lit(PIECES).alias("tokenizer"), F.col("pieces").alias("tokens"))))
     return counted.select("doc_id", "source", "lang", both.alias("t")).select("doc_id", "source", "lang", "t.tokenizer", "t.tokens")
 
 
+def count_tokens(docs: DataFrame) -> DataFrame:
+    """doc_id, source, lang, tokenizer, tokens: a row per document and tokenizer version."""
+    return _by_tokenizer(_tokenised(docs.select(F.lit("insert").alias("op"), "doc_id", "source", "lang", "text")))
+
+
+def _bucket():
+    """Rows without a doc_id are never looked up: they are dealt by what they hold."""
+    return F.pmod(F.when(F.col("doc_id").isNull(), F.xxhash64("source", "lang", "tokens")).otherwise(F.xxhash64("doc_id")), F.lit(BUCKETS)).cast("int")
+
+
+_ENTRY = "doc_id long, source string, lang string, tokenizer string, tokens long, sign int, bucket int"
+_ROLLUP = "source string, lang string, tokenizer string, docs long, tokens long"
+
+
 class Ledger:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
@@ -55,42 +119,119 @@ class Ledger:
         path = self._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
         return path.getFileSystem(self._conf), path
 
-    def committed(self) -> list[str]:
+    # ---- the log of commits
+
+    def log(self) -> list[dict]:
+        """The commits in order: batch (None for a compacted base), folder."""
         fs, path = self._path("commits")
-        return sorted(s.getPath().getName() for s in fs.listStatus(path)) if fs.exists(path) else []
+        if not fs.exists(path):
+            return []
+        read = lambda s: self._jvm.org.apache.commons.io.IOUtils.toString(fs.open(s.getPath()), "UTF-8")
+        return [json.loads(read(s)) for s in sorted(fs.listStatus(path), key=lambda s: s.getPath().getName())]
+
+    def committed(self) -> list[str]:
+        """Batches that count."""
+        return [c["batch"] for c in self.log() if c["batch"] is not None]
+
+    def _commit(self, number: int, entry: dict) -> bool:
+        """Bring the commit of this number into place; False if another writer did so before."""
+        fs, attempt = self._path(f"attempts/{uuid.uuid4().hex}")
+        out = fs.create(attempt, False)
+        out.write(bytearray(json.dumps(entry).encode()))
+        out.close()
+        _, place = self._path(f"commits/{number:09d}")
+        fs.mkdirs(place.getParent())
+        context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(place.toUri(), self._conf)
+        options = self.spark.sparkContext._gateway.new_array(getattr(self._jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+        try:
+            context.rename(attempt, place, options)  # fails where the number is taken
+        except (Py4JJavaError, PySparkException):
+            if not fs.exists(place):
+                raise
+            fs.delete(attempt, False)
+            return False
+        return True
+
+    # ---- tables
+
+    def _live(self, log: list[dict]) -> list[str]:
+        """Folders that count: the last base, and what came after it."""
+        base = max((k for k, c in enumerate(log) if c["batch"] is None), default=0)
+        return [c["folder"] for c in log[base:]]
+
+    def _read(self, log: list[dict], kind: str, schema: str) -> DataFrame:
+        folders = self._live(log)
+        if not folders:
+            return self.spark.createDataFrame([], schema)
+        frames = [self.spark.read.schema(schema).parquet(f"{self.folder}/{f}/{kind}") for f in folders]
+        return functools.reduce(DataFrame.unionByName, frames)
+
+    def _write(self, entries: DataFrame, folder: str) -> None:
+        """Entries by bucket, and their rollup."""
+        place = f"{self.folder}/{folder}"
+        dealt = entries.withColumn("bucket", _bucket())
+        dealt.repartition("bucket", F.xxhash64("doc_id", *KEYS, "tokens") % 4).write.mode("overwrite").partitionBy("bucket").parquet(f"{place}/entries")
+        delta = self.spark.read.schema(_ENTRY).parquet(f"{place}/entries").groupBy(*KEYS)
+        delta = delta.agg(F.sum("sign").alias("docs"), F.sum(F.col("sign") * F.col("tokens")).alias("tokens"))
+        delta.write.mode("overwrite").parquet(f"{place}/rollup")
 
-    def _read(self, kind: str) -> DataFrame | None:
-        batches = self.committed()
-        return self.spark.read.parquet(*[f"{self.folder}/{kind}/{b}" for b in batches]) if batches else None
+    def _net(self, entries: DataFrame) -> DataFrame:
+        net = entries.groupBy("doc_id", *KEYS, "tokens").agg(F.sum("sign").alias("n")).where("n <> 0")
+        return net.select("doc_id", *KEYS, "tokens", F.col("n").cast("int").alias("sign"))
 
     def apply(self, batch_id: str, changes: DataFrame) -> bool:
         """changes: op, doc_id, source, lang, text. False if the batch was committed before."""
-        fs, marker = self._path(f"commits/{batch_id}")
-        if fs.exists(marker):
-            return False
-        entries = count_tokens(changes.where("op IN ('insert', 'revise')")).withColumn("sign", F.lit(1))
-        before = self._read("entries")
-        if before is not None:
-            gone = changes.where("op IN ('delete', 'revise') AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-            held = before.join(gone, "doc_id", "left_semi").groupBy("doc_id", *KEYS, "tokens").agg(F.sum("sign").cast("int").alias("sign")).where("sign <> 0")
-            entries = entries.unionByName(held.select("doc_id", *KEYS, "tokens", (-F.col("sign")).alias("sign")))
-        entries.select("doc_id", *KEYS, "tokens", "sign").write.mode("overwrite").parquet(f"{self.folder}/entries/{batch_id}")
-        delta = self.spark.read.parquet(f"{self.folder}/entries/{batch_id}").groupBy(*KEYS)
-        delta = delta.agg(F.sum("sign").alias("docs"), F.sum(F.col("sign") * F.col("tokens")).alias("tokens"))
-        delta.write.mode("overwrite").parquet(f"{self.folder}/rollups/{batch_id}")
-        fs.create(marker, False).close()
-        return True
+        while True:
+            log = self.log()
+            if any(c["batch"] == batch_id for c in log):
+                return False
+            folder = f"batches/{uuid.uuid4().hex}"
+            self._write(self._entries(log, changes, Scratch(self.spark)), folder)
+            if self._commit(len(log), {"batch": batch_id, "folder": folder}):
+                if len(self._live(log)) >= KEEP:
+                    self.compact()
+                return True
+
+    def _entries(self, log: list[dict], changes: DataFrame, scratch: Scratch) -> DataFrame:
+        """Signed entries of a batch."""
+        counted = _tokenised(changes.where("op = 'insert' OR op = 'revise' AND doc_id IS NOT NULL"))
+        ids = changes.where("op IN ('delete', 'revise') AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"))
+        ids = scratch.save(ids.distinct(), "ids")
+        if ids.isEmpty():
+            return _by_tokenizer(counted).withColumn("sign", F.lit(1))
+        counted = scratch.save(counted, "counted")
+        one = F.max_by(F.struct("source", "lang", "words", "pieces"), "h").alias("row")
+        revised = counted.where("op = 'revise'").groupBy("doc_id").agg(one).select("doc_id", "row.*")
+        rows_ = counted.where("op = 'insert'").select(*revised.columns).unionByName(revised)
+        added = _by_tokenizer(rows_).withColumn("sign", F.lit(1))
+        buckets = [r["b"] for r in ids.select(F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)).cast("int").alias("b")).distinct().collect()]
+        before = self._read(log, "entries", _ENTRY).where(F.col("bucket").isin(buckets))
+        held = self._net(before.join(ids, "doc_id", "left_semi"))
+        return added.unionByName(held.withColumn("sign", -F.col("sign")))
+
+    def compact(self) -> bool:
+        """One base of net entries in place of all batches so far; False if another writer committed meanwhile."""
+        log = self.log()
+        folder = f"batches/{uuid.uuid4().hex}"
+        self._write(self._net(self._read(log, "entries", _ENTRY)), folder)
+        return self._commit(len(log), {"batch": None, "folder": folder})
+
+    def tidy(self) -> None:
+        """Delete folders that no longer count. Not while others read or write."""
+        fs, path = self._path("batches")
+        keep = {f.rsplit("/", 1)[-1] for f in self._live(self.log())}
+        for s in fs.listStatus(path) if fs.exists(path) else []:
+            if s.getPath().getName() not in keep:
+                fs.delete(s.getPath(), True)
 
     def totals(self) -> DataFrame:
         """source, lang, tokenizer, docs, tokens over the committed batches."""
-        rollups = self._read("rollups")
-        if rollups is None:
-            return self.spark.createDataFrame([], "source string, lang string, tokenizer string, docs long, tokens long")
+        rollups = self._read(self.log(), "rollup", _ROLLUP)
         return rollups.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).where("docs <> 0")
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents come in two batches, of which the first is sent twice; a tenth is deleted and inserted again."""
+    """All documents come in two batches, of which the first is sent twice; a tenth is deleted and inserted again, another revised."""
     docs = documents(spark, sf_dir)
     ledger = Ledger(spark, Scratch(spark).base)
     even = F.coalesce(F.col("doc_id") % 2 == 0, F.lit(True))
@@ -101,4 +242,5 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     tenth = docs.where("doc_id % 10 = 0")
     ledger.apply("withdraw", of("delete", tenth))
     ledger.apply("restore", of("insert", tenth))
+    ledger.apply("revise", of("revise", docs.where("doc_id % 10 = 5")))
     return ledger.totals()
