@@ -9,8 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; on this machine only where that is unset, as in tests."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="tidewater-")
+    """A new folder below spark.checkpoint.dir. Where that is unset, one of this machine's, but only for a local master."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="tidewater-")
     return f"{base.rstrip('/')}/tidewater-{uuid.uuid4().hex}"
 
 
