@@ -428,11 +428,12 @@ def test_language_query(spark):
 
 
 def test_language_odd_rows(spark):
-    rows = odd_documents() + [(20, "123 456 \u00b2", "en", "x")] + [(30 + i, "the quick river and the stone of the cloud", "en", "x") for i in range(9)] + [(50 + i, "der schnelle fluss und der stein in der wolke", "de", "x") for i in range(9)]
+    rows = odd_documents() + [(20, "123 456 \u00b2 \u00bd \u2167", "en", "x"), (21, "m\u00b2", None, "x"), (22, "x\u00b2 y\u00b3", None, "x"), (23, "\u4e2d" * 300, None, "x")] + [(30 + i, "the quick river and the stone of the cloud", "en", "x") for i in range(9)] + [(50 + i, "der schnelle fluss und der stein in der wolke", "de", "x") for i in range(9)]
     model = language.learn(table(spark, rows).where("doc_id IS NULL OR doc_id <> 31"))
     docs = table(spark, rows).withColumn("score", F.lit("clash"))
     got = {r["doc_id"]: r for r in language.identify(docs, model).collect()}
     assert got[31]["lang_pred"] == "en" and got[50]["lang_pred"] == "de"
+    assert {got[i]["lang_pred"] for i in (21, 22, 23)} <= set(model.names) and all(got[i]["score"] > 0 for i in (21, 22, 23))
     for i in (4, 5, 6, 20):
         assert (got[i]["lang_pred"], got[i]["score"]) == ("und", 0.0)
     nothing = language.learn(table(spark, [(1, "abc", None, "x"), (2, None, "en", "x")]))
@@ -444,7 +445,7 @@ def test_kneser_ney_equals_plain():
     """Probabilities against a dictionary version, and they sum to one over what is known."""
     words = prose(2, 80).split()
     words = [w for text in words for w in language.words_of(text)]
-    codes, _ = language.grams(words)
+    codes, _ = next(language.grams(words))
     unique, n = np.unique(codes, return_counts=True)
     model = language.Model(unique, n, 0.6)
     seqs = ["\x01" * 4 + w + "\x01" for w in words]
@@ -473,6 +474,86 @@ def test_kneser_ney_equals_plain():
     assert np.allclose(np.exp(model.log_p(packed)), [p(g) for g in probes], rtol=1e-9)
 
 
+def test_grams_in_blocks():
+    """Words cut anywhere have the grams of the whole words, without edges inside."""
+    words = ["", "a", "river", "\u4e2d\u6587" * 30, "z" * 100]
+    whole = [(int(w), int(g)) for codes, of in language.grams(words) for w, g in zip(of, codes)]
+    want = []
+    for k, w in enumerate(words):
+        s = [ord(c) for c in "\x01" * 4 + w + "\x01"]
+        s = [(c * 2654435761 >> 7) & 4095 | 2048 if c > 4095 else c for c in s]
+        want += [(k, sum(c << 12 * (4 - i) for i, c in enumerate(s[a : a + 5]))) for a in range(len(s) - 4)]
+    assert whole == want
+    for block in (1, 2, 7, 64):
+        assert [(int(w), int(g)) for codes, of in language.grams(words, block) for w, g in zip(of, codes)] == want
+
+
+def test_language_ties_and_long_texts(spark, monkeypatch):
+    """Languages of the same texts tie: the smaller name wins. Costs by block and by cache are those of whole words."""
+    rows = [(i, prose(i % 9, 30) + " " + "stone" * 30, la, "x") for i in range(18) for la in ["b", "a"]]
+    model = language.learn(table(spark, rows))
+    assert {r["lang_pred"] for r in language.identify(table(spark, rows), model).collect()} == {"a"}
+    texts = [prose(5, 3000) + "stone" * 2000, "q" * 5000, prose(6, 10)]
+    want = model.entropies([language.words_of(t) for t in texts])
+    monkeypatch.setattr(language, "BLOCK", 100)
+    monkeypatch.setattr(language, "CACHE", 50)
+    model._reset()
+    assert np.allclose(model.entropies([language.words_of(t) for t in texts]), want)
+
+
+def plain_language(rows):
+    """Best language by dictionaries of grams: Kneser-Ney as in test_kneser_ney_equals_plain, of each language's rows."""
+    levels = {}
+    for _, t, la, _ in rows:
+        for w in language.words_of(t or ""):
+            s = "\x01" * 4 + w + "\x01"
+            levels.setdefault(la, Counter()).update(s[i : i + 5] for i in range(len(s) - 4))
+    models = {}
+    for la, five in levels.items():
+        level = {5: five}
+        for k in range(4, 0, -1):
+            level[k] = Counter(g[1:] for g in level[k + 1])
+        d = {}
+        for k in level:
+            once, twice = (sum(v == x for v in level[k].values()) for x in (1, 2))
+            d[k] = min(max(once / (once + 2 * twice) if once and twice else 0.5, 0.05), 0.95)
+        followers = {k: {} for k in level}
+        for k in level:
+            for g, v in level[k].items():
+                n, kinds = followers[k].get(g[:-1], (0, 0))
+                followers[k][g[:-1]] = n + v, kinds + 1
+        models[la] = level, d, followers, len(level[1]) + 1
+
+    def p(la, g):
+        level, d, followers, size = models[la]
+        if not g:
+            return 1 / size
+        k = len(g)
+        if g[:-1] not in followers[k]:
+            return p(la, g[1:])
+        total, kinds = followers[k][g[:-1]]
+        return max(level[k].get(g, 0) - d[k], 0) / total + d[k] * kinds / total * p(la, g[1:])
+
+    def best(text):
+        words = language.words_of(text or "")
+        if not words:
+            return "und"
+        cost = {la: -sum(np.log(p(la, s[i : i + 5])) for w in words for s in ["\x01" * 4 + w + "\x01"] for i in range(len(s) - 4)) for la in models}
+        return min(sorted(cost), key=lambda la: (round(cost[la], 6), la))
+
+    return best
+
+
+def test_predictions_equal_plain(spark):
+    """The query's predictions, row by row, against dictionaries."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    rows = [(r["doc_id"], r["text"], r["lang"], None) for r in docs if zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2 and r["lang"] is not None]
+    best = plain_language(rows)
+    got = {r["doc_id"]: r["lang_pred"] for r in language.op10_language(spark, SF).collect()}
+    some = sorted(docs, key=lambda r: len(r["text"] or ""))[:150]
+    assert [got[r["doc_id"]] for r in some] == [best(r["text"]) for r in some]
+
+
 def test_language_keeps_all_grams(spark):
     """More grams than were once kept of a language: the tables give what Model() gives of all of them."""
     rng = np.random.default_rng(8)
@@ -483,7 +564,7 @@ def test_language_keeps_all_grams(spark):
     assert got.names == ["de", "en"]
     for name, model in zip(got.names, got.models):
         counted = Counter(w for _, t, la, _ in rows if la == name for w in language.words_of(t))
-        codes, of = language.grams(list(counted))
+        codes, of = next(language.grams(list(counted)))
         unique, inverse = np.unique(codes, return_inverse=True)
         n = np.bincount(inverse, weights=np.array(list(counted.values()))[of]).astype(int)
         once, twice = (n == 1).sum(), (n == 2).sum()
