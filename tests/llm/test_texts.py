@@ -389,6 +389,40 @@ def test_field_spans_are_exact(spark):
     assert secrets.scan(text.encode(), field)[4:] == (f"crf:{a}:{a + 26}", 1)
 
 
+def test_field_recall_and_precision(spark):
+    """Secrets of looks that no base pattern matches, of kinds that training never plants; and what is left alone."""
+    docs = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet")
+    tagger, rng = secrets.Tagger(secrets.train(docs)), np.random.default_rng(12)
+    draw = lambda letters, n: "".join(rng.choice(list(letters), n))
+    letters = secrets._BASE62
+    looks = [lambda: "ghp_" + draw(letters, 36), lambda: draw(letters + "+/", 40), lambda: "sk-" + draw(letters, 48), lambda: "xoxb-" + draw("0123456789", 11) + "-" + draw(letters, 24), lambda: "AIza" + draw(letters + "-_", 35)]
+    texts = [r["text"].encode() for r in docs.orderBy("doc_id").collect()]
+    found = n = clean = 0
+    for k, text in enumerate(texts):
+        words = text.split(b" ")
+        clean += len(tagger.spans([text])[0]) > secrets.scan(text, None)[0] + secrets.scan(text, None)[1] + secrets.scan(text, None)[2]
+        if len(words) > 20:
+            secret, at = looks[k % len(looks)]().encode(), int(rng.integers(1, len(words)))
+            planted_text = b" ".join([*words[:at], secret, *words[at:]])
+            a = len(b" ".join(words[:at])) + 1
+            n += 1
+            found += [a, a + len(secret)] in tagger.spans([planted_text])[0]
+    assert n > 500 and found >= 0.9 * n
+    assert clean <= 0.01 * len(texts)
+    for text in (b"call +49-151-2345678 on 2024-11-05T10:22:07Z, see https://www.example.org/a/b-c_d/12345.html?x=1", b"version v12.4.1071 of the_long_identifier_name and CamelCaseName42 cost 1000000000"):
+        assert tagger.spans([text]) == [[]]
+
+
+def test_secret_odd_rows(spark):
+    """Empty tables, repeated rows, very long texts and tokens; texts tagged side by side are tagged as alone."""
+    field = secrets.train(table(spark, planted()))
+    assert secrets.scan_secrets(table(spark, []), field).count() == 0 and secrets.train(table(spark, [])) is None
+    texts = [t or "" for _, t, *_ in odd_documents()] + ["login passwort: correcthorsebattery then", "a1" * 200_000, "", "token=abc123456", "."]
+    got = list(secrets.scans([t.encode() for t in texts], field))
+    assert got == [secrets.scan(t.encode(), field) for t in texts] and sum(r[5] for r in got) >= 1
+    assert [secrets._entropy(b"ab" * n) for n in (1, 128, 129, 5000)] == [2, 2, 2, 2]
+
+
 def test_stretches_are_exact():
     """Decoding the stretches gives what Viterbi over all tokens gives, whatever the weights."""
     rng = np.random.default_rng(10)
@@ -411,7 +445,7 @@ def test_stretches_are_exact():
                 want.append([starts[k], ends[k]])
             elif label == secrets.I:
                 want[-1][1] = ends[k]
-        assert secrets.Tagger(field).spans(text) == want
+        assert secrets.Tagger(field).spans([text]) == [want]
 
 
 # ---- 10: languages

@@ -6,12 +6,16 @@ are a token's shape, the neighbouring tokens and features of the file (never the
 scored; by these scores, tokens in no stretch whose bound reaches that of staying outside cannot be inside a secret under
 the fitted weights, so that Viterbi over the stretches that are left decodes the whole text exactly.
 
-The weights are fitted with forward-backward gradients on a bounded sample: in about TRAIN_DOCS documents chosen by a hash
-of their doc_id, pieces of PIECE tokens labelled by the base patterns, half of TRAIN_RUNS with a label and half without
-by a hash of document and place, weighted by how rarely they are drawn.
-
-Null and empty texts have no spans. Without training runs no span is added. Repeated rows give repeated results; other
-columns are ignored. Spans of the method that overlap a base span are left out.
+The weights are fitted with forward-backward gradients on a bounded sample, TRAIN_RUNS pieces of PIECE tokens. A quarter
+are pieces with a base label, out of about TRAIN_DOCS documents chosen by a hash of their doc_id; a quarter are their
+copies with the keyword hidden, where the value looks like a secret by itself. A quarter have no label, by a hash of
+document and place; the last are their copies with a made-up secret planted, or a made-up harmless look-alike. So the
+field learns values by their look and not only by what the patterns go by. Pieces weigh by how rarely they are drawn.
+
+Null and empty texts have no spans; an empty table gives an empty result. Without a labelled piece no span is added.
+Repeated rows give repeated results; other columns are ignored. Spans of the method that overlap a base span are left out;
+of labels that score alike the first of begin, inside, outside is taken. Texts of any length are tagged whole; of a
+neighbouring token the last twelve bytes count, of a shape of many changes the first six and their number's size.
 """
 
 from __future__ import annotations
@@ -21,7 +25,8 @@ import hashlib
 import re
 import sys
 from bisect import bisect_left
-from itertools import accumulate, compress
+from collections.abc import Iterable, Iterator
+from itertools import accumulate
 from math import log2
 
 import numpy as np
@@ -29,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import code_points, documents, rows, table
+from .common import SLICE, Scratch, code_points, documents, rows, table
 
 ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I)
 ACCESS, HEX = re.compile(rb"AKIA[A-Z0-9]+"), re.compile(rb"[0-9a-f]{24,}")
@@ -83,12 +88,15 @@ def candidates(text: bytes) -> list[tuple[int, int]]:
     return out
 
 
-_PARTS = re.compile(rb"[\x20\x09-\x0D]+|[A-Za-z0-9+/_.\x80-\xff-]+|[^\x20\x09-\x0D]")
+_TOKENS = re.compile(rb"[A-Za-z0-9+/_.\x80-\xff-]+|[^\x20\x09-\x0D]")
+#: 0 in spaces, 1 in words, 2 for marks that stand alone.
+_KIND = np.array([0 if c in b" \t\n\x0b\x0c\r" else 1 if c >= 128 or c in b"+/_.-" or chr(c).isalnum() else 2 for c in range(256)], np.uint8)
 
 
 def _shape(token: bytes) -> str:
     kinds = ["9" if 48 <= c < 58 else "A" if 65 <= c < 91 else "a" if 97 <= c < 123 else "-" for c in token]
-    return "".join(k for k, before in zip(kinds, [None, *kinds]) if k != before)[:6]
+    shape = "".join(k for k, before in zip(kinds, [None, *kinds]) if k != before)
+    return shape if len(shape) <= 6 else f"{shape[:6]}~{len(shape).bit_length()}"
 
 
 def _word(token: bytes) -> bytes:
@@ -96,9 +104,10 @@ def _word(token: bytes) -> bytes:
 
 
 def _entropy(token: bytes) -> int:
-    """Twice the entropy of a token's first bytes, in whole bits."""
-    token = token[:256]
-    return int(2 * (log2(len(token)) - sum(map(_BITS.__getitem__, map(token.count, set(token)))) / len(token)) + 1e-9)
+    """Twice the entropy of a token's bytes, in whole bits."""
+    counts = map(token.count, set(token))
+    sums = map(_BITS.__getitem__, counts) if len(token) <= 256 else (c * log2(c) for c in counts)
+    return int(2 * (log2(len(token)) - sum(sums) / len(token)) + 1e-9)
 
 
 def own_features(token: bytes) -> list[str]:
@@ -132,12 +141,19 @@ def file_features(text: bytes) -> list[str]:
     return [f"file-key={any(k in low for k in _KEYWORDS)}", f"file-lines={min(text.count(b'\n').bit_length(), 8)}", f"file-equals={min(text.count(b'=').bit_length(), 6)}"]
 
 
+def places(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of every token."""
+    kind = np.zeros(len(text) + 2, np.uint8)
+    kind[1:-1] = _KIND[np.frombuffer(text, np.uint8)]
+    alone, inside = kind == 2, kind == 1
+    starts = np.flatnonzero(alone[1:] | inside[1:] & ~inside[:-1])
+    ends = np.flatnonzero(alone[:-1] | inside[:-1] & ~inside[1:])
+    return starts, ends
+
+
 def tokens(text: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """Every token with its start and end."""
-    parts = _PARTS.findall(text)
-    ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))
-    blank = np.fromiter(map(bytes.isspace, parts), bool, len(parts))
-    return list(compress(parts, ~blank)), np.r_[0, ends[:-1]][~blank] if parts else ends, ends[~blank]
+    return _TOKENS.findall(text), *places(text)
 
 
 def labels(starts: np.ndarray, ends: np.ndarray, base: list) -> np.ndarray:
@@ -269,7 +285,78 @@ def _samples(batches, share: float):
         yield table(_SAMPLE, out)
 
 
+# ---- made-up secrets and what looks like them
+
+_BASE62 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+
+
+def made_up(rng: np.random.Generator) -> bytes:
+    """A random string of one of the looks that keys and passwords have."""
+    draw = lambda letters, n: "".join(rng.choice(list(letters), int(n)))
+    n = rng.integers(16, 49)
+    look = rng.integers(0, 8)
+    if look == 0:
+        out = draw(_BASE62, n)
+    elif look == 1:
+        out = draw(_BASE62 + "-_", n)
+    elif look == 2:
+        out = draw(_BASE62 + "+/", 4 * (n // 4)) + "=" * int(rng.integers(0, 3))
+    elif look == 3:
+        out = draw("0123456789abcdef", rng.integers(16, 24))
+    elif look == 4:
+        out = draw("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", n)
+    elif look == 5:
+        out = draw("abcdefghijklmnopqrstuvwxyz", rng.integers(2, 5)) + "_-"[int(rng.integers(0, 2))] + draw(_BASE62, n)
+    elif look == 6:
+        out = "-".join(draw("ABCDEFGHJKLMNPQRSTUVWXYZ0123456789", 5) for _ in range(int(rng.integers(3, 6))))
+    else:
+        out = draw("abcdefghijklmnopqrstuvwxyz0123456789", n)
+    return out.encode()
+
+
+def harmless(rng: np.random.Generator, words: list[bytes]) -> bytes:
+    """What is no secret and may look like one: numbers, dates, versions, addresses, names of words from the text."""
+    n = lambda a, b: str(int(rng.integers(a, b)))
+    word = lambda: words[int(rng.integers(0, len(words)))].decode("utf-8", "ignore") if words else "word"
+    look = rng.integers(0, 8)
+    if look == 0:
+        out = n(10**6, 10**15)
+    elif look == 1:
+        out = f"{n(1970, 2040)}-{n(10, 13)}-{n(10, 29)}T{n(10, 24)}.{n(10, 60)}"
+    elif look == 2:
+        out = f"v{n(0, 30)}.{n(0, 99)}.{n(0, 999)}"
+    elif look == 3:
+        step = lambda: [word(), word()[:2], n(1, 9999), f"{word()}-{word()}", f"{word()}_{word()[:1]}"][int(rng.integers(0, 5))]
+        out = ["https://www.", "//", "/", "www."][int(rng.integers(0, 4))] + f"{word()}.{word()[:3]}/" + "/".join(step() for _ in range(int(rng.integers(1, 6)))) + ["", ".html", "/"][int(rng.integers(0, 3))]
+    elif look == 4:
+        out = "_".join(word() for _ in range(int(rng.integers(2, 5))))
+    elif look == 5:
+        out = "".join(word().capitalize() for _ in range(int(rng.integers(2, 4)))) + n(1, 99)
+    elif look == 6:
+        out = "-".join(word() for _ in range(int(rng.integers(2, 4))))
+    else:
+        out = f"+{n(1, 99)}-{n(100, 999)}-{n(1000, 9999)}-{n(100, 999)}"
+    return out.encode()
+
+
+def _planted(rng: np.random.Generator, t: list[bytes], tight: list[bool], y: list[int], file: list[str]) -> tuple:
+    """The piece with a made-up string between two of its tokens; three tokens stand before it and one after."""
+    at = int(rng.integers(3, len(t)))
+    secret = rng.random() < 0.6
+    own = _TOKENS.findall(made_up(rng) if secret else harmless(rng, [w for w in t if w.isalpha() and len(w) > 2]))
+    marks = [B, *[I] * (len(own) - 1)] if secret else [O] * len(own)
+    k = at - 3
+    beside = list(tight)
+    beside[k : k + 1] = [False, *[True] * (len(own) - 1), False]
+    return [*t[:at], *own, *t[at:]], beside, [*y[:k], *marks, *y[k:]], file
+
+
+#: Total weight of the copies, beside all others.
+COPIES = 0.1
+
+
 def train(docs: DataFrame, limit: int = TRAIN_RUNS) -> Field | None:
+    scratch = Scratch(docs.sparkSession)
     n, size = docs.agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))).first()
     part = min(1.0, TRAIN_DOCS / max(1, n))
     cut = min(int(-(2**63) + part * 2**64), 2**63 - 1)
@@ -277,19 +364,35 @@ def train(docs: DataFrame, limit: int = TRAIN_RUNS) -> Field | None:
     # about three times the pieces wanted, at eight bytes a token
     share = min(1.0, 3 * limit * PIECE * 8 / max(1, part * (size or 0)))
     found = chosen.select("doc_id", "text").mapInArrow(lambda b: _samples(b, share), "labelled boolean, rank double, tokens array<binary>, tight array<boolean>, y array<long>, file array<string>")
-    data, weights = [], []
+    found = scratch.save(found, "pieces")
+    data, weights, copies = [], [], []
     own, near = functools.cache(own_features), functools.cache(lambda t: [sys.intern(f) for f in near_features(t)])
+
+    def features(t, tight, file, without=lambda w: False):
+        said = lambda w, k: [] if without(w) else [near(w)[k]]
+        return [[*own(t[k]), *said(t[k - 1], 0), *said(t[k - 2], 1), *said(t[k - 3], 2), *said(t[k + 1], 3), *tight_features(*tight[k - 3 : k - 1]), *file] for k in range(3, len(t) - 1)]
+
+    keyword = lambda w: any(k in w.lower() for k in _KEYWORDS)
     for labelled in (True, False):
-        sample = found.where(F.col("labelled") == labelled).orderBy("rank", F.to_json(F.struct("tokens"))).limit(limit // 2).collect()
-        reached = sample[-1]["rank"] if sample and len(sample) == limit // 2 else 1.0
+        sample = found.where(F.col("labelled") == labelled).orderBy("rank", F.to_json(F.struct("tokens"))).limit(limit // 4).collect()
+        reached = sample[-1]["rank"] if sample and len(sample) == limit // 4 else 1.0
         if labelled and not sample:
-            return None
+            break
         for r in sample:
-            t, file = list(map(bytes, r["tokens"])), list(map(sys.intern, r["file"]))
-            run = [[*own(t[k]), near(t[k - 1])[0], near(t[k - 2])[1], near(t[k - 3])[2], near(t[k + 1])[3], *map(sys.intern, tight_features(*r["tight"][k - 3 : k - 1])), *file] for k in range(3, len(t) - 1)]
-            data.append((run, list(r["y"])))
+            t, tight, y, file = list(map(bytes, r["tokens"])), list(r["tight"]), list(r["y"]), list(map(sys.intern, r["file"]))
+            data.append((features(t, tight, file), y))
             weights.append(1 / max(reached, 1e-9) / (1 if labelled else share))
-    return Field.fit(data, weights=weights)
+            if labelled:
+                if all(candidates(w) for w, k in zip(t[3:], y) if k == B):
+                    copies.append((features(t, tight, [f for f in file if not f.startswith("file-key")], keyword), y))
+            else:
+                t, tight, y, file = _planted(np.random.default_rng(int(_share(repr(t)) * 2**53)), t, tight, y, file)
+                copies.append((features(t, tight, file), y))
+    scratch.drop("pieces")
+    if not data:
+        return None
+    own_weight = COPIES * sum(weights) / max(1, len(copies))
+    return Field.fit(data + copies, weights=weights + [own_weight] * len(copies))
 
 
 class Tagger(dict):
@@ -310,9 +413,9 @@ class Tagger(dict):
         self.near = np.zeros((len(self.words) + 1, 4, 2))
         for word, k in self.words.items():
             self.near[k] = [self._sum([f]) for f in near_features(word)]
-        self.edge = self.near[self.words.get(b"", 0)]
         self.looks: dict[tuple, int] = {}
         self.own = np.zeros((1024, 2))
+        self[b""] = self.words.get(b"", 0)  # beyond a text; scored as a neighbour only
 
     def _sum(self, found: list[str]) -> np.ndarray:
         at = [self.field.index[f] for f in found if f in self.field.index]
@@ -330,51 +433,92 @@ class Tagger(dict):
         out = self[token] = at << 32 | self.words.get(_word(token), 0)
         return out
 
-    def relative(self, text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The scores of begin and inside against outside of each token, and its start and end."""
+    def relative(self, texts: list[bytes]) -> tuple[np.ndarray, list[tuple[int, int]], list]:
+        """The scores of begin and inside against outside of all tokens; of each text, where its tokens are, and their places.
+
+        The texts stand side by side, with three empty tokens before each and one after the last.
+        """
         if len(self) > CACHE:
             self.clear()
             self.looks.clear()
-        own, starts, ends = tokens(text)
-        at = np.fromiter(map(self.__getitem__, own), np.int64, len(own))
+            self[b""] = self.words.get(b"", 0)
+        every, spans, where, n = [], [], [], 0
+        gap = [b""] * 3
+        for text in texts:
+            own = _TOKENS.findall(text)
+            every += gap
+            every += own
+            spans.append((n + 3, n + 3 + len(own)))
+            where.append(places(text))
+            n += 3 + len(own)
+        every.append(b"")
+        at = np.fromiter(map(self.__getitem__, every), np.int64, len(every))
         near = self.near[at & 0xFFFFFFFF]
-        s = self.own[at >> 32] + self._sum(file_features(text))
+        s = self.own[at >> 32]
         for k in (1, 2, 3):
-            s[k:] += near[: max(0, len(at) - k), k - 1]
-            s[:k] += self.edge[k - 1]
+            s[k:] += near[:-k, k - 1]
         s[:-1] += near[1:, 3]
-        s[-1:] += self.edge[3]
-        tight = np.r_[False, starts[1:] == ends[:-1], False].astype(int)
-        s += self.tight[0][tight[: len(own)]] + self.tight[1][tight[1 : len(own) + 1]]
-        return s, starts, ends
+        tight = np.zeros(len(every) + 1, np.int64)  # whether a token touches the one before it
+        for (a, b), (starts, ends) in zip(spans, where):
+            tight[a + 1 : b] = starts[1:] == ends[:-1]
+        s += self.tight[0][tight[:-1]] + self.tight[1][tight[1:]]
+        s += np.repeat([self._sum(file_features(text)) for text in [*texts, b""]], [b - a + 3 for a, b in spans] + [1], axis=0)
+        return s, spans, where
 
     def stretches(self, s: np.ndarray) -> list[tuple[int, int]]:
         """Stretches beyond which no token is in a block whose bound reaches that of staying outside."""
         bound = (s + self.move).max(axis=1)
+        if not len(bound) or bound.max() < -1e-6:
+            return []
         total = np.cumsum(bound)
-        left = total - np.minimum.accumulate(np.r_[0, total[:-1]])  # best sum that ends here
-        right = np.maximum.accumulate(total[::-1])[::-1] - np.r_[0, total[:-1]]  # best sum that starts here
-        open_ = np.r_[False, left + right - bound >= -1e-6, False]
+        left = total - np.minimum.accumulate(np.concatenate([[0], total[:-1]]))  # best sum that ends here
+        right = np.maximum.accumulate(total[::-1])[::-1] - np.concatenate([[0], total[:-1]])  # best sum that starts here
+        open_ = np.concatenate([[False], left + right - bound >= -1e-6, [False]])
         edges = np.flatnonzero(open_[1:] != open_[:-1])
         return list(zip(edges[::2].tolist(), edges[1::2].tolist()))
 
-    def spans(self, text: bytes) -> list[list[int]]:
-        s, starts, ends = self.relative(text)
-        out: list[list[int]] = []
-        for a, b in self.stretches(s) if len(s) else []:
-            for k, label in enumerate(self.field.decode(np.c_[s[a:b], np.zeros(b - a)]), a):
-                if label == B:
-                    out.append([int(starts[k]), int(ends[k])])
-                elif label == I:
-                    out[-1][1] = int(ends[k])
+    def spans(self, texts: list[bytes]) -> list[list[list[int]]]:
+        """Of each text the spans of its secrets."""
+        s, spans, where = self.relative(texts)
+        best, out = (s + self.move).max(axis=1), []
+        for (first, last), (starts, ends) in zip(spans, where):
+            found: list[list[int]] = []
+            if last > first and best[first:last].max() >= -1e-6:
+                own = s[first:last]
+                for a, b in self.stretches(own):
+                    for k, label in enumerate(self.field.decode(np.c_[own[a:b], np.zeros(b - a)]), a):
+                        if label == B:
+                            found.append([int(starts[k]), int(ends[k])])
+                        elif label == I:
+                            found[-1][1] = int(ends[k])
+            out.append(found)
         return out
 
 
 def scan(text: bytes, field: Field | Tagger | None) -> tuple:
-    base = base_spans(text)
-    own = []
-    if field is not None:
-        found = (field if isinstance(field, Tagger) else Tagger(field)).spans(text)
+    return next(scans([text], field))
+
+
+#: Bytes tagged together.
+GROUP = 1 << 17
+
+
+def scans(texts: Iterable[bytes], field: Field | Tagger | None) -> Iterator[tuple]:
+    """n_assign, n_access, n_hex, base_sha256, spans, n_crf of each text, tagged side by side."""
+    tagger = Tagger(field) if isinstance(field, Field) else field
+    group, size = [], 0
+    for text in texts:
+        group.append(text)
+        size += len(text)
+        if size >= GROUP:
+            yield from map(_scanned, group, tagger.spans(group) if tagger is not None else [()] * len(group))
+            group, size = [], 0
+    yield from map(_scanned, group, tagger.spans(group) if tagger is not None and group else [()] * len(group))
+
+
+def _scanned(text: bytes, found: list[list[int]]) -> tuple:
+    base, own = base_spans(text), []
+    if found:
         # base spans by start: of those that start before a span's end, the farthest end
         starts, reach = [s for s, *_ in base], list(accumulate((e for _, _, e, _ in base), max))
         own = [(a, "crf", b, a) for a, b in found if not ((k := bisect_left(starts, b)) and reach[k - 1] > a)]
@@ -397,7 +541,10 @@ def scan_secrets(docs: DataFrame, field: Field | None = None) -> DataFrame:
     def run(batches):
         own = sent.value and Tagger(sent.value)
         for batch in batches:
-            yield table(schema, [(doc_id, *scan(text or b"", own)) for doc_id, text in rows(batch, "text")])
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                texts = (text or b"" for text in part.column(1).cast(pa.binary()).to_pylist())
+                yield table(schema, [(doc_id, *found) for doc_id, found in zip(part.column(0).to_pylist(), scans(texts, own))])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_crf long")
 
