@@ -42,6 +42,37 @@ def test_exact_hot_class_is_salted(spark):
     assert sum(r["kept"] for r in got) == 2 and {r["group_size"] for r in got} == {2500, 1}
 
 
+def test_hot_keys_are_not_shuffled(spark, monkeypatch):
+    """A class of half the rows meets its row by a broadcast of few keys; its texts are compared in each task first."""
+    monkeypatch.setattr(common, "HOT_ROWS", 50)
+    rows = [(i, "same text" + " " * (i % 2), "en", "x") for i in range(2000)] + [(5000 + i, prose(i, 5), "en", "x") for i in range(2000)]
+    docs = table(spark, rows).repartition(4)
+    classes = spark.createDataFrame([(1, 2000), (2, 60), (3, 1)], "k int, members long")
+    assert [r["k"] for r in classes.where(common.hot(classes, "members", 4000)).collect()] == [1, 2]
+    keyed = spark.range(2061).select(F.when(F.col("id") < 2000, 1).when(F.col("id") < 2060, 2).otherwise(3).alias("k"))
+    joined = common.with_key(keyed, classes, "k", "members", 2061)
+    assert Counter(r["members"] for r in joined.collect()) == {2000: 2000, 60: 60, 1: 1}
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastHashJoin") >= 2
+    got = exact_dedup.exact_dedup(docs)
+    assert Counter(tuple(r) for r in got.collect()) == plain_classes(rows)
+    found = common.Scratch(spark)
+    digests = found.save(exact_dedup.digests(docs), "digests")
+    classes = found.save(exact_dedup._grouped(digests), "classes")
+    assert exact_dedup._mixed(found, docs, common.with_key(digests, classes, "key", "members", 4000), classes, 4000, 32).isEmpty()
+    spans = spark.read.parquet(f"{found.base}/spans")
+    hot = classes.where("members > 50").join(spans, "key")
+    assert 1 <= hot.count() <= 4  # one row for each task that read copies
+
+
+def test_repeated_rows_of_one_class(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 5)
+    rows = [(7, "same text", "en", "x")] * 40 + [(None, "no id", "en", "x")] * 20 + [(8, "same text", "en", "x")]
+    for digest_len in (32, 0):
+        got = exact_dedup.exact_dedup(table(spark, rows), digest_len=digest_len).collect()
+        assert Counter(tuple(r) for r in got) == plain_classes(rows)
+
+
 def test_exact_empty_and_clashing_columns(spark):
     empty = table(spark, [])
     assert exact_dedup.exact_dedup(empty).count() == 0 and exact_dedup.drop_duplicates(empty).count() == 0

@@ -136,3 +136,23 @@ def parted(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
 def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The documents whose doc_id is none of the ids."""
     return parted(docs, ids)[1]
+
+
+#: A key of more rows than one in HOT_KEYS (and HOT_ROWS at least) is hot: there are at most HOT_KEYS of them.
+HOT_KEYS, HOT_ROWS = 10_000, 1_000
+
+
+def hot(per_key: DataFrame, members: str, total: int):
+    """Condition for the hot keys of a table with a row and the number of members of each key, `total` in all."""
+    return F.col(members) > max(HOT_ROWS, total // HOT_KEYS)
+
+
+def with_key(rows_: DataFrame, per_key: DataFrame, key: str, members: str, total: int) -> DataFrame:
+    """rows_ beside what the table has of their key; every row has a key there.
+
+    The hot keys, fewer than HOT_KEYS rows, are broadcast; the others are joined by a shuffle in which none is large.
+    """
+    large = hot(per_key, members, total)
+    split = F.broadcast(per_key.where(large))
+    cold = rows_.join(split.select(key), key, "left_anti").join(per_key.where(~large), key)
+    return rows_.join(split, key).unionByName(cold)

@@ -3,17 +3,19 @@
 A snapshot holds one row per class of equal texts and, per bucket of the digest space, a static binary-fuse filter.
 Incoming rows are first grouped among themselves by digest (new-batch duplicates; a hot text becomes one row before
 anything is shuffled by bucket), then screened by the filter of their bucket. What the filter rejects is new. What
-it lets through joins the snapshot's exact bucket, and the bytes of all texts that share a digest are compared.
+it lets through joins the snapshot's exact bucket, and the bytes of all texts that share a digest are compared: within
+each task, then for each class (a hot class in up to SALTS parts first), so that copies of a text are not shuffled.
 
 Texts are equal when identical after deleting [\\x20\\x09-\\x0D]; null counts as empty. Of equal texts the row with the
 most code points in the original text stays, then the one with the smallest doc_id (null last); of fully repeated
-rows exactly one. Other columns are ignored. An empty table gives an empty result.
+rows exactly one. Texts of any length are compared whole. Other columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
 from dataclasses import dataclass
+from decimal import Decimal
 
 import numpy as np
 import pandas as pd
@@ -21,10 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPACES, Scratch, code_points, columns, documents, fresh, null_safe, parted, rows, screened, table, without
+from .common import SPACES, Scratch, code_points, columns, documents, fresh, hot, null_safe, parted, rows, screened, table, with_key, without
 
-#: Snapshot keys in one filter, and rows of one class compared in one task.
-BUCKET_KEYS, SALT_ROWS = 65_536, 1_000
+#: Snapshot keys in one filter, and parts in which the texts of a hot class are compared.
+BUCKET_KEYS, SALTS = 65_536, 256
 
 
 # ---- static binary-fuse filter (3-wise, 16-bit fingerprints), vectorised over keys
@@ -125,8 +127,13 @@ def digests(docs: DataFrame, digest_len: int = 32) -> DataFrame:
 
 def _grouped(df: DataFrame) -> DataFrame:
     """One row per key: members and the row that stays."""
-    best = F.min(F.struct((-F.col("n_cp")).alias("neg"), F.col("doc_id").isNull().alias("no_id"), "doc_id"))
-    return df.groupBy("key").agg(F.count(F.lit(1)).alias("members"), best.alias("best")).select("key", "members", "best")
+    # the longest text, then the smallest doc_id, then none, as one number: so that groups are hashed and not sorted
+    whole = lambda c: c.cast("decimal(38,0)")
+    order = F.when(F.col("doc_id").isNull(), F.lit(Decimal(1 << 65))).otherwise(whole(F.col("doc_id")))
+    order = whole(order) - whole(F.col("n_cp").cast("decimal(12,0)") * F.lit(Decimal(1 << 67)))
+    grouped = df.withColumn("order", whole(order)).groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.max("n_cp").alias("n"), F.min_by("doc_id", "order").alias("id"))
+    best = F.struct((-F.col("n")).alias("neg"), F.col("id").isNull().alias("no_id"), F.col("id").alias("doc_id"))
+    return grouped.select("key", "members", best.alias("best"))
 
 
 # ---- snapshots
@@ -190,20 +197,23 @@ def ingest(scratch: Scratch, snapshot: Snapshot, incoming: DataFrame) -> DataFra
     return merged.unionByName(flags.where("not hit").select("key", "members", "best")).unionByName(kept)
 
 
-def _unequal(scratch: Scratch, docs: DataFrame, rows_: DataFrame, classes: DataFrame, digest_len: int) -> DataFrame:
-    """Byte check: the rows whose text differs from that of their class's best row, with their bytes."""
-    multi = classes.where("members > 1").select("key", "members", "best")
-    ids = scratch.save(rows_.join(multi.select("key"), "key", "left_semi").select("doc_id").distinct(), "multi_ids")
-    texts, _ = screened(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ids)
-    texts = texts.join(ids, texts["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi")
-    bodies = texts.mapInArrow(_digest(digest_len, True), "doc_id long, key binary, n_cp long, body binary")
-    bodies = scratch.save(bodies.join(multi, "key"), "bodies")
-    salts = F.ceil(F.col("members") / SALT_ROWS).cast("int")
-    is_best = (F.col("n_cp") == -F.col("best.neg")) & F.col("doc_id").eqNullSafe(F.col("best.doc_id"))
-    best = bodies.where(is_best).groupBy("key", "members").agg(F.min("body").alias("best_body"))
-    best = best.select("key", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), "best_body")
-    salted = bodies.withColumn("salt", F.pmod(F.xxhash64("doc_id", "n_cp"), salts).cast("int"))
-    return salted.join(best, ["key", "salt"]).where("body <> best_body").select("doc_id", "key", "n_cp", F.unhex(F.sha2("body", 256)).alias("sha"), "body")
+def _bodies(docs: DataFrame, ids: DataFrame, digest_len: int) -> DataFrame:
+    """doc_id, key, n_cp, body of the documents that may have one of the ids."""
+    maybe, _ = screened(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ids)
+    return maybe.mapInArrow(_digest(digest_len, True), "doc_id long, key binary, n_cp long, body binary")
+
+
+def _mixed(scratch: Scratch, docs: DataFrame, classed: DataFrame, classes: DataFrame, total: int, digest_len: int) -> DataFrame:
+    """Byte check: the keys whose texts are not all the same."""
+    ids = scratch.save(classed.where("members > 1").select("doc_id").distinct(), "multi_ids")
+    large = classes.where(hot(classes, "members", total)).select("key")
+    bodies = _bodies(docs, ids, digest_len).withColumn("part", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
+    bodies = bodies.join(F.broadcast(large.withColumn("hot", F.lit(True))), "key", "left").withColumn("part", F.when(F.col("hot"), F.col("part")).otherwise(0))
+    # all texts of a class are the same if the least is the greatest; copies within a task go into one row before the shuffle
+    spans = scratch.save(bodies.groupBy("key", "part").agg(F.min("body").alias("least"), F.max("body").alias("most")), "spans")
+    several = spans.join(F.broadcast(large), "key").groupBy("key").agg(F.min("least").alias("least"), F.max("most").alias("most"))
+    found = spans.select("key", "least", "most").unionByName(several).where("least <> most").select("key").distinct()
+    return scratch.save(found, "mixed")
 
 
 def exact_dedup(docs: DataFrame, in_snapshot=None, digest_len: int = 32) -> DataFrame:
@@ -212,32 +222,36 @@ def exact_dedup(docs: DataFrame, in_snapshot=None, digest_len: int = 32) -> Data
     in_snapshot: a condition on doc_id; its rows were there before (the snapshot), the others come in as a new batch.
     digest_len: bytes of SHA-256 that classes go by. Short ones collide; the byte check then tells texts apart.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark)
+    scratch = Scratch(docs.sparkSession)
     in_snapshot = F.col("doc_id") % 2 == 0 if in_snapshot is None else in_snapshot
-    all_rows = scratch.save(digests(docs, digest_len), "digests")
+    all_rows = scratch.save(digests(docs, digest_len).withColumn("uid", F.monotonically_increasing_id()), "digests")
+    total = all_rows.count()
     old = F.coalesce(in_snapshot, F.lit(False))
     snapshot = build_snapshot(scratch, all_rows.where(old))
     classes = scratch.save(ingest(scratch, snapshot, all_rows.where(~old)), "classes")
-    unequal = scratch.save(_unequal(scratch, docs, all_rows, classes, digest_len), "unequal")
-    scratch.drop("bodies", "multi_ids", "incoming", "screened", "filters", "snapshot")
-    again = Window.partitionBy("key", "doc_id", "n_cp").orderBy("sha")
-    numbered = all_rows.withColumn("nth", F.row_number().over(again))
-    if not unequal.isEmpty():  # texts that share a digest: classes by all bytes
-        bad = unequal.distinct()
-        same = null_safe(all_rows, bad, ["doc_id", "key", "n_cp", "sha"])
-        numbered = all_rows.join(bad, same, "left").select(all_rows["doc_id"], F.struct(all_rows["key"], "body").alias("key"), all_rows["n_cp"], all_rows["sha"])
-        numbered = scratch.save(numbered, "regrouped")
-        classes = _grouped(numbered)
-        numbered = numbered.withColumn("nth", F.row_number().over(again))
-    joined = numbered.join(classes, "key")
-    return joined.select(
-        "doc_id",
-        F.col("best.doc_id").alias("keep_id"),
-        F.col("members").alias("group_size"),
-        (F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("n_cp") == -F.col("best.neg")) & (F.col("nth") == 1)).alias("kept"),
-        F.lower(F.hex("sha")).alias("text_sha256"),
-    )
+    scratch.drop("incoming", "screened", "filters", "snapshot")
+    classed = scratch.save(with_key(all_rows, classes, "key", "members", total), "classed")
+    mixed = _mixed(scratch, docs, classed, classes, total, digest_len)
+    if not mixed.isEmpty():  # texts that share a digest: classes by all bytes
+        ids = scratch.save(all_rows.join(mixed, "key", "left_semi").select("doc_id").distinct(), "mixed_ids")
+        bodies = _bodies(docs, ids, digest_len).join(mixed, "key", "left_semi")
+        bodies = scratch.save(bodies.withColumn("sha", F.unhex(F.sha2("body", 256))).distinct(), "bodies")
+        same = null_safe(all_rows, bodies, ["doc_id", "key", "n_cp", "sha"])
+        whole = F.struct(all_rows["key"], F.coalesce("body", F.lit(b"")).alias("body")).alias("key")
+        all_rows = scratch.save(all_rows.join(bodies, same, "left").select(all_rows["doc_id"], whole, all_rows["n_cp"], all_rows["sha"], all_rows["uid"]), "regrouped")
+        classes = scratch.save(_grouped(all_rows), "regrouped_classes")
+        classed = scratch.save(with_key(all_rows, classes, "key", "members", total), "reclassed")
+    scratch.drop("multi_ids", "spans", "mixed_ids", "bodies")
+    best = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("n_cp") == -F.col("best.neg"))
+    classed = classed.withColumn("kept", best)
+    # of fully repeated rows the first stays
+    firsts = classed.where("kept").groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("uid").alias("first"))
+    repeated = scratch.save(firsts.where("n > 1"), "repeated")
+    if not repeated.isEmpty():
+        chosen = with_key(classed.where("kept"), scratch.save(firsts, "firsts"), "key", "n", total)
+        chosen = chosen.withColumn("kept", F.col("uid") == F.col("first")).select(classed.columns)
+        classed = classed.where("NOT kept").unionByName(chosen)
+    return classed.select("doc_id", F.col("best.doc_id").alias("keep_id"), F.col("members").alias("group_size"), "kept", F.lower(F.hex("sha")).alias("text_sha256"))
 
 
 def drop_duplicates(docs: DataFrame) -> DataFrame:
