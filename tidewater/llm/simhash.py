@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, columns, documents, fresh, parted, rows, table, without
+from .common import Scratch, columns, documents, fresh, parted, rows, table, with_key, without
 
 SHINGLE, SEED, MAX_BITS, TILE = 4, 42, 4, 4096
 MIN_SHARED = 8 - MAX_BITS
@@ -173,13 +173,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint, component_id of every document."""
     scratch = Scratch(docs.sparkSession)
     prints = scratch.save(fingerprints(docs), "prints")
-    distinct = scratch.save(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
+    distinct = scratch.save(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("members")), "distinct")
     roots = components(scratch, links(scratch, distinct))
     rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp").select("fp", "root", "first_id")
     ids = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     found = scratch.save(rooted.join(ids, "root").select("fp", "component_id"), "found")
-    named = distinct.join(found, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id"))
-    return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = distinct.join(found, "fp", "left").select("fp", "members", F.coalesce("component_id", "first_id").alias("component_id"))
+    named = scratch.save(named, "named")
+    scratch.drop("distinct", "found")
+    return with_key(prints, named, "fp", "members", prints.count()).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
