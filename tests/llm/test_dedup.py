@@ -186,8 +186,9 @@ def test_query_equals_plain(spark):
     assert Counter(tuple(r) for r in simhash.op9_simhash(spark, SF).collect()) == want
 
 
-def test_links_join_what_all_pairs_join(spark, monkeypatch):
-    """Dense clouds of fingerprints, so that lists are cut into tiles."""
+@pytest.mark.parametrize("width", [1, 2, 3, 4])
+def test_links_join_what_all_pairs_join(spark, monkeypatch, width):
+    """Dense clouds of fingerprints, so that lists are cut into tiles; every width of the index gives the same."""
     monkeypatch.setattr(simhash, "TILE", 16)
     rng = np.random.default_rng(3)
     fps = set()
@@ -199,7 +200,7 @@ def test_links_join_what_all_pairs_join(spark, monkeypatch):
             fps.add(x)
     distinct = spark.createDataFrame([(simhash._signed(f), i) for i, f in enumerate(sorted(fps))], "fp long, first_id long")
     scratch = common.Scratch(spark)
-    roots = simhash.components(scratch, simhash.links(scratch, distinct)).collect()
+    roots = simhash.components(scratch, simhash.links(scratch, distinct, width)).collect()
     of = {r["node"] & (2**64 - 1): r["root"] for r in roots}
     want = plain_components([(i, f) for i, f in enumerate(sorted(fps))])
     by_id = {i: c for i, _, c in want}
@@ -217,11 +218,13 @@ def test_long_chains(spark):
     assert len({roots[i] for i in range(61)}) == 1 and roots[100] == roots[101] != roots[0]
 
 
-def test_cover():
+@pytest.mark.parametrize("width, n", [(1, 5), (2, 7), (3, 20), (4, 70)])
+def test_cover(width, n):
     from itertools import combinations
 
-    assert len(simhash.COVER) == 20
-    assert all(any(set(t) <= set(four) for t in simhash.COVER) for four in combinations(range(8), 4))
+    sets = simhash.cover(width)
+    assert len(sets) == n and all(len(t) == width for t in sets)
+    assert all(any(set(t) <= set(four) for t in sets) for four in combinations(range(8), 4))
 
 
 def test_near_drop(spark):

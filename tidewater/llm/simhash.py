@@ -1,10 +1,11 @@
 """Operator 9: SimHash near-dedup over a byte-position inverted index with count filtering.
 
 A fingerprint is 64 majority bits of the XXH64 values of a text's 4-word shingles. Two fingerprints that differ in at
-most 4 bits share at least 8 - 4 = 4 of their 8 positional bytes. A posting list per single (position, byte) would hold
-1/256 of all fingerprints, so postings are kept by three positions at once: the COVER of 20 triples has one inside
-every set of four positions, so each such pair meets in at least one list. In a list, the shared positional bytes of a
-pair are tallied, pairs that reach the minimum are retained and their bits compared.
+most 4 bits share at least 8 - 4 = 4 of their 8 positional bytes. The index has a posting list for each value of `width`
+byte positions together: for each set of a cover, some set of which lies inside every four positions, so that each such
+pair meets in at least one list. In a list the shared positional bytes of each pair are tallied, pairs that reach the
+minimum are retained and their bits compared. Every width gives the same links: 1 has five lists a fingerprint, each of
+1/256 of all, 2 has seven of 1/65,536, 3 (WIDTH) has 20 of 1/2**24, 4 has 70 of 1/2**32.
 
 Equal fingerprints are one entry. A list of over TILE entries is cut into blocks that meet two at a time in tiles, so
 that no task holds more than two blocks; a tile gives a spanning forest of its links, not all pairs. Links become
@@ -27,20 +28,21 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, columns, documents, fresh, parted, rows, table, with_key, without
 
-SHINGLE, SEED, MAX_BITS, TILE = 4, 42, 4, 4096
+SHINGLE, SEED, MAX_BITS, TILE, WIDTH = 4, 42, 4, 4096, 3
 MIN_SHARED = 8 - MAX_BITS
 #: Shingles hashed at once.
 BLOCK = 1 << 16
 
 
-def _cover() -> list[tuple[int, int, int]]:
-    """20 triples of 0..7, one inside every four: the positions in three parts, triples inside a part or two and one of the next."""
-    part = [i % 3 for i in range(8)]
-    wanted = {(0, 0, 0), (1, 1, 1), (2, 2, 2), (0, 0, 1), (1, 1, 2), (0, 2, 2)}
-    return [t for t in combinations(range(8), 3) if tuple(sorted(part[i] for i in t)) in wanted]
-
-
-COVER = _cover()
+def cover(width: int) -> list[tuple[int, ...]]:
+    """Sets of `width` of the positions 0..7, one inside every four positions, as few as there can be."""
+    if width == 3:  # positions in three parts: triples inside a part, or two and one of the next
+        part = [i % 3 for i in range(8)]
+        wanted = {(0, 0, 0), (1, 1, 1), (2, 2, 2), (0, 0, 1), (1, 1, 2), (0, 2, 2)}
+        return [t for t in combinations(range(8), 3) if tuple(sorted(part[i] for i in t)) in wanted]
+    if width == 2:  # of four positions two are in the same of three parts
+        return [t for t in combinations(range(8), 2) if t[0] % 3 == t[1] % 3]
+    return list(combinations(range(8), 4)) if width == 4 else [(i,) for i in range(5)]
 
 
 def fingerprint(text: bytes | None) -> int:
@@ -77,11 +79,15 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 # ---- links
 
 
-def _postings(distinct: DataFrame) -> DataFrame:
-    """fp under each of its COVER keys: 5 bits for the triple, 24 for its bytes."""
-    byte = lambda i: F.shiftright("fp", 8 * i).bitwiseAND(F.lit(255))
-    keys = [(F.lit(t << 24) + F.shiftleft(byte(i), 16) + F.shiftleft(byte(j), 8) + byte(k)).cast("int") for t, (i, j, k) in enumerate(COVER)]
-    return distinct.select(F.explode(F.array(*keys)).alias("key"), "fp")
+def _postings(distinct: DataFrame, width: int) -> DataFrame:
+    """fp under the keys of its lists: the set of the cover, then its bytes."""
+    def key(number: int, positions: tuple[int, ...]):
+        out = F.lit(number).cast("long")
+        for i in positions:
+            out = F.shiftleft(out, 8) + F.shiftright("fp", 8 * i).bitwiseAND(F.lit(255))
+        return out
+
+    return distinct.select(F.explode(F.array(*(key(*x) for x in enumerate(cover(width))))).alias("key"), "fp")
 
 
 _LOW = np.uint64(0x7F7F7F7F7F7F7F7F)
@@ -111,40 +117,37 @@ def spanning_links(fps: np.ndarray) -> list[tuple[int, int]]:
 def _linked(batches):
     """Rows come sorted by list and tile."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    rest = np.empty(0, np.int64), np.empty(0, np.int64)
+    rest = np.empty((3, 0), np.int64)
 
-    def groups(key, fp, ends):
+    def groups(own, ends):
         found = []
-        cuts = np.flatnonzero(np.diff(key)) + 1
-        starts, stops = np.r_[0, cuts], np.r_[cuts, len(key)]
+        cuts = np.flatnonzero((own[0, 1:] != own[0, :-1]) | (own[1, 1:] != own[1, :-1])) + 1
+        starts, stops = np.r_[0, cuts], np.r_[cuts, own.shape[1]]
         for s, e in zip(starts[stops - starts > 1], stops[stops - starts > 1]):
-            if e < len(key) or ends:
-                found += spanning_links(np.unique(fp[s:e]).view(np.uint64))
+            if e < own.shape[1] or ends:
+                found += spanning_links(np.unique(own[2, s:e]).view(np.uint64))
         return table(schema, [(_signed(a), _signed(b)) for a, b in found]), (cuts[-1] if len(cuts) else 0)
 
     for batch in batches:
-        key = np.concatenate([rest[0], batch.column(0).to_numpy(zero_copy_only=False)])
-        fp = np.concatenate([rest[1], batch.column(1).to_numpy(zero_copy_only=False)])
-        if len(key):
-            out, last = groups(key, fp, False)
-            rest = key[last:], fp[last:]
+        own = np.concatenate([rest, [batch.column(k).to_numpy(zero_copy_only=False) for k in range(3)]], axis=1)
+        if own.shape[1]:
+            out, last = groups(own, False)
+            rest = own[:, last:]
             yield out
-    if len(rest[0]):
-        yield groups(*rest, True)[0]
+    if rest.shape[1]:
+        yield groups(rest, True)[0]
 
 
-def links(scratch: Scratch, distinct: DataFrame) -> DataFrame:
+def links(scratch: Scratch, distinct: DataFrame, width: int = WIDTH) -> DataFrame:
     """a, b: linked fingerprints, enough of them to join every component."""
-    postings = _postings(distinct)
+    postings = _postings(distinct, width)
     large = postings.groupBy("key").count().where(F.col("count") > TILE).select("key", F.ceil(F.col("count") / TILE).cast("int").alias("blocks"))
     large = scratch.save(large, "large")
     split = postings.join(large, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
-    tiles = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: (F.least(o, own) * F.col("blocks") + F.greatest(o, own)).cast("long"))
+    tiles = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: (F.least(o, own).cast("long") * F.col("blocks") + F.greatest(o, own)).cast("long"))
     split = split.select("key", F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0).cast("long"))).otherwise(tiles)).alias("tile"), "fp")
-    # a list and a tile in one long: lists need 29 bits, tiles 34
-    split = split.select((F.shiftleft(F.col("key").cast("long"), 34) + F.col("tile")).alias("list"), "fp")
-    return split.repartition("list").sortWithinPartitions("list").mapInArrow(_linked, "a long, b long").distinct()
+    return split.repartition("key", "tile").sortWithinPartitions("key", "tile").mapInArrow(_linked, "a long, b long").distinct()
 
 
 def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
@@ -169,12 +172,12 @@ def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
     return roots
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """doc_id, fingerprint, component_id of every document."""
     scratch = Scratch(docs.sparkSession)
     prints = scratch.save(fingerprints(docs), "prints")
     distinct = scratch.save(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("members")), "distinct")
-    roots = components(scratch, links(scratch, distinct))
+    roots = components(scratch, links(scratch, distinct, width))
     rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp").select("fp", "root", "first_id")
     ids = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     found = scratch.save(rooted.join(ids, "root").select("fp", "component_id"), "found")
