@@ -20,7 +20,7 @@ from decimal import Decimal
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import SPACES, Scratch, code_points, columns, documents, fresh, hot, null_safe, parted, rows, screened, table, with_key, without
@@ -269,13 +269,14 @@ def drop_duplicates(docs: DataFrame) -> DataFrame:
     if mixed.isEmpty():
         return without(docs, plain)
     several, rest = parted(docs, mixed)
-    sha, n, nth = (fresh(docs, c) for c in ("__sha", "__n", "__nth"))
+    sha, n, uid = (fresh(docs, c) for c in ("__sha", "__n", "__uid"))
     body = F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), " \t\n\x0b\x0c\r", "")
-    several = several.withColumns({sha: F.sha2(body, 256), n: F.char_length(F.coalesce("text", F.lit("")))})
-    first = several.withColumn(nth, F.row_number().over(Window.partitionBy("doc_id", sha).orderBy(F.col(n).desc()))).where(F.col(nth) == 1)
-    stay = found.where("kept").select("doc_id", "text_sha256").distinct()
-    chosen = first.join(stay, first["doc_id"].eqNullSafe(stay["doc_id"]) & (first[sha] == stay["text_sha256"]), "left_semi")
-    return without(rest, plain).unionByName(chosen.select(columns(docs)))
+    several = several.withColumns({sha: F.sha2(body, 256), n: F.char_length(F.coalesce("text", F.lit(""))), uid: F.monotonically_increasing_id()})
+    several = scratch.save(several, "several")
+    first = several.groupBy(sha, "doc_id").agg(F.max(F.struct(n, (-F.col(uid)).alias("neg")))["neg"].alias("neg"))
+    stay = found.where("kept").select(F.col("doc_id").alias("k_id"), F.col("text_sha256").alias("k_sha"))
+    chosen = first.join(stay, first["doc_id"].eqNullSafe(F.col("k_id")) & (first[sha] == F.col("k_sha")), "left_semi").select((-F.col("neg")).alias(uid))
+    return without(rest, plain).unionByName(several.join(chosen, uid, "left_semi").select(columns(docs)))
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

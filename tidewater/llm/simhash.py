@@ -23,8 +23,9 @@ from itertools import accumulate, combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import Scratch, columns, documents, fresh, parted, rows, table, with_key, without
 
@@ -172,37 +173,67 @@ def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
     return roots
 
 
-def near_duplicates(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, fingerprint, component_id of every document."""
-    scratch = Scratch(docs.sparkSession)
-    prints = scratch.save(fingerprints(docs), "prints")
+def _named(scratch: Scratch, prints: DataFrame, width: int) -> DataFrame:
+    """fp, members, component_id (the smallest doc_id) and root (a fingerprint) of the component of each fingerprint."""
     distinct = scratch.save(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("members")), "distinct")
     roots = components(scratch, links(scratch, distinct, width))
     rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp").select("fp", "root", "first_id")
     ids = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    found = scratch.save(rooted.join(ids, "root").select("fp", "component_id"), "found")
-    named = distinct.join(found, "fp", "left").select("fp", "members", F.coalesce("component_id", "first_id").alias("component_id"))
-    named = scratch.save(named, "named")
+    found = scratch.save(rooted.join(ids, "root").select("fp", "component_id", "root"), "found")
+    named = distinct.join(found, "fp", "left")
+    named = scratch.save(named.select("fp", "members", F.when(F.col("root").isNull(), F.col("first_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("root", "fp").alias("root")), "named")
     scratch.drop("distinct", "found")
+    return named
+
+
+def near_duplicates(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """doc_id, fingerprint, component_id of every document."""
+    scratch = Scratch(docs.sparkSession)
+    prints = scratch.save(fingerprints(docs), "prints")
+    named = _named(scratch, prints, width)
     return with_key(prints, named, "fp", "members", prints.count()).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _with_fingerprint(docs: DataFrame, name: str) -> DataFrame:
+    """docs, all columns, and the fingerprint of the text."""
+    at = docs.columns.index("text")
+    placed = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))  # by place, as names with dots cannot be sent to Arrow
+
+    def run(batches):
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                fps = pa.array([_signed(fingerprint(t)) for t in part.column(at).cast(pa.binary()).to_pylist()], pa.int64())
+                yield pa.RecordBatch.from_arrays([*part.columns, fps], names=[*part.schema.names, "fp"])
+
+    schema = T.StructType([*placed.schema.fields, T.StructField("fp", T.LongType())])
+    return placed.mapInArrow(run, schema).toDF(*docs.columns, name)
+
+
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The documents without the near copies: of each component the row with the smallest doc_id stays.
+    """The documents without the near copies, all columns: of each component one row stays.
 
-    Decisions go by doc_id: of rows that repeat a doc_id, one stays; rows without a doc_id stay.
+    It is the row with the smallest doc_id; of several rows of that doc_id in a component (or, where no row has a doc_id,
+    of all its rows) the one with the least text. Rows that share a doc_id but nothing else are told apart.
     """
     scratch = Scratch(docs.sparkSession)
-    found = scratch.save(near_duplicates(docs), "components")
-    gone = scratch.save(found.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
-    left = without(docs, gone)
-    twice = scratch.save(found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"), "twice")
-    if twice.isEmpty():
-        return left
-    several, single = parted(left, twice)
-    nth = fresh(docs, "__nth")
-    first = several.withColumn(nth, F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last()))).where(F.col(nth) == 1)
-    return single.unionByName(first.select(columns(docs)))
+    prints = scratch.save(fingerprints(docs), "prints")
+    named = _named(scratch, prints, WIDTH)
+    found = scratch.save(with_key(prints, named, "fp", "members", prints.count()).select("doc_id", "component_id"), "components")
+    per_id = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("doc_id") == F.col("component_id")).alias("stays"))
+    gone = scratch.save(per_id.where("n = 1 AND doc_id IS NOT NULL AND NOT stays").select("doc_id"), "gone")
+    mixed = scratch.save(per_id.where("n > 1 OR doc_id IS NULL").select("doc_id"), "ids")
+    if mixed.isEmpty():
+        return without(docs, gone)
+    several, rest = parted(docs, mixed)
+    fp, uid = (fresh(docs, c) for c in ("__fp", "__uid"))
+    several = scratch.save(_with_fingerprint(several, fp).withColumn(uid, F.monotonically_increasing_id()), "several")
+    keys = several.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), F.col(fp).alias("fp"), F.col(uid).alias("uid"))
+    least = F.min(F.struct(F.col("text").isNull().alias("none"), "text", "uid"))
+    first = keys.groupBy("fp", "doc_id").agg(least.alias("row"))  # so that no group of copies is joined
+    first = first.join(named, "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    chosen = first.groupBy("root").agg(F.min("row").alias("row")).select(F.col("row.uid").alias(uid))
+    return without(rest, gone).unionByName(several.join(chosen, uid, "left_semi").select(columns(docs)))
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
