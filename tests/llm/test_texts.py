@@ -241,10 +241,96 @@ def test_url_model(spark):
     assert urls.filter_urls(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
-def test_markov_sums_to_one():
-    rng = np.random.default_rng(2)
-    m = urls.Markov(rng.integers(0, 32**urls.ORDER, 500), rng.integers(1, 9, 500))
-    assert np.allclose(np.exp(m.log_p).reshape(-1, 32).sum(axis=1), 1, atol=1e-4)
+def plain_ratio(rows):
+    """Witten-Bell ratio by dictionaries, for each order; the counted urls are those that _held() does not hold out."""
+    models = {}
+    for label in urls.LABELS:
+        level = [Counter() for _ in range(urls.ORDER + 1)]
+        for _, u in rows:
+            rule = u and urls.rule_for(*urls.parts(u), urls.RULES)
+            if rule and urls.RULES[rule] == label and not urls._held(u):
+                s = urls.raw(u)
+                for i in range(len(s) - urls.ORDER + 1):
+                    for k in range(1, urls.ORDER + 1):
+                        level[k][s[i + urls.ORDER - k : i + urls.ORDER]] += 1
+        follow = [{} for _ in level]
+        for k in range(1, urls.ORDER + 1):
+            for g, n in level[k].items():
+                total, kinds = follow[k].get(g[:-1], (0, 0))
+                follow[k][g[:-1]] = total + n, kinds + 1
+        models[label] = level, follow
+
+    def p(label, g):
+        if not g:
+            return 1 / 256
+        level, follow = models[label]
+        total, kinds = follow[len(g)].get(g[:-1], (0, 0))
+        if total < (urls.LEAST if len(g) > 1 else 1):
+            return p(label, g[1:])
+        return (level[len(g)].get(g, 0) + kinds * p(label, g[1:])) / (total + kinds)
+
+    def ratio(u, order):
+        s = urls.raw(u)
+        own = [s[i + urls.ORDER - order : i + urls.ORDER] for i in range(len(s) - urls.ORDER + 1)]
+        return float(np.mean([np.log(p("allow", g)) - np.log(p("block", g)) for g in own]))
+
+    return ratio
+
+
+def plain_urls(rows):
+    """page_id, host, path, rule, verdict of each row, all by plain Python."""
+    ratio, scores = plain_ratio(rows), {}
+    for _, u in rows:
+        rule = u and urls.rule_for(*urls.parts(u), urls.RULES)
+        if rule and urls._held(u):
+            for order in range(2, urls.ORDER + 1):
+                scores.setdefault(order, []).append((ratio(u, order), urls.RULES[rule] == "allow"))
+    best = []
+    width = 2 * urls.RANGE / urls.BINS
+    for order, own in scores.items():
+        at = [(min(max(int((x + urls.RANGE) / width), 0), urls.BINS - 1), y) for x, y in own]
+        yes, no = sum(y for _, y in at), sum(not y for _, y in at)
+        if not yes or not no:
+            best.append((0, urls.ORDER, 0.0))
+            break
+        right = [sum(y and b >= c for b, y in at) / yes + sum(not y and b < c for b, y in at) / no for c in range(urls.BINS + 1)]
+        good = [c for c, x in enumerate(right) if x >= max(right) - 1e-12]
+        best.append((-round(max(right), 12), order, good[len(good) // 2] * width - urls.RANGE))
+    _, order, threshold = min(best)
+    out = []
+    for i, u in rows:
+        host, path = urls.parts(u)
+        rule = urls.rule_for(host, path, urls.RULES)
+        verdict = urls.RULES[rule] if rule else "allow" if u and ratio(u, order) >= threshold - 1e-9 else "block"
+        out.append((i, host, path, rule, verdict))
+    return Counter(out)
+
+
+def test_url_query_equals_plain(spark):
+    """Every page of two tables, and a table of odd rows, against dictionaries."""
+    for place in (SF, SF.replace("0.001", "0.01")):
+        rows = [(r["page_id"], r["url"]) for r in spark.read.parquet(f"{place}/pages.parquet").collect()]
+        got = urls.op6_urls(spark, place).select("page_id", "host", "path", "rule", "verdict").collect()
+        assert Counter(map(tuple, got)) == plain_urls(rows)
+    odd = [(i, f"http://A{i % 7}.example.net/de/{i}") for i in range(40)] + [(100 + i, f"https://b.com/en/{i * 7}?q={i}") for i in range(40)]
+    odd += [(None, "http://a.example.net/fr/1"), (1, None), (1, ""), (2, "x"), (2, "x"), (3, "http://x/" + "a1/" * 5000), (4, "http://\u4e2d\u6587.org/\u00e9?\0"), (5, "://"), (6, "http://A1.example.net/de/1")]
+    pages = spark.createDataFrame(odd, "page_id long, url string").withColumns({"verdict": F.lit("clash"), "lang": F.lit("clash"), "n": F.lit("clash")})
+    got = urls.filter_urls(pages).select("page_id", "host", "path", "rule", "verdict").collect()
+    assert Counter(map(tuple, got)) == plain_urls(odd)
+
+
+def test_url_models_in_blocks(spark, monkeypatch):
+    rows = [(i, f"http://good{i % 9}.example.net/de/{i % 70}") for i in range(90)] + [(1000 + i, f"http://cheap{i % 9}.example.org/es/{i}") for i in range(90)]
+    model = urls.learn(spark.createDataFrame(rows, "page_id long, url string"))
+    texts = [u for _, u in rows[::20]] + ["http://q.z/" + "ab" * 700, "x"]
+    want = model.scores(texts, (2, 6))
+    monkeypatch.setattr(urls, "BLOCK", 50)
+    assert np.allclose(model.scores(texts, (2, 6)), want)
+    # probabilities after a context sum to one
+    for m in model.models:
+        for context in (b"good1", b"http:", b"zzzzz"):
+            codes = np.array([int.from_bytes(context + bytes([c]), "big") for c in range(256)])
+            assert np.isclose(np.exp(m.log_p(codes)).sum(), 1)
 
 
 # ---- 7: pieces
