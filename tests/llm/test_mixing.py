@@ -95,6 +95,57 @@ def test_crossing_equals_a_plain_scan(spark):
         assert {tuple(r) for r in got.collect()} == want and len(want) == 3
 
 
+def plain_mix(rows, strict):
+    """taken of each (doc_id, text, lang, source) row by plain Python, given the draws."""
+    import math
+
+    size = {r[0]: len((r[1] or "").split()) for r in rows}
+    by_source = defaultdict(list)
+    for i, _, _, s in rows:
+        by_source[s].append(i)
+    want = plain_targets({s: sum(size[i] for i in ids) for s, ids in by_source.items()})
+    taken = {}
+    for s, ids in by_source.items():
+        tilt = {i: 1 + mixing.TILT * (size[i].bit_length() if size[i] else 0) for i in ids}
+        lo, hi = 0.0, 1e9
+        for _ in range(200):  # the factor whose expected words are the target
+            mid = (lo + hi) / 2
+            lo, hi = (lo, mid) if sum(min(3, mid * tilt[i]) * size[i] for i in ids) > want[s] else (mid, hi)
+        e = {i: min(3.0, hi * tilt[i]) for i in ids}
+        e = {i: float(round(x)) if abs(x - round(x)) < 1e-7 else x for i, x in e.items()}
+        left = want[s] - sum(math.floor(e[i]) * size[i] for i in ids)
+        ranked = sorted((DRAWS[i] / (1 - DRAWS[i]) * (1 - (p := e[i] - math.floor(e[i]))) / p, i) for i in ids if e[i] > math.floor(e[i]) and size[i])
+        extra, sums = set(), [0]
+        for _, i in ranked:
+            sums.append(sums[-1] + size[i])
+        if strict:
+            extra = {i for _, i in ranked[: min(range(len(sums)), key=lambda k: (abs(sums[k] - left), k))]}
+        else:  # in rank order until one does not fit: the rest depends on how many more are looked at
+            extra = {i for k, (_, i) in enumerate(ranked) if sums[k + 1] <= left}
+        for i in ids:
+            taken[i] = math.floor(e[i]) * size[i], i in extra
+    return taken
+
+
+DRAWS: dict = {}
+
+
+def test_mix_equals_plain(spark):
+    """Whole copies and Pareto ranks against plain Python: all rows of a strict sample; of the other those before the first that does not fit."""
+    rows = corpus() + [(2000 + i, prose(i, 40), "en", None) for i in range(60)] + [(3000, None, "en", "s1"), (3001, "", "en", "s2")]
+    docs = table(spark, rows)
+    u = (F.col("h").bitwiseAND(F.lit((1 << 52) - 1)) + 0.5) / float(1 << 52)
+    DRAWS.update({r["doc_id"]: r["u"] for r in mixing._sized(docs).select("doc_id", u.alias("u")).collect()})
+    size = {r[0]: len((r[1] or "").split()) for r in rows}
+    strict = {r["doc_id"]: r["taken"] for r in mixing.mix(docs, strict=True).collect()}
+    assert strict == {i: whole + size[i] * extra for i, (whole, extra) in plain_mix(rows, True).items()}
+    plain = plain_mix(rows, False)
+    got = {r["doc_id"]: r["taken"] for r in mixing.mix(docs).collect()}
+    assert set(got) == set(plain)
+    assert all(got[i] == whole + size[i] for i, (whole, extra) in plain.items() if extra)
+    assert all(got[i] in (whole, whole + size[i]) for i, (whole, _) in plain.items())
+
+
 def test_odd_rows(spark):
     docs = table(spark, odd_documents()).withColumn("target", F.lit("clash"))
     rows = mixing.mix(docs).collect()

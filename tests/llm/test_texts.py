@@ -114,6 +114,57 @@ def test_fuzzy_search_finds_every_occurrence():
     assert licenses.scan(joined, found.search)[1:4] == (3001, 0, 6000)
 
 
+def plain_base(text):
+    """n_words, n_base, first_word, last_word, base_labels by words."""
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    hits = [(i, la) for p, la in licenses.PHRASES.items() for i in range(len(words)) if words[i : i + len(p.split())] == p.split()]
+    at = [i for i, _ in hits]
+    return len(words), len(hits), min(at, default=None), max(at, default=None), ",".join(sorted({la for _, la in hits}))
+
+
+def test_license_query_equals_plain(spark):
+    """Every document of the smallest table: base fields by words, labels and spans by a search of the whole text."""
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    got = licenses.op4_licenses(spark, SF).collect()
+    assert len(got) == len(docs)
+    patterns = {la: regex.compile(f"(?e)(?:{regex.escape(n)}){{e<={len(n) // licenses.ERROR_EVERY}}}") for la, n in licenses.NOTICES.items()}
+    for r in got:
+        text = docs[r["doc_id"]] or ""
+        assert tuple(r[c] for c in ("n_words", "n_base", "first_word", "last_word", "base_labels")) == plain_base(text)
+        joined = licenses.words_of(text.encode()).decode()
+        if len(joined) < 8000:
+            fuzzy = {la for la, p in patterns.items() if p.search(joined)}
+            assert set(filter(None, r["labels"].split(","))) == fuzzy | set(filter(None, r["base_labels"].split(",")))
+        for span in filter(None, r["spans"].split(",")):
+            label, a, b, edits = span.split(":")
+            own = licenses.words_of(text[int(a) : int(b)].encode()).decode()
+            assert regex.fullmatch(f"(?:{regex.escape(licenses.NOTICES[label])}){{e<={int(edits)}}}", own)
+
+
+def test_license_spans_in_the_text():
+    """Spans are places of the text, whatever stands between its words."""
+    search = licenses.notices().search
+    for text, want in (
+        ("\u00e9\u4e2d -- Licensed under the  Apache\n License,\tVersion 2.0!", "Licensed under the  Apache\n License,\tVersion 2.0"),
+        ("x Released   under the MIT licence", "Released   under the MIT licence"),
+        ("Licensed under the Apache License, Version 2.0", "Licensed under the Apache License, Version 2.0"),
+    ):
+        shown = licenses.scan(text.encode(), search)[-1].split(",")
+        spans = [x.split(":") for x in shown]
+        assert want in [text[int(a) : int(b)] for _, a, b, _ in spans]
+    assert licenses.in_text("a  b c", [("x", 1, 3), ("x", 0, 2), ("x", 2, 5)]) == [("x", 3, 4), ("x", 0, 1), ("x", 3, 6)]
+
+
+def test_license_odd_rows(spark):
+    """Repeated rows, clashing columns, very long texts; two notices on the same words."""
+    long_text = prose(3, 20_000) + " released under the mit license " + prose(4, 20_000)
+    rows = odd_documents() + [(90, long_text, "en", "x"), (91, "licensed under the terms of the mit license", "en", "x"), (91, "licensed under the terms of the mit license", "en", "x")]
+    got = licenses.scan_licenses(table(spark, rows).withColumns({"labels": F.lit("clash"), "spans": F.lit("clash")})).collect()
+    assert Counter((r["doc_id"], r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) for r in got) == Counter((i, *plain_base(t)) for i, t, *_ in rows)
+    by_id = {r["doc_id"]: r for r in got}
+    assert by_id[90]["labels"] == "mit" and by_id[91]["score"] == 1.0 and "mit-terms" in by_id[91]["labels"].split(",")
+
+
 # ---- 5: token counts
 
 

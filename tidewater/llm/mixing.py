@@ -6,7 +6,9 @@ Within a source a document is expected e times: the same factor for all, tilted
 at most MAX_COPIES. floor(e) copies are certain. For one more, documents are ranked by random odds u/(1-u), divided by
 the odds of the fraction p = e - floor(e) (Pareto order sampling); they are taken in rank order until the source's
 words are reached. The ranks are cut by a histogram over 65,536 key ranges, so only the range in which the words run
-out is ordered row by row, with TOP_UP further documents of which those are taken that still fit.
+out is ordered row by row, with TOP_UP further documents. The first that does not fit ends the plain rank order; of
+those after it the ones that still fit are taken, unless the sample is to be strict: then it is the first documents in
+rank order whose words come nearest.
 
 u comes from a hash of doc_id and text: reruns agree, and rows that share a doc_id (or have none) are spread over the
 ranges. Ties go by doc_id, then size. Null and empty texts have size 0 and are not taken. A null source is a source.
@@ -90,14 +92,18 @@ def _with(df: DataFrame, plan: DataFrame, *on: str) -> DataFrame:
     return df.join(renamed, cond, "left").drop(*[f"__{c}" for c in on])
 
 
-def _fit(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Of one source's last candidates, in rank order, those that still fit."""
+def _fit(pdf: pd.DataFrame, strict: bool = False) -> pd.DataFrame:
+    """Of one source's last candidates, in rank order, those that are taken."""
     pdf = pdf.sort_values(["key", "doc_id", "size"], kind="stable", na_position="last")
-    left, picked = float(pdf["left"].iloc[0]), []
-    for size in pdf["size"]:
-        picked.append(size <= left)
-        left -= size if picked[-1] else 0
-    over = np.where(picked, np.inf, np.abs(pdf["size"].to_numpy(float) - left))
+    sizes, left = pdf["size"].to_numpy(float), float(pdf["left"].iloc[0])
+    if strict:
+        picked = np.arange(len(pdf)) < np.abs(left - np.concatenate([[0], np.cumsum(sizes)])).argmin()
+        return pdf.assign(picked=picked)[["doc_id", "source", "size", "h", "picked"]]
+    picked = np.zeros(len(pdf), bool)
+    for k, size in enumerate(sizes):
+        if size <= left:
+            picked[k], left = True, left - size
+    over = np.where(picked, np.inf, np.abs(sizes - left))
     if len(over) and over.min() < left:  # one more comes nearer than none
         picked[int(over.argmin())] = True
     return pdf.assign(picked=picked)[["doc_id", "source", "size", "h", "picked"]]
@@ -125,7 +131,7 @@ def _crossing(scratch: Scratch, ranges: DataFrame, limits: DataFrame, column: st
 class Mix:
     """The plan of a mix: expected copies by source and size class, and where each source's words run out."""
 
-    def __init__(self, docs: DataFrame):
+    def __init__(self, docs: DataFrame, strict: bool = False):
         self.scratch = scratch = Scratch(docs.sparkSession)
         narrow = _sized(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "text")).select("doc_id", "source", "size", "h")
         self.rows = scratch.save(narrow.withColumn("cls", _class()), "sizes")
@@ -147,12 +153,12 @@ class Mix:
         before = F.col("key").isNotNull() & (F.col("first").isNull() | (F.col("range") < F.col("first")))
         self.extra = F.coalesce(before, F.lit(False)).cast("long")
         window = self.ranked.where(self.inside).select("doc_id", "source", "size", "h", "key", "left")
-        self.fit = scratch.save(window.groupBy("source").applyInPandas(_fit, f"doc_id long, source {kind}, size long, h long, picked boolean"), "fit")
+        self.fit = scratch.save(window.groupBy("source").applyInPandas(lambda pdf: _fit(pdf, strict), f"doc_id long, source {kind}, size long, h long, picked boolean"), "fit")
 
 
-def mix(docs: DataFrame) -> DataFrame:
+def mix(docs: DataFrame, strict: bool = False) -> DataFrame:
     """doc_id, size, source_size, target, taken of every document."""
-    m = Mix(docs)
+    m = Mix(docs, strict)
     clear = m.ranked.where(~F.coalesce(m.inside, F.lit(False))).select("doc_id", "source", "size", "cls", m.extra.alias("extra"))
     fit = m.fit.select("doc_id", "source", "size", _class().alias("cls"), F.col("picked").cast("long").alias("extra"))
     both = _with(_with(clear.unionByName(fit), m.expected, "source", "cls"), m.targets, "source")
