@@ -39,7 +39,7 @@ from .common import SLICE, Scratch, code_points, documents, rows, table
 ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I)
 ACCESS, HEX = re.compile(rb"AKIA[A-Z0-9]+"), re.compile(rb"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "crf")
-TRAIN_DOCS, TRAIN_RUNS, EPOCHS, RATE, L2 = 200_000, 20_000, 60, 0.5, 1e-4
+TRAIN_DOCS, TRAIN_RUNS, EPOCHS, RATE, L2 = 200_000, 12_000, 60, 0.5, 1e-4
 PIECE = 16
 #: Distinct tokens whose scores a worker keeps.
 CACHE = 300_000
