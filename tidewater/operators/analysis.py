@@ -15,6 +15,12 @@ def hot_cold_workload(loads: DataFrame, hot: DataFrame, totals: DataFrame) -> Da
     return out.select("t", "hot", F.greatest(F.lit(0.0), F.col("workload") - F.col("hot")).alias("cold"), "primary", "secondary")
 
 
+def probe_units(series: DataFrame) -> DataFrame:
+    """t, hot_probe_units, cold_probe_units from a series' work_units and hot_probe_ratio."""
+    hot = F.col("work_units") * F.col("hot_probe_ratio")
+    return series.select("t", hot.alias("hot_probe_units"), F.greatest(F.lit(0.0), F.col("work_units") * (1 - F.col("hot_probe_ratio"))).alias("cold_probe_units"))
+
+
 def rolling_candles(series: DataFrame, value: str, window: int) -> DataFrame:
     """t, low, open, close, high over the last `window` rows: mean less and plus one deviation, within the range."""
     frame = Window.orderBy("t").rowsBetween(1 - window, 0)

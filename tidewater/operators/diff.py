@@ -35,6 +35,20 @@ def transitions(before: DataFrame, after: DataFrame) -> DataFrame:
     return old.join(new, "cluster", "full").where(changed)
 
 
+def whole(before: DataFrame, after: DataFrame) -> DataFrame:
+    """One row: slice_added, slice_removed, slice_moved, key_migrations, cluster_transitions as arrays of structs, in order."""
+    def listed(df: DataFrame, name: str) -> DataFrame:
+        return df.agg(F.array_sort(F.collect_list(F.struct(*df.columns))).alias(name))
+
+    slices = added_removed(before, after)
+    parts = [listed(slices.where(F.col("kind") == k).drop("kind"), f"slice_{k}") for k in ("added", "removed")]
+    parts += [listed(moved(before, after), "slice_moved"), listed(key_migrations(before, after).withColumnRenamed("k", "key"), "key_migrations"), listed(transitions(before, after), "cluster_transitions")]
+    out = parts[0]
+    for p in parts[1:]:  # one row each
+        out = out.join(F.broadcast(p), F.lit(True))
+    return out
+
+
 def counts(before: DataFrame, after: DataFrame) -> DataFrame:
     """kind, n of every kind of difference."""
     kinds = added_removed(before, after).select("kind")

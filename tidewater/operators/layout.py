@@ -79,13 +79,54 @@ def check(keys: DataFrame, slices: DataFrame, servers: DataFrame) -> None:
             raise ValueError(f"{name}: {[tuple(r) for r in found]}")
 
 
-def snapshot(slices: DataFrame, loads: DataFrame | None = None) -> DataFrame:
-    """Per cluster (key): slice ids, servers and shard sizes, ordered as in the keymap, and the primary's server."""
+def snapshot(slices: DataFrame) -> DataFrame:
+    """Per cluster (key): slice ids, servers and shard sizes, ordered as in the keymap."""
     entry = F.struct("nth", "slice_id", "server", "size")
     rows = keymap(slices).groupBy("k").agg(F.array_sort(F.collect_list(entry)).alias("s"))
     return rows.select(F.col("k").alias("cluster"), F.col("s.slice_id").alias("slices"), F.col("s.server").alias("servers"), F.col("s.size").alias("shard_sizes"))
 
 
+def state(slices: DataFrame, loads: DataFrame | None = None, by: tuple = ()) -> DataFrame:
+    """One row per `by`: slices (structs by id), key_to_slice, key_to_server, cluster_to_slices, cluster_to_servers, cluster_shard_sizes.
+
+    A slice's cluster is its key if it has one only. loads: by..., slice_id, load; what is missing is 0. Lists go by key.
+    """
+    if loads is not None:
+        slices = slices.drop("load").join(loads.select(*by, "slice_id", "load"), [*by, "slice_id"], "left").na.fill(0.0, ["load"])
+    elif "load" not in slices.columns:
+        slices = slices.withColumn("load", F.lit(0.0))
+    cluster = F.when(F.col("hi") - F.col("lo") == 1, F.col("lo")).alias("cluster")
+    rows = slices.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("slice_id", "lo", "hi", cluster, "size", "load", "server"))).alias("slices"))
+    keyed = slices.withColumn("k", F.explode(F.sequence("lo", F.col("hi") - 1)))
+    per_key = keyed.groupBy(*by, "k").agg(F.array_sort(F.collect_list(F.struct((-F.col("size")).alias("s"), "slice_id", "server", "size"))).alias("o"))
+    per_key = per_key.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("k", "o"))).alias("c"))
+    each = lambda name: F.transform("c", lambda e: e["o"][name])
+    lists = per_key.select(*by, F.transform("c", lambda e: e["o"][0]["slice_id"]).alias("key_to_slice"), F.transform("c", lambda e: e["o"][0]["server"]).alias("key_to_server"), each("slice_id").alias("cluster_to_slices"), each("server").alias("cluster_to_servers"), each("size").alias("cluster_shard_sizes"))
+    return rows.join(lists, list(by)) if by else rows.join(F.broadcast(lists), F.lit(True))
+
+
+class Versions:
+    """A layout and those before it; each is a frame of its own, so undoing a step is taking the frame before."""
+
+    def __init__(self, slices: DataFrame):
+        self.frames = [slices]
+
+    @property
+    def now(self) -> DataFrame:
+        return self.frames[-1]
+
+    def apply(self, step, *given, **named) -> DataFrame:
+        """step: a function of the slices, such as split, merge or reassign."""
+        self.frames.append(step(self.now, *given, **named))
+        return self.now
+
+    def undo(self) -> DataFrame:
+        if len(self.frames) == 1:
+            raise ValueError("there is no step to undo")
+        self.frames.pop()
+        return self.now
+
+
 def reassign(slices: DataFrame, moves: DataFrame) -> DataFrame:
     """moves: slice_id, to."""
     out = slices.join(moves, "slice_id", "left")

@@ -32,12 +32,19 @@ def fanout(work: DataFrame) -> DataFrame:
     return work.groupBy("t").agg(F.countDistinct("server").cast("double").alias("fanout"))
 
 
-def request_fanouts(probes: DataFrame, keymap: DataFrame) -> DataFrame:
-    """t, request, fanout: servers that hold any slice of any probed key."""
-    return probes.join(keymap.select("k", "server").distinct(), "k").groupBy("t", "request").agg(F.countDistinct("server").cast("double").alias("fanout"))
-
-
-def fanout_stats(fanouts: DataFrame) -> DataFrame:
+def request_fanouts(probes: DataFrame, keymap: DataFrame, primaries: DataFrame | None = None) -> DataFrame:
+    """t, request, fanout: servers that hold any slice of any probed key; with primaries (k, server) those of the keys too."""
+    places = keymap.select("k", "server")
+    places = places if primaries is None else places.unionByName(primaries.select("k", "server"))
+    return probes.join(places.distinct(), "k").groupBy("t", "request").agg(F.countDistinct("server").cast("double").alias("fanout"))
+
+
+def fanout_stats(fanouts: DataFrame, ticks: DataFrame | None = None) -> DataFrame:
+    """Figures of the requests' fan-outs per tick; ticks (t, fanout) without a request have their own fan-out, and no variance."""
+    if ticks is not None:
+        stats = ticks.join(fanout_stats(fanouts), "t", "left")
+        own = [F.coalesce(f"fanout_req_{x}", "fanout").alias(f"fanout_req_{x}") for x in ("mean", "min", "max")]
+        return stats.select("t", F.coalesce("fanout_req_samples", F.lit(0)).alias("fanout_req_samples"), *own, F.coalesce("fanout_req_var", F.lit(0.0)).alias("fanout_req_var"))
     return fanouts.groupBy("t").agg(
         F.count(F.lit(1)).alias("fanout_req_samples"),
         F.avg("fanout").alias("fanout_req_mean"),
@@ -90,6 +97,15 @@ def heat(work: DataFrame, chunk: int = 2000) -> DataFrame:
     return out.withColumn("latency", F.col("work") * (1 + ALPHA * cold)).select("t", "server", "work", "latency", "heat")
 
 
+def worked(work: DataFrame, every: int = 0) -> DataFrame:
+    """t, server, cumulative_work, window_work: a server's work up to the tick, and since the last rebalance (every `every` ticks)."""
+    upto = Window.partitionBy("server").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
+    epoch = F.floor((F.col("t") - 1) / every) if every > 0 else F.lit(0)
+    own = Window.partitionBy("server", "__epoch").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
+    out = work.withColumn("__epoch", epoch)
+    return out.select("t", "server", F.sum("work").over(upto).alias("cumulative_work"), F.sum("work").over(own).alias("window_work"))
+
+
 def request_latency(routed: DataFrame) -> DataFrame:
     """t, request, server, work, latency of single requests (t, request, server, work), served in the order of their numbers.
 

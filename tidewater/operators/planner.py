@@ -85,16 +85,24 @@ def cost_of(counts: DataFrame, clusters: DataFrame) -> DataFrame:
     return counts.where("cnt > 0").join(clusters.select("k", F.col("cost").alias("unit")), "k").select("t", "k", (F.col("unit") * F.col("cnt")).alias("cost"))
 
 
+#: Cells of [0, 1) by which draws find their items.
+CELLS = 1024
+
+
 def inverse_cdf(draws: DataFrame, items: DataFrame, u: str = "u", by: tuple = ()) -> DataFrame:
     """draws with the item k whose share of [0, 1) holds u; items: k, prob.
 
-    The cumulative shares travel as one sorted array per `by` group, and each draw looks its place up in it.
+    [0, 1) is cut into CELLS equal cells; an item stands in each cell that its span touches, and a draw is joined by its
+    cell. So a draw meets the few items of its cell, and draws are spread by cell, too. The last item's span has no end.
     """
-    own = Window.partitionBy(*by).orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
-    table = items.withColumn("upto", F.sum("prob").over(own)).groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("upto", "k"))).alias("cdf"))
-    out = draws.join(F.broadcast(table), F.lit(True)) if not by else draws.join(table, list(by))
-    hit = F.filter("cdf", lambda e: F.col(u) <= e["upto"])
-    return out.withColumn("k", F.coalesce(F.element_at(hit, 1)["k"], F.element_at("cdf", -1)["k"])).drop("cdf")
+    order = Window.partitionBy(*by).orderBy("k")
+    last = F.lead("k").over(order).isNull()
+    table = items.withColumn("__upto", F.sum("prob").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    table = table.withColumn("__from", F.coalesce(F.lag("__upto").over(order), F.lit(-1.0))).withColumn("__upto", F.when(last, F.lit(2.0)).otherwise(F.col("__upto")))
+    cell = lambda x: F.least(F.lit(CELLS - 1), F.greatest(F.lit(0), F.floor(x * CELLS))).cast("int")
+    table = table.select(*by, "k", "__from", "__upto", F.explode(F.sequence(cell(F.col("__from")), cell(F.col("__upto")))).alias("__cell"))
+    found = draws.withColumn("__cell", cell(F.col(u))).join(table, [*by, "__cell"])
+    return found.where((F.col(u) > F.col("__from")) & (F.col(u) <= F.col("__upto"))).drop("__cell", "__from", "__upto")
 
 
 def sample_without_replacement(items: DataFrame, n: int, u: Column, by: tuple = ()) -> DataFrame:
@@ -121,7 +129,11 @@ def request_plans(requests: DataFrame, keys: DataFrame, hot: DataFrame, nprobe:
         drawn = base.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(nprobe - 1)))).withColumn("is_hot", F.col("i") < F.col("to_hot"))
         drawn = drawn.withColumn("u", uniform(F.col("seed"), F.col("i")))
         return inverse_cdf(drawn, pools, by=("t", "is_hot")).groupBy("t", "request", "k").agg(F.count(F.lit(1)).alias("cnt"))
-    offered = base.join(pools, "t").withColumn("__key", -F.ln(F.greatest(uniform(F.col("seed"), F.col("k")), F.lit(1e-9))) / F.col("prob"))
-    nth = F.row_number().over(Window.partitionBy("t", "request", "is_hot").orderBy("__key", "k"))
-    limit = F.when(F.col("is_hot"), F.col("to_hot")).otherwise(nprobe - F.col("to_hot"))
-    return offered.withColumn("nth", nth).where(F.col("nth") <= limit).select("t", "request", "k", F.lit(1).cast("long").alias("cnt"))
+    # a request ranks its tick's keys in an array: no row for each request and key is made
+    key = lambda e: -F.ln(F.greatest(uniform(F.col("seed"), e["k"]), F.lit(1e-9))) / e["prob"]
+    first = lambda pool, n: F.slice(F.array_sort(F.transform(pool, lambda e: F.struct(key(e).alias("key"), e["k"].alias("k")))), F.lit(1), n)
+    some = lambda flag: F.collect_list(F.when(F.col("is_hot") == flag, F.struct("k", "prob")))
+    lists = pools.groupBy("t").agg(some(True).alias("hot_pool"), some(False).alias("cold_pool"))
+    to_hot = F.col("to_hot").cast("int")
+    drawn = base.join(lists, "t").select("t", "request", F.explode(F.concat(first("hot_pool", to_hot), first("cold_pool", F.lit(nprobe) - to_hot))).alias("e"))
+    return drawn.select("t", "request", "e.k", F.lit(1).cast("long").alias("cnt"))

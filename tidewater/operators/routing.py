@@ -57,22 +57,46 @@ def filled(ticks: DataFrame, members: DataFrame, values: DataFrame, key: str, va
     return grid.join(values.select("t", key, value), ["t", key], "left").withColumn(value, F.coalesce(value, F.lit(0.0)))
 
 
-def densified(values: DataFrame, members: DataFrame, key: str, value: str) -> DataFrame:
-    """As filled, for the ticks of the values themselves: a tick's values gather in one map, at most one per member.
+def densified(values: DataFrame, members: DataFrame, key: str, *value: str) -> DataFrame:
+    """As filled, for the ticks of the values themselves: a tick's values gather in one list, at most one per member.
 
-    The work is scanned once, and the result lies by t, so sums and extremes per tick need no further shuffle.
+    The work is scanned once, and the result lies by t, so sums and extremes per tick need no further shuffle: zeros for
+    all members are put beside a tick's values and summed where they lie.
     """
-    cells = values.groupBy("t").agg(F.map_from_entries(F.collect_list(F.struct(key, value))).alias("__cells"))
+    cells = values.groupBy("t").agg(F.collect_list(F.struct(key, *value)).alias("__cells"))
     everyone = members.agg(F.collect_list(F.struct(*members.columns)).alias("m"))
-    grid = cells.join(F.broadcast(everyone), F.lit(True)).select("t", "__cells", F.explode("m").alias("m"))
-    return grid.select("t", "m.*", F.coalesce(F.try_element_at("__cells", F.col(f"m.{key}")), F.lit(0.0)).alias(value))
+    more = [c for c in members.columns if c != key]
+    kinds = {f.name: f.dataType for f in members.schema.fields}
+    zeros = F.transform("m", lambda e: F.struct(e[key].alias(key), *[F.lit(0.0).alias(v) for v in value], *[e[c].alias(c) for c in more], F.lit(1).alias("__own")))
+    given = F.transform("__cells", lambda e: F.struct(e[key].alias(key), *[e[v].cast("double").alias(v) for v in value], *[F.lit(None).cast(kinds[c]).alias(c) for c in more], F.lit(0).alias("__own")))
+    grid = cells.join(F.broadcast(everyone), F.lit(True)).select("t", F.explode(F.concat(given, zeros)).alias("e")).select("t", "e.*")
+    out = grid.groupBy("t", key).agg(*[F.sum(v).alias(v) for v in value], *[F.max(c).alias(c) for c in more], F.max("__own").alias("__own"))
+    return out.where("__own = 1").select("t", *members.columns, *value)
+
+
+def weights(slices: DataFrame, primaries: DataFrame, bias: float = PRIMARY_BIAS) -> DataFrame:
+    """k, server, share, weight: what of a key's cost a server's slices have, and that with the primary's bias."""
+    own = shares(slices).select("k", "server", "share", F.col("share").alias("weight"))
+    extra = primaries.select("k", "server", F.lit(0.0).alias("share"), F.lit(bias).alias("weight"))
+    return own.unionByName(extra).groupBy("k", "server").agg(F.sum("share").alias("share"), F.sum("weight").alias("weight"))
 
 
 def biased_work(work: DataFrame, slices: DataFrame, primaries: DataFrame, bias: float = PRIMARY_BIAS) -> DataFrame:
     """t, server, work: routed cost, and bias times each key's cost on its primary server."""
-    routed = allocate(work, slices).select("t", "server", F.col("load").alias("work"))
-    extra = cluster_loads(work).join(primaries, "k").select("t", "server", (F.col("load") * bias).alias("work"))
-    return routed.unionByName(extra).groupBy("t", "server").agg(F.sum("work").alias("work"))
+    routed = cluster_loads(work).join(weights(slices, primaries, bias), "k")
+    return routed.groupBy("t", "server").agg(F.sum(F.col("load") * F.col("weight")).alias("work"))
+
+
+def server_ticks(work: DataFrame, slices: DataFrame, servers: DataFrame, primaries: DataFrame, bias: float = PRIMARY_BIAS) -> DataFrame:
+    """t, server, capacity, load, work of every server and tick: server_loads and biased_work from one scan."""
+    routed = cluster_loads(work).join(weights(slices, primaries, bias), "k").groupBy("t", "server")
+    both = routed.agg(F.sum(F.col("load") * F.col("share")).alias("load"), F.sum(F.col("load") * F.col("weight")).alias("work"))
+    return densified(both, servers.select("server", "capacity"), "server", "load", "work")
+
+
+def of_server(values: DataFrame, server: int) -> DataFrame:
+    """One server's rows of loads, utilisations or recent work."""
+    return values.where(F.col("server") == server)
 
 
 def server_loads(work: DataFrame, slices: DataFrame, servers: DataFrame) -> DataFrame:
@@ -91,8 +115,12 @@ def utils(loads: DataFrame, history: DataFrame | None = None) -> DataFrame:
     return out.select("t", "server", ratio(F.col("load"), F.col("capacity")).alias("util"))
 
 
-def recent_work(work: DataFrame, window: int, every: int = 0) -> DataFrame:
-    """t, server, recent: work of the last `window` ticks; history starts anew after every `every` ticks."""
+def recent_work(work: DataFrame, window: int, every: int = 0, touched: bool = False) -> DataFrame:
+    """t, server, recent: work of the last `window` ticks; history starts anew after every `every` ticks.
+
+    touched: only ticks in which a server had work count, and have rows.
+    """
+    work = work.where("work > 0") if touched else work
     epoch = F.floor((F.col("t") - 1) / every) if every > 0 else F.lit(0)
     frame = Window.partitionBy("server", "epoch").orderBy("t").rowsBetween(1 - window, 0)
     return work.withColumn("epoch", epoch).withColumn("recent", F.sum("work").over(frame)).select("t", "server", "recent")

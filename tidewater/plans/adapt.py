@@ -229,3 +229,13 @@ def diff_cluster_transitions(spark, sf_dir):
 UNION ALL SELECT 'moved', count(*) FROM slices JOIN aft USING (slice_id) WHERE slices.server <> aft.server UNION ALL SELECT 'key_migration', count(*) FROM keymap JOIN ka USING (k) WHERE keymap.nth = 1 AND ka.nth = 1 AND keymap.server <> ka.server UNION ALL SELECT 'cluster_transition', count(*) FROM tr""")
 def diff_counts(spark, sf_dir):
     return diff.counts(*_before_after(spark, sf_dir))
+
+
+@query(_TRANS + """, n AS (SELECT (SELECT count(*) FROM aft WHERE slice_id NOT IN (SELECT slice_id FROM slices)) AS added, (SELECT count(*) FROM slices WHERE slice_id NOT IN (SELECT slice_id FROM aft)) AS removed,
+(SELECT list(slice_id ORDER BY slice_id)::VARCHAR FROM slices JOIN aft USING (slice_id) WHERE slices.server <> aft.server) AS moved, (SELECT list(k ORDER BY k)::VARCHAR FROM keymap JOIN ka USING (k) WHERE keymap.nth = 1 AND ka.nth = 1 AND keymap.server <> ka.server) AS keys_, (SELECT list(cluster ORDER BY cluster)::VARCHAR FROM tr) AS clusters)
+SELECT CAST(added AS INTEGER) AS added, CAST(removed AS INTEGER) AS removed, moved, keys_ AS migrated, clusters FROM n""")
+def diff_whole(spark, sf_dir):
+    """The five differences as one row of arrays: how many slices came and went, and which moved, migrated and changed."""
+    text = lambda c: F.concat(F.lit("["), F.array_join(F.col(c).cast("array<string>"), ", "), F.lit("]"))
+    out = diff.whole(*_before_after(spark, sf_dir))
+    return out.select(F.size("slice_added").alias("added"), F.size("slice_removed").alias("removed"), text("slice_moved.slice_id").alias("moved"), text("key_migrations.key").alias("migrated"), text("cluster_transitions.cluster").alias("clusters"))

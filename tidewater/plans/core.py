@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.numbers import ratio
 from ..operators import layout, metrics, routing
+from ..sources.shared import written
 from .bind import bound, query, servers
 
 
@@ -17,6 +19,11 @@ def _work(b):
     return routing.densified(raw, b.servers.select("server"), "server", "work")
 
 
+def _ticks(b):
+    """t, server, capacity, load, work, worked out once."""
+    return written(routing.server_ticks(b.work, b.slices, b.servers, layout.primaries(b.slices)))
+
+
 @query("SELECT slice_id, lo, hi, round(size, 6) AS size, server FROM home")
 def layout_multi_shard(spark, sf_dir):
     return bound(spark, sf_dir).home
@@ -215,6 +222,10 @@ def fanout_rolling_var(spark, sf_dir):
 @query(""", cnts AS (SELECT t, k, count(*) AS cnt FROM ev GROUP BY t, k)
 SELECT t, CAST(sum(cnt) AS BIGINT) AS work_units, round(sum(CASE WHEN k IN (t % 20, (t + 7) % 20) THEN cnt ELSE 0 END) / sum(cnt), 6) AS hot_probe_ratio FROM cnts GROUP BY t""")
 def hot_probe_ratio(spark, sf_dir):
+    return _hot_ratio(spark, sf_dir)
+
+
+def _hot_ratio(spark, sf_dir):
     counts = bound(spark, sf_dir).work.groupBy("t", "k").agg(F.count(F.lit(1)).alias("cnt"))
     hot = counts.select("t").distinct().select("t", F.explode(F.array((F.col("t") % 20).cast("int"), ((F.col("t") + 7) % 20).cast("int"))).alias("k"))
     return metrics.hot_ratio(counts, hot)
@@ -262,10 +273,10 @@ def latency_p95(spark, sf_dir):
 SELECT (SELECT round(avg(latency), 6) FROM ticklat) AS avg_latency, (SELECT round(latency, 6) FROM ranked WHERE r = floor(CAST(0.95 AS DOUBLE) * (n - 1)) + 1) AS p95_latency,
 (SELECT round(arg_max(imbalance, t), 6) FROM imb) AS imbalance, (SELECT server FROM final ORDER BY heat DESC, server LIMIT 1) AS hottest_server, (SELECT round(max(heat), 6) FROM final) AS max_server_heat""")
 def run_summary(spark, sf_dir):
-    b = bound(spark, sf_dir)
-    heats = metrics.heat(_work(b))
+    per = _ticks(bound(spark, sf_dir))
+    heats = written(metrics.heat(per.select("t", "server", "work")))
     latency = heats.groupBy("t").agg(F.sum("latency").alias("latency"))
-    return metrics.summary(latency, metrics.imbalance(routing.utils(_loads(b))), heats)
+    return metrics.summary(latency, metrics.imbalance(routing.utils(per)), heats)
 
 
 @query("SELECT t, server, round(sum(work) OVER (PARTITION BY server, (t - 1) // 50 ORDER BY t ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), 6) AS recent FROM work")
@@ -276,8 +287,9 @@ def rolling_work(spark, sf_dir):
 @query(""", imb AS (SELECT t, max(util) / avg(util) AS imbalance FROM util GROUP BY t), w AS (SELECT t, max(work) / avg(work) AS wi FROM work GROUP BY t)
 SELECT t, round(imbalance, 6) AS imbalance, round(coalesce(lag(imbalance) OVER (ORDER BY t), wi), 6) AS imbalance_pre FROM imb JOIN w USING (t)""")
 def imbalance_pre_lag(spark, sf_dir):
-    b = bound(spark, sf_dir)
-    both = metrics.imbalance(routing.utils(_loads(b))).join(metrics.imbalance(_work(b), "work", "first"), "t")
+    per = _ticks(bound(spark, sf_dir))
+    per = per.withColumn("util", ratio(F.col("load"), F.col("capacity")))
+    both = per.groupBy("t").agg(ratio(F.max("util"), F.avg("util")).alias("imbalance"), ratio(F.max("work"), F.avg("work")).alias("first"))
     return both.select("t", "imbalance", metrics.before(both, "imbalance", F.col("first")).alias("imbalance_pre"))
 
 
@@ -293,3 +305,60 @@ def guarded_scalars(spark, sf_dir):
 
     s = servers(spark, 8)
     return s.select("server", half_even(F.col("server") * 12.5).alias("half_even"), ratio(F.col("capacity"), F.when(F.col("server") % 2 == 0, 7.0).otherwise(0.0)).alias("guarded"))
+
+
+@query(_HEAT + " SELECT t, server, round(sum(work) OVER (PARTITION BY server ORDER BY t), 6) AS cumulative_work, round(sum(work) OVER (PARTITION BY server, (t - 1) // 50 ORDER BY t), 6) AS window_work FROM lat")
+def server_work_totals(spark, sf_dir):
+    return metrics.worked(_work(bound(spark, sf_dir)), 50)
+
+
+@query(_FANOUTS + ", both_ AS (SELECT k, server FROM keymap UNION SELECT k, server FROM prim0), bf AS (SELECT t, request, CAST(count(DISTINCT server) AS DOUBLE) AS f FROM probe JOIN both_ USING (k) GROUP BY t, request) SELECT t, round(avg(f), 6) AS fanout FROM bf GROUP BY t".replace("prim0", "(SELECT lo AS k, server FROM home QUALIFY row_number() OVER (PARTITION BY lo ORDER BY size DESC, slice_id) = 1)"))
+def fanout_biased_per_request(spark, sf_dir):
+    """Mean fan-out of requests, with the primaries of the first layout."""
+    b = bound(spark, sf_dir)
+    found = metrics.request_fanouts(_probes(spark, sf_dir), layout.keymap(b.slices), layout.primaries(b.home))
+    return found.groupBy("t").agg(F.avg("fanout").alias("fanout"))
+
+
+@query(_STATS + """, f AS (SELECT t, CAST(count(DISTINCT server) AS DOUBLE) AS fanout FROM routed GROUP BY t), s AS (SELECT * FROM stats WHERE t % 3 <> 0)
+SELECT t, coalesce(fanout_req_samples, 0) AS fanout_req_samples, round(coalesce(fanout_req_mean, fanout), 6) AS fanout_req_mean, coalesce(fanout_req_min, fanout) AS fanout_req_min, coalesce(fanout_req_max, fanout) AS fanout_req_max, round(coalesce(fanout_req_var, 0), 6) AS fanout_req_var FROM f LEFT JOIN s USING (t)""")
+def fanout_stats_unsampled(spark, sf_dir):
+    """Ticks divisible by three have no samples."""
+    b = bound(spark, sf_dir)
+    ticks = metrics.fanout(routing.biased_work(b.work, b.slices, layout.primaries(b.slices)))
+    return metrics.fanout_stats(_fanouts(spark, sf_dir).where("t % 3 <> 0"), ticks)
+
+
+@query("SELECT t, server, capacity, round(load, 6) AS load FROM sload WHERE server = 3")
+def one_server_load(spark, sf_dir):
+    return routing.of_server(_loads(bound(spark, sf_dir)), 3)
+
+
+@query(", busy AS (SELECT * FROM work WHERE (t + server) % 4 > 0 AND work > 0) SELECT t, server, round(sum(work) OVER (PARTITION BY server ORDER BY t ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), 6) AS recent FROM busy")
+def rolling_work_touched(spark, sf_dir):
+    work = _work(bound(spark, sf_dir)).withColumn("work", F.when((F.col("t") + F.col("server")) % 4 > 0, F.col("work")).otherwise(0.0))
+    return routing.recent_work(work, 20, touched=True)
+
+
+@query("SELECT t, server, capacity, round(load, 6) AS load, round(work, 6) AS work FROM sload JOIN work USING (t, server)")
+def server_ticks(spark, sf_dir):
+    b = bound(spark, sf_dir)
+    return routing.server_ticks(b.work, b.slices, b.servers, layout.primaries(b.slices))
+
+
+def _state(spark, sf_dir):
+    b = bound(spark, sf_dir)
+    return layout.state(b.slices, b.slices.select("slice_id", (F.col("size") * 2).alias("load")).where("slice_id % 5 > 0"))
+
+
+@query("SELECT CAST(row_number() OVER (ORDER BY slice_id) - 1 AS INTEGER) AS place, slice_id, lo, hi, lo AS cluster, round(size, 6) AS size, round(CASE WHEN slice_id % 5 > 0 THEN size * 2 ELSE 0 END, 6) AS load, server FROM slices")
+def state_slices(spark, sf_dir):
+    return _state(spark, sf_dir).select(F.posexplode("slices").alias("place", "s")).select("place", "s.*")
+
+
+@query("SELECT k, min(CASE WHEN nth = 1 THEN slice_id END) AS slice_id, min(CASE WHEN nth = 1 THEN server END) AS server, list(slice_id ORDER BY nth)::VARCHAR AS slices, list(server ORDER BY nth)::VARCHAR AS servers, round(sum(size), 6) AS size FROM keymap GROUP BY k")
+def state_keys(spark, sf_dir):
+    rows = F.arrays_zip("key_to_slice", "key_to_server", "cluster_to_slices", "cluster_to_servers", "cluster_shard_sizes")
+    total = F.aggregate("e.cluster_shard_sizes", F.lit(0.0), lambda a, x: a + x)
+    text = lambda c: F.concat(F.lit("["), F.array_join(F.col(c).cast("array<string>"), ", "), F.lit("]"))
+    return _state(spark, sf_dir).select(F.posexplode(rows).alias("k", "e")).select("k", F.col("e.key_to_slice").alias("slice_id"), F.col("e.key_to_server").alias("server"), text("e.cluster_to_slices").alias("slices"), text("e.cluster_to_servers").alias("servers"), total.alias("size"))

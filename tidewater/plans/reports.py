@@ -94,6 +94,14 @@ def hot_cold_workload(spark, sf_dir):
     return analysis.hot_cold_workload(routing.cluster_loads(b.work), totals.select("t", F.explode(keys).alias("k")), totals)
 
 
+@query(""", cnts AS (SELECT t, k, count(*) AS cnt FROM ev GROUP BY t, k), r AS (SELECT t, sum(cnt) AS n, sum(CASE WHEN k IN (t % 20, (t + 7) % 20) THEN cnt ELSE 0 END) / sum(cnt) AS h FROM cnts GROUP BY t)
+SELECT t, round(n * h, 6) AS hot_probe_units, round(greatest(0, n * (1 - h)), 6) AS cold_probe_units FROM r""")
+def probe_units(spark, sf_dir):
+    from .core import _hot_ratio
+
+    return analysis.probe_units(_hot_ratio(spark, sf_dir))
+
+
 _PER_TICK = ", per AS (SELECT t, sum(cost) AS v FROM ev GROUP BY t)"
 
 
