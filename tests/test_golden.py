@@ -224,3 +224,28 @@ def test_assignment_swaps():
     got = rebalance.assign(size, load, now, cap, 4)
     assert peak(got) == 20 and (got != now).sum() <= 4 and (np.bincount(got) == 5).all()
     assert (rebalance.assign(size, load, now, cap, 1) == now).all()
+
+
+def test_assignment_relieves_full_servers():
+    """A start over capacity is repaired with few moves; where that takes more than are allowed, it raises."""
+    size, load = np.array([5.0, 5, 5, 1, 1, 1, 2, 2, 2, 1, 1]), np.array([1.0, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11])
+    now, cap = np.array([0, 0, 0, 0, 0, 0, 1, 1, 1, 1, 2]), np.array([12.0, 12, 12])
+    got = rebalance.assign(size, load, now, cap, 8)
+    assert (np.bincount(got, weights=size, minlength=3) <= cap).all() and (got != now).sum() <= 8
+    assert np.bincount(got, weights=load).max() <= 1.2 * rebalance.lower_bound(load, 3)
+    with pytest.raises(ValueError):
+        rebalance.assign(size, load, now, cap, 1)
+    with pytest.raises(ValueError):
+        rebalance.assign(size, load, now, np.array([12.0, 4, 4]), 11)
+
+
+def test_assignment_near_the_bound():
+    """Many keys, of which none is large: the descent comes within two per cent of the lower bound."""
+    rng = np.random.default_rng(3)
+    for n in (100, 512):
+        size, load = rng.uniform(1, 10, n), rng.uniform(0, 1, n)
+        now, cap = rng.integers(0, 16, n), np.full(16, size.sum() / 16 * 1.6)
+        got = rebalance.assign(size, load, now, cap, n)
+        assert np.bincount(got, weights=load, minlength=16).max() <= 1.02 * rebalance.lower_bound(load, 16)
+        near = rebalance.assign(size, load, now, cap, n, gap=0.2)
+        assert (near != now).sum() <= (got != now).sum()

@@ -90,51 +90,92 @@ def greedy(slices: DataFrame, capacity: dict[int, float], budget: float) -> Data
     return slices.groupBy("scenario").applyInPandas(run, MOVES)
 
 
-def assign(size: np.ndarray, load: np.ndarray, current: np.ndarray, capacity: np.ndarray, max_moves: int) -> np.ndarray:
+def lower_bound(load: np.ndarray, n_servers: int) -> float:
+    """No assignment has a lower peak: the largest key, and the mean of the servers."""
+    return float(max(load.max(initial=0.0), load.sum() / n_servers))
+
+
+def assign(size: np.ndarray, load: np.ndarray, current: np.ndarray, capacity: np.ndarray, max_moves: int, gap: float = 0.0) -> np.ndarray:
     """Servers of keys with a low greatest load, within capacities and at most max_moves moves from the current ones.
 
-    Steepest descent over single moves and swaps; for at most EXACT keys the optimum by branch and bound.
+    Servers over capacity are relieved first; where the moves do not suffice, there is no assignment and it raises. Then
+    steepest descent over single moves and swaps, until the peak is within `gap` of lower_bound() or nothing is better;
+    for at most EXACT keys the optimum by branch and bound.
     """
     if len(size) != len(load) or len(size) != len(current):
         raise ValueError("sizes, loads and servers differ in length")
     if len(current) and (current.min() < 0 or current.max() >= len(capacity)):
         raise ValueError("a current server is out of range")
-    held = np.bincount(current, weights=size, minlength=len(capacity))
-    if (held > capacity + EPS).any():
-        raise ValueError("no feasible assignment known: a server is over capacity")
+    start = _relieved(size, load, current, capacity, max_moves)
     if 0 < len(size) <= EXACT:
-        return _exact(size, load, current, capacity, max_moves)
-    return _descend(size, load, current, capacity, max_moves)
+        return _exact(size, load, current, capacity, max_moves, start)
+    return _descend(size, load, current, capacity, max_moves, start, gap)
 
 
-def _descend(size, load, current, capacity, max_moves):
+def _relieved(size, load, current, capacity, max_moves):
+    """Servers of keys after keys have left full servers for those with room: few and small moves first, then low loads."""
     now = current.copy()
     work, held = (np.bincount(now, weights=x, minlength=len(capacity)) for x in (load, size))
+    for _ in range(len(size) + 1):
+        excess = held - capacity
+        full = int(excess.argmax()) if len(excess) else 0
+        if not len(excess) or excess[full] <= EPS:
+            break
+        own = np.flatnonzero(now == full)
+        room = held[None, :] + size[own][:, None] <= capacity[None, :] + EPS
+        if not room.any():
+            raise ValueError("no feasible assignment known: a server is over capacity and its keys fit nowhere")
+        # a key that is enough by itself, the smallest of them; else the largest
+        enough = size[own] >= excess[full] - EPS
+        cost = np.where(enough, size[own], 2 * size.max() + 1 - size[own])
+        i, j = np.unravel_index(np.where(room, cost[:, None] * (work.max() + 1) * 4 + work[None, :], np.inf).argmin(), room.shape)
+        k = own[i]
+        now[k] = j
+        for x, values in ((work, load), (held, size)):
+            x[full] -= values[k]
+            x[j] += values[k]
+    if (held > capacity + EPS).any() or (now != current).sum() > max_moves:
+        raise ValueError("no feasible assignment known: the moves do not suffice to hold the capacities")
+    return now
+
+
+def _descend(size, load, current, capacity, max_moves, start, gap=0.0):
+    now = start.copy()
+    work, held = (np.bincount(now, weights=x, minlength=len(capacity)) for x in (load, size))
+    enough = lower_bound(load, len(capacity)) * (1 + gap)
+    servers = np.arange(len(capacity))
     while True:
         top = int(work.argmax())
+        if work[top] <= enough:
+            return now
+        own, rest = np.flatnonzero(now == top), np.flatnonzero(now != top)
+        spent = int((now != current).sum())
         best, choice = work[top] - 1e-9, None
-        for i in np.flatnonzero(now == top):
-            for j in range(len(capacity)):
-                if j == top or held[j] + size[i] > capacity[j] or (np.delete(now, i) != np.delete(current, i)).sum() + (j != current[i]) > max_moves:
-                    continue
-                peak = max(work[top] - load[i], work[j] + load[i])
-                if peak < best:
-                    best, choice = peak, (i, j, None)
-            moved = (now != current).sum() - (now[i] != current[i])
-            for k in np.flatnonzero(now != top):
-                j = now[k]
-                if moved - (j != current[k]) + (j != current[i]) + (top != current[k]) > max_moves:
-                    continue
-                if held[j] + size[i] - size[k] > capacity[j] + EPS or held[top] + size[k] - size[i] > capacity[top] + EPS:
-                    continue
-                peak = max(work[top] - load[i] + load[k], work[j] + load[i] - load[k])
-                if peak < best:
-                    best, choice = peak, (i, int(j), k)
+        # one key goes to another server
+        moved = spent - (now[own] != current[own])[:, None] + (servers[None, :] != current[own][:, None])
+        peak = np.maximum(work[top] - load[own][:, None], work[None, :] + load[own][:, None])
+        barred = (servers == top)[None, :] | (held[None, :] + size[own][:, None] > capacity[None, :] + EPS) | (moved > max_moves)
+        peak = np.where(barred, np.inf, peak)
+        if peak.size and peak.min() < best:
+            i, j = np.unravel_index(peak.argmin(), peak.shape)
+            best, choice = peak[i, j], (own[i], int(j), None)
+        # two keys change places
+        if len(own) and len(rest):
+            there = now[rest]
+            gain, grow = load[own][:, None] - load[rest][None, :], size[own][:, None] - size[rest][None, :]
+            moved = spent - (now[own] != current[own])[:, None] - (there != current[rest])[None, :]
+            moved = moved + (there[None, :] != current[own][:, None]) + (top != current[rest])[None, :]
+            peak = np.maximum(work[top] - gain, work[there][None, :] + gain)
+            barred = (held[there][None, :] + grow > capacity[there][None, :] + EPS) | (held[top] - grow > capacity[top] + EPS) | (moved > max_moves)
+            peak = np.where(barred, np.inf, peak)
+            if peak.min() < best:
+                i, k = np.unravel_index(peak.argmin(), peak.shape)
+                best, choice = peak[i, k], (own[i], int(there[k]), rest[k])
         if choice is None:
             return now
         i, j, k = choice
-        for x, own in ((work, load), (held, size)):
-            step = own[i] - (0 if k is None else own[k])
+        for x, values in ((work, load), (held, size)):
+            step = values[i] - (0 if k is None else values[k])
             x[top] -= step
             x[j] += step
         now[i] = j
@@ -146,10 +187,10 @@ def _descend(size, load, current, capacity, max_moves):
 EXACT = 9
 
 
-def _exact(size, load, current, capacity, max_moves):
+def _exact(size, load, current, capacity, max_moves, start):
     n, m = len(size), len(capacity)
     order = np.argsort(-load)
-    best = [np.bincount(current, weights=load, minlength=m).max(), current.copy()]
+    best = [np.bincount(start, weights=load, minlength=m).max(), start.copy()]
     now, work, held = current.copy(), np.zeros(m), np.zeros(m)
 
     def go(k: int, moves: int) -> None:
@@ -175,14 +216,16 @@ def _exact(size, load, current, capacity, max_moves):
 
 
 def min_max(keys: DataFrame, capacity: list[float], max_moves: int) -> DataFrame:
-    """scenario, k, server, moved from (scenario, k, size, load, server)."""
+    """scenario, k, server, moved, peak and bound (of the scenario's servers) from (scenario, k, size, load, server)."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("k")
         to = assign(pdf["size"].to_numpy(float), pdf["load"].to_numpy(float), pdf["server"].to_numpy(int), np.array(capacity, float), max_moves)
-        return pd.DataFrame({"scenario": pdf["scenario"], "k": pdf["k"], "server": to, "moved": to != pdf["server"].to_numpy()})
+        load = pdf["load"].to_numpy(float)
+        ends = {"peak": np.bincount(to, weights=load).max(), "bound": lower_bound(load, len(capacity))}
+        return pd.DataFrame({"scenario": pdf["scenario"], "k": pdf["k"], "server": to, "moved": to != pdf["server"].to_numpy(), **ends})
 
-    return keys.groupBy("scenario").applyInPandas(run, "scenario long, k int, server int, moved boolean")
+    return keys.groupBy("scenario").applyInPandas(run, "scenario long, k int, server int, moved boolean, peak double, bound double")
 
 
 #: Rebalance policies by name; others are refused.

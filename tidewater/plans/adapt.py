@@ -239,3 +239,18 @@ def diff_whole(spark, sf_dir):
     text = lambda c: F.concat(F.lit("["), F.array_join(F.col(c).cast("array<string>"), ", "), F.lit("]"))
     out = diff.whole(*_before_after(spark, sf_dir))
     return out.select(F.size("slice_added").alias("added"), F.size("slice_removed").alias("removed"), text("slice_moved.slice_id").alias("moved"), text("key_migrations.key").alias("migrated"), text("cluster_transitions.cluster").alias("clusters"))
+
+
+@query(""", l AS (SELECT CAST((t - 1) // 100 AS BIGINT) AS scenario, k, sum(cost) AS load FROM ev WHERE k < 5 GROUP BY 1, 2),
+p AS (SELECT scenario, list(load ORDER BY k) AS l FROM l GROUP BY scenario HAVING count(*) = 5), now AS (SELECT list(server % 3 ORDER BY k) AS s FROM prim WHERE k < 5),
+r AS (SELECT range AS n, [range % 3, range // 3 % 3, range // 9 % 3, range // 27 % 3, range // 81] AS s FROM range(243)),
+tried AS (SELECT scenario, greatest(list_sum([CASE WHEN r.s[i] = 0 THEN l[i] ELSE 0 END FOR i IN [1,2,3,4,5]]), list_sum([CASE WHEN r.s[i] = 1 THEN l[i] ELSE 0 END FOR i IN [1,2,3,4,5]]), list_sum([CASE WHEN r.s[i] = 2 THEN l[i] ELSE 0 END FOR i IN [1,2,3,4,5]])) AS peak FROM p, r, now WHERE list_sum([CAST(r.s[i] <> now.s[i] AS INTEGER) FOR i IN [1,2,3,4,5]]) <= 2)
+SELECT scenario, round(min(peak), 6) AS peak FROM tried GROUP BY scenario""")
+def min_max_optimum(spark, sf_dir):
+    """Five keys on three servers with at most two moves: the least peak of all assignments."""
+    b = bound(spark, sf_dir)
+    at = b.work.where("k < 5").withColumn("scenario", F.floor((F.col("t") - 1) / 100)).groupBy("scenario", "k").agg(F.sum("cost").alias("load"))
+    full = at.groupBy("scenario").count().where("count = 5").select("scenario")
+    placed = layout.primaries(b.slices).select("k", (F.col("server") % 3).cast("int").alias("server"))
+    got = rebalance.min_max(at.join(full, "scenario").join(b.keys, "k").join(placed, "k").select("scenario", "k", "size", "load", "server"), [40.0, 45.0, 50.0], 2)
+    return got.groupBy("scenario").agg(F.max("peak").alias("peak"))
