@@ -34,9 +34,11 @@ def test_long_union(spark, tmp_path):
 
 def test_run(spark, tmp_path):
     c = simulate.Config(steps=30, every=10, fanout_samples=4)
-    series = simulate.run(spark, c)
-    trace.write_trace(simulate.trace_of(series), str(tmp_path / "run"))
-    kinds = [json.loads(r[0])["type"] for r in spark.read.text(str(tmp_path / "run")).collect()]
+    found = simulate.whole_run(spark, c)
+    series = found.series
+    trace.write_trace(simulate.trace_of(found), str(tmp_path / "run"))
+    events = [json.loads(r[0]) for r in spark.read.text(str(tmp_path / "run")).collect()]
+    kinds = [e["type"] for e in events]
     assert kinds[0] == "state" and kinds.count("step") == 30 and kinds.count("rebalance") == 3 and kinds.count("growth") == 3
     rows = {r["t"]: r for r in series.collect()}
     assert sorted(rows) == list(range(1, 31))
@@ -47,10 +49,117 @@ def test_run(spark, tmp_path):
         assert r["rebalance"] == int(t % 10 == 0)
         if t > 1:
             assert r["imbalance_pre"] == rows[t - 1]["imbalance"]
-    # a rebalance does not make the tick worse
-    for t in (10, 20, 30):
-        assert rows[t]["imbalance"] <= rows[t - 1]["imbalance"] * 1.5
     assert sum(r["rebalance_slice_moved_count"] for r in rows.values()) > 0
+    # states in the trace: a step's is that before the tick's rebalance, and rebalances join up
+    state, first = None, events[0]["state"]
+    for e in events[1:]:
+        if e["type"] == "step":
+            own = state or first
+            assert [x["slice_id"] for x in e["state"]["slices"]] == [x["slice_id"] for x in own["slices"]]
+            assert e["state"]["cluster_to_servers"] == own["cluster_to_servers"] and e["state"]["key_to_slice"] == own["key_to_slice"]
+            loads = {str(x["slice_id"]): x["load"] for x in e["state"]["slices"]}
+            assert all(abs(loads[i] - v) < 1e-6 * max(1, v) for i, v in e["slice_loads"].items())
+            assert sum(e["plan_counts"].values()) == e["work_units"]
+        if e["type"] == "rebalance":
+            assert e["state_before"]["cluster_to_slices"] == (state or first)["cluster_to_slices"]
+            state = e["state_after"]
+            assert e["diff"]["slice_moved"] == json.loads(rows[e["t"]]["rebalance_slice_moved"])
+            servers = {x["slice_id"]: x["server"] for x in e["state_before"]["slices"]}
+            after = {x["slice_id"]: x["server"] for x in state["slices"]}
+            assert {m["slice_id"]: (m["from"], m["to"]) for m in e["diff"]["slice_moved"]} == {i: (servers[i], after[i]) for i in servers if i in after and servers[i] != after[i]}
+            assert {x["slice_id"] for x in e["diff"]["slice_added"]} == set(after) - set(servers)
+            # greedy moves do not raise the imbalance of the loads that they go by
+            moves = [a for a in e["actions"] if a["kind"] == "reassign"]
+            assert all(m["imbalance_after"] <= m["imbalance_before"] + 1e-9 for m in moves)
+    # columns of servers agree with the maps
+    for t, r in rows.items():
+        for m, name in (("work", "server_work_map"), ("util", "server_util_map"), ("slicecount", "server_slice_counts")):
+            cells = json.loads(r[name])
+            assert all(abs(r[f"{m}_s{s}"] - cells[str(s)]) < 1e-9 * max(1, cells[str(s)]) for s in range(c.n_servers))
+    trace.write_series(series, str(tmp_path / "csv"), list(range(c.n_servers)))
+    back = trace.read_series(spark, str(tmp_path / "csv"), [*trace.BASE, *trace.server_columns(list(range(c.n_servers)))])
+    again = {r["t"]: r for r in back.collect()}
+    assert all(again[t]["work_s3"] == rows[t]["work_s3"] and json.loads(again[t]["rebalance_diff"] or "{}") == json.loads(rows[t]["rebalance_diff"]) for t in rows)
+    texts = {r["t"]: r["text"] for r in trace.story(series, list(range(c.n_servers))).collect()}
+    assert f"The tick had {rows[10]['n_requests']} requests" in texts[10] and "Rebalance: yes." in texts[10] and "Rebalance: no." in texts[9]
+    assert json.loads(texts[10].split("Events (JSON):\n")[1])["rebalance_diff"] == json.loads(rows[10]["rebalance_diff"])
+
+
+def test_single_requests(spark):
+    """A plan for each request: fan-out with the primaries, heat within a tick, with and without a payload of its own."""
+    base = {"steps": 6, "every": 3, "n_servers": 4, "n_keys": 10, "nprobe": 4, "requests_mean": 12, "requests_std": 2, "burst_mean": 5}
+    for more in ({}, {"lock_payload": False}, {"allow_repeat": False}):
+        c = simulate.Config(**base, aggregate=False, **more)
+        rows = simulate.run(spark, c).collect()
+        assert len(rows) == 6 and all(r["work_units"] == r["n_requests"] * 4 and r["fanout_req_samples"] == r["n_requests"] for r in rows)
+        assert all(r["latency"] >= r["workload"] - 1e-9 and r["fanout"] >= r["fanout_req_mean"] for r in rows)
+    plain = simulate.run(spark, simulate.Config(**base, fanout_samples=0, state_in_rows=True, reset_history=False, policy="ilp", split_hot=False, growth=False)).collect()
+    assert all(r["fanout_req_mean"] == r["fanout"] and r["fanout_req_var"] == 0 and r["fanout_req_samples"] == 0 for r in plain)
+    assert all(len(json.loads(r["state_key_to_server"])) == 10 for r in plain)
+    assert all(r["imbalance"] > 0 for r in plain)
+
+
+def test_config():
+    c = simulate.Config(hot_mass=3.0, alt_probability=-1.0, burst_min=0, start_mode="other", requests_mean=100, requests_max=5)
+    assert (c.hot_mass, c.alt_probability, c.burst_min, c.start_mode, c.requests()) == (1.0, 0.0, 1, "zipf", (100, 20, 40, 40))
+    assert len(simulate.grid()) == 19 and simulate.grid()["every-10"].every == 10
+
+
+def test_keys_need_slices():
+    c = simulate.Config(n_keys=5)
+    whole = simulate.first_layout(c)
+    simulate.require_covered(c, whole, 1)
+    try:
+        simulate.require_covered(c, whole[whole["k"] != 3], 1)
+    except KeyError as e:
+        assert "3" in str(e)
+    else:
+        raise AssertionError("a key without a slice went unseen")
+
+
+def test_run_agrees_with_the_operators(spark):
+    """What whole runs work out on the driver is what the operators give on the same layouts."""
+    import numpy as np
+
+    from tidewater.operators import diff, layout, routing
+
+    c = simulate.Config(n_keys=12, n_servers=5)
+    before = simulate.first_layout(c)
+    loads = np.array([float(k % 5) for k in range(12)])
+    before = simulate._with_loads(before, loads)
+    cut, actions = simulate._split(c, before, [2, 4])
+    after = cut.assign(server=[(s + 1) % 5 if i % 4 == 0 else s for i, s in zip(cut["slice_id"], cut["server"])])
+    frame = lambda df: spark.createDataFrame([(int(i), int(k), int(k) + 1, float(z), int(v), float(x)) for i, k, z, v, x in zip(*(df[n] for n in ("slice_id", "k", "size", "server", "load")))], "slice_id long, lo int, hi int, size double, server int, load double")
+    a, b = frame(before), frame(after)
+    work = spark.createDataFrame([(1, k, float(x)) for k, x in enumerate(loads)], "t int, k int, cost double")
+    got = {r["slice_id"]: r["load"] for r in routing.slice_loads(work, a.drop("load")).collect()}
+    assert all(abs(got[i] - x) < 1e-9 for i, x in zip(before["slice_id"], before["load"]))
+    hot = spark.createDataFrame([(2,), (4,)], "k int")
+    assert sorted(r["slice_id"] for r in layout.hottest_slices(a, hot).collect()) == sorted(x["parent_slice"] for x in actions)
+    row, plain = diff.whole(a, b).first(), simulate._changes(before, after)
+    assert [r["slice_id"] for r in row["slice_added"]] == [x["slice_id"] for x in plain["slice_added"]]
+    assert [r["slice_id"] for r in row["slice_removed"]] == [x["slice_id"] for x in plain["slice_removed"]]
+    assert [tuple(r) for r in row["slice_moved"]] == [tuple(x.values()) for x in plain["slice_moved"]]
+    assert [tuple(r) for r in row["key_migrations"]] == [tuple(x.values()) for x in plain["key_migrations"]]
+    assert [(r["cluster"], list(r["slices_before"]), list(r["servers_after"])) for r in row["cluster_transitions"]] == [(x["cluster"], x["slices_before"], x["servers_after"]) for x in plain["cluster_transitions"]]
+    whole, own = layout.state(b).first(), simulate.state(after)
+    assert list(whole["key_to_slice"]) == own["key_to_slice"] and [list(x) for x in whole["cluster_to_servers"]] == own["cluster_to_servers"]
+    assert [r.asDict() for r in whole["slices"]] == own["slices"]
+
+
+def test_versions(spark):
+    from tidewater.operators import layout
+
+    slices = spark.createDataFrame([(1, 0, 1, 1.0, 0), (2, 1, 2, 1.0, 0)], "slice_id long, lo int, hi int, size double, server int")
+    v = layout.Versions(slices)
+    v.apply(layout.reassign, spark.createDataFrame([(2, 3)], "slice_id long, to int"))
+    assert sorted(r["server"] for r in v.now.collect()) == [0, 3]
+    assert v.undo() is slices
+    try:
+        v.undo()
+    except ValueError:
+        return
+    raise AssertionError("undone more than was done")
 
 
 def test_sweep(spark):
