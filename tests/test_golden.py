@@ -249,3 +249,18 @@ def test_assignment_near_the_bound():
         assert np.bincount(got, weights=load, minlength=16).max() <= 1.02 * rebalance.lower_bound(load, 16)
         near = rebalance.assign(size, load, now, cap, n, gap=0.2)
         assert (near != now).sum() <= (got != now).sum()
+
+
+def test_heat_over_gaps(spark):
+    """Ticks without a row cool a server, at the end of a chunk and for whole chunks, too."""
+    ticks = [1, 2, 1500, 2003, 2004, 3999, 8500, 8501]
+    work = spark.createDataFrame([(t, 0, 50.0) for t in ticks], "t int, server int, work double")
+    got = {r["t"]: (r["heat"], r["latency"]) for r in metrics.heat(work).collect()}
+    heat = 0.0
+    for t in range(1, 8502):
+        if t in ticks:
+            assert abs(got[t][1] - 50 * (1 + metrics.ALPHA * heat)) < 1e-9
+            heat += metrics.BETA * 50
+        heat *= 1 - metrics.DECAY
+        if t in ticks:
+            assert abs(got[t][0] - heat) < 1e-9

@@ -88,11 +88,12 @@ def heat(work: DataFrame, chunk: int = 2000) -> DataFrame:
     base = work.withColumn("chunk", F.floor((F.col("t") - 1) / chunk).cast("long"))
     own = Window.partitionBy("server", "chunk").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
     fresh = base.withColumn("n", n).withColumn("own", F.pow(F.lit(q), F.col("n") + 1) * F.sum(BETA * F.col("work") * F.pow(F.lit(q), -F.col("n"))).over(own))
-    ends = fresh.groupBy("server", "chunk").agg(F.max_by("own", "t").alias("left"))
-    # chunks fade to nothing: q ** chunk is 3e-18, so the last two are all that counts
-    last = lambda k: F.coalesce(F.lag("left", k).over(Window.partitionBy("server").orderBy("chunk")), F.lit(0.0)) * q ** (chunk * (k - 1))
-    ends = ends.withColumn("carried", last(1) + last(2)).drop("left")
-    out = fresh.join(ends, ["server", "chunk"]).withColumn("heat", F.col("own") + F.col("carried") * F.pow(F.lit(q), F.col("n")))
+    # chunks fade to nothing: q ** chunk is 3e-18, so what the last two left is all that counts
+    fresh = fresh.withColumn("end", F.col("own") * F.pow(F.lit(q), chunk - F.col("n")))
+    left = lambda k: F.max_by("end", "t").over(Window.partitionBy("server").orderBy("chunk").rangeBetween(-k, -k))
+    fresh = fresh.withColumn("left1", left(1)).withColumn("left2", left(2))
+    carried = F.coalesce("left1", F.lit(0.0)) + F.coalesce("left2", F.lit(0.0)) * q**chunk
+    out = fresh.withColumn("heat", F.col("own") + carried * F.pow(F.lit(q), F.col("n")))
     cold = _cooled(Window.partitionBy("server").orderBy("t"))
     return out.withColumn("latency", F.col("work") * (1 + ALPHA * cold)).select("t", "server", "work", "latency", "heat")
 
