@@ -7,7 +7,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tidewater.llm import common, exact_dedup, mixing, quality, simhash
+from tidewater.llm import common, exact_dedup, mixing, pieces, quality, simhash
 
 from ..conftest import SF
 from .helpers import odd_documents, prose, table
@@ -84,6 +84,15 @@ def test_exact_empty_and_clashing_columns(spark):
 CLASHING = ("__of", "__want", "__WORD", "__bits", "__sha", "__n", "__nth", "__id", "__copies", "__row", "size", "h", "a.b", "count")
 
 
+@pytest.mark.parametrize("operator", [simhash.near_duplicates, pieces.encode_decode, quality.quality, mixing.mix, exact_dedup.exact_dedup])
+def test_clashing_columns_are_ignored(spark, operator):
+    """Columns that are named like an operator's own change nothing, and results have the documented columns only."""
+    docs = table(spark, odd_documents())
+    got = operator(docs.withColumns({c: F.lit(c) for c in (*CLASHING, "fp", "key", "uid", "n_tokens", "kept", "target", "component_id")}))
+    want = operator(docs)
+    assert got.columns == want.columns and Counter(map(tuple, got.collect())) == Counter(map(tuple, want.collect()))
+
+
 @pytest.mark.parametrize("stage", [exact_dedup.drop_duplicates, simhash.drop_near_duplicates, mixing.mix_documents, quality.clean_documents])
 def test_extra_columns_come_through(spark, stage):
     """Columns that are named like an operator's own keep their values."""

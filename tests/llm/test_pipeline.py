@@ -4,11 +4,14 @@ import hashlib
 import re
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from tidewater.llm import mixing, pieces, quality
 
 from ..conftest import SF
-from .test_dedup import plain_classes, plain_components, plain_fingerprint
+from .helpers import odd_documents, prose, table
+from .test_dedup import plain_classes, plain_components, plain_fingerprint, plain_near_drop
 
 
 def test_stages(spark):
@@ -47,3 +50,44 @@ def test_stages(spark):
     rows = corpus_pipeline.run(spark, SF).collect()
     assert Counter((r["doc_id"], r["n_tokens"], r["ids_sha256"]) for r in rows) == +expected
     assert re.fullmatch("[0-9a-f]{64}", rows[0]["decoded_sha256"])
+
+
+def run_on(spark, tmp_path, docs):
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    return corpus_pipeline.run(spark, str(tmp_path))
+
+
+def test_odd_rows(spark, tmp_path):
+    """Nulls in each column, empty and very long texts, repeated rows and ids, ties, clashing columns: against plain stages."""
+    good = [(i, "\n".join(prose(i * 10 + k, 30) + "." for k in range(3)), "en", "x") for i in range(12)]
+    rows = odd_documents() + good + good[:3] + [(None, good[4][1], "en", None), (None, good[4][1] + " ", None, "y"), (3, prose(77, 90) + ".", "en", "x"), (3, prose(78, 90) + ".", None, None)]
+    rows += [(50, prose(79, 40_000) + ".", "en", "z"), (51, prose(79, 40_000) + ".", "en", "z")]
+    docs = table(spark, rows).withColumns({"kept": F.lit("clash"), "fp": F.lit("clash"), "size": F.lit("clash"), "__uid": F.lit("clash"), "a.b": F.lit("clash")})
+    got = Counter((r["doc_id"], r["n_tokens"]) for r in run_on(spark, tmp_path, docs).collect())
+    kept = []
+    for i, t, la, s in rows:
+        verdict, cleaned = quality.judge((t or "").encode())
+        if verdict["kept"]:
+            kept.append((i, cleaned.decode(), la, s))
+    best = {}  # exact copies: the longest, then the smallest id, none last
+    for at, (i, t, *_) in enumerate(kept):
+        body, key = re.sub(r"[\x20\x09-\x0D]", "", t), (-len(t), i is None, i or 0)
+        if body not in best or key < best[body][0]:
+            best[body] = key, at
+    kept = [kept[at] for _, at in sorted(best.values(), key=lambda x: x[1])]
+    near = plain_near_drop(kept)
+    kept = [r for r in kept if near[(r[0], r[1])]]
+    assert len(kept) > 10 and {None, 3} & {r[0] for r in kept}
+    # all sources share one target rule: what is mixed are copies of what was kept
+    model = pieces.pieces(pieces.model_path()).library
+    tokens = {(i, len(model.encode(t))) for i, t, *_ in kept}
+    assert set(got) <= tokens and max(got.values()) <= 3
+    mixed = mixing.mix(table(spark, kept)).collect()
+    assert sum(got.values()) == sum(r["taken"] // r["size"] for r in mixed if r["size"])
+
+
+def test_empty_tables(spark, tmp_path):
+    assert run_on(spark, tmp_path, table(spark, [])).count() == 0
+    bare = tmp_path / "bare"
+    bare.mkdir()
+    assert run_on(spark, bare, table(spark, [(1, None, None, None), (None, "", "en", "x"), (2, "short", "en", "x")])).count() == 0

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language, licenses, mixing, pieces, quality, secrets, simhash, token_counts, urls
+from . import bases, exact_dedup, language, licenses, mixing, pieces, quality, secrets, simhash, token_counts, urls
 
 _MODULES = (exact_dedup, quality, mixing, licenses, token_counts, urls, pieces, secrets, simhash, language)
 
 
 def queries() -> dict:
-    return {k: v for module in _MODULES for k, v in vars(module).items() if k.startswith("op") and k[2:3].isdigit()}
+    return {k: v for module in _MODULES for k, v in vars(module).items() if k.startswith("op") and k[2:3].isdigit()} | bases.QUERIES
 
 
 def oracle_sql() -> dict:
-    return {"op1_exact_dedup": exact_dedup.SQL, "op2_quality": quality.SQL}
+    return {"op1_exact_dedup": exact_dedup.SQL, "op2_quality": quality.SQL, **bases.SQL}

@@ -47,7 +47,11 @@ class Scratch:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The table; where its files give fewer partitions than there are cores, dealt out over these."""
+    """The table; where its files give fewer partitions than there are cores, dealt out over these.
+
+    Files are cut into parts of 4 MB where that is needed to give each core one, so what is dealt out is a table of under
+    4 MB a core.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     cores = spark.sparkContext.defaultParallelism
     return docs if docs.rdd.getNumPartitions() >= cores else docs.repartition(cores)

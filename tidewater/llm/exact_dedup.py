@@ -241,7 +241,7 @@ def exact_dedup(docs: DataFrame, in_snapshot=None, digest_len: int = 32) -> Data
         all_rows = scratch.save(all_rows.join(bodies, same, "left").select(all_rows["doc_id"], whole, all_rows["n_cp"], all_rows["sha"], all_rows["uid"]), "regrouped")
         classes = scratch.save(_grouped(all_rows), "regrouped_classes")
         classed = scratch.save(with_key(all_rows, classes, "key", "members", total), "reclassed")
-    scratch.drop("multi_ids", "spans", "mixed_ids", "bodies")
+    scratch.drop("multi_ids", "spans", "mixed_ids", "bodies", "digests", "classes", "regrouped", "regrouped_classes")
     best = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("n_cp") == -F.col("best.neg"))
     classed = classed.withColumn("kept", best)
     # of fully repeated rows the first stays

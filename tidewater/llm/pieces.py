@@ -9,7 +9,7 @@ per Arrow batch; where they differ (none is known) the library's ids hold and th
 
 Null and empty texts have no ids and decode to the empty text. Any code point is allowed; U+2581 is a space to the
 library and so it is here. Very long words use a heap, so time stays n log n. Repeated rows give repeated results; other columns
-are ignored.
+are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations

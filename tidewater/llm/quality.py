@@ -5,7 +5,7 @@ document whose failed lines hold more than MAX_LOST of its words is rejected, an
 (under 50 words, or over half of its words inside repeated 3-word windows).
 
 Null and empty texts have no words: they fail the base rules. Lines without a word are neither failed nor counted.
-Repeated rows are judged alike, row by row; other columns are ignored by quality(), and kept by clean_documents().
+Texts of any length are judged whole; an empty table gives an empty result. Repeated rows are judged alike, row by row; other columns are ignored by quality(), and kept by clean_documents().
 """
 
 from __future__ import annotations
