@@ -156,5 +156,17 @@ def test_odd_rows(spark):
     assert mixing.mix(table(spark, [(1, None, "en", "x"), (2, "", None, None)])).count() == 2
 
 
+def test_repeated_rows_are_drawn_together(spark):
+    """Rows of one doc_id (or none) and text are all taken alike, and are one row where rows are ordered."""
+    rows = corpus()[:200] + [(None, prose(5, 30), "en", "s0")] * 40 + [(7000, prose(6, 30), "en", "s1")] * 3
+    docs = table(spark, rows)
+    m = mixing.Mix(docs)
+    got = mixing.mix(docs).collect()
+    assert len(got) == len(rows) and len({r["taken"] for r in got if r["doc_id"] is None}) == 1 and len({r["taken"] for r in got if r["doc_id"] == 7000}) == 1
+    copies = Counter(r["doc_id"] for r in mixing.mix_documents(docs).collect())
+    assert sum(copies.values()) == sum(r["taken"] // r["size"] for r in got if r["size"])
+    assert m.picked.count() == m.picked.distinct().count()
+
+
 def test_query(spark):
     assert mixing.op3_mixing(spark, SF).count() == spark.read.parquet(f"{SF}/documents.parquet").count()

@@ -33,7 +33,7 @@ def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def secret_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The numbers of base spans of operator 8."""
-    return secrets.op8_secrets(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+    return secrets.scan_secrets(documents(spark, sf_dir), base_only=True).select("doc_id", "n_assign", "n_access", "n_hex")
 
 
 QUERIES = {f.__name__: f for f in (mixing_targets, license_phrases, word_totals, url_rules, secret_patterns)}

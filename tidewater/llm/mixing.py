@@ -12,8 +12,9 @@ rank order whose words come nearest.
 
 u comes from a hash of doc_id and text: reruns agree, and rows that share a doc_id (or have none) are spread over the
 ranges. Ties go by doc_id, then size. Null and empty texts have size 0 and are not taken. A null source is a source.
-Repeated rows are drawn row by row in mix(); mix_documents() decides by source and hash. Other columns are ignored by
-mix() and kept by mix_documents(). An empty table gives an empty result.
+Rows of a source that repeat both doc_id and text have one draw: all of them are taken or none, so however many there are,
+they are one row where rows are ordered. Texts of any length are counted whole. Other columns are ignored by mix() and
+kept by mix_documents(). An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -93,12 +94,12 @@ def _with(df: DataFrame, plan: DataFrame, *on: str) -> DataFrame:
 
 
 def _fit(pdf: pd.DataFrame, strict: bool = False) -> pd.DataFrame:
-    """Of one source's last candidates, in rank order, those that are taken."""
+    """Of one source's last candidates, in rank order, the draws that are taken; size is that of all rows of a draw."""
     pdf = pdf.sort_values(["key", "doc_id", "size"], kind="stable", na_position="last")
     sizes, left = pdf["size"].to_numpy(float), float(pdf["left"].iloc[0])
     if strict:
         picked = np.arange(len(pdf)) < np.abs(left - np.concatenate([[0], np.cumsum(sizes)])).argmin()
-        return pdf.assign(picked=picked)[["doc_id", "source", "size", "h", "picked"]]
+        return pdf.assign(picked=picked)[["source", "h", "picked"]]
     picked = np.zeros(len(pdf), bool)
     for k, size in enumerate(sizes):
         if size <= left:
@@ -106,7 +107,7 @@ def _fit(pdf: pd.DataFrame, strict: bool = False) -> pd.DataFrame:
     over = np.where(picked, np.inf, np.abs(sizes - left))
     if len(over) and over.min() < left:  # one more comes nearer than none
         picked[int(over.argmin())] = True
-    return pdf.assign(picked=picked)[["doc_id", "source", "size", "h", "picked"]]
+    return pdf.assign(picked=picked)[["source", "h", "picked"]]
 
 
 def _crossing(scratch: Scratch, ranges: DataFrame, limits: DataFrame, column: str) -> DataFrame:
@@ -152,28 +153,30 @@ class Mix:
         self.inside = F.col("key").isNotNull() & F.col("first").isNotNull() & F.col("range").between(F.col("first"), F.col("last"))
         before = F.col("key").isNotNull() & (F.col("first").isNull() | (F.col("range") < F.col("first")))
         self.extra = F.coalesce(before, F.lit(False)).cast("long")
-        window = self.ranked.where(self.inside).select("doc_id", "source", "size", "h", "key", "left")
-        self.fit = scratch.save(window.groupBy("source").applyInPandas(lambda pdf: _fit(pdf, strict), f"doc_id long, source {kind}, size long, h long, picked boolean"), "fit")
+        window = self.ranked.where(self.inside).groupBy("source", "h", "key", "left").agg(F.min("doc_id").alias("doc_id"), F.sum("size").alias("size"))
+        fit = window.groupBy("source").applyInPandas(lambda pdf: _fit(pdf, strict), f"source {kind}, h long, picked boolean")
+        self.picked = scratch.save(fit.where("picked").select(F.col("source").alias("p_source"), F.col("h").alias("p_h")).distinct(), "picked")
+
+    def taken(self, rows_: DataFrame) -> DataFrame:
+        """rows_ of the plan (ranked) with `more`: 1 where a copy beyond the whole ones is taken."""
+        inside = rows_.withColumn("__in", F.coalesce(self.inside, F.lit(False)))
+        own = inside.join(self.picked, F.col("__in") & F.col("source").eqNullSafe(F.col("p_source")) & (F.col("h") == F.col("p_h")), "left")
+        return own.withColumn("more", F.when(F.col("__in"), F.col("p_h").isNotNull().cast("long")).otherwise(self.extra)).drop("__in", "p_source", "p_h")
 
 
 def mix(docs: DataFrame, strict: bool = False) -> DataFrame:
     """doc_id, size, source_size, target, taken of every document."""
     m = Mix(docs, strict)
-    clear = m.ranked.where(~F.coalesce(m.inside, F.lit(False))).select("doc_id", "source", "size", "cls", m.extra.alias("extra"))
-    fit = m.fit.select("doc_id", "source", "size", _class().alias("cls"), F.col("picked").cast("long").alias("extra"))
-    both = _with(_with(clear.unionByName(fit), m.expected, "source", "cls"), m.targets, "source")
-    return both.select("doc_id", "size", "source_size", "target", ((F.floor("e").cast("long") + F.col("extra")) * F.col("size")).alias("taken"))
+    own = _with(m.taken(m.ranked).select("doc_id", "source", "size", "whole", "more"), m.targets, "source")
+    return own.select("doc_id", "size", "source_size", "target", ((F.col("whole") + F.col("more")) * F.col("size")).alias("taken"))
 
 
 def mix_documents(docs: DataFrame) -> DataFrame:
     """The mixed documents, all columns, each as often as it is taken."""
     m = Mix(docs)
-    picked = m.scratch.save(m.fit.where("picked").select(F.col("source").alias("p_source"), F.col("h").alias("p_h")).distinct(), "picked")
     own = _sized(docs.select(F.struct("*").alias("__row"), F.col("doc_id").cast("long").alias("doc_id"), "source", "text"))
-    own = _with(_keyed(_with(own.withColumn("cls", _class()), m.expected, "source", "cls")), m.cuts, "source")
-    own = own.join(picked, F.col("source").eqNullSafe(F.col("p_source")) & (F.col("h") == F.col("p_h")), "left")
-    extra = F.when(F.coalesce(m.inside, F.lit(False)), F.col("p_h").isNotNull().cast("long")).otherwise(m.extra)
-    copies = F.when(F.col("size") > 0, F.col("whole") + extra).otherwise(0)
+    own = m.taken(_with(_keyed(_with(own.withColumn("cls", _class()), m.expected, "source", "cls")), m.cuts, "source"))
+    copies = F.when(F.col("size") > 0, F.col("whole") + F.col("more")).otherwise(0)
     return own.select("__row", F.explode(F.array_repeat(F.lit(0), copies.cast("int"))).alias("__nth")).select("__row.*")
 
 

@@ -531,10 +531,13 @@ def _scanned(text: bytes, found: list[list[int]]) -> tuple:
     return *n[:3], hashlib.sha256(show(base).encode()).hexdigest(), show(every), n[3]
 
 
-def scan_secrets(docs: DataFrame, field: Field | None = None) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_crf of every document; without a field one is fitted first."""
+def scan_secrets(docs: DataFrame, field: Field | None = None, base_only: bool = False) -> DataFrame:
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_crf of every document; without a field one is fitted first.
+
+    base_only: the base patterns alone, without a field.
+    """
     spark = docs.sparkSession
-    field = train(docs) if field is None else field
+    field = train(docs) if field is None and not base_only else field
     sent = spark.sparkContext.broadcast(field)  # at most TRAIN_RUNS runs' features
     schema = pa.schema([("doc_id", pa.int64()), ("n_assign", pa.int64()), ("n_access", pa.int64()), ("n_hex", pa.int64()), ("base_sha256", pa.string()), ("spans", pa.string()), ("n_crf", pa.int64())])
 
