@@ -7,7 +7,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidewater.llm import mixing, pieces, quality
+from tidewater.llm import common, mixing, pieces, quality
 
 from ..conftest import SF
 from .helpers import odd_documents, prose, table
@@ -91,3 +91,19 @@ def test_empty_tables(spark, tmp_path):
     bare = tmp_path / "bare"
     bare.mkdir()
     assert run_on(spark, bare, table(spark, [(1, None, None, None), (None, "", "en", "x"), (2, "short", "en", "x")])).count() == 0
+
+
+def test_batches_are_bounded(spark):
+    """A larger bound of the session is lowered, a smaller one stays; results do not depend on it."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = common.documents(spark, SF)
+    found = []
+    try:
+        for given, want in (("64m", str(common.BATCH_BYTES)), ("1k", "1k")):
+            spark.conf.set(key, given)
+            encoded = corpus_pipeline.encode(spark, corpus_pipeline.quality_rules(spark, docs, SF), SF)
+            found.append(sorted(encoded.collect()))
+            assert spark.conf.get(key).removesuffix("b") == want
+    finally:
+        spark.conf.unset(key)
+    assert found[0] and found[0] == found[1]

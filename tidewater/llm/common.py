@@ -46,6 +46,24 @@ class Scratch:
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Bytes of an Arrow batch of texts; a longer text is a batch of its own.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """df, in whose session Arrow batches hold BATCH_BYTES at most, or what the session sets where that is less.
+
+    Each task has such batches in its JVM and its Python worker, so Spark's own bound of 64 MB fills an executor of
+    many cores. Results do not depend on it.
+    """
+    spark = df.sparkSession
+    now = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(_BATCH))
+    if now > BATCH_BYTES:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+    return df
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The table; where its files give fewer partitions than there are cores, dealt out over these.
 

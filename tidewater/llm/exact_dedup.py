@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, Scratch, code_points, columns, documents, fresh, hot, null_safe, parted, rows, screened, table, with_key, without
+from .common import SPACES, Scratch, bounded, code_points, columns, documents, fresh, hot, null_safe, parted, rows, screened, table, with_key, without
 
 #: Snapshot keys in one filter, and parts in which the texts of a hot class are compared.
 BUCKET_KEYS, SALTS = 65_536, 256
@@ -122,7 +122,7 @@ def _digest(digest_len: int, with_text: bool):
 
 def digests(docs: DataFrame, digest_len: int = 32) -> DataFrame:
     """doc_id, key (the digest that classes go by), n_cp, sha: one narrow row per document."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_digest(digest_len, False), "doc_id long, key binary, n_cp long, sha binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").transform(bounded).mapInArrow(_digest(digest_len, False), "doc_id long, key binary, n_cp long, sha binary")
 
 
 def _grouped(df: DataFrame) -> DataFrame:
@@ -200,7 +200,7 @@ def ingest(scratch: Scratch, snapshot: Snapshot, incoming: DataFrame) -> DataFra
 def _bodies(docs: DataFrame, ids: DataFrame, digest_len: int) -> DataFrame:
     """doc_id, key, n_cp, body of the documents that may have one of the ids."""
     maybe, _ = screened(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ids)
-    return maybe.mapInArrow(_digest(digest_len, True), "doc_id long, key binary, n_cp long, body binary")
+    return maybe.transform(bounded).mapInArrow(_digest(digest_len, True), "doc_id long, key binary, n_cp long, body binary")
 
 
 def _mixed(scratch: Scratch, docs: DataFrame, classed: DataFrame, classes: DataFrame, total: int, digest_len: int) -> DataFrame:

@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, rows, table
+from .common import bounded, documents, rows, table
 
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 #: Short notices as words, by label; a label may have several.
@@ -180,7 +180,7 @@ def scan_licenses(docs: DataFrame, found: dict[str, str] = NOTICES, error_every:
         for batch in batches:
             yield table(_SCHEMA, [(doc_id, *scan(text or b"", search)) for doc_id, text in rows(batch, "text")])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").transform(bounded).mapInArrow(run, "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans string")
 
 
 def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

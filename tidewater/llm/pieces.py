@@ -26,7 +26,7 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, rows, table
+from .common import bounded, documents, rows, table
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
@@ -350,7 +350,7 @@ def encode_decode(docs: DataFrame, path: str | None = None) -> DataFrame:
         for done in coded(path, batches, of):
             yield table(schema, done)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_mismatch long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").transform(bounded).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_mismatch long")
 
 
 def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, code_points, documents, rows, table
+from .common import SPACES, bounded, code_points, documents, rows, table
 
 MIN_WORDS, MAX_LOST = 50, 0.5
 SYMBOLS = b"#*$%&|<>"
@@ -108,7 +108,7 @@ def _judged(batches):
 def quality(docs: DataFrame) -> DataFrame:
     """doc_id and the figures and verdict of every document."""
     schema = "doc_id long, " + ", ".join(f"{f} {_TYPES.get(f, 'long')}" for f in _FIELDS)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_judged, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").transform(bounded).mapInArrow(_judged, schema)
 
 
 def clean_documents(docs: DataFrame) -> DataFrame:
@@ -128,7 +128,7 @@ def clean_documents(docs: DataFrame) -> DataFrame:
 
     # by place, as names with dots cannot be sent to Arrow
     placed = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
-    out = placed.mapInArrow(run, placed.schema).toDF(*docs.columns)
+    out = placed.transform(bounded).mapInArrow(run, placed.schema).toDF(*docs.columns)
     return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SLICE, Scratch, code_points, documents, rows, table
+from .common import SLICE, Scratch, bounded, code_points, documents, rows, table
 
 ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I)
 ACCESS, HEX = re.compile(rb"AKIA[A-Z0-9]+"), re.compile(rb"[0-9a-f]{24,}")
@@ -363,7 +363,7 @@ def train(docs: DataFrame, limit: int = TRAIN_RUNS) -> Field | None:
     chosen = docs.where(F.xxhash64(F.col("doc_id").cast("long")) <= F.lit(cut))
     # about three times the pieces wanted, at eight bytes a token
     share = min(1.0, 3 * limit * PIECE * 8 / max(1, part * (size or 0)))
-    found = chosen.select("doc_id", "text").mapInArrow(lambda b: _samples(b, share), "labelled boolean, rank double, tokens array<binary>, tight array<boolean>, y array<long>, file array<string>")
+    found = chosen.select("doc_id", "text").transform(bounded).mapInArrow(lambda b: _samples(b, share), "labelled boolean, rank double, tokens array<binary>, tight array<boolean>, y array<long>, file array<string>")
     found = scratch.save(found, "pieces")
     data, weights, copies = [], [], []
     own, near = functools.cache(own_features), functools.cache(lambda t: [sys.intern(f) for f in near_features(t)])
@@ -549,7 +549,7 @@ def scan_secrets(docs: DataFrame, field: Field | None = None, base_only: bool =
                 texts = (text or b"" for text in part.column(1).cast(pa.binary()).to_pylist())
                 yield table(schema, [(doc_id, *found) for doc_id, found in zip(part.column(0).to_pylist(), scans(texts, own))])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_crf long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").transform(bounded).mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_crf long")
 
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

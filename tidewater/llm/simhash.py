@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, columns, documents, fresh, parted, rows, table, with_key, without
+from .common import Scratch, bounded, columns, documents, fresh, parted, rows, table, with_key, without
 
 SHINGLE, SEED, MAX_BITS, TILE, WIDTH = 4, 42, 4, 4096, 3
 MIN_SHARED = 8 - MAX_BITS
@@ -74,7 +74,7 @@ def _fingerprints(batches):
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_fingerprints, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").transform(bounded).mapInArrow(_fingerprints, "doc_id long, fp long")
 
 
 # ---- links
@@ -207,7 +207,7 @@ def _with_fingerprint(docs: DataFrame, name: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*part.columns, fps], names=[*part.schema.names, "fp"])
 
     schema = T.StructType([*placed.schema.fields, T.StructField("fp", T.LongType())])
-    return placed.mapInArrow(run, schema).toDF(*docs.columns, name)
+    return placed.transform(bounded).mapInArrow(run, schema).toDF(*docs.columns, name)
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, documents
+from .common import Scratch, bounded, documents
 from .pieces import SPACE, model_path, pieces
 
 #: Version names change with the tokenizer: counts of different ones never add up.
@@ -88,7 +88,7 @@ def _tokenised(changes: DataFrame) -> DataFrame:
     """op, doc_id, source, lang, h (a hash of text, source and lang), words, pieces."""
     own = [F.col("op").cast("string").alias("op"), F.col("doc_id").cast("long").alias("doc_id"), *(F.col(c).cast("string").alias(c) for c in ("source", "lang"))]
     given = changes.select(*own, F.xxhash64("text", "source", "lang").alias("h"), F.col("text").cast("string").alias("text"))
-    return given.mapInArrow(_counted, "op string, doc_id long, source string, lang string, h long, words long, pieces long")
+    return given.transform(bounded).mapInArrow(_counted, "op string, doc_id long, source string, lang string, h long, words long, pieces long")
 
 
 def _by_tokenizer(counted: DataFrame) -> DataFrame:
