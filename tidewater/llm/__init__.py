@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bases, exact_dedup, language, licenses, mixing, pieces, quality, secrets, simhash, token_counts, urls
+from . import bases, chat, exact_dedup, language, licenses, mixing, pieces, quality, ranking, secrets, simhash, token_counts, urls, variants
 
-_MODULES = (exact_dedup, quality, mixing, licenses, token_counts, urls, pieces, secrets, simhash, language)
+_MODULES = (exact_dedup, quality, mixing, licenses, token_counts, urls, pieces, secrets, simhash, language, variants, chat, ranking)
 
 
 def queries() -> dict:
@@ -12,4 +12,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op1_exact_dedup": exact_dedup.SQL, "op2_quality": quality.SQL, **bases.SQL}
+    return {"op1_exact_dedup": exact_dedup.SQL, "op2_quality": quality.SQL, "op12_chat": chat.SQL, "op13_search": ranking.SQL, **bases.SQL}
