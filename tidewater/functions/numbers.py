@@ -9,9 +9,19 @@ from pyspark.sql import functions as F
 EPS = 1e-12
 
 
+#: Hexadecimal digits of a draw: 52 bits, all of which a double holds.
+DIGITS = 13
+
+
+def bits(a: Column, b: Column) -> Column:
+    """52 random bits for a pair of integers (a key and a counter): the head of the MD5 of "a:b", which any engine can repeat."""
+    digest = F.md5(F.concat(a.cast("string"), F.lit(":"), b.cast("string")).cast("binary"))
+    return F.conv(F.substring(digest, 1, DIGITS), 16, 10).cast("long")
+
+
 def uniform(a: Column, b: Column) -> Column:
-    """A repeatable value in [0, 1) for a pair of integers, by integer arithmetic that any engine can repeat."""
-    return ((a * 7919 + b * 104729) % 100003) / F.lit(100003.0)
+    """A repeatable value in [0, 1) for a pair of integers; values of different pairs are independent draws."""
+    return bits(a, b) / F.lit(float(16**DIGITS))
 
 
 def half_even(x: Column) -> Column:

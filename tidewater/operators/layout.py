@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import EPS
+from ..sources.shared import written
+from .intervals import missed, point_join
+from .ordered import numbered
 
 COLUMNS = ("slice_id", "lo", "hi", "size", "server")
 
@@ -39,16 +42,24 @@ def chunked(keys: DataFrame, chunk: int, n_servers: int) -> DataFrame:
     return out.select((F.col("n") + 1).cast("long").alias("slice_id"), "lo", "hi", "size", (F.col("n") % n_servers).alias("server"))
 
 
+def cut(cuts: DataFrame, end: DataFrame) -> DataFrame:
+    """slice_id, lo, hi of the ranges that begin at 0 and at each cut, up to `end` (one row)."""
+    starts = cuts.select(F.col("cut").cast("long").alias("lo")).unionByName(cuts.sparkSession.range(1).select(F.col("id").alias("lo"))).distinct()
+    own = written(numbered(starts, ["lo"], "slice_id"))
+    after = own.select((F.col("slice_id") - 1).alias("slice_id"), F.col("lo").alias("hi"))
+    return own.join(after, "slice_id", "left").join(F.broadcast(end), F.lit(True)).select("slice_id", "lo", F.coalesce("hi", "end").cast("long").alias("hi"))
+
+
+def open_ended(cuts: DataFrame, end: int) -> DataFrame:
+    """The cuts (version, lo, ...) with hi: the version's next cut, or the end. A version's cuts are few."""
+    return cuts.withColumn("hi", F.coalesce(F.lead("lo").over(Window.partitionBy("version").orderBy("lo")), F.lit(end)))
+
+
 def from_cuts(keys: DataFrame, cuts: DataFrame, n_servers: int) -> DataFrame:
     """Ranges that begin at key 0 and at each cut, dealt to servers in turn."""
-    n_keys = keys.agg((F.max("k") + 1).alias("n_keys"))
-    starts = cuts.select(F.col("cut").alias("lo")).unionByName(n_keys.select(F.lit(0).alias("lo"))).distinct()
-    order = Window.orderBy("lo")
-    ranges = starts.withColumn("n", F.row_number().over(order)).withColumn("next", F.lead("lo").over(order))
-    ranges = ranges.join(F.broadcast(n_keys), F.lit(True)).withColumn("hi", F.coalesce("next", "n_keys"))  # n_keys: one row
-    keyed = ranges.withColumn("k", F.explode(F.sequence("lo", F.col("hi") - 1)))
-    out = keyed.join(keys, "k").groupBy("n", "lo", "hi").agg(F.sum("size").alias("size"))
-    return out.select(F.col("n").cast("long").alias("slice_id"), "lo", "hi", "size", ((F.col("n") - 1) % n_servers).alias("server"))
+    ranges = cut(cuts, keys.agg((F.max("k") + 1).alias("end")))
+    out = point_join(keys.select("k", "size"), ranges, "k").groupBy("slice_id", "lo", "hi").agg(F.sum("size").alias("size"))
+    return out.select("slice_id", F.col("lo").cast("int").alias("lo"), F.col("hi").cast("int").alias("hi"), "size", ((F.col("slice_id") - 1) % n_servers).cast("int").alias("server"))
 
 
 def keymap(slices: DataFrame) -> DataFrame:
@@ -64,7 +75,7 @@ def primaries(slices: DataFrame) -> DataFrame:
 
 
 def uncovered(keys: DataFrame, slices: DataFrame) -> DataFrame:
-    return keys.join(keymap(slices), "k", "left_anti").select("k")
+    return missed(keys, slices, "k")
 
 
 def over_capacity(slices: DataFrame, servers: DataFrame) -> DataFrame:

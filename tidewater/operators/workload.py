@@ -9,10 +9,14 @@ from ..functions.numbers import half_even, uniform
 
 
 def zipf(spark: SparkSession, n: int, s: float, seed: int = 1) -> DataFrame:
+    """Popularity of the keys 0 ... n - 1."""
+    return popularity(spark.range(0, n, 1, 1).select(F.col("id").cast("int").alias("k")), s, seed)
+
+
+def popularity(keys: DataFrame, s: float, seed: int = 1) -> DataFrame:
     """k, prob: weights 1 / rank ** s in a repeatable shuffle of the keys, summing to 1."""
-    keys = spark.range(0, n, 1, 1).select(F.col("id").cast("int").alias("k"))
     rank = F.row_number().over(Window.orderBy(uniform(F.col("k"), F.lit(seed)), "k"))
-    weight = keys.withColumn("w", 1 / F.pow(rank.cast("double"), F.lit(s)))
+    weight = keys.select("k").withColumn("w", 1 / F.pow(rank.cast("double"), F.lit(s)))
     return weight.select("k", (F.col("w") / F.sum("w").over(Window.partitionBy())).alias("prob"))
 
 

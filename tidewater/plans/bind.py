@@ -2,6 +2,7 @@
 
 events: a tick is an hour from 1, a key user_id % 20, the cost `value`; 8 servers.
 lineitem: a tick is a ship month from 1, a key l_partkey % 100, the cost l_quantity; 16 servers.
+Keys, their sizes and the servers come from customer, so layouts do.
 """
 
 from __future__ import annotations
@@ -36,12 +37,15 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def keys(spark: SparkSession, n: int) -> DataFrame:
-    return spark.range(0, n, 1, 1).select(F.col("id").cast("int").alias("k"), (1 + F.col("id") * 7 % 5).cast("double").alias("size"))
+def keys(customers: DataFrame, n: int) -> DataFrame:
+    """k, size: customers by their number, and a size from 1 to 5 from their nations."""
+    k = (F.col("c_custkey") % n).cast("int").alias("k")
+    return customers.groupBy(k).agg((1 + F.sum("c_nationkey") % 5).cast("double").alias("size"))
 
 
-def servers(spark: SparkSession, n: int) -> DataFrame:
-    return spark.range(0, n, 1, 1).select(F.col("id").cast("int").alias("server"), (40 + F.col("id") % 3 * 5).cast("double").alias("capacity"))
+def servers(customers: DataFrame, n: int) -> DataFrame:
+    server = (F.col("c_custkey") % n).cast("int").alias("server")
+    return customers.select(server).distinct().select("server", (40 + F.col("server") % 3 * 5).cast("double").alias("capacity"))
 
 
 def home_layout(keys_: DataFrame, n_servers: int) -> DataFrame:
@@ -65,9 +69,10 @@ def bound(spark: SparkSession, sf_dir: str, data: str = "events") -> Bound:
     else:
         month = (F.year("l_shipdate") - 1995) * 12 + F.month("l_shipdate")
         work = read(spark, sf_dir, "lineitem").select(month.cast("int").alias("t"), (F.col("l_partkey") % 100).cast("int").alias("k"), F.col("l_quantity").alias("cost"))
-    own = keys(spark, n_keys)
+    customers = read(spark, sf_dir, "customer")
+    own = keys(customers, n_keys)
     home = home_layout(own, n_servers)
-    return Bound(work, own, spread(home, n_servers), home, servers(spark, n_servers))
+    return Bound(work, own, spread(home, n_servers), home, servers(customers, n_servers))
 
 
 def prelude(data: str) -> str:
@@ -78,8 +83,8 @@ def prelude(data: str) -> str:
     }[data]
     return f"""
 WITH ev AS ({rows}),
-keys AS (SELECT CAST(range AS INTEGER) AS k, CAST(1 + range * 7 % 5 AS DOUBLE) AS size FROM range({n_keys})),
-servers AS (SELECT CAST(range AS INTEGER) AS server, CAST(40 + range % 3 * 5 AS DOUBLE) AS capacity FROM range({n_servers})),
+keys AS (SELECT CAST(c_custkey % {n_keys} AS INTEGER) AS k, CAST(1 + sum(c_nationkey) % 5 AS DOUBLE) AS size FROM customer GROUP BY 1),
+servers AS (SELECT server, CAST(40 + server % 3 * 5 AS DOUBLE) AS capacity FROM (SELECT DISTINCT CAST(c_custkey % {n_servers} AS INTEGER) AS server FROM customer)),
 part AS (SELECT k, size, CAST(unnest(range(2 + k % 4)) AS INTEGER) AS p FROM keys),
 weighted AS (SELECT *, CAST(0.2 AS DOUBLE) + CAST((k * 31 + p * 17) % 100 AS DOUBLE) / 100 AS w FROM part),
 home AS (SELECT row_number() OVER (ORDER BY k, p) AS slice_id, k AS lo, k + 1 AS hi, size * w / sum(w) OVER (PARTITION BY k) AS size, k % {n_servers} AS server FROM weighted),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.numbers import ratio
 from ..operators import layout, metrics, routing
 from ..sources.shared import written
-from .bind import bound, query, servers
+from .bind import bound, query
 
 
 def _loads(b):
@@ -303,7 +303,7 @@ def server_pivot(spark, sf_dir):
 def guarded_scalars(spark, sf_dir):
     from ..functions.numbers import half_even, ratio
 
-    s = servers(spark, 8)
+    s = bound(spark, sf_dir).servers
     return s.select("server", half_even(F.col("server") * 12.5).alias("half_even"), ratio(F.col("capacity"), F.when(F.col("server") % 2 == 0, 7.0).otherwise(0.0)).alias("guarded"))
 
 

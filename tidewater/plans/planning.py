@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import uniform
 from ..operators import planner, workload
-from .bind import bound, events, query
+from .bind import bound, events, query, read
 
-_U = "CAST(({a} * 7919 + {b} * 104729) % 100003 AS DOUBLE) / 100003"
+_U = "CAST(CAST('0x' || substr(md5(CAST({a} AS VARCHAR) || ':' || CAST({b} AS VARCHAR)), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496"
 
 
 def u(a: str, b: str) -> str:
@@ -18,9 +18,13 @@ def u(a: str, b: str) -> str:
 _ZIPF = f", zipf AS (SELECT k, w / sum(w) OVER () AS prob FROM (SELECT k, 1 / power(row_number() OVER (ORDER BY {u('k', '1')}, k), CAST(1.1 AS DOUBLE)) AS w FROM keys))"
 
 
+def _zipf(spark, sf_dir):
+    return workload.popularity(bound(spark, sf_dir).keys, 1.1)
+
+
 @query(_ZIPF + " SELECT k, round(prob, 6) AS prob FROM zipf")
 def zipf_weights(spark, sf_dir):
-    return workload.zipf(spark, 20, 1.1)
+    return _zipf(spark, sf_dir)
 
 
 @query("SELECT CAST(n_servers * 10000 AS BIGINT) AS requests_mean, CAST(n_servers * 2000 AS BIGINT) AS requests_std, CAST(n_servers * 4000 AS BIGINT) AS requests_min, CAST(n_servers * 16000 AS BIGINT) AS requests_max FROM (SELECT server + 1 AS n_servers FROM servers)")
@@ -62,37 +66,38 @@ def query_rows(spark, sf_dir):
     return workload.queries(_requests(spark, sf_dir))
 
 
-@query(f""", q AS (SELECT CAST(range + 1 AS BIGINT) AS qid FROM range(1000)), e AS (SELECT DISTINCT (qid - 1) // 100 AS epoch FROM q),
+@query(f""", q AS (SELECT CAST(event_id + 1 AS BIGINT) AS qid FROM ev), e AS (SELECT DISTINCT (qid - 1) // 100 AS epoch FROM q),
 r AS (SELECT epoch, k, row_number() OVER (PARTITION BY epoch ORDER BY {u('k', 'epoch')}, k) AS n FROM e CROSS JOIN keys),
 h AS (SELECT epoch, CAST(to_json(list(k ORDER BY k)) AS VARCHAR) AS hot FROM r WHERE n <= 3 GROUP BY epoch)
 SELECT qid, epoch, (qid - 1) % 100 < 30 AS active, CASE WHEN (qid - 1) % 100 < 30 THEN hot ELSE '[]' END AS hot FROM q JOIN h ON h.epoch = (qid - 1) // 100""")
 def spike_hotset(spark, sf_dir):
-    out = workload.spikes(spark.range(1, 1001).withColumnRenamed("id", "qid"), 20, 100, 30, 3)
+    out = workload.spikes(events(spark, sf_dir).select((F.col("event_id") + 1).alias("qid")), 20, 100, 30, 3)
     return out.withColumn("hot", F.to_json("hot"))
 
 
-_BURSTS = f", bursts AS (SELECT CAST(range AS INTEGER) AS burst_id, CAST(greatest(1, least(60, greatest(5, CAST(round_even(30 + 10 * {_NORMAL.replace('(t ', '(range ')}, 0) AS BIGINT)))) AS BIGINT) AS burst_len FROM range(1, 30))"
+_BURSTS = f", bursts AS (SELECT CAST(s_suppkey AS INTEGER) AS burst_id, CAST(greatest(1, least(60, greatest(5, CAST(round_even(30 + 10 * {_NORMAL.replace('CAST(t ', 'CAST(s_suppkey ')}, 0) AS BIGINT)))) AS BIGINT) AS burst_len FROM supplier)"
 
 
-def _bursts(spark):
-    ids = spark.range(1, 30).select(F.col("id").cast("int").alias("burst_id"))
+def _bursts(spark, sf_dir):
+    """A burst for each supplier."""
+    ids = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("int").alias("burst_id"))
     return ids.select("burst_id", workload.burst_length(_gauss(F.col("burst_id")), 30.0, 10.0, 5, 60).cast("long").alias("burst_len"))
 
 
 @query(_BURSTS + " SELECT burst_id, burst_len FROM bursts")
 def burst_lengths(spark, sf_dir):
-    return _bursts(spark)
+    return _bursts(spark, sf_dir)
 
 
 @query(_BURSTS + """, upto AS (SELECT *, sum(burst_len) OVER (ORDER BY burst_id) AS last_t FROM bursts), tick AS (SELECT burst_id, burst_len, last_t, unnest(range(CAST(last_t - burst_len + 1 AS BIGINT), CAST(last_t + 1 AS BIGINT))) AS t FROM upto)
 SELECT CAST(t AS BIGINT) AS t, burst_id, CAST(t = last_t - burst_len + 1 AS INTEGER) AS burst_start, burst_len, CAST(last_t - t + 1 AS BIGINT) AS burst_remaining FROM tick""")
 def burst_timeline(spark, sf_dir):
-    return workload.burst_ticks(_bursts(spark))
+    return workload.burst_ticks(_bursts(spark, sf_dir))
 
 
 @query(_BURSTS + f" SELECT burst_id, burst_len, CASE WHEN {u('burst_id', '5')} < 0.3 THEN 'alt' ELSE 'primary' END AS burst_mode FROM bursts")
 def burst_modes(spark, sf_dir):
-    return workload.burst_modes(_bursts(spark), uniform(F.col("burst_id"), F.lit(5)) < 0.3)
+    return workload.burst_modes(_bursts(spark, sf_dir), uniform(F.col("burst_id"), F.lit(5)) < 0.3)
 
 
 _HOTSET = _BURSTS + f", hot AS (SELECT burst_id, k, row_number() OVER (PARTITION BY burst_id ORDER BY {u('k', 'burst_id')}, k) AS place FROM bursts CROSS JOIN keys), weighted_hot AS (SELECT burst_id, k, place, power(CAST(place AS DOUBLE), CAST(-1.2 AS DOUBLE)) AS w FROM hot WHERE place <= 4)"
@@ -102,7 +107,7 @@ _HOTSET = _BURSTS + f", hot AS (SELECT burst_id, k, row_number() OVER (PARTITION
 def burst_hot_weights(spark, sf_dir):
     from pyspark.sql import Window
 
-    keyed = _bursts(spark).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(19))))
+    keyed = _bursts(spark, sf_dir).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(19))))
     place = F.row_number().over(Window.partitionBy("burst_id").orderBy(uniform(F.col("k"), F.col("burst_id")), "k"))
     ranked = keyed.withColumn("place", place).where("place <= 4").select("burst_id", "k", "place")
     return workload.hot_weights(ranked, 1.2)
@@ -173,13 +178,13 @@ def largest_remainder(spark, sf_dir):
 
 @query(_ZIPF + _apportioned("(SELECT *, 1 AS one FROM zipf)", "12345", "prob", "one") + " SELECT k, cnt FROM app")
 def zipf_counts(spark, sf_dir):
-    return planner.apportion(workload.zipf(spark, 20, 1.1), F.lit(12345)).select("k", "cnt")
+    return planner.apportion(_zipf(spark, sf_dir), F.lit(12345)).select("k", "cnt")
 
 
 @query(_ZIPF + ", cold AS (SELECT t, k, prob / sum(prob) OVER (PARTITION BY t) AS prob FROM ticks CROSS JOIN zipf WHERE k NOT IN (t % 20, (t + 7) % 20)) SELECT t, k, round(prob, 6) AS prob FROM cold")
 def cold_pool(spark, sf_dir):
     ticks = events(spark, sf_dir).select("t").distinct()
-    return planner.cold_pool(workload.zipf(spark, 20, 1.1), _hot(ticks), ticks).select("t", "k", "prob")
+    return planner.cold_pool(_zipf(spark, sf_dir), _hot(ticks), ticks).select("t", "k", "prob")
 
 
 def _hot(ticks):
@@ -202,7 +207,7 @@ pr AS (SELECT t, k, part, t * 2 + CAST(part = 'hot' AS INTEGER) AS grp, w / sum(
 
 def _counts(spark, sf_dir):
     requests = _requests(spark, sf_dir).withColumn("hot_mass", F.lit(0.8)).withColumn("dist_mode", F.when(F.floor(F.col("t") / 24) % 2 == 0, "zipf").otherwise("uniform"))
-    return planner.plan_counts(requests, workload.zipf(spark, 20, 1.1), _hot(requests.select("t")), 20)
+    return planner.plan_counts(requests, _zipf(spark, sf_dir), _hot(requests.select("t")), 20)
 
 
 @query(_PLAN + " SELECT t, k, cnt FROM plan")
@@ -222,7 +227,7 @@ _CDF = _ZIPF + ", cdf AS (SELECT k, prob, sum(prob) OVER (ORDER BY k) AS upto FR
 @query(_CDF + f", d AS (SELECT event_id, {u('event_id', '2')} AS u FROM ev) SELECT event_id, coalesce((SELECT min(k) FROM cdf WHERE d.u <= upto), 19) AS k FROM d")
 def inverse_cdf_draw(spark, sf_dir):
     draws = events(spark, sf_dir).select("event_id", uniform(F.col("event_id"), F.lit(2)).alias("u"))
-    return planner.inverse_cdf(draws, workload.zipf(spark, 20, 1.1)).select("event_id", "k")
+    return planner.inverse_cdf(draws, _zipf(spark, sf_dir)).select("event_id", "k")
 
 
 @query(_SOME + f", keyed AS (SELECT t, k, row_number() OVER (PARTITION BY t ORDER BY -ln(greatest({u('t', 'k')}, 1e-300)) / cost, k) AS n FROM tk WHERE cost > 0) SELECT t, k, CAST(n AS INTEGER) AS nth FROM keyed WHERE n <= 3")
@@ -247,7 +252,7 @@ def normalized_weights(spark, sf_dir):
 def _plans(spark, sf_dir, repeat):
     e = events(spark, sf_dir)
     requests = e.select("t", F.col("event_id").alias("request"), F.lit(0.8).alias("hot_mass"), F.col("event_id").alias("seed"))
-    return planner.request_plans(requests, workload.zipf(spark, 20, 1.1), _hot(e.select("t").distinct()), 6, repeat)
+    return planner.request_plans(requests, _zipf(spark, sf_dir), _hot(e.select("t").distinct()), 6, repeat)
 
 
 @query(
@@ -283,7 +288,7 @@ def payload_defaults(spark, sf_dir):
     return e.select("event_id", p.alias("p")).select("event_id", (F.col("p.burst_id") % 20).alias("burst_id"), "p.hot_mass", "p.dist_mode", F.size("p.hot").alias("n_hot"))
 
 
-@query(f"SELECT CAST(qid AS BIGINT) AS qid, i, round({u('qid', 'i')}, 6) AS x FROM (SELECT range AS qid FROM range(1, 51)) CROSS JOIN (SELECT CAST(range AS INTEGER) AS i FROM range(1, 9))")
+@query(f"SELECT CAST(qid AS BIGINT) AS qid, i, round({u('qid', 'i')}, 6) AS x FROM (SELECT s_suppkey AS qid FROM supplier) CROSS JOIN (SELECT CAST(range AS INTEGER) AS i FROM range(1, 9))")
 def vector_payload(spark, sf_dir):
-    ids = spark.range(1, 51).withColumnRenamed("id", "qid")
+    ids = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("qid"))
     return workload.vectors(ids, 8).select("qid", F.posexplode("vector").alias("i", "x")).select("qid", (F.col("i") + 1).alias("i"), "x")

@@ -10,6 +10,7 @@ tick, imbalance, extremes of servers, utilisation and sizes under the one after
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Callable
 from dataclasses import dataclass, replace
@@ -19,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.numbers import EPS, ratio, uniform
+from ..functions.numbers import DIGITS, EPS, ratio, uniform
 from ..operators import layout as layout_ops
 from ..operators import metrics, planner, workload
 from ..operators.rebalance import assign, balance, policy
@@ -111,7 +112,7 @@ class Config:
 
 
 def u(a: int, b: int) -> float:
-    return (a * 7919 + b * 104729) % 100003 / 100003
+    return int(hashlib.md5(f"{a}:{b}".encode()).hexdigest()[:DIGITS], 16) / 16**DIGITS
 
 
 def _normal(a, b: int):
