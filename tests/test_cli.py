@@ -3,6 +3,8 @@
 import json
 import time
 
+import pytest
+
 from tidewater import cli
 from tidewater.plans import simulate
 from tidewater.sources import trace
@@ -27,7 +29,9 @@ def test_main(spark, tmp_path, capsys):
     assert len(rows) == 8 and all(r["work_s2"] is not None for r in rows)
     assert trace.read_trace(spark, str(tmp_path / "trace"), "rebalance", "t int, policy string").count() == 2
     text = "\n".join(r[0] for r in spark.read.text(str(tmp_path / "log")).collect())
-    assert text.startswith("Narrative log") and text.count("Time = ") == 8
+    assert text.startswith("## tick 1\n") and text.count("## tick ") == 8 and "- imbalance (run) = " in text
+    with pytest.raises(SystemExit):
+        cli.config(["--chunk-size", "5"])
 
 
 def test_progress(spark, tmp_path):

@@ -1,11 +1,12 @@
 """Files of runs, whole runs and streams."""
 
 import json
+import time
 
 from pyspark.sql import functions as F
 
 from tidewater.plans import simulate
-from tidewater.sources import trace
+from tidewater.sources import report, runs, trace
 from tidewater.streaming import ticks
 
 
@@ -80,9 +81,28 @@ def test_run(spark, tmp_path):
     back = trace.read_series(spark, str(tmp_path / "csv"), [*trace.BASE, *trace.server_columns(list(range(c.n_servers)))])
     again = {r["t"]: r for r in back.collect()}
     assert all(again[t]["work_s3"] == rows[t]["work_s3"] and json.loads(again[t]["rebalance_diff"] or "{}") == json.loads(rows[t]["rebalance_diff"]) for t in rows)
-    texts = {r["t"]: r["text"] for r in trace.story(series, list(range(c.n_servers))).collect()}
-    assert f"The tick had {rows[10]['n_requests']} requests" in texts[10] and "Rebalance: yes." in texts[10] and "Rebalance: no." in texts[9]
-    assert json.loads(texts[10].split("Events (JSON):\n")[1])["rebalance_diff"] == json.loads(rows[10]["rebalance_diff"])
+    long = report.measured(series.select(*[x for x in trace.BASE if x in series.columns]))
+    texts = {r["t"]: r["text"] for r in report.report([long]).collect()}
+    assert f"- n_requests (run) = {rows[10]['n_requests']}\n" in texts[10] and "- rebalance (run) = 1" in texts[10] and "- rebalance (run) = 0" in texts[9]
+
+
+def test_traces_are_a_data_source(spark, tmp_path):
+    lines = [{"type": kind, "t": t, "state": {"slices": [{"slice_id": t}]}, "n": t * 10} for t in range(1, 9) for kind in ("step", "state")]
+    texts = [json.dumps(x, separators=(",", ":")) for x in lines] + ["no json", "[1]", '{"t": 3, "type": "step", "n": "late fields"}', "", json.dumps({"type": "begin"})]
+    for k in range(3):
+        (tmp_path / f"part-{k}.txt").write_text("\n".join(texts[k::3]))
+    (tmp_path / "_SUCCESS").write_text("")
+    runs.register(spark)
+    everything = spark.read.format("tidewater_trace").load(str(tmp_path))
+    assert everything.rdd.getNumPartitions() == 3 and everything.count() == len([x for x in texts if x])
+    steps = runs.trace(spark, str(tmp_path), "step", 3, 5)
+    rows = steps.select("t", *runs.fields("line", n="int"), F.expr("try_variant_get(try_parse_json(line), '$.state.slices[0].slice_id', 'int')").alias("first")).collect()
+    assert sorted(map(tuple, rows), key=repr) == [(3, 30, 3), (3, None, None), (4, 40, 4), (5, 50, 5)]
+    assert steps.where("t > 4").union(steps.where("t < 4")).count() == 3
+    reader = runs.TraceReader(str(tmp_path), "step", 7)
+    assert sum(b.num_rows for p in reader.partitions() for b in reader.read(p)) == 2
+    assert everything.where("type IS NULL").count() == 2 and everything.where("t IN (1, 8)").count() == 4
+    assert spark.read.format("tidewater_trace").load(f"file://{tmp_path}/part-0.txt").count() > 0
 
 
 def test_single_requests(spark):
@@ -187,3 +207,23 @@ def test_parts_can_be_replaced(spark):
     parts = simulate.Parts(reassign=lambda c, layout, popularity: (layout, []), heat=lambda w: w.select("t", "server", "work", F.col("work").alias("latency"), F.lit(0.0).alias("heat")))
     rows = simulate.run(spark, simulate.Config(steps=12, every=4, fanout_samples=2, growth_frac=0.0, split_hot=False), parts).collect()
     assert all(r["rebalance_slice_moved_count"] == 0 and abs(r["latency"] - r["workload"]) < 1e-6 * r["workload"] for r in rows)
+
+
+def test_late_ticks_wait_and_the_latest_are_told_as_such(spark, tmp_path):
+    rows = [[(5, 0, 7.0), (1, 0, 1.0), (2, 1, 3.0)], [(3, 0, 2.0), (5, 0, 1.0), (9, 0, 4.0)], [(2, 0, 5.0), (8, 0, 1.0), (40, 1, 1.0)], [(None, 0, 0.0), (None, 1, 0.0)]]
+    for n, part in enumerate(rows):
+        spark.createDataFrame(part, "t int, server int, work double").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        time.sleep(1.1)  # files go by their time of change
+    source = spark.readStream.schema("t int, server int, work double").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = ticks.run_to_end(ticks.patient_heat(source, 4), "patient_test", "append", str(tmp_path / "state")).collect()
+    told = sorted((r["server"], r["t"], r["work"]) for r in got if not r["late"])
+    assert told == [(0, 1, 1.0), (0, 3, 2.0), (0, 5, 8.0), (0, 8, 1.0), (0, 9, 4.0), (1, 2, 3.0), (1, 40, 1.0)]
+    assert [(r["server"], r["t"], r["work"], r["heat"]) for r in got if r["late"]] == [(0, 2, 5.0, None)] or [(r["server"], r["t"], r["work"]) for r in got if r["late"]] == [(0, 2, 5.0)]
+    heat, last = 0.0, 0
+    for server, t, work in told:
+        if server == 0:
+            heat *= 0.98 ** (t - last - 1)
+            [r] = [x for x in got if x["server"] == 0 and x["t"] == t and not x["late"]]
+            assert abs(r["latency"] - work * (1 + 0.0005 * heat)) < 1e-9
+            heat, last = (heat + 0.01 * work) * 0.98, t
+            assert abs(r["heat"] - heat) < 1e-9

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import SparkSession
 
 from .plans import simulate
-from .sources import trace
+from .sources import report, trace
 
 #: Option, field of Config, type, default of a full-size run (fixed values).
 OPTIONS = (
@@ -79,13 +79,12 @@ def parser() -> argparse.ArgumentParser:
         out.add_argument(f"--{option}", *[f"--{x}" for x in ALSO.get(option, ())], dest=field, type=kind, default=default, choices=choices)
     for option, field, default in SWITCHES:
         out.add_argument(f"--{option}", dest=field, action=argparse.BooleanOptionalAction, default=default)
-    out.add_argument("--chunk-size", type=int, default=0, help="accepted; layouts are shards of keys, or --initial-slices cuts")
     out.add_argument("--solver-time-limit", "--gurobi-time-limit", dest="time_limit", type=float, default=10.0, help="accepted; the assignment ends by itself")
     out.add_argument("--print-current-tick", action="store_true", help="say which part of the run is being worked out")
     out.add_argument("--tick-print-every", type=int, default=1, help="accepted; a run is a few plans, not a loop over ticks")
     out.add_argument("--out-csv", default="timeseries", help="folder of the series as CSV; empty for none")
     out.add_argument("--trace-jsonl", default="", help="folder of the trace as JSON lines; empty for none")
-    out.add_argument("--narrative", default="", help="folder of the narrative log; empty for none")
+    out.add_argument("--narrative", default="", help="folder of a report of each tick; empty for none")
     return out
 
 
@@ -107,8 +106,8 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
     if given.trace_jsonl:
         trace.write_trace(simulate.trace_of(found), given.trace_jsonl)
     if given.narrative:
-        facts = {"Distribution": c.start_mode, "Steps": c.steps, "Rebalance every": c.every, "Servers": c.n_servers, "Clusters": c.n_keys}
-        trace.write_narrative(trace.story(found.series, servers), given.narrative, trace.heading(facts))
+        told = found.series.select(*[x for x in trace.BASE if x in found.series.columns])
+        report.write_report(report.report([report.measured(told)]), given.narrative)
     summary = simulate.summary(found.series).first().asDict()
     print(json.dumps({"steps": c.steps, "policy": c.policy, **summary}))
     return summary

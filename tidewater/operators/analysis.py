@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import sliding
+
 
 def hot_cold_workload(loads: DataFrame, hot: DataFrame, totals: DataFrame) -> DataFrame:
     """t, hot, cold, primary, secondary: load of the hot keys, the rest of the tick's workload, and the two largest hot loads."""
@@ -23,9 +25,8 @@ def probe_units(series: DataFrame) -> DataFrame:
 
 def rolling_candles(series: DataFrame, value: str, window: int) -> DataFrame:
     """t, low, open, close, high over the last `window` rows: mean less and plus one deviation, within the range."""
-    frame = Window.orderBy("t").rowsBetween(1 - window, 0)
-    out = series.select("t", F.min(value).over(frame).alias("low"), F.max(value).over(frame).alias("high"), F.avg(value).over(frame).alias("mu"), F.stddev_pop(value).over(frame).alias("sd"))
-    return out.select("t", "low", F.greatest(F.col("low"), F.col("mu") - F.col("sd")).alias("open"), F.least(F.col("high"), F.col("mu") + F.col("sd")).alias("close"), "high")
+    out = sliding(series.select("t", value), ["t"], value, window)
+    return out.select("t", "low", F.greatest(F.col("low"), F.col("mean") - F.col("sd")).alias("open"), F.least(F.col("high"), F.col("mean") + F.col("sd")).alias("close"), "high")
 
 
 def request_candles(stats: DataFrame, window: int) -> DataFrame:

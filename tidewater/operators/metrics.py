@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import ratio
+from ..sources.shared import written
+from .ordered import nth_value, numbered, sliding
 
 #: Latency per unit of work and heat, heat per unit of work, decay of heat per tick.
 ALPHA, BETA, DECAY = 0.0005, 0.01, 0.02
@@ -61,6 +63,12 @@ def rolling_variance(series: DataFrame, value: str, window: int, burn_in: int =
     return F.when((F.col("t") > burn_in) & (n >= 2), F.var_pop(value).over(order.rowsBetween(1 - window, 0))).otherwise(F.lit(0.0))
 
 
+def rolling_variances(series: DataFrame, value: str, window: int, burn_in: int = 0) -> DataFrame:
+    """t, variance: as rolling_variance(), of one series of any length: no task has more than a chunk of it."""
+    found = numbered(sliding(series.select("t", value), ["t"], value, window), ["t"], "__n")
+    return found.select("t", F.when((F.col("t") > burn_in) & (F.col("__n") >= 2), F.col("sd") * F.col("sd")).otherwise(F.lit(0.0)).alias("variance"))
+
+
 def hot_ratio(counts: DataFrame, hot: DataFrame) -> DataFrame:
     """t, work_units, hot_probe_ratio from probe counts (t, k, cnt) and hot keys (t, k)."""
     marked = counts.join(hot.select("t", "k", F.lit(1).alias("is_hot")).distinct(), ["t", "k"], "left")
@@ -125,10 +133,9 @@ def request_latency(routed: DataFrame) -> DataFrame:
 
 
 def p95(series: DataFrame, value: str, by: tuple = ()) -> DataFrame:
-    """The value at rank floor(0.95 * (n - 1)) from 0, without interpolation."""
-    own = Window.partitionBy(*by)
-    ranked = series.withColumn("__r", F.row_number().over(own.orderBy(value))).withColumn("__n", F.count(F.lit(1)).over(own))
-    return ranked.where(F.col("__r") == F.floor(F.lit(0.95) * (F.col("__n") - 1)) + 1).select(*by, F.col(value).alias(f"p95_{value}"))
+    """The value at rank floor(0.95 * (n - 1)) from 0, without interpolation; no group is sorted."""
+    own = written(series.select(*by, value))
+    return nth_value(own, value, lambda n: F.floor(F.lit(0.95) * (n - 1)), by).select(*by, F.col(value).alias(f"p95_{value}"))
 
 
 def summary(latency: DataFrame, imbalances: DataFrame, heats: DataFrame) -> DataFrame:

@@ -24,14 +24,20 @@ def shares(slices: DataFrame) -> DataFrame:
     return weighted.withColumn("share", share).select("k", "slice_id", "server", "share")
 
 
+def _onto(loads: DataFrame, table: DataFrame) -> DataFrame:
+    """loads beside the table's rows (k, server, ...) of their key; a key that it does not have raises when the plan runs."""
+    missing = F.raise_error(F.concat(F.lit("key without a slice: "), F.col("k").cast("string"))).cast("int")
+    return loads.join(table, "k", "left").withColumn("server", F.coalesce("server", missing))
+
+
 def cluster_loads(work: DataFrame) -> DataFrame:
     """t, k, load from (t, k, cost) rows."""
     return work.groupBy("t", "k").agg(F.sum("cost").alias("load"))
 
 
 def allocate(work: DataFrame, slices: DataFrame) -> DataFrame:
-    """t, k, slice_id, server, load: each key's cost over its slices."""
-    return cluster_loads(work).join(shares(slices), "k").select("t", "k", "slice_id", "server", (F.col("load") * F.col("share")).alias("load"))
+    """t, k, slice_id, server, load: each key's cost over its slices. Keys without a slice raise, see unrouted()."""
+    return _onto(cluster_loads(work), shares(slices)).select("t", "k", "slice_id", "server", (F.col("load") * F.col("share")).alias("load"))
 
 
 def unrouted(work: DataFrame, slices: DataFrame) -> DataFrame:
@@ -83,13 +89,13 @@ def weights(slices: DataFrame, primaries: DataFrame, bias: float = PRIMARY_BIAS)
 
 def biased_work(work: DataFrame, slices: DataFrame, primaries: DataFrame, bias: float = PRIMARY_BIAS) -> DataFrame:
     """t, server, work: routed cost, and bias times each key's cost on its primary server."""
-    routed = cluster_loads(work).join(weights(slices, primaries, bias), "k")
+    routed = _onto(cluster_loads(work), weights(slices, primaries, bias))
     return routed.groupBy("t", "server").agg(F.sum(F.col("load") * F.col("weight")).alias("work"))
 
 
 def server_ticks(work: DataFrame, slices: DataFrame, servers: DataFrame, primaries: DataFrame, bias: float = PRIMARY_BIAS) -> DataFrame:
     """t, server, capacity, load, work of every server and tick: server_loads and biased_work from one scan."""
-    routed = cluster_loads(work).join(weights(slices, primaries, bias), "k").groupBy("t", "server")
+    routed = _onto(cluster_loads(work), weights(slices, primaries, bias)).groupBy("t", "server")
     both = routed.agg(F.sum(F.col("load") * F.col("share")).alias("load"), F.sum(F.col("load") * F.col("weight")).alias("work"))
     return densified(both, servers.select("server", "capacity"), "server", "load", "work")
 

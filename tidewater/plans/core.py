@@ -215,8 +215,8 @@ def fanout_stats(spark, sf_dir):
 @query(_STATS + """, n AS (SELECT t, fanout_req_mean AS m, row_number() OVER (ORDER BY t) AS n, var_pop(fanout_req_mean) OVER (ORDER BY t ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS v FROM stats)
 SELECT t, round(CASE WHEN t > 10 AND n >= 2 THEN v ELSE 0 END, 6) AS fanout_var, CAST(t <= 10 AS INTEGER) AS burn_in FROM n""")
 def fanout_rolling_var(spark, sf_dir):
-    stats = metrics.fanout_stats(_fanouts(spark, sf_dir))
-    return stats.select("t", metrics.rolling_variance(stats, "fanout_req_mean", 20, 10).alias("fanout_var"), (F.col("t") <= 10).cast("int").alias("burn_in"))
+    found = metrics.rolling_variances(metrics.fanout_stats(_fanouts(spark, sf_dir)), "fanout_req_mean", 20, 10)
+    return found.select("t", F.col("variance").alias("fanout_var"), (F.col("t") <= 10).cast("int").alias("burn_in"))
 
 
 @query(""", cnts AS (SELECT t, k, count(*) AS cnt FROM ev GROUP BY t, k)
@@ -293,10 +293,21 @@ def imbalance_pre_lag(spark, sf_dir):
     return both.select("t", "imbalance", metrics.before(both, "imbalance", F.col("first")).alias("imbalance_pre"))
 
 
-@query("SELECT t, " + ", ".join(f"round(max(CASE WHEN server = {s} THEN work END), 6) AS work_s{s}" for s in range(8)) + ", " + ", ".join(f"round(max(CASE WHEN server = {s} THEN util END), 6) AS util_s{s}" for s in range(8)) + " FROM work JOIN util USING (t, server) GROUP BY t")
+_FIVE = ("work", "keyspace", "heat", "util", "slicecount")
+
+
+@query(
+    _HEAT
+    + ", ks AS (SELECT server, coalesce(sum(size), 0) AS keyspace, CAST(count(slice_id) AS BIGINT) AS slicecount FROM servers LEFT JOIN slices USING (server) GROUP BY server), five AS (SELECT * FROM heat JOIN util USING (t, server) JOIN ks USING (server)) SELECT t, "
+    + ", ".join(f"round(max(CASE WHEN server = {s} THEN {m} END), 6) AS {m}_s{s}" if m != "slicecount" else f"max(CASE WHEN server = {s} THEN {m} END) AS {m}_s{s}" for m in _FIVE for s in range(8))
+    + " FROM five GROUP BY t"
+)
 def server_pivot(spark, sf_dir):
+    """All five measures of each server side by side."""
     b = bound(spark, sf_dir)
-    return metrics.wide(_work(b).join(routing.utils(_loads(b)), ["t", "server"]), list(range(8)), ["work", "util"])
+    per = metrics.heat(_work(b)).join(routing.utils(_loads(b)), ["t", "server"])
+    held = layout.per_server(b.slices, b.servers).withColumnRenamed("slice_count", "slicecount")
+    return metrics.wide(per.join(held, "server"), list(range(8)), list(_FIVE))
 
 
 @query("SELECT server, CAST(round_even(server * 12.5::DOUBLE, 0) AS BIGINT) AS half_even, round(CASE WHEN server % 2 = 0 THEN capacity / 7 ELSE 0 END, 6) AS guarded FROM servers")

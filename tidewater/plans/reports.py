@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from ..functions import encoded
 from ..functions.numbers import shown
 from ..operators import analysis, metrics, routing
-from ..sources import trace
-from .bind import bound, events, query, read
+from ..sources import report, runs, shared, trace
+from .bind import bound, events, query, read, rounded
 from .core import _STATS, _fanouts, _loads, _work
 
 
@@ -52,12 +52,48 @@ def imbalance_from_log(spark, sf_dir):
     return metrics.imbalance(logged.select("t", F.explode(encoded.int_float_map(F.col("cell"))).alias("server", "util")))
 
 
-@query("""SELECT t, '{"t":' || t || ',"n":' || n || ',"servers":[' || s || ']}' AS line FROM (SELECT t, count(*) AS n, (SELECT string_agg(CAST(server AS VARCHAR), ',' ORDER BY server) FROM servers) AS s FROM ev GROUP BY t)""")
-def trace_lines(spark, sf_dir):
+_STEP = """SELECT t, '{"type":"step","t":' || t || ',"n":' || n || ',"servers":[' || s || ']}' AS line FROM (SELECT t, count(*) AS n, (SELECT string_agg(CAST(server AS VARCHAR), ',' ORDER BY server) FROM servers) AS s FROM ev GROUP BY t)"""
+
+
+def _steps(spark, sf_dir):
+    """t, place, line of a trace: an event for each tick."""
     b = bound(spark, sf_dir)
     step = b.work.groupBy("t").agg(F.count(F.lit(1)).alias("n"))
     everyone = b.servers.agg(F.sort_array(F.collect_list("server")).alias("servers"))
-    return step.join(F.broadcast(everyone), F.lit(True)).select("t", F.to_json(F.struct("t", "n", "servers")).alias("line"))
+    return step.join(F.broadcast(everyone), F.lit(True)).select("t", F.lit(0).alias("place"), trace.event("step", "t", "n", "servers").alias("line"))
+
+
+@query(_STEP)
+def trace_lines(spark, sf_dir):
+    return _steps(spark, sf_dir).select("t", "line")
+
+
+@query(", n AS (SELECT t, count(*) AS n FROM ev GROUP BY t), k AS (SELECT t, k, CAST(count(*) AS INTEGER) AS cnt FROM ev GROUP BY t, k) SELECT t, n, CAST(8 AS INTEGER) AS n_servers, (SELECT max(cnt) FROM k WHERE k.t = n.t) AS most FROM n WHERE t > 24")
+def trace_read_back(spark, sf_dir):
+    """A trace of two kinds of events with nested cells, written as JSON lines and read as a data source, by type and tick."""
+    counts = bound(spark, sf_dir).work.groupBy("t", "k").agg(F.count(F.lit(1)).alias("cnt"))
+    cells = counts.groupBy("t").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(F.col("k").cast("string"), "cnt")))).alias("plan_counts"), F.max("cnt").alias("most"))
+    states = cells.select("t", F.lit(1).alias("place"), trace.raw(trace.event("state", "t", "most"), ["plan_counts"]).alias("line"))
+    path = f"{shared.folder(spark)}/trace"
+    trace.write_trace([_steps(spark, sf_dir), states], path)
+    steps = runs.trace(spark, path, "step", 25).select("t", *runs.fields("line", n="bigint"), F.size(F.expr("try_variant_get(try_parse_json(line), '$.servers', 'array<int>')")).alias("n_servers"))
+    most = F.expr("array_max(map_values(try_variant_get(try_parse_json(line), '$.plan_counts', 'map<string,int>')))")
+    return steps.join(runs.trace(spark, path, "state", 25).select("t", most.alias("most")), "t")
+
+
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k, 'OBJECT<k: BIGINT>' AS kind FROM ev")
+def props_variant(spark, sf_dir):
+    """Cells taken apart without a schema."""
+    value = F.try_parse_json("props")
+    return events(spark, sf_dir).select("event_id", F.try_variant_get(value, "$.k", "int").alias("k"), F.schema_of_variant(value).alias("kind"))
+
+
+@query("SELECT conv_id, turn, role, CAST(length(text) AS INTEGER) AS chars, CASE WHEN turn > 0 THEN turn - 1 END AS before FROM conversations", with_prelude=False)
+def turns_variant(spark, sf_dir):
+    """Turns as nested JSON of their own, read back field by field; `before` is missing in first turns."""
+    turns = read(spark, sf_dir, "conversations").select("conv_id", F.to_json(F.struct("turn", F.struct("role", "text").alias("said"), F.when(F.col("turn") > 0, F.struct((F.col("turn") - 1).alias("turn"))).alias("before"))).alias("cell"))
+    get = lambda path, kind: F.try_variant_get(F.try_parse_json("cell"), path, kind)
+    return turns.select("conv_id", get("$.turn", "bigint").alias("turn"), get("$.said.role", "string").alias("role"), F.length(get("$.said.text", "string")).alias("chars"), get("$.before.turn", "bigint").alias("before"))
 
 
 def _series(spark, sf_dir):
@@ -68,19 +104,41 @@ def _series(spark, sf_dir):
     return out.join(b.work.groupBy("t").agg(F.count(F.lit(1)).alias("n_requests")), "t"), work.join(util, ["t", "server"])
 
 
+_MEASURED = """, hi AS (SELECT t, server, row_number() OVER (PARTITION BY t ORDER BY util DESC, server) AS a, row_number() OVER (PARTITION BY t ORDER BY util, server) AS b FROM util),
+ends AS (SELECT t, max(CASE WHEN a = 1 THEN server END) AS h, max(CASE WHEN b = 1 THEN server END) AS c FROM hi GROUP BY t), n AS (SELECT t, count(*) AS n FROM ev GROUP BY t),
+im AS (SELECT t, CASE WHEN avg(util) > 1e-12 THEN max(util) / avg(util) ELSE 0 END AS i FROM util GROUP BY t), w AS (SELECT t, sum(work) AS w FROM work GROUP BY t),
+m AS (SELECT t, 'workload' AS measure, 'run' AS "of", w AS value, 'work' AS unit FROM w UNION ALL SELECT t, 'imbalance', 'run', i, '' FROM im UNION ALL SELECT t, 'hottest_server', 'run', h, '' FROM ends UNION ALL SELECT t, 'coldest_server', 'run', c, '' FROM ends
+  UNION ALL SELECT t, 'n_requests', 'run', n, '' FROM n UNION ALL SELECT t, 'work', 'server ' || server, work, 'work' FROM work UNION ALL SELECT t, 'util', 'server ' || server, util, 'of capacity' FROM util)"""
+
+
+def _measures(spark, sf_dir):
+    series, per = _series(spark, sf_dir)
+    return [report.measured(series), report.measured(per, "server")]
+
+
+@query(_MEASURED + ' SELECT t, measure, "of", round(CAST(value AS DOUBLE), 6) AS value, unit FROM m')
+def tick_measures(spark, sf_dir):
+    one, two = _measures(spark, sf_dir)
+    return one.unionByName(two)
+
+
+_SHOWN = "CASE WHEN v = floor(v) THEN CAST(CAST(v AS BIGINT) AS VARCHAR) WHEN abs(v) < 1e-4 THEN format('{:.6e}', v) ELSE format('{:.6f}', v) END"
+
+
 @query(
-    """, hi AS (SELECT t, server, row_number() OVER (PARTITION BY t ORDER BY util DESC, server) AS a, row_number() OVER (PARTITION BY t ORDER BY util, server) AS b FROM util),
-    ends AS (SELECT t, max(CASE WHEN a = 1 THEN server END) AS h, max(CASE WHEN b = 1 THEN server END) AS c FROM hi GROUP BY t), n AS (SELECT t, count(*) AS n FROM ev GROUP BY t)
-    SELECT t, 'Tick ' || t || '. ' || n || ' requests; hottest ' || h || ', coldest ' || c AS text FROM n JOIN ends USING (t)"""
+    _MEASURED
+    + f""", r AS (SELECT t, measure, "of", unit, round(CAST(value AS DOUBLE), 6) AS v FROM m), l AS (SELECT t, measure, "of", '- ' || measure || ' (' || "of" || ') = ' || {_SHOWN} || CASE WHEN unit <> '' THEN ' ' || unit ELSE '' END AS line FROM r)
+    SELECT t, '## tick ' || t || chr(10) || string_agg(line, chr(10) ORDER BY measure, "of") AS text FROM l GROUP BY t"""
 )
-def narrative_heads(spark, sf_dir):
-    series, _ = _series(spark, sf_dir)
-    return series.select("t", F.format_string("Tick %d. %d requests; hottest %d, coldest %d", "t", "n_requests", "hottest_server", "coldest_server").alias("text"))
+def narrative_log(spark, sf_dir):
+    """The report of each tick."""
+    return report.report([rounded(x) for x in _measures(spark, sf_dir)])
 
 
-@query()
-def narrative_log(spark, sf_dir):
-    return trace.narrative(*_series(spark, sf_dir))
+@query(_MEASURED + " SELECT n.t, '## tick ' || n.t || chr(10) || '- coldest_server (run) = ' || c || chr(10) || '- hottest_server (run) = ' || h AS text FROM n JOIN ends USING (t)")
+def narrative_heads(spark, sf_dir):
+    series, _ = _series(spark, sf_dir)
+    return report.report([report.measured(series.select("t", "hottest_server", "coldest_server"))])
 
 
 _HOT = ", tot AS (SELECT t, sum(work) AS workload FROM work GROUP BY t), hr AS (SELECT t, k, load, row_number() OVER (PARTITION BY t ORDER BY load DESC, k) AS n FROM loads WHERE k IN (t % 20, (t + 7) % 20, (t + 11) % 20)), hc AS (SELECT t, sum(load) AS hot, max(CASE WHEN n = 1 THEN load END) AS p, max(CASE WHEN n = 2 THEN load END) AS s FROM hr GROUP BY t)"

@@ -62,3 +62,21 @@ def stream_heat(spark, sf_dir):
     totals.coalesce(1).write.parquet(folder)
     source = spark.readStream.schema("t int, server int, work double").parquet(folder)
     return stream.run_to_end(stream.heat(source), f"heat_{uuid.uuid4().hex[:8]}", "append", folder + "-state")
+
+
+_PARTS = ", p AS (SELECT t, CAST(k % 8 AS INTEGER) AS server, CAST(round(sum(cost) * 100) AS BIGINT) / 100 AS work FROM ev GROUP BY 1, 2)"
+
+
+@query(
+    _PARTS
+    + """, h AS (SELECT server, t, work, power(CAST(0.98 AS DOUBLE), t + 1) * sum(CAST(0.01 AS DOUBLE) * work * power(CAST(0.98 AS DOUBLE), -t)) OVER (PARTITION BY server ORDER BY t) AS heat FROM p)
+    SELECT server, t, round(work, 6) AS work, round(work * (1 + CAST(0.0005 AS DOUBLE) * coalesce(lag(heat) OVER (PARTITION BY server ORDER BY t) * power(CAST(0.98 AS DOUBLE), t - 1 - lag(t) OVER (PARTITION BY server ORDER BY t)), 0)), 6) AS latency, round(heat, 6) AS heat, false AS late FROM h"""
+)
+def stream_heat_shuffled(spark, sf_dir):
+    """Events as files in no order of time: heat is that of the batch, as no tick is told before the run's end."""
+    folder = f"{shared.folder(spark)}/parts"
+    parts = bound(spark, sf_dir).work.select("t", (F.col("k") % 8).cast("int").alias("server"), F.col("cost").alias("work"))
+    parts.repartition(4, F.col("t") % 13).write.parquet(folder)
+    parts.select("server").distinct().select(F.lit(None).cast("int").alias("t"), "server", F.lit(0.0).alias("work")).coalesce(1).write.mode("append").parquet(folder)
+    source = spark.readStream.schema("t int, server int, work double").option("maxFilesPerTrigger", 2).option("latestFirst", False).parquet(folder)
+    return stream.run_to_end(stream.patient_heat(source, 10**6), f"patient_{uuid.uuid4().hex[:8]}", "append", folder + "-state")

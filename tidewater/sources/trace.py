@@ -1,4 +1,4 @@
-"""Files of a run: time series as CSV, trace events as JSON lines, narrative logs as text, summaries as JSON.
+"""Files of a run: time series as CSV, trace events as JSON lines, summaries as JSON; reports are in report.py.
 
 All of them are written by executors, a file per task. One file per run is a matter of the number of partitions, which
 the caller sets; series of ticks are small enough for one.
@@ -9,8 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.numbers import shown
-
 #: Columns of a time series, in the order of the file; columns of servers follow them.
 BASE = (
     "t latency fanout fanout_req_mean fanout_req_var fanout_req_min fanout_req_max fanout_req_samples fanout_var imbalance imbalance_pre "
@@ -87,79 +85,11 @@ def write_trace(events: list[DataFrame], path: str) -> None:
 
 
 def read_trace(spark: SparkSession, path: str, kind_: str, fields: str) -> DataFrame:
-    """Typed events of one kind: state, step, growth or rebalance."""
+    """Typed events of one kind: state, step, growth or rebalance. fields: a schema; without one see runs.TraceSource."""
     lines = spark.read.text(path).select(F.from_json("value", f"type string, {fields}").alias("e"))
     return lines.where(F.col("e.type") == kind_).select("e.*").drop("type")
 
 
-def narrative(series: DataFrame, per_server: DataFrame) -> DataFrame:
-    """t, text: sentences on a tick and a table of its servers.
-
-    series: t, n_requests, workload, imbalance, hottest_server, coldest_server; per_server: t, server, work, util.
-    """
-    line = F.format_string("  server %d: work %s, util %s", "server", shown(F.col("work")), shown(F.col("util")))
-    table = per_server.select("t", "server", line.alias("line")).groupBy("t").agg(F.concat_ws("\n", F.transform(F.array_sort(F.collect_list(F.struct("server", "line"))), lambda x: x["line"])).alias("servers"))
-    text = F.concat_ws(
-        "\n",
-        F.format_string("Tick %d.", "t"),
-        F.concat(F.lit("It served "), F.col("n_requests").cast("string"), F.lit(" requests with a total work of "), shown(F.col("workload")), F.lit(".")),
-        F.concat(F.lit("The imbalance is "), shown(F.col("imbalance")), F.format_string("; server %d is the hottest and server %d the coldest.", "hottest_server", "coldest_server")),
-        F.col("servers"),
-    )
-    return series.join(table, "t").select("t", text.alias("text"))
-
-
-def heading(config: dict, title: str = "Narrative log of a run") -> str:
-    """The head of a narrative log."""
-    rule = "=" * 88
-    facts = " | ".join(f"{k}: {v}" for k, v in config.items())
-    return f"{title}\n{rule}\n{facts}\nImbalance of a tick: max(utilization) / mean(utilization)\n{rule}"
-
-
-def story(series: DataFrame, servers: list[int]) -> DataFrame:
-    """t, text: of a run's full rows (BASE) a sentence for each metric, a table of the servers, and the tick's events as JSON."""
-    cells = {c: F.from_json(c, "map<string,double>") for c in ("server_work_map", "server_util_map", "server_heat_map", "server_keyspace_map", "server_slice_counts", "cluster_loads")}
-    s = series.select("*", *[v.alias(f"__{c}") for c, v in cells.items()])
-    at = lambda name, server: F.coalesce(F.try_element_at(f"__{name}", F.lit(str(server))), F.lit(0.0))
-    utils = F.array(*[F.struct(at("server_util_map", x).alias("util"), F.lit(-x).alias("server")) for x in servers])
-    low = F.array(*[F.struct(at("server_util_map", x).alias("util"), F.lit(x).alias("server")) for x in servers])
-    mean = F.aggregate(utils, F.lit(0.0), lambda a, x: a + x["util"]) / len(servers)
-    s = s.withColumns({"__max": F.array_max(utils), "__min": F.array_min(low), "__mean": mean})
-    top = F.slice(F.array_sort(F.transform(F.map_entries("__cluster_loads"), lambda e: F.struct((-e["value"]).alias("v"), e["key"].cast("int").alias("k")))), 1, 5)
-    top = F.array_join(F.transform(top, lambda e: F.concat(F.lit("cluster "), e["k"].cast("string"), F.lit(": "), shown(-e["v"]))), ", ")
-    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("0"))
-    six = lambda c: shown(F.coalesce(F.col(c).cast("double"), F.lit(0.0)))
-    join = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
-    moved = join("Rebalance: yes. Key migrations ", text("rebalance_key_migration_count"), ", cluster transitions ", text("rebalance_cluster_transition_count"), ", slices added ", text("rebalance_slice_added_count"), ", removed ", text("rebalance_slice_removed_count"), ", moved ", text("rebalance_slice_moved_count"), ".")
-    grown = join("Growth: yes. Added keyspace ", six("growth_added_total"), ", new slices ", text("growth_slices"), ".")
-    table = [join(str(x), " | ", shown(at("server_work_map", x)), " | ", shown(at("server_util_map", x)), " | ", shown(at("server_heat_map", x)), " | ", shown(at("server_keyspace_map", x)), " | ", at("server_slice_counts", x).cast("int").cast("string")) for x in servers]
-    parsed = F.concat_ws(",\n", *[join(f'  "{c}": ', F.coalesce(F.col(c), F.lit("null"))) for c in ("cluster_loads", "growth_actions", "hot_set", "hot_weights", "rebalance_actions", "rebalance_diff")])
-    ratio_ = F.when(F.col("__mean") > 1e-12, F.col("__max.util") / F.col("__mean")).otherwise(0.0)
-    lines = [
-        join("Time = ", text("t")),
-        F.lit("-" * 88),
-        join("The tick had ", text("n_requests"), " requests and ", text("work_units"), " work units; the servers took a total workload of ", six("workload"), "."),
-        join("Fan-out was ", six("fanout"), "; that of single requests was ", six("fanout_req_mean"), " on average, with a variance of ", six("fanout_req_var"), "."),
-        join("Imbalance: max util / mean util = ", shown(F.col("__max.util")), " / ", shown(F.col("__mean")), " = ", shown(ratio_), "."),
-        join("Logged imbalance after rebalancing ", six("imbalance"), ", before ", six("imbalance_pre"), "."),
-        join("The greatest utilization was that of server ", (-F.col("__max.server")).cast("string"), ", ", shown(F.col("__max.util")), "; the least that of server ", F.col("__min.server").cast("string"), ", ", shown(F.col("__min.util")), "."),
-        join("The mean utilization was ", shown(F.col("__mean")), " (", F.format_string("%.6f", F.col("__mean") * 100), " % of capacity)."),
-        F.when(top == "", F.lit("No cluster had any load.")).otherwise(join("The largest cluster loads: ", top, ".")),
-        F.when(F.col("rebalance") == 1, moved).otherwise("Rebalance: no."),
-        F.when(F.col("growth_event") == 1, grown).otherwise("Growth: no."),
-        F.lit("\nServers:\nserver | work | utilization | heat | keyspace | slice_count"),
-        *table,
-        join("\nEvents (JSON):\n{\n", parsed, "\n}"),
-    ]
-    return s.select("t", F.concat_ws("\n", *lines).alias("text"))
-
-
-def write_narrative(texts: DataFrame, path: str, head: str | None = None) -> None:
-    if head is not None:
-        texts = texts.unionByName(texts.sparkSession.createDataFrame([(-1, head)], "t int, text string"))
-    texts.coalesce(1).sortWithinPartitions("t").select("text").write.mode("overwrite").option("lineSep", "\n\n").text(path)
-
-
 def run_summary(series: DataFrame, config: dict[str, str]) -> DataFrame:
     """One row: the configuration and the metrics of the last tick."""
     metrics = [c for c, k in series.dtypes if k in ("double", "int", "bigint") and c != "t"]
