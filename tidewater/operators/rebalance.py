@@ -90,17 +90,69 @@ def greedy(slices: DataFrame, capacity: dict[int, float], budget: float) -> Data
     return slices.groupBy("scenario").applyInPandas(run, MOVES)
 
 
-def lower_bound(load: np.ndarray, n_servers: int) -> float:
-    """No assignment has a lower peak: the largest key, and the mean of the servers."""
-    return float(max(load.max(initial=0.0), load.sum() / n_servers))
+#: One move of each scenario a step: the state is a row of arrays, the slices in the order of their ids.
+_RECURSIVE = """
+WITH RECURSIVE run (scenario, step, ids, size, load, srv, used, slice_id, `from`, `to`, churn, imbalance_before, imbalance_after) AS (
+  SELECT scenario, 0, ids, size, load, srv, 0D, CAST(NULL AS BIGINT), CAST(NULL AS INT), CAST(NULL AS INT), CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE) FROM {start}
+  UNION ALL
+  SELECT scenario, step + 1, ids, size, load, next_srv, used + size[best], ids[best], sids[hot], sids[cold], size[best], util[hot] / mean,
+    array_max({util_next}) / ({total_next} / n)
+  FROM (SELECT *, transform(srv, (v, i) -> if(i = best, sids[cold], v)) AS next_srv FROM (
+    SELECT *, CAST(array_position(gains, array_max(gains)) - 1 AS INT) AS best FROM (
+      SELECT *, transform(srv, (v, i) -> if(v = sids[hot] AND size[i] > 0 AND load[i] > 0,
+        (util[hot] / mean - greatest(greatest(work[hot] - load[i], 0D) / caps[hot], (work[cold] + load[i]) / caps[cold], rest) / ((total - load[i] / caps[hot] + load[i] / caps[cold]) / n)) / size[i], CAST('-Infinity' AS DOUBLE))) AS gains
+      FROM (SELECT *, total / n AS mean, coalesce(array_max(filter(util, (u, j) -> j <> hot AND j <> cold)), 0D) AS rest FROM (
+        SELECT *, aggregate(util, 0D, (a, u) -> a + u) AS total, CAST(array_position(util, array_max(util)) - 1 AS INT) AS hot, CAST(array_position(util, array_min(util)) - 1 AS INT) AS cold FROM (
+          SELECT *, zip_with(work, caps, (w, c) -> w / c) AS util FROM (
+            SELECT *, {sids} AS sids, {caps} AS caps, {n} AS n, transform({sids}, s -> {held}) AS work FROM run)))
+        WHERE hot <> cold AND total > 1e-12)))
+    WHERE gains[best] > 0 AND used < {budget} AND used + size[best] <= {budget}))
+SELECT scenario, step, slice_id, `from`, `to`, churn, imbalance_before, imbalance_after FROM run WHERE step > 0
+"""
+
+
+def greedy_recursive(slices: DataFrame, capacity: dict[int, float], budget: float) -> DataFrame:
+    """greedy() as one recursive query, without Python. Capacities are positive.
+
+    A scenario moves as long as a move is worth it, but Spark ends recursions that go deeper than
+    spark.sql.cteRecursionLevelLimit with an error.
+    """
+    entry = F.array_sort(F.collect_list(F.struct("slice_id", "size", "load", "server"))).alias("s")
+    start = slices.groupBy("scenario").agg(entry).select("scenario", F.col("s.slice_id").alias("ids"), F.col("s.size").alias("size"), F.col("s.load").alias("load"), F.col("s.server").alias("srv"))
+    sids = sorted(capacity)
+    held = lambda srv: f"aggregate(zip_with({srv}, load, (v, l) -> if(v = s, l, 0D)), 0D, (a, x) -> a + x)"
+    listed = f"array({', '.join(f'CAST({s} AS INT)' for s in sids)})"
+    caps = f"array({', '.join(f'{max(EPS, capacity[s])!r}D' for s in sids)})"
+    util_next = f"zip_with(transform(sids, s -> {held('next_srv')}), caps, (w, c) -> w / c)"
+    text = _RECURSIVE.format(start="{start}", sids=listed, caps=caps, n=f"{len(sids)}D", held=held("srv"), util_next=util_next, total_next=f"aggregate({util_next}, 0D, (a, u) -> a + u)", budget=f"{budget!r}D")
+    return slices.sparkSession.sql(text, start=start)
+
+
+def lower_bound(load: np.ndarray, n_servers: int, current: np.ndarray | None = None, max_moves: int | None = None) -> float:
+    """No assignment has a lower peak: the largest key, the mean of the servers and, with at most max_moves moves, what they leave.
+
+    A server that loses m keys keeps at least what is left without its m largest ones. So a peak of z needs a move for
+    each such remainder above z, over all servers: the (max_moves + 1)-th largest remainder bounds the peak.
+    """
+    least = float(max(load.max(initial=0.0), load.sum() / n_servers))
+    if current is None or max_moves is None or not len(load):
+        return least
+    order = np.lexsort((-load, current))
+    at, own = current[order], load[order]
+    total = np.bincount(current, weights=load, minlength=n_servers)
+    gone = np.cumsum(own)
+    first = np.r_[True, at[1:] != at[:-1]]
+    gone -= np.repeat((gone - own)[first], np.diff(np.r_[np.flatnonzero(first), len(at)]))
+    rest = np.r_[total, total[at] - gone]
+    return max(least, float(np.partition(rest, len(rest) - 1 - max_moves)[len(rest) - 1 - max_moves])) if max_moves < len(rest) else least
 
 
 def assign(size: np.ndarray, load: np.ndarray, current: np.ndarray, capacity: np.ndarray, max_moves: int, gap: float = 0.0) -> np.ndarray:
     """Servers of keys with a low greatest load, within capacities and at most max_moves moves from the current ones.
 
     Servers over capacity are relieved first; where the moves do not suffice, there is no assignment and it raises. Then
-    steepest descent over single moves and swaps, until the peak is within `gap` of lower_bound() or nothing is better;
-    for at most EXACT keys the optimum by branch and bound.
+    descent over single moves and swaps, until the peak is within `gap` of lower_bound() or nothing is better; for at
+    most EXACT keys the optimum by branch and bound.
     """
     if len(size) != len(load) or len(size) != len(current):
         raise ValueError("sizes, loads and servers differ in length")
@@ -139,48 +191,67 @@ def _relieved(size, load, current, capacity, max_moves):
     return now
 
 
+#: Servers that are looked at together, the least loaded first, and a server's keys of the load that suits best.
+NEAR, CLOSE = 16, 8
+
+
 def _descend(size, load, current, capacity, max_moves, start, gap=0.0):
+    """Each step takes the best move or swap of the fullest server with the NEAR least loaded ones; with the next ones if none helps.
+
+    Of a server's keys only the CLOSE ones whose load evens the two servers out best are tried for a swap, so a step
+    needs keys of one server x NEAR x CLOSE cells.
+    """
     now = start.copy()
     work, held = (np.bincount(now, weights=x, minlength=len(capacity)) for x in (load, size))
-    enough = lower_bound(load, len(capacity)) * (1 + gap)
-    servers = np.arange(len(capacity))
+    enough = lower_bound(load, len(capacity), current, max_moves) * (1 + gap)
+    spent = int((now != current).sum())
+    members = [np.flatnonzero(now == s) for s in range(len(capacity))]
+    members = [m[np.argsort(load[m], kind="stable")] for m in members]
     while True:
         top = int(work.argmax())
         if work[top] <= enough:
             return now
-        own, rest = np.flatnonzero(now == top), np.flatnonzero(now != top)
-        spent = int((now != current).sum())
+        own = members[top]
+        others = np.argsort(work, kind="stable")
+        others = others[others != top]
         best, choice = work[top] - 1e-9, None
-        # one key goes to another server
-        moved = spent - (now[own] != current[own])[:, None] + (servers[None, :] != current[own][:, None])
-        peak = np.maximum(work[top] - load[own][:, None], work[None, :] + load[own][:, None])
-        barred = (servers == top)[None, :] | (held[None, :] + size[own][:, None] > capacity[None, :] + EPS) | (moved > max_moves)
-        peak = np.where(barred, np.inf, peak)
-        if peak.size and peak.min() < best:
-            i, j = np.unravel_index(peak.argmin(), peak.shape)
-            best, choice = peak[i, j], (own[i], int(j), None)
-        # two keys change places
-        if len(own) and len(rest):
-            there = now[rest]
-            gain, grow = load[own][:, None] - load[rest][None, :], size[own][:, None] - size[rest][None, :]
-            moved = spent - (now[own] != current[own])[:, None] - (there != current[rest])[None, :]
-            moved = moved + (there[None, :] != current[own][:, None]) + (top != current[rest])[None, :]
-            peak = np.maximum(work[top] - gain, work[there][None, :] + gain)
-            barred = (held[there][None, :] + grow > capacity[there][None, :] + EPS) | (held[top] - grow > capacity[top] + EPS) | (moved > max_moves)
-            peak = np.where(barred, np.inf, peak)
-            if peak.min() < best:
-                i, k = np.unravel_index(peak.argmin(), peak.shape)
-                best, choice = peak[i, k], (own[i], int(there[k]), rest[k])
+        for at in range(0, len(others), NEAR):
+            for c in others[at : at + NEAR].tolist():
+                best, choice = _pair(size, load, current, capacity, max_moves, spent, work, held, own, members[c], top, c, best, choice)
+            if choice is not None:
+                break
         if choice is None:
             return now
         i, j, k = choice
-        for x, values in ((work, load), (held, size)):
-            step = values[i] - (0 if k is None else values[k])
-            x[top] -= step
-            x[j] += step
-        now[i] = j
-        if k is not None:
-            now[k] = top
+        for key, source, to in ((i, top, j), *(((k, j, top),) if k is not None else ())):
+            spent += int(to != current[key]) - int(source != current[key])
+            now[key] = to
+            for x, values in ((work, load), (held, size)):
+                x[source] -= values[key]
+                x[to] += values[key]
+            members[source] = members[source][members[source] != key]
+            members[to] = np.insert(members[to], np.searchsorted(load[members[to]], load[key]), key)
+
+
+def _pair(size, load, current, capacity, max_moves, spent, work, held, own, theirs, top, c, best, choice):
+    """The best move or swap between two servers, if it is better than what was found so far."""
+    back = (current[own] == c).astype(int) - (current[own] == top)  # a key that goes home saves a move
+    peak = np.maximum(work[top] - load[own], work[c] + load[own])
+    peak = np.where((held[c] + size[own] > capacity[c] + EPS) | (spent - back > max_moves), np.inf, peak)
+    if len(peak) and peak.min() < best:
+        i = int(peak.argmin())
+        best, choice = peak[i], (int(own[i]), c, None)
+    if len(own) and len(theirs):
+        near = np.searchsorted(load[theirs], load[own] - (work[top] - work[c]) / 2)[:, None] + np.arange(CLOSE)[None, :] - CLOSE // 2
+        partner = theirs[np.clip(near, 0, len(theirs) - 1)]
+        gain, grow = load[own][:, None] - load[partner], size[own][:, None] - size[partner]
+        moved = spent - back[:, None] - (current[partner] == top).astype(int) + (current[partner] == c)
+        peak = np.maximum(work[top] - gain, work[c] + gain)
+        peak = np.where((held[c] + grow > capacity[c] + EPS) | (held[top] - grow > capacity[top] + EPS) | (moved > max_moves), np.inf, peak)
+        if peak.min() < best:
+            i, k = np.unravel_index(peak.argmin(), peak.shape)
+            best, choice = peak[i, k], (int(own[i]), c, int(partner[i, k]))
+    return best, choice
 
 
 #: Keys up to which assignments are exact.
@@ -216,16 +287,16 @@ def _exact(size, load, current, capacity, max_moves, start):
 
 
 def min_max(keys: DataFrame, capacity: list[float], max_moves: int) -> DataFrame:
-    """scenario, k, server, moved, peak and bound (of the scenario's servers) from (scenario, k, size, load, server)."""
+    """scenario, k, server, moved, peak, bound, gap from (scenario, k, size, load, server); no assignment's peak is under the bound, gap = peak / bound - 1."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("k")
-        to = assign(pdf["size"].to_numpy(float), pdf["load"].to_numpy(float), pdf["server"].to_numpy(int), np.array(capacity, float), max_moves)
-        load = pdf["load"].to_numpy(float)
-        ends = {"peak": np.bincount(to, weights=load).max(), "bound": lower_bound(load, len(capacity))}
-        return pd.DataFrame({"scenario": pdf["scenario"], "k": pdf["k"], "server": to, "moved": to != pdf["server"].to_numpy(), **ends})
+        load, now = pdf["load"].to_numpy(float), pdf["server"].to_numpy(int)
+        to = assign(pdf["size"].to_numpy(float), load, now, np.array(capacity, float), max_moves)
+        peak, bound = np.bincount(to, weights=load).max(), lower_bound(load, len(capacity), now, max_moves)
+        return pd.DataFrame({"scenario": pdf["scenario"], "k": pdf["k"], "server": to, "moved": to != now, "peak": peak, "bound": bound, "gap": peak / bound - 1 if bound > EPS else 0.0})
 
-    return keys.groupBy("scenario").applyInPandas(run, "scenario long, k int, server int, moved boolean, peak double, bound double")
+    return keys.groupBy("scenario").applyInPandas(run, "scenario long, k int, server int, moved boolean, peak double, bound double, gap double")
 
 
 #: Rebalance policies by name; others are refused.

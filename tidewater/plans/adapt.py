@@ -164,17 +164,58 @@ def _epochs(b):
     return routing.slice_loads(at, b.slices).withColumnRenamed("t", "scenario").withColumn("scenario", F.col("scenario").cast("long")).join(b.slices.select("slice_id", "size"), "slice_id")
 
 
-@query()
+_EPOCHS = """, sc AS (SELECT DISTINCT CAST((t - 1) // 100 AS BIGINT) AS scenario FROM ev), kl AS (SELECT CAST((t - 1) // 100 AS BIGINT) AS scenario, k, sum(cost) AS load FROM ev GROUP BY 1, 2),
+sl AS (SELECT sc.scenario, s.slice_id, s.size, s.server, coalesce(kl.load * shares.share, 0) AS load FROM sc CROSS JOIN slices s JOIN shares ON shares.slice_id = s.slice_id LEFT JOIN kl ON kl.scenario = sc.scenario AND kl.k = s.lo),
+start AS (SELECT scenario, list(slice_id ORDER BY slice_id) AS ids, list(size ORDER BY slice_id) AS size, list(load ORDER BY slice_id) AS load, list(server ORDER BY slice_id) AS srv FROM sl GROUP BY scenario)"""
+
+
+def _on(srv: str) -> str:
+    """Utilisations of the eight servers."""
+    return f"[list_sum([CASE WHEN {srv}[i] = s THEN load[i] ELSE 0 END FOR i IN range(1, len(ids) + 1)]) / caps[s + 1] FOR s IN range(8)]"
+
+
+_GREEDY = _EPOCHS + f""", run AS (
+  SELECT scenario, 0 AS step, ids, size, load, srv, CAST(0 AS DOUBLE) AS used, CAST(NULL AS BIGINT) AS slice_id, CAST(NULL AS INTEGER) AS "from", CAST(NULL AS INTEGER) AS "to", CAST(NULL AS DOUBLE) AS churn, CAST(NULL AS DOUBLE) AS imbalance_before, CAST(NULL AS DOUBLE) AS imbalance_after FROM start
+  UNION ALL
+  SELECT scenario, step + 1, ids, size, load, moved, used + size[best], ids[best], CAST(hot - 1 AS INTEGER), CAST(cold - 1 AS INTEGER), size[best], util[hot] / (total / 8), list_max(after_util) / (list_sum(after_util) / 8)
+  FROM (SELECT *, {_on("moved")} AS after_util FROM (SELECT *, [CASE WHEN i = best THEN CAST(cold - 1 AS INTEGER) ELSE srv[i] END FOR i IN range(1, len(ids) + 1)] AS moved FROM (
+    SELECT *, list_position(gains, list_max(gains)) AS best FROM (
+      SELECT *, [CASE WHEN srv[i] = hot - 1 AND size[i] > 0 AND load[i] > 0 THEN (util[hot] / (total / 8) - greatest(greatest(util[hot] * caps[hot] - load[i], 0) / caps[hot], (util[cold] * caps[cold] + load[i]) / caps[cold], rest) / ((total - load[i] / caps[hot] + load[i] / caps[cold]) / 8)) / size[i] ELSE CAST('-inf' AS DOUBLE) END FOR i IN range(1, len(ids) + 1)] AS gains FROM (
+        SELECT *, coalesce(list_max([CASE WHEN j <> hot AND j <> cold THEN util[j] END FOR j IN range(1, 9)]), 0) AS rest FROM (
+          SELECT *, list_sum(util) AS total, list_position(util, list_max(util)) AS hot, list_position(util, list_min(util)) AS cold FROM (
+            SELECT *, {_on("srv")} AS util FROM (SELECT *, [40.0 + s % 3 * 5 FOR s IN range(8)]::DOUBLE[] AS caps FROM run)))
+        WHERE hot <> cold AND total > 1e-12)))
+    WHERE gains[best] > 0 AND used < 5 AND used + size[best] <= 5)))
+SELECT scenario, CAST(step AS INTEGER) AS step, slice_id, "from", "to", round(churn, 6) AS churn, round(imbalance_before, 6) AS imbalance_before, round(imbalance_after, 6) AS imbalance_after FROM run WHERE step > 0"""
+_CAPACITY = {s: 40.0 + s % 3 * 5 for s in range(8)}
+
+
+@query(_GREEDY, recursive=True)
 def greedy_run(spark, sf_dir):
-    b = bound(spark, sf_dir)
-    return rebalance.greedy(_epochs(b), {s: 40.0 + s % 3 * 5 for s in range(8)}, 5.0)
+    return rebalance.greedy(_epochs(bound(spark, sf_dir)), _CAPACITY, 5.0)
+
+
+@query(_GREEDY, recursive=True)
+def greedy_recursion(spark, sf_dir):
+    """The same log by a recursive query."""
+    return rebalance.greedy_recursive(_epochs(bound(spark, sf_dir)), _CAPACITY, 5.0)
 
 
 @query()
 def min_max_assignment(spark, sf_dir):
     b = bound(spark, sf_dir)
     at = b.work.withColumn("scenario", F.floor((F.col("t") - 1) / 100)).groupBy("scenario", "k").agg(F.sum("cost").alias("load"))
-    return rebalance.min_max(at.join(b.keys, "k").join(layout.primaries(b.slices), "k").select("scenario", "k", "size", "load", "server"), [40.0 + s % 3 * 5 for s in range(8)], 6)
+    return rebalance.min_max(at.join(b.keys, "k").join(layout.primaries(b.slices), "k").select("scenario", "k", "size", "load", "server"), list(_CAPACITY.values()), 6)
+
+
+@query(""", l AS (SELECT CAST((t - 1) // 100 AS BIGINT) AS scenario, k, sum(cost) AS load FROM ev GROUP BY 1, 2), p AS (SELECT scenario, k, load, server FROM l JOIN prim USING (k)),
+r AS (SELECT scenario, sum(load) AS rest FROM p GROUP BY scenario, server UNION ALL SELECT scenario, sum(load) OVER (PARTITION BY scenario, server) - sum(load) OVER (PARTITION BY scenario, server ORDER BY load DESC, k) FROM p),
+n AS (SELECT scenario, rest, row_number() OVER (PARTITION BY scenario ORDER BY rest DESC) AS n FROM r), b AS (SELECT scenario, greatest(max(load), sum(load) / 8) AS bound FROM l GROUP BY scenario)
+SELECT scenario, round(greatest(bound, coalesce(rest, 0)), 6) AS bound, true AS above FROM b LEFT JOIN (SELECT * FROM n WHERE n = 7) USING (scenario)""")
+def min_max_bound(spark, sf_dir):
+    """The bound of six moves that certifies each scenario's assignment."""
+    per = min_max_assignment(spark, sf_dir).groupBy("scenario").agg(F.first("bound").alias("bound"), F.first("peak").alias("peak"))
+    return per.select("scenario", "bound", (F.col("peak") >= F.col("bound") - 1e-9).alias("above"))
 
 
 @query("SELECT scenario, 0 AS unassigned, 0 AS over_capacity, true AS within_moves FROM (SELECT DISTINCT CAST((t - 1) // 100 AS BIGINT) AS scenario FROM ev)")

@@ -109,13 +109,15 @@ def rounded(df: DataFrame) -> DataFrame:
 OFF_TIES = 3e-9
 
 
-def query(sql: str | None = None, data: str = "events", with_prelude: bool = True):
+def query(sql: str | None = None, data: str = "events", with_prelude: bool = True, recursive: bool = False):
     """Registers a query under its function's name. sql: what follows the prelude (further CTEs begin with a comma); its roundings to 6 decimals are moved off ties likewise."""
 
     def register(f):
         QUERIES[f.__name__] = lambda spark, sf_dir: rounded(f(spark, sf_dir))
         if sql is not None:
-            SQL[f.__name__] = (prelude(data) + "\n" if with_prelude else "") + sql.replace(", 6)", f" + {OFF_TIES}, 6)")
+            before = prelude(data) + "\n" if with_prelude else ""
+            before = before.replace("WITH ", "WITH RECURSIVE ", 1) if recursive else before
+            SQL[f.__name__] = before + sql.replace(", 6)", f" + {OFF_TIES}, 6)")
         return f
 
     return register
