@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import EPS, half_even
+from ..sources.shared import written
+from .ordered import first_rows
 
 
 def normalized(weights: DataFrame, weight: str = "weight", by: tuple = ()) -> DataFrame:
@@ -55,6 +57,18 @@ def apportion(items: DataFrame, n: Column, by: tuple = (), prob: str = "prob", o
     return out.withColumn("cnt", (F.col("__floor") + (nth <= left).cast("int")).cast("long")).drop("__n", "__floor", "__frac")
 
 
+def apportion_large(items: DataFrame, n: Column, by: tuple = (), prob: str = "prob", order: str = "k") -> DataFrame:
+    """As apportion(), for groups that no task holds: the items that get one more are found by ranks, not by sorting the group."""
+    expected = n * F.col(prob)
+    out = items.withColumn("__n", n.cast("long")).withColumn("__floor", F.floor(F.round(expected, 9)).cast("long")).withColumn("__less", F.round(F.floor(F.round(expected, 9)) - expected, 9))
+    out = written(out)
+    left = out.groupBy(*by).agg((F.first("__n") - F.sum("__floor")).alias("__left"))
+    out = out.join(left, list(by)) if by else out.join(F.broadcast(left), F.lit(True))
+    more = first_rows(out, F.col("__left"), ["__less", order], by).select(*by, order, F.lit(1).alias("__one"))
+    cnt = F.col("__floor") + F.coalesce("__one", F.lit(0))
+    return out.join(more, [*by, order], "left").withColumn("cnt", cnt.cast("long")).select(*items.columns, "cnt")
+
+
 def cold_pool(keys: DataFrame, hot: DataFrame, ticks: DataFrame) -> DataFrame:
     """t, k, prob of the keys that are not hot in a tick, probabilities renormalised. ticks: t and what else is to be kept."""
     everyone = keys.agg(F.collect_list(F.struct("k", "prob")).alias("m"))
@@ -68,16 +82,15 @@ def plan_counts(requests: DataFrame, keys: DataFrame, hot: DataFrame, nprobe: in
 
     requests: t, n_requests, hot_mass, dist_mode ('zipf' or 'uniform', for the cold keys); keys: k, prob; hot: t, k, weight.
     """
+    requests, keys, hot = written(requests), written(keys.select("k", "prob")), written(hot.select("t", "k", "weight"))
     n_hot = hot.groupBy("t").agg(F.count(F.lit(1)).alias("n_hot"))
     ticks = requests.join(n_hot, "t", "left").withColumn("target", F.col("n_requests") * nprobe)
     to_hot, to_cold = hot_cold_split(F.col("target"), F.col("hot_mass"), F.coalesce("n_hot", F.lit(0)))
     ticks = ticks.select("t", "dist_mode", to_hot.alias("to_hot"), to_cold.alias("to_cold"))
-    hot_part = apportion(normalized(hot, by=("t",)).join(ticks, "t"), F.col("to_hot"), by=("t",))
-    cold = cold_pool(keys, hot, ticks)
-    zipf = apportion(cold.where("dist_mode <> 'uniform'"), F.col("to_cold"), by=("t",))
-    flat = even_split(cold.where("dist_mode = 'uniform'"), F.col("to_cold"), by=("t",))
-    parts = [p.select("t", "k", "cnt") for p in (hot_part, zipf, flat)]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).where("cnt > 0")
+    # hot and cold keys are two groups of a tick; flat ones are keys of one weight
+    cold = cold_pool(keys, hot, ticks).select("t", "k", F.when(F.col("dist_mode") == "uniform", 1.0).otherwise(F.col("prob")).alias("weight"), F.col("to_cold").alias("n"), F.lit(False).alias("is_hot"))
+    pool = hot.join(ticks, "t").select("t", "k", "weight", F.col("to_hot").alias("n"), F.lit(True).alias("is_hot")).unionByName(cold)
+    return apportion(normalized(pool, by=("t", "is_hot")), F.col("n"), by=("t", "is_hot")).select("t", "k", "cnt").where("cnt > 0")
 
 
 def cost_of(counts: DataFrame, clusters: DataFrame) -> DataFrame:

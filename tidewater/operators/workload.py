@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import half_even, uniform
+from .ordered import scanned
 
 
 def zipf(spark: SparkSession, n: int, s: float, seed: int = 1) -> DataFrame:
@@ -35,8 +36,8 @@ def volume(gauss: Column, mean: Column, std: Column, low: Column, high: Column)
 
 def query_ids(requests: DataFrame) -> DataFrame:
     """t, n_requests, first_qid, last_qid: queries are numbered over all ticks."""
-    upto = F.sum("n_requests").over(Window.orderBy("t").rowsBetween(Window.unboundedPreceding, 0))
-    return requests.select("t", "n_requests", (upto - F.col("n_requests") + 1).alias("first_qid"), upto.alias("last_qid"))
+    upto = scanned(requests.select("t", F.col("n_requests").cast("long").alias("n_requests")), ["t"], {"last_qid": F.col("n_requests")})
+    return upto.select("t", "n_requests", (F.col("last_qid") - F.col("n_requests") + 1).alias("first_qid"), "last_qid")
 
 
 def queries(requests: DataFrame) -> DataFrame:
@@ -67,8 +68,8 @@ def burst_length(gauss: Column, mean: float, std: float, low: int, high: int) ->
 
 def burst_ranges(bursts: DataFrame) -> DataFrame:
     """burst_id, burst_len, first_t, last_t from (burst_id, burst_len): bursts follow each other without gaps."""
-    upto = F.sum("burst_len").over(Window.orderBy("burst_id").rowsBetween(Window.unboundedPreceding, 0))
-    return bursts.select("burst_id", "burst_len", (upto - F.col("burst_len") + 1).alias("first_t"), upto.alias("last_t"))
+    upto = scanned(bursts.select("burst_id", F.col("burst_len").cast("long").alias("burst_len")), ["burst_id"], {"last_t": F.col("burst_len")})
+    return upto.select("burst_id", "burst_len", (F.col("last_t") - F.col("burst_len") + 1).alias("first_t"), "last_t")
 
 
 def burst_ticks(bursts: DataFrame) -> DataFrame:
@@ -91,8 +92,7 @@ def fixed_hot(ids: Column, n_keys: int, n_hot: int) -> Column:
 def distribution_modes(ticks: DataFrame, switch: str = "dist_switch", first: str = "zipf") -> DataFrame:
     """t, dist_switch, dist_id, dist_mode: each switch flips between zipf and uniform."""
     other = "uniform" if first == "zipf" else "zipf"
-    upto = F.sum(switch).over(Window.orderBy("t").rowsBetween(Window.unboundedPreceding, 0)).cast("int")
-    out = ticks.withColumn("dist_id", upto)
+    out = scanned(ticks, ["t"], {"dist_id": F.col(switch).cast("long")}).withColumn("dist_id", F.col("dist_id").cast("int"))
     return out.withColumn("dist_mode", F.when(F.col("dist_id") % 2 == 0, F.lit(first)).otherwise(F.lit(other)))
 
 

@@ -176,6 +176,18 @@ def largest_remainder(spark, sf_dir):
     return planner.apportion(items, F.col("n_requests") * 20, by=("t",)).select("t", "k", "cnt")
 
 
+@query(
+    "WITH it AS (SELECT c_custkey AS k, greatest(c_acctbal, 0) / sum(greatest(c_acctbal, 0)) OVER () AS prob, 1 AS one FROM customer)" + _apportioned("it", "(SELECT count(*) FROM orders)", "prob", "one").replace("sum(fl) OVER (PARTITION BY one)", "sum(fl) OVER ()") + " SELECT k, cnt FROM app",
+    with_prelude=False,
+)
+def orders_apportioned(spark, sf_dir):
+    """As many shares as there are orders, over all customers by their balance: one group that no task sorts."""
+    balance = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.greatest(F.col("c_acctbal"), F.lit(0.0)).alias("weight"))
+    total, n = balance.agg(F.sum("weight").alias("total")), read(spark, sf_dir, "orders").agg(F.count(F.lit(1)).alias("n"))
+    items = balance.join(F.broadcast(total), F.lit(True)).join(F.broadcast(n), F.lit(True)).select("k", (F.col("weight") / F.col("total")).alias("prob"), "n")
+    return planner.apportion_large(items, F.col("n")).select("k", "cnt")
+
+
 @query(_ZIPF + _apportioned("(SELECT *, 1 AS one FROM zipf)", "12345", "prob", "one") + " SELECT k, cnt FROM app")
 def zipf_counts(spark, sf_dir):
     return planner.apportion(_zipf(spark, sf_dir), F.lit(12345)).select("k", "cnt")

@@ -177,6 +177,22 @@ def request_candles(spark, sf_dir):
     return analysis.request_candles(metrics.fanout_stats(_fanouts(spark, sf_dir)), 24)
 
 
+@query(_PER_TICK + ", c AS (SELECT t, min(v) OVER w AS low, max(v) OVER w AS high, avg(v) OVER w AS mu, stddev_pop(v) OVER w AS sd FROM per WINDOW w AS (ORDER BY t ROWS BETWEEN 11 PRECEDING AND CURRENT ROW)) SELECT t, round(low, 6) AS low, round(greatest(low, mu - sd), 6) AS open, round(least(high, mu + sd), 6) AS close, round(high, 6) AS high FROM c")
+def request_candles_unsampled(spark, sf_dir):
+    """A run without any samples of requests: rolling candles of the mean."""
+    v = F.col("v")
+    stats = _per_tick(spark, sf_dir).select("t", F.lit(0).alias("fanout_req_samples"), v.alias("fanout_req_mean"), v.alias("fanout_req_min"), v.alias("fanout_req_max"), F.lit(0.0).alias("fanout_req_var"))
+    return analysis.request_candles(stats, 12)
+
+
+@query(", a AS (SELECT t, sum(cost) AS v FROM ev WHERE event_type = 'click' GROUP BY t) SELECT t, round(v, 6) AS v_click FROM a")
+def scenario_compare_missing(spark, sf_dir):
+    """One of two runs has no such metric and is left out."""
+    e = events(spark, sf_dir)
+    runs_ = {"click": e.where("event_type = 'click'").groupBy("t").agg(F.sum("cost").alias("v")), "other": e.groupBy("t").agg(F.max("cost").alias("w"))}
+    return analysis.compare(runs_, "v")
+
+
 @query(_PER_TICK + " SELECT t, round(v, 6) AS v, v >= coalesce(lag(v) OVER (ORDER BY t), v) AS up FROM per")
 def candle_direction(spark, sf_dir):
     return analysis.direction(_per_tick(spark, sf_dir), "v")
