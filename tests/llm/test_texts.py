@@ -1,3 +1,4 @@
+import functools
 import re
 import zlib
 from collections import Counter
@@ -645,14 +646,18 @@ def test_kneser_ney_equals_plain():
     assert np.allclose(np.exp(model.log_p(packed)), [p(g) for g in probes], rtol=1e-9)
 
 
+def spelled(word):
+    """Characters from U+0800 on as two."""
+    return "".join(c if ord(c) < 0x800 else chr(0xC00 + (ord(c) >> 10)) + chr(0x800 + (ord(c) & 1023)) for c in word)
+
+
 def test_grams_in_blocks():
     """Words cut anywhere have the grams of the whole words, without edges inside."""
-    words = ["", "a", "river", "\u4e2d\u6587" * 30, "z" * 100]
+    words = ["", "a", "river", "\u4e2d\u6587" * 30, "z" * 100, "\u0905\u20000\U00020000\ud55c" * 9]
     whole = [(int(w), int(g)) for codes, of in language.grams(words) for w, g in zip(of, codes)]
     want = []
     for k, w in enumerate(words):
-        s = [ord(c) for c in "\x01" * 4 + w + "\x01"]
-        s = [(c * 2654435761 >> 7) & 4095 | 2048 if c > 4095 else c for c in s]
+        s = [ord(c) for c in "\x01" * 4 + spelled(w) + "\x01"]
         want += [(k, sum(c << 12 * (4 - i) for i, c in enumerate(s[a : a + 5]))) for a in range(len(s) - 4)]
     assert whole == want
     for block in (1, 2, 7, 64):
@@ -677,7 +682,7 @@ def plain_language(rows):
     levels = {}
     for _, t, la, _ in rows:
         for w in language.words_of(t or ""):
-            s = "\x01" * 4 + w + "\x01"
+            s = "\x01" * 4 + spelled(w) + "\x01"
             levels.setdefault(la, Counter()).update(s[i : i + 5] for i in range(len(s) - 4))
     models = {}
     for la, five in levels.items():
@@ -695,6 +700,7 @@ def plain_language(rows):
                 followers[k][g[:-1]] = n + v, kinds + 1
         models[la] = level, d, followers, len(level[1]) + 1
 
+    @functools.cache
     def p(la, g):
         level, d, followers, size = models[la]
         if not g:
@@ -709,24 +715,66 @@ def plain_language(rows):
         words = language.words_of(text or "")
         if not words:
             return "und"
-        cost = {la: -sum(np.log(p(la, s[i : i + 5])) for w in words for s in ["\x01" * 4 + w + "\x01"] for i in range(len(s) - 4)) for la in models}
+        cost = {la: -sum(np.log(p(la, s[i : i + 5])) for w in words for s in ["\x01" * 4 + spelled(w) + "\x01"] for i in range(len(s) - 4)) for la in models}
         return min(sorted(cost), key=lambda la: (round(cost[la], 6), la))
 
     return best
 
 
+def learned_from(spark, rows):
+    """The rows that are not held out for calibration."""
+    hashes = {r["doc_id"]: r["h"] for r in spark.createDataFrame([(r[0],) for r in rows], "doc_id long").select("doc_id", F.xxhash64("doc_id").alias("h")).collect()}
+    sizes = Counter(la for _, _, la, _ in rows)
+    return [r for r in rows if hashes[r[0]] % language.HELD or sizes[r[2]] < language.FEW]
+
+
 def test_predictions_equal_plain(spark):
-    """The query's predictions, row by row, against dictionaries."""
+    """The query's predictions, every row, against dictionaries."""
     docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
     rows = [(r["doc_id"], r["text"], r["lang"], None) for r in docs if zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2 and r["lang"] is not None]
-    best = plain_language(rows)
+    best = plain_language(learned_from(spark, rows))
     got = {r["doc_id"]: r["lang_pred"] for r in language.op10_language(spark, SF).collect()}
-    some = sorted(docs, key=lambda r: len(r["text"] or ""))[:150]
-    assert [got[r["doc_id"]] for r in some] == [best(r["text"]) for r in some]
+    assert [got[r["doc_id"]] for r in docs] == [best(r["text"]) for r in docs]
+
+
+def test_scripts_beyond_the_first_plane_of_codes(spark):
+    """Han, Hangul and Devanagari letters are told apart one by one: every row is that of a plain version."""
+    rng = np.random.default_rng(4)
+    alphabet = {"zh": range(0x4E00, 0x9FA0), "zh2": range(0x4E00, 0x9FA0), "ko": range(0xAC00, 0xD7A0), "hi": range(0x905, 0x939), "x2": range(0x20000, 0x20800)}
+    own = {la: rng.choice(np.array(codes), 40) for la, codes in alphabet.items()}  # two languages of one script, with letters of their own
+    text = lambda la: " ".join("".join(map(chr, rng.choice(own[la], rng.integers(1, 5)))) for _ in range(40))
+    rows = [(i, text(la), la, "x") for i, la in enumerate(sorted(own) * 40)]
+    model = language.learn(table(spark, rows))
+    best = plain_language(learned_from(spark, rows))
+    new = [(1000 + i, text(la), la, "x") for i, la in enumerate(sorted(own) * 12)]
+    got = {r["doc_id"]: r["lang_pred"] for r in language.identify(table(spark, rows + new), model).collect()}
+    assert all(got[i] == best(t) for i, t, _, _ in rows + new)
+    assert all(got[i] == la for i, _, la, _ in new)
 
 
-def test_language_keeps_all_grams(spark):
+def test_scores_are_calibrated_on_rows_that_were_not_learned(spark):
+    """Languages that share most words: scores of short and long texts say how often they are right, and few are rejected."""
+    rng = np.random.default_rng(6)
+    common = [f"{a}{b}{c}o" for a in "ptkm" for b in "aeiu" for c in "lnrs"]
+    special = {"aa": ["zuva", "zilo"], "bb": ["guva", "gilo"], "cc": ["duva", "dilo"]}
+    text = lambda la, n: " ".join(special[la][rng.integers(2)] if rng.random() < 0.03 else common[rng.integers(len(common))] for _ in range(n))
+    lengths = [2, 5, 10, 30, 100, 200]
+    rows = [(i, text(la, int(rng.choice(lengths))), la, "x") for i, la in enumerate(sorted(special) * 1000)]
+    model = language.learn(table(spark, rows))
+    new = [(10_000 + i, text(la, int(rng.choice(lengths))), la, "x") for i, la in enumerate(sorted(special) * 800)]
+    truth = {i: la for i, _, la, _ in new}
+    got = language.identify(table(spark, new), model).collect()
+    right = np.array([r["lang_pred"] == truth[r["doc_id"]] for r in got])
+    score = np.array([r["score"] for r in got])
+    bins = np.digitize(score, np.linspace(0.3, 1, 8)[1:-1])
+    error = sum(abs(right[bins == b].mean() - score[bins == b].mean()) * (bins == b).mean() for b in np.unique(bins))
+    assert error < 0.05 and 0.5 < right.mean() < 0.99
+    assert np.mean([r["rejected"] for r in got]) < 0.02
+
+
+def test_language_keeps_all_grams(spark, monkeypatch):
     """More grams than were once kept of a language: the tables give what Model() gives of all of them."""
+    monkeypatch.setattr(language, "FEW", 1000)
     rng = np.random.default_rng(8)
     words = ["".join(w) for w in rng.choice(list("abcdefghijklmnopqrstuvwxyz"), (80_000, 6))]
     texts = [" ".join(words[i : i + 1000] + words[:50]) for i in range(0, len(words), 1000)]

@@ -7,18 +7,17 @@ the weight of their context, if it was seen, and what the shorter gram has.
 
 from __future__ import annotations
 
+import fcntl
 import os
-import tempfile
-import uuid
 
 import numpy as np
+import pyarrow.parquet as pq
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .common import Scratch
 
-#: Rows of the models that the driver writes at once.
+#: Rows of a file of the models.
 PART = 1 << 20
 
 _PAIR = np.dtype([("code", np.int64), ("log", np.float64)])
@@ -62,10 +61,11 @@ class Backoff:
         return hit, logs[at[hit]]
 
 
-def publish(scratch: Scratch, rows_: DataFrame) -> tuple[str, dict[tuple[int, int], tuple[int, int]]]:
-    """Writes (code, log) of rows (lang, kind, code, log), sorted, to a file that every executor gets; where each kind stands in it.
+def publish(scratch: Scratch, rows_: DataFrame) -> tuple[list[str], dict[tuple[int, int], tuple[int, int]]]:
+    """Names of files that every executor gets, with the rows (lang, kind, code, log) in order; where each kind stands in all of them.
 
-    lang is the number of a model. Kinds below the order are the grams of kind + 1 symbols, those from it on the contexts.
+    The files are written by executors, PART rows each, to the shared folder; no row goes through the driver. lang is the
+    number of a model. Kinds below the order are the grams of kind + 1 symbols, those from it on the contexts.
     """
     spark = scratch.spark
     rows_ = scratch.save(rows_, "rows")
@@ -73,35 +73,35 @@ def publish(scratch: Scratch, rows_: DataFrame) -> tuple[str, dict[tuple[int, in
     for r in rows_.groupBy("lang", "kind").count().orderBy("lang", "kind").collect():
         spans[r["lang"], r["kind"]] = n, n + r["count"]
         n += r["count"]
-    dealt = rows_.repartitionByRange(max(1, 4 * n // PART), "lang", "kind", "code").withColumn("part", F.spark_partition_id())
-    dealt = scratch.save(dealt, "dealt")
-    parts = dealt.groupBy("part").count().orderBy("part").collect()
-    name = f"tidewater-{uuid.uuid4().hex}.bin"
-    local = os.path.join(tempfile.mkdtemp(prefix="tidewater-"), name)
-    with open(local, "wb") as file:
-        while parts:
-            take = total = 0
-            while take < len(parts) and (not take or total + parts[take]["count"] <= PART):
-                total += parts[take]["count"]
-                take += 1
-            some = dealt.where(F.col("part").between(parts[0]["part"], parts[take - 1]["part"])).drop("part").toArrow()
-            lang, kind, code, log = (some[c].to_numpy() for c in ("lang", "kind", "code", "log"))
-            order = np.lexsort((code, kind, lang))
-            pairs = np.empty(len(code), _PAIR)
-            pairs["code"], pairs["log"] = code[order], log[order]
-            file.write(pairs.tobytes())
-            parts = parts[take:]
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{scratch.base}/{name}")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).copyFromLocalFile(True, jvm.org.apache.hadoop.fs.Path(f"file://{local}"), path)
-    os.rmdir(os.path.dirname(local))
-    spark.sparkContext.addFile(path.toString())
-    scratch.drop("rows", "dealt")
-    return name, spans
-
-
-def mapped(file: str, spans: dict[tuple[int, int], tuple[int, int]], model: int, order: int) -> tuple[list, list]:
-    """Grams and contexts of a model of a published file, by order, mapped into memory."""
-    own = np.asarray(np.memmap(SparkFiles.get(file), _PAIR, "r"))
+    order = ("lang", "kind", "code")
+    scratch.save(rows_.repartitionByRange(max(1, n // PART), *order).sortWithinPartitions(*order).select("code", "log"), "model")
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{scratch.base}/model")
+    found = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(folder)
+    files = sorted((f.getPath().getName(), f.getPath().toString()) for f in found if f.getPath().getName().startswith("part-"))
+    for _, path in files:
+        spark.sparkContext.addFile(path)
+    scratch.drop("rows")
+    return [name for name, _ in files], spans
+
+
+def mapped(files: list[str], spans: dict[tuple[int, int], tuple[int, int]], model: int, order: int) -> tuple[list, list]:
+    """Grams and contexts of a published model, by order, mapped into memory."""
+    own = np.asarray(np.memmap(_laid_out(files), _PAIR, "r")) if spans else np.empty(0, _PAIR)
     part = lambda k: (own["code"][slice(*spans.get((model, k), (0, 0)))], own["log"][slice(*spans.get((model, k), (0, 0)))])
     return [part(k) for k in range(order)], [part(order + k) for k in range(order)]
+
+
+def _laid_out(files: list[str]) -> str:
+    """One file of pairs beside the executor's copies, written by the first of the machine's workers that needs it."""
+    whole = SparkFiles.get(files[0]) + ".pairs"
+    with open(whole + ".lock", "w") as lock:
+        fcntl.flock(lock, fcntl.LOCK_EX)
+        if not os.path.exists(whole):
+            with open(whole + ".new", "wb") as out:
+                for name in files:
+                    for batch in pq.ParquetFile(SparkFiles.get(name)).iter_batches(1 << 16):
+                        pairs = np.empty(batch.num_rows, _PAIR)
+                        pairs["code"], pairs["log"] = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+                        out.write(pairs.tobytes())
+            os.replace(whole + ".new", whole)
+    return whole

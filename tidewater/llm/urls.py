@@ -4,7 +4,7 @@ Rules decide where they fit. Every other url is judged by two variable-order Mar
 one of the urls that rules accept and one of those they reject, smoothed by Witten-Bell interpolation: a byte's probability
 after up to ORDER - 1 bytes mixes what followed the longest context seen LEAST times and more with that of the next shorter
 one. All labelled urls but a fifth, by hash, are counted, and the models grow with them: they are worked out as tables,
-written to a file in the shared folder and mapped by the workers. On the fifth left out, the order (2 to ORDER) of the best
+written to files in the shared folder by executors and mapped by the workers. On the fifth left out, the order (2 to ORDER) of the best
 balanced accuracy is chosen, the smallest of equal ones, and the threshold: of the mean log-likelihood difference per
 byte, the middle of the range of that best accuracy, over a histogram of all of them. A url at the threshold is allowed.
 
@@ -88,10 +88,10 @@ def _held(url: str) -> bool:
 
 
 class UrlModel:
-    """The models of a published file, the order that is used of them, and the threshold."""
+    """Published models, the order that is used of them, and the threshold."""
 
-    def __init__(self, file: str, spans: dict):
-        self.file, self.spans, self.order, self.threshold = file, spans, ORDER, 0.0
+    def __init__(self, files: list[str], spans: dict):
+        self.files, self.spans, self.order, self.threshold = files, spans, ORDER, 0.0
 
     def __getstate__(self):
         return {k: v for k, v in vars(self).items() if not k.startswith("_")}
@@ -99,7 +99,7 @@ class UrlModel:
     @property
     def models(self) -> list[Backoff]:
         if "_models" not in vars(self):
-            self._models = [Backoff(*mapped(self.file, self.spans, i, ORDER), BITS, -BITS * np.log(2)) for i in range(2)]
+            self._models = [Backoff(*mapped(self.files, self.spans, i, ORDER), BITS, -BITS * np.log(2)) for i in range(2)]
         return self._models
 
     def scores(self, urls: list[str], orders: tuple[int, ...] = ()) -> np.ndarray:
