@@ -15,7 +15,8 @@ field learns values by their look and not only by what the patterns go by. Piece
 Null and empty texts have no spans; an empty table gives an empty result. Without a labelled piece no span is added.
 Repeated rows give repeated results; other columns are ignored. Spans of the method that overlap a base span are left out;
 of labels that score alike the first of begin, inside, outside is taken. Texts of any length are tagged whole; of a
-neighbouring token the last twelve bytes count, of a shape of many changes the first six and their number's size.
+shape of many changes the first six and their number's size count, and of a neighbouring token the last twelve bytes. A field can be written and read again, see
+write_field(), so that it is fitted once.
 """
 
 from __future__ import annotations
@@ -137,7 +138,7 @@ def tight_features(before: bool, after: bool) -> list[str]:
 
 
 def file_features(text: bytes) -> list[str]:
-    low = text[:].lower()
+    low = text.lower()
     return [f"file-key={any(k in low for k in _KEYWORDS)}", f"file-lines={min(text.count(b'\n').bit_length(), 8)}", f"file-equals={min(text.count(b'=').bit_length(), 6)}"]
 
 
@@ -190,6 +191,8 @@ class Field:
         return self.decode(self.scores(run))
 
     def decode(self, s: np.ndarray) -> list[int]:
+        if not len(s):
+            return []
         move = self.move + _ALLOWED
         best, back = s[0] + move[O], []
         for row in s[1:]:
@@ -298,7 +301,10 @@ def made_up(rng: np.random.Generator) -> bytes:
     if look == 0:
         out = draw(_BASE62, n)
     elif look == 1:
-        out = draw(_BASE62 + "-_", n)
+        parts = [draw(_BASE62 + "-_", n)]
+        for _ in range(int(n) % 3):  # some are put together by dots
+            parts.append(draw(_BASE62 + "-_", rng.integers(10, 64)))
+        out = ".".join(parts)
     elif look == 2:
         out = draw(_BASE62 + "+/", 4 * (n // 4)) + "=" * int(rng.integers(0, 3))
     elif look == 3:
@@ -531,6 +537,22 @@ def _scanned(text: bytes, found: list[list[int]]) -> tuple:
     return *n[:3], hashlib.sha256(show(base).encode()).hexdigest(), show(every), n[3]
 
 
+_STORED = "feature string, `begin` double, inside double, outside double"
+
+
+def write_field(spark: SparkSession, field: Field, path: str) -> None:
+    """A row for each feature, and one for the moves from each label."""
+    weights = [(name, *map(float, field.state[k])) for name, k in field.index.items()]
+    moves = [(f"\x00move{k}", *map(float, row)) for k, row in enumerate(field.move)]
+    spark.createDataFrame(weights + moves, _STORED).coalesce(1).write.parquet(path)
+
+
+def read_field(spark: SparkSession, path: str) -> Field:
+    found = {r["feature"]: tuple(r)[1:] for r in spark.read.schema(_STORED).parquet(path).collect()}  # at most TRAIN_RUNS runs' features
+    move = np.array([found.pop(f"\x00move{k}") for k in range(3)])
+    return Field({f: k for k, f in enumerate(found)}, np.array(list(found.values())).reshape(-1, 3), move)
+
+
 def scan_secrets(docs: DataFrame, field: Field | None = None, base_only: bool = False) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_crf of every document; without a field one is fitted first.
 
