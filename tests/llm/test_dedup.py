@@ -265,3 +265,40 @@ def test_near_drop(spark):
     assert (3, prose(99, 80)) in plain_near_drop(rows)  # shares an id, and nothing else, with a row that stays
     assert left.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     assert simhash.drop_near_duplicates(table(spark, [])).count() == 0 and simhash.near_duplicates(table(spark, [])).count() == 0
+
+
+def test_rows_without_an_id_meet_nowhere(spark):
+    """Half of the rows lack a doc_id: they stay where they are, whatever the joins."""
+    docs = table(spark, [(i if i % 2 else None, f"text {i}", "en", "x") for i in range(4000)]).repartition(8)
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for with_null in (True, False):
+            ids = spark.createDataFrame([(i,) for i in range(1, 400)] + [(None,)] * with_null, "doc_id long")
+            inside, outside = common.parted(docs, ids)
+            count = lambda df: (df.where("doc_id IS NULL").count(), df.where("doc_id IS NOT NULL").count())
+            assert (count(inside), count(outside)) == (((2000, 200), (0, 1800)) if with_null else ((0, 200), (2000, 1800)))
+            most = max(r["count"] for df in (inside, outside) for r in df.groupBy(F.spark_partition_id()).count().collect())
+            assert most < 1000
+    finally:
+        for k, v in keep.items():
+            spark.conf.set(k, v)
+
+
+def test_half_of_all_rows_in_one_component(spark, monkeypatch):
+    """A chain of fingerprints holds half of the rows; every row gets its component, and the large root is not shuffled."""
+    monkeypatch.setattr(common, "HOT_ROWS", 50)
+    monkeypatch.setattr(common, "HOT_KEYS", 10)
+    rng = np.random.default_rng(3)
+    chain = [int(rng.integers(0, 1 << 62))]
+    while len(chain) < 400:
+        chain.append(chain[-1] ^ (7 << int(rng.integers(0, 59))))
+    lone = [int(x) for x in rng.integers(0, 1 << 62, 400)]
+    prints = spark.createDataFrame([(1000 + i, simhash._signed(f)) for i, f in enumerate(chain)] + [(i, simhash._signed(f)) for i, f in enumerate(lone)], "doc_id long, fp long")
+    seen, plain = [], simhash.with_key
+    monkeypatch.setattr(simhash, "with_key", lambda rows, per, key, members, total: (seen.append((key, per.where(common.hot(per, members, total)).count())), plain(rows, per, key, members, total))[1])
+    named = simhash._named(common.Scratch(spark), prints, simhash.WIDTH)
+    got = {r["fp"]: r["component_id"] for r in named.collect()}
+    assert {got[simhash._signed(f)] for f in chain} == {1000} and ("root", 1) in seen
+    assert len({got[simhash._signed(f)] for f in lone}) == 400

@@ -149,10 +149,19 @@ def screened(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def parted(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The documents whose doc_id is one of the ids (nulls too), and the rest; only texts of possible ones are shuffled."""
-    maybe, rest = screened(docs, ids)
-    same = maybe["doc_id"].eqNullSafe(ids["doc_id"])
-    return maybe.join(ids, same, "left_semi"), rest.unionByName(maybe.join(ids, same, "left_anti"))
+    """The documents whose doc_id is one of the ids (nulls too), and the rest; only texts of possible ones are shuffled.
+
+    Documents without a doc_id are in one part or the other all together, by one flag, so they meet nowhere. Rows of one
+    doc_id are the large side of a semi join, which Spark cuts where they are many.
+    """
+    unnamed, named = docs.where("doc_id IS NULL"), docs.where("doc_id IS NOT NULL")
+    maybe, rest = screened(named, ids.where("doc_id IS NOT NULL"))
+    same = maybe["doc_id"] == ids["doc_id"]
+    flag = fresh(docs, "__null")
+    any_null = F.broadcast(ids.agg(F.coalesce(F.max(F.col("doc_id").isNull()), F.lit(False)).alias(flag)))  # one row
+    flagged = unnamed.join(any_null, F.lit(True))
+    inside, outside = (flagged.where(F.col(flag) == x).select(columns(docs)) for x in (True, False))
+    return maybe.join(ids, same, "left_semi").unionByName(inside), rest.unionByName(maybe.join(ids, same, "left_anti")).unionByName(outside)
 
 
 def without(docs: DataFrame, ids: DataFrame) -> DataFrame:

@@ -178,11 +178,12 @@ def _named(scratch: Scratch, prints: DataFrame, width: int) -> DataFrame:
     distinct = scratch.save(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("members")), "distinct")
     roots = components(scratch, links(scratch, distinct, width))
     rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp").select("fp", "root", "first_id")
-    ids = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    found = scratch.save(rooted.join(ids, "root").select("fp", "component_id", "root"), "found")
+    rooted = scratch.save(rooted, "rooted")
+    ids = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count(F.lit(1)).alias("size"))
+    found = scratch.save(with_key(rooted, ids, "root", "size", rooted.count()).select("fp", "component_id", "root"), "found")
     named = distinct.join(found, "fp", "left")
     named = scratch.save(named.select("fp", "members", F.when(F.col("root").isNull(), F.col("first_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("root", "fp").alias("root")), "named")
-    scratch.drop("distinct", "found")
+    scratch.drop("distinct", "rooted", "found")
     return named
 
 
