@@ -1,4 +1,14 @@
-"""From raw documents to token counts: quality rules, exact dedup, near-dedup, source mix, SentencePiece."""
+"""From raw documents to token counts: quality rules, exact dedup, near-dedup, source mix, SentencePiece.
+
+Every stage takes documents (doc_id, text, lang, source, n_chars and any other columns) as its predecessor left them and
+all but the last return them with the same columns; run() returns doc_id, n_tokens, ids_sha256, decoded_sha256 and
+n_mismatch. Rows are told apart by what they hold, so rows that repeat a doc_id, or lack one, are decided one by one.
+
+Null, empty and short texts go with the quality rules, so no later stage of run() has any; a stage that is called by
+itself takes them as its operator does: as empty texts, of which one stays per group. Nulls in source make a source of
+their own, the last; nulls in other columns are kept. Texts are read whole, however long. Of ties the smallest doc_id
+stays, of equal rows one. Names of columns may clash with any that the operators use. Empty tables give empty results.
+"""
 
 from __future__ import annotations
 
