@@ -189,6 +189,27 @@ def _changes(spark, op, rows):
     return table(spark, rows).select(F.lit(op).alias("op"), "doc_id", "source", "lang", "text")
 
 
+def test_buckets_grow_and_deletes_read_few(spark, monkeypatch):
+    """Folders have as many buckets as their entries fill; a delete reads its own buckets of each, and no commit before the last base."""
+    monkeypatch.setattr(token_counts, "ROWS", 50)
+    monkeypatch.setattr(token_counts, "KEEP", 3)
+    ledger = token_counts.Ledger(spark, Scratch(spark).base)
+    assert ledger.apply("all", _changes(spark, "insert", [(i, f"w{i} x", "en", "s") for i in range(1500)]))
+    assert ledger.apply("few", _changes(spark, "insert", [(9000 + i, "a b c", "en", "s") for i in range(3)]))
+    assert [c["buckets"] for c in ledger.log()] == [64, 1]
+    asked, read = [], ledger._read
+    ledger._read = lambda commits, kind, schema, where=None: (asked.append([read([c], kind, schema, where).count() for c in commits] if where else None), read(commits, kind, schema, where))[1]
+    assert ledger.apply("gone", _changes(spark, "delete", [(i, None, None, None) for i in (3, 700, 9001)]))
+    [(base, small)] = [a for a in asked if a]
+    assert base < 3000 / 8 and small == 6 and _words(ledger) == {("s", "en"): (1500, 1498 * 2 + 2 * 3)}
+    assert ledger.apply("more", _changes(spark, "insert", [(9100, "y", "en", "s")])) and ledger.apply("last", _changes(spark, "insert", []))
+    opened, entry = [], ledger._entry
+    ledger._entry = lambda path: (opened.append(1), entry(path))[1]
+    number, commits, done = ledger._state()
+    assert commits[0]["batch"] is None and len(opened) == len(commits) < number and done == {"all", "few", "gone", "more", "last"}
+    assert not ledger.apply("few", _changes(spark, "insert", [(1, "z", "en", "s")]))
+
+
 def _words(ledger):
     return {(r["source"], r["lang"]): (r["docs"], r["tokens"]) for r in ledger.totals().where(F.col("tokenizer") == token_counts.WORDS).collect()}
 

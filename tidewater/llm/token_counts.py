@@ -2,14 +2,16 @@
 
 A ledger lives in a folder of the shared store. Each batch of changes (insert, delete, revise) becomes signed entries,
 (doc_id, source, lang, tokenizer, tokens, sign), dealt into buckets by a hash of doc_id, and a rollup of them by source,
-language and tokenizer version. A batch counts once its commit stands, which is written last: a numbered file that
-names the batch and its folder and that only one writer can bring into place. So a batch that was lost midway is written
+language and tokenizer version. A folder has as many buckets as its entries fill, a power of two. A batch counts once
+its commit stands, which is written last: a numbered file that names the batch, its folder and the number of its buckets,
+and that only one writer can bring into place. A base's commit also names the batches before it, so no writer reads
+further back than the last base. So a batch that was lost midway is written
 anew, one that was committed is not applied again, and a writer that was overtaken starts again from the new state.
 Totals add the committed rollups, never the documents. After KEEP batches they are compacted into one base of net
 entries; earlier folders stay until tidy().
 
 delete takes away all that the ledger holds of a doc_id before the batch; revise does, and inserts the new text. Deletes
-and revises read the buckets that their doc_ids fall in. Of several revise rows of one doc_id in a batch one stands (the
+and revises read the buckets that their doc_ids fall in, of each folder. Of several revise rows of one doc_id in a batch one stands (the
 greatest hash of text, source and lang); insert rows all count, repeated ones as often as they stand. Rows with another
 or no op, and delete and revise rows without a doc_id, do nothing. Null texts have 0 tokens; null sources and languages
 are groups of their own. Other columns are ignored. An empty batch commits an empty delta.
@@ -38,8 +40,8 @@ from .pieces import SPACE, model_path, pieces
 #: Version names change with the tokenizer: counts of different ones never add up.
 WORDS, PIECES = "words-1", "piece-bpe-32k-1"
 KEYS = ("source", "lang", "tokenizer")
-#: Parts of the ledger by doc_id; batches between two compactions; characters encoded in one piece or one call.
-BUCKETS, KEEP, LONG = 64, 16, 1 << 18
+#: Entries of a bucket, about, and buckets of a folder at most; batches between two compactions; characters encoded in one piece or one call.
+ROWS, BUCKETS, KEEP, LONG = 100_000, 4096, 16, 1 << 18
 
 _CUT = re.compile(r"(?<! ) (?=[\s\S])")
 
@@ -101,9 +103,17 @@ def count_tokens(docs: DataFrame) -> DataFrame:
     return _by_tokenizer(_tokenised(docs.select(F.lit("insert").alias("op"), "doc_id", "source", "lang", "text")))
 
 
-def _bucket():
+def _bucket(buckets: int):
     """Rows without a doc_id are never looked up: they are dealt by what they hold."""
-    return F.pmod(F.when(F.col("doc_id").isNull(), F.xxhash64("source", "lang", "tokens")).otherwise(F.xxhash64("doc_id")), F.lit(BUCKETS)).cast("int")
+    return F.pmod(F.when(F.col("doc_id").isNull(), F.xxhash64("source", "lang", "tokens")).otherwise(F.xxhash64("doc_id")), F.lit(buckets)).cast("int")
+
+
+def _bucket_of_id(buckets: int):
+    return F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int")
+
+
+def _buckets(rows_: int) -> int:
+    return min(BUCKETS, 1 << max(0, (rows_ // ROWS).bit_length()))
 
 
 _ENTRY = "doc_id long, source string, lang string, tokenizer string, tokens long, sign int, bucket int"
@@ -121,16 +131,29 @@ class Ledger:
 
     # ---- the log of commits
 
-    def log(self) -> list[dict]:
-        """The commits in order: batch (None for a compacted base), folder."""
+    def _commits(self) -> list[tuple[int, object]]:
         fs, path = self._path("commits")
-        if not fs.exists(path):
-            return []
-        read = lambda s: self._jvm.org.apache.commons.io.IOUtils.toString(fs.open(s.getPath()), "UTF-8")
-        return [json.loads(read(s)) for s in sorted(fs.listStatus(path), key=lambda s: s.getPath().getName())]
+        return sorted((int(s.getPath().getName()), s.getPath()) for s in fs.listStatus(path)) if fs.exists(path) else []
+
+    def _entry(self, path) -> dict:
+        return json.loads(self._jvm.org.apache.commons.io.IOUtils.toString(path.getFileSystem(self._conf).open(path), "UTF-8"))
+
+    def log(self) -> list[dict]:
+        """All commits in order: batch (None for a compacted base), folder, buckets; a base's batches."""
+        return [self._entry(path) for _, path in self._commits()]
+
+    def _state(self) -> tuple[int, list[dict], set[str]]:
+        """The next commit's number, the commits from the last base on, and all batches that count."""
+        found, commits = self._commits(), []
+        for _, path in reversed(found):
+            commits.append(self._entry(path))
+            if commits[-1]["batch"] is None:
+                break
+        done = {c["batch"] for c in commits if c["batch"] is not None} | {b for c in commits for b in c.get("batches", ())}
+        return (found[-1][0] + 1 if found else 0), commits[::-1], done
 
     def committed(self) -> list[str]:
-        """Batches that count."""
+        """Batches that count, in order."""
         return [c["batch"] for c in self.log() if c["batch"] is not None]
 
     def _commit(self, number: int, entry: dict) -> bool:
@@ -154,26 +177,23 @@ class Ledger:
 
     # ---- tables
 
-    def _live(self, log: list[dict]) -> list[str]:
-        """Folders that count: the last base, and what came after it."""
-        base = max((k for k, c in enumerate(log) if c["batch"] is None), default=0)
-        return [c["folder"] for c in log[base:]]
-
-    def _read(self, log: list[dict], kind: str, schema: str) -> DataFrame:
-        folders = self._live(log)
-        if not folders:
-            return self.spark.createDataFrame([], schema)
-        frames = [self.spark.read.schema(schema).parquet(f"{self.folder}/{f}/{kind}") for f in folders]
-        return functools.reduce(DataFrame.unionByName, frames)
-
-    def _write(self, entries: DataFrame, folder: str) -> None:
-        """Entries by bucket, and their rollup."""
-        place = f"{self.folder}/{folder}"
-        dealt = entries.withColumn("bucket", _bucket())
+    def _read(self, commits: list[dict], kind: str, schema: str, where=None) -> DataFrame:
+        """All rows of the commits' folders; where: a condition that depends on a folder's number of buckets."""
+        frames = []
+        for c in commits:
+            own = self.spark.read.schema(schema).parquet(f"{self.folder}/{c['folder']}/{kind}")
+            frames.append(own if where is None else own.where(where(c["buckets"])))
+        return functools.reduce(DataFrame.unionByName, frames) if frames else self.spark.createDataFrame([], schema)
+
+    def _write(self, entries: DataFrame, folder: str, rows_: int) -> int:
+        """Entries by bucket, and their rollup; the number of buckets for about so many rows."""
+        place, buckets = f"{self.folder}/{folder}", _buckets(rows_)
+        dealt = entries.withColumn("bucket", _bucket(buckets))
         dealt.repartition("bucket", F.xxhash64("doc_id", *KEYS, "tokens") % 4).write.mode("overwrite").partitionBy("bucket").parquet(f"{place}/entries")
         delta = self.spark.read.schema(_ENTRY).parquet(f"{place}/entries").groupBy(*KEYS)
         delta = delta.agg(F.sum("sign").alias("docs"), F.sum(F.col("sign") * F.col("tokens")).alias("tokens"))
         delta.write.mode("overwrite").parquet(f"{place}/rollup")
+        return buckets
 
     def _net(self, entries: DataFrame) -> DataFrame:
         net = entries.groupBy("doc_id", *KEYS, "tokens").agg(F.sum("sign").alias("n")).where("n <> 0")
@@ -181,18 +201,19 @@ class Ledger:
 
     def apply(self, batch_id: str, changes: DataFrame) -> bool:
         """changes: op, doc_id, source, lang, text. False if the batch was committed before."""
+        size = 2 * changes.count()  # a row for each of two tokenizers, about
         while True:
-            log = self.log()
-            if any(c["batch"] == batch_id for c in log):
+            number, commits, done = self._state()
+            if batch_id in done:
                 return False
             folder = f"batches/{uuid.uuid4().hex}"
-            self._write(self._entries(log, changes, Scratch(self.spark)), folder)
-            if self._commit(len(log), {"batch": batch_id, "folder": folder}):
-                if len(self._live(log)) >= KEEP:
+            buckets = self._write(self._entries(commits, changes, Scratch(self.spark)), folder, size)
+            if self._commit(number, {"batch": batch_id, "folder": folder, "buckets": buckets, "rows": size}):
+                if len(commits) >= KEEP:
                     self.compact()
                 return True
 
-    def _entries(self, log: list[dict], changes: DataFrame, scratch: Scratch) -> DataFrame:
+    def _entries(self, commits: list[dict], changes: DataFrame, scratch: Scratch) -> DataFrame:
         """Signed entries of a batch."""
         counted = _tokenised(changes.where("op = 'insert' OR op = 'revise' AND doc_id IS NOT NULL"))
         ids = changes.where("op IN ('delete', 'revise') AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"))
@@ -204,29 +225,32 @@ class Ledger:
         revised = counted.where("op = 'revise'").groupBy("doc_id").agg(one).select("doc_id", "row.*")
         rows_ = counted.where("op = 'insert'").select(*revised.columns).unionByName(revised)
         added = _by_tokenizer(rows_).withColumn("sign", F.lit(1))
-        buckets = [r["b"] for r in ids.select(F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)).cast("int").alias("b")).distinct().collect()]
-        before = self._read(log, "entries", _ENTRY).where(F.col("bucket").isin(buckets))
+        most = max((c["buckets"] for c in commits), default=1)
+        wanted = [r["b"] for r in ids.select(_bucket_of_id(most).alias("b")).distinct().collect()]  # BUCKETS numbers at most
+        # numbers of buckets are powers of two, so a bucket of one folder lies in one of each with fewer
+        before = self._read(commits, "entries", _ENTRY, lambda n: F.col("bucket").isin(sorted({b % n for b in wanted})))
         held = self._net(before.join(ids, "doc_id", "left_semi"))
         return added.unionByName(held.withColumn("sign", -F.col("sign")))
 
     def compact(self) -> bool:
         """One base of net entries in place of all batches so far; False if another writer committed meanwhile."""
-        log = self.log()
+        number, commits, done = self._state()
         folder = f"batches/{uuid.uuid4().hex}"
-        self._write(self._net(self._read(log, "entries", _ENTRY)), folder)
-        return self._commit(len(log), {"batch": None, "folder": folder})
+        size = sum(c["rows"] for c in commits)
+        buckets = self._write(self._net(self._read(commits, "entries", _ENTRY)), folder, size)
+        return self._commit(number, {"batch": None, "folder": folder, "buckets": buckets, "rows": size, "batches": sorted(done)})
 
     def tidy(self) -> None:
         """Delete folders that no longer count. Not while others read or write."""
         fs, path = self._path("batches")
-        keep = {f.rsplit("/", 1)[-1] for f in self._live(self.log())}
+        keep = {c["folder"].rsplit("/", 1)[-1] for c in self._state()[1]}
         for s in fs.listStatus(path) if fs.exists(path) else []:
             if s.getPath().getName() not in keep:
                 fs.delete(s.getPath(), True)
 
     def totals(self) -> DataFrame:
         """source, lang, tokenizer, docs, tokens over the committed batches."""
-        rollups = self._read(self.log(), "rollup", _ROLLUP)
+        rollups = self._read(self._state()[1], "rollup", _ROLLUP)
         return rollups.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).where("docs <> 0")
 
 
