@@ -1,4 +1,4 @@
-"""Queries on whole runs, sweeps and streams."""
+"""Queries on streams. Whole runs make their own workload and read no table: they are called from the command line, not registered."""
 
 from __future__ import annotations
 
@@ -8,33 +8,8 @@ from pyspark.sql import functions as F
 
 from ..sources import shared
 from ..streaming import ticks as stream
-from . import simulate
 from .bind import bound, query, read
 
-_RUN = simulate.Config()
-
-
-@query()
-def simulate_timeseries(spark, sf_dir):
-    return simulate.run(spark, _RUN)
-
-
-@query()
-def simulate_ilp(spark, sf_dir):
-    return simulate.run(spark, simulate.Config(policy="ilp", split_hot=False, growth_frac=0.0)).select("t", "imbalance", "imbalance_pre", "workload", "latency", "rebalance_slice_moved_count")
-
-
-@query()
-def simulate_summary(spark, sf_dir):
-    return simulate.summary(simulate.run(spark, _RUN))
-
-
-@query()
-def sweep_long(spark, sf_dir):
-    base = {"steps": 60, "n_keys": 16, "n_servers": 4, "nprobe": 6, "every": 10, "churn_budget": 5.0}
-    configs = {f"servers-{n}": simulate.Config(**{**base, "n_servers": n}) for n in (4, 8)} | {f"every-{n}": simulate.Config(**{**base, "every": n}) for n in (5, 20)}
-    return simulate.sweep(spark, configs | {"bad": simulate.Config(**{**base, "policy": "none"})})
-
 
 def _events(spark, sf_dir):
     """The events as a stream: a folder of files of the table."""
