@@ -308,3 +308,12 @@ def test_keys_without_a_slice_raise(spark):
         with pytest.raises(Exception, match="key without a slice: 1"):
             df.collect()
     assert routing.allocate(work.where("k = 0"), slices).count() == 1
+
+
+def test_apportion_of_large_groups_is_that_of_small_ones(spark):
+    rng = np.random.default_rng(9)
+    rows = [(g, k, float(rng.choice([0, 1, 1, 2, 7.5]))) for g, m in enumerate((1, 5, 60)) for k in range(m)] + [(3, 0, 1.0), (3, 1, 1.0), (3, 2, 1.0)]
+    own = planner.normalized(spark.createDataFrame(rows, "g int, k int, weight double"), by=("g",))
+    for n in (F.lit(0), F.lit(10), F.col("g") * 7 + 5):
+        small, large = (sorted((r["g"], r["k"], r["cnt"]) for r in f(own, n, by=("g",)).collect()) for f in (planner.apportion, planner.apportion_large))
+        assert small == large

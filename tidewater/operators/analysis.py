@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,3 +64,26 @@ def compare(runs: dict[str, DataFrame], metric: str) -> DataFrame | None:
             own = df.select("t", F.col(metric).alias(f"{metric}_{name}"))
             out = own if out is None else out.join(own, "t", "full")
     return out
+
+
+def sweep(groups: DataFrame, configs: DataFrame, by: tuple, run: Callable[[pd.DataFrame, dict], dict], result: str) -> DataFrame:
+    """by..., the columns of the configs, those of `result`, and error: one run for each group and each row of configs.
+
+    run(rows of a group, configuration) gives a row of `result`. A run that raises becomes a row with its error and nulls,
+    so it costs no other run. configs are few; a group of `by` and a configuration make one task's work.
+    """
+    names = configs.columns
+    kinds = {f.name: f.dataType.simpleString() for f in [*groups.schema.fields, *configs.schema.fields]}
+    fields = [x.split()[0].strip("`") for x in result.split(", ")]
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        config = {c: pdf[c].iloc[0] for c in names}
+        head = {c: pdf[c].iloc[0] for c in by} | config
+        try:
+            found = run(pdf.drop(columns=names), config) | {"error": None}
+        except Exception as why:  # noqa: BLE001
+            found = dict.fromkeys(fields) | {"error": f"{type(why).__name__}: {why}"}
+        return pd.DataFrame([head | found])
+
+    schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in (*by, *names)], result, "error string"])
+    return groups.join(F.broadcast(configs), F.lit(True)).groupBy(*by, *names).applyInPandas(one, schema)

@@ -150,3 +150,24 @@ def request_plans(requests: DataFrame, keys: DataFrame, hot: DataFrame, nprobe:
     to_hot = F.col("to_hot").cast("int")
     drawn = base.join(lists, "t").select("t", "request", F.explode(F.concat(first("hot_pool", to_hot), first("cold_pool", F.lit(nprobe) - to_hot))).alias("e"))
     return drawn.select("t", "request", "e.k", F.lit(1).cast("long").alias("cnt"))
+
+
+#: Streams of draws that do not meet those of the requests themselves.
+SAMPLE = 1 << 40
+
+
+def sampled_plans(ticks: DataFrame, keys: DataFrame, hot: DataFrame, nprobe: int, limit: int, repeat: bool = True) -> DataFrame:
+    """t, request, k, cnt of min(n_requests, limit) further requests of each tick. ticks: t, n_requests, hot_mass.
+
+    Their draws are keyed by numbers from SAMPLE on, so that taking samples changes no draw of the run.
+    """
+    one = F.explode(F.sequence(F.lit(0), F.least(F.col("n_requests"), F.lit(limit)).cast("int") - 1))
+    requests = ticks.where("n_requests > 0").select("t", one.alias("request"), "hot_mass")
+    requests = requests.withColumn("seed", F.lit(SAMPLE) + F.col("t").cast("long") * F.lit(1 << 20) + F.col("request"))
+    return request_plans(requests, keys, hot, nprobe, repeat)
+
+
+def sampled_demand(plans: DataFrame) -> DataFrame:
+    """t, k, demand: probes of a key per sampled request of the tick; what a min-max assignment goes by."""
+    n = plans.groupBy("t").agg(F.countDistinct("request").alias("__n"))
+    return plans.groupBy("t", "k").agg(F.sum("cnt").alias("demand")).join(n, "t").select("t", "k", (F.col("demand") / F.col("__n")).alias("demand"))

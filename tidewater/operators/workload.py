@@ -111,6 +111,14 @@ def payload(raw: Column) -> Column:
     )
 
 
+def batch(requests: DataFrame, payload: str = "payload", locked: bool = True) -> DataFrame:
+    """Requests (t, request, payload) of whole ticks: locked, all of a tick share the payload of its first request; else each has its own."""
+    if not locked:
+        return requests
+    first = requests.groupBy("t").agg(F.min_by(payload, "request").alias("__shared"))
+    return requests.join(first, "t").withColumn(payload, F.col("__shared")).drop("__shared")
+
+
 def vectors(ids: DataFrame, dim: int) -> DataFrame:
     """qid, vector of repeatable uniform numbers."""
     return ids.select("qid", F.transform(F.sequence(F.lit(1), F.lit(dim)), lambda i: uniform(F.col("qid"), i)).alias("vector"))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions.numbers import uniform
-from ..operators import diff, growth, layout, rebalance, routing
+from ..operators import analysis, diff, growth, layout, rebalance, routing
 from .bind import bound, query
 from .planning import u
 
@@ -295,3 +296,22 @@ def min_max_optimum(spark, sf_dir):
     placed = layout.primaries(b.slices).select("k", (F.col("server") % 3).cast("int").alias("server"))
     got = rebalance.min_max(at.join(full, "scenario").join(b.keys, "k").join(placed, "k").select("scenario", "k", "size", "load", "server"), [40.0, 45.0, 50.0], 2)
     return got.groupBy("scenario").agg(F.max("peak").alias("peak"))
+
+
+@query(""", l AS (SELECT CAST((t - 1) // 100 AS BIGINT) AS scenario, k, sum(cost) AS load FROM ev GROUP BY 1, 2), p AS (SELECT scenario, k, load, server FROM l JOIN prim USING (k)),
+per AS (SELECT scenario, server, sum(load) AS load FROM p GROUP BY scenario, server)
+SELECT scenario, 'stay' AS name, CAST(0 AS INTEGER) AS moves, CAST(50 AS DOUBLE) AS room, round(max(load), 6) AS peak, CAST(NULL AS VARCHAR) AS error FROM per GROUP BY scenario
+UNION ALL SELECT scenario, 'full', CAST(9 AS INTEGER), CAST(0.5 AS DOUBLE), NULL, 'ValueError: no feasible assignment known: a server is over capacity and its keys fit nowhere' FROM per GROUP BY scenario""")
+def sweep_errors(spark, sf_dir):
+    """A sweep of two configurations over all scenarios, one of which cannot be met: its runs are rows with their error."""
+    b = bound(spark, sf_dir)
+    at = b.work.withColumn("scenario", F.floor((F.col("t") - 1) / 100)).groupBy("scenario", "k").agg(F.sum("cost").alias("load"))
+    groups = at.join(b.keys, "k").join(layout.primaries(b.slices), "k").select("scenario", "k", "size", "load", "server")
+    configs = spark.createDataFrame([("stay", 0, 50.0), ("full", 9, 0.5)], "name string, moves int, room double")
+
+    def run(pdf, config):
+        load = pdf["load"].to_numpy(float)
+        to = rebalance.assign(pdf["size"].to_numpy(float), load, pdf["server"].to_numpy(int), np.full(8, float(config["room"])), int(config["moves"]))
+        return {"peak": float(np.bincount(to, weights=load).max())}
+
+    return analysis.sweep(groups, configs, ("scenario",), run, "peak double")

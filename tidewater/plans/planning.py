@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.numbers import uniform
-from ..operators import planner, workload
+from ..operators import layout, metrics, planner, workload
 from .bind import bound, events, query, read
 
 _U = "CAST(CAST('0x' || substr(md5(CAST({a} AS VARCHAR) || ':' || CAST({b} AS VARCHAR)), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496"
@@ -304,3 +304,42 @@ def payload_defaults(spark, sf_dir):
 def vector_payload(spark, sf_dir):
     ids = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("qid"))
     return workload.vectors(ids, 8).select("qid", F.posexplode("vector").alias("i", "x")).select("qid", (F.col("i") + 1).alias("i"), "x")
+
+
+@query("SELECT event_id, t, first_value(event_id) OVER (PARTITION BY t ORDER BY event_id) AS shared, event_id AS own FROM ev")
+def batch_payloads(spark, sf_dir):
+    """Every request's payload where a tick's requests share one, and where they do not."""
+    requests = events(spark, sf_dir).select("t", F.col("event_id").alias("request"), F.struct("event_id").alias("payload"))
+    own = workload.batch(requests, locked=False).select("request", F.col("payload.event_id").alias("own"))
+    both = workload.batch(requests).select("t", "request", F.col("payload.event_id").alias("shared")).join(own, "request")
+    return both.select(F.col("request").alias("event_id"), "t", "shared", "own")
+
+
+_SEED = f"{planner.SAMPLE} + CAST(t AS BIGINT) * 1048576 + request"
+_SAMPLED = (
+    _ZIPF
+    + f""", pool AS (SELECT t, t % 20 AS k, CAST(1 AS DOUBLE) AS w, true AS is_hot FROM ticks UNION ALL SELECT t, (t + 7) % 20, power(CAST(2 AS DOUBLE), CAST(-1.2 AS DOUBLE)), true FROM ticks
+UNION ALL SELECT t, k, prob, false FROM ticks CROSS JOIN zipf WHERE k NOT IN (t % 20, (t + 7) % 20)),
+pp AS (SELECT t, k, is_hot, w / sum(w) OVER (PARTITION BY t, is_hot) AS prob FROM pool),
+cdf AS (SELECT *, sum(prob) OVER (PARTITION BY t, is_hot ORDER BY k) AS upto FROM pp),
+sq AS (SELECT t, CAST(unnest(range(least(n, 8))) AS INTEGER) AS request FROM (SELECT t, count(*) AS n FROM ev GROUP BY t)),
+d AS (SELECT t, request, i, i < 5 AS is_hot, {u('(' + _SEED + ')', 'i')} AS u FROM (SELECT t, request, CAST(unnest(range(6)) AS BIGINT) AS i FROM sq)),
+hit AS (SELECT d.t, request, i, min(cdf.k) AS k FROM d JOIN cdf ON d.t = cdf.t AND d.is_hot = cdf.is_hot AND d.u <= cdf.upto GROUP BY d.t, request, i)"""
+)
+
+
+def _sampled(spark, sf_dir):
+    ticks = _requests(spark, sf_dir).withColumn("hot_mass", F.lit(0.8))
+    return planner.sampled_plans(ticks, _zipf(spark, sf_dir), _hot(ticks.select("t")), 6, 8)
+
+
+@query(_SAMPLED + ", fan AS (SELECT t, request, CAST(count(DISTINCT server) AS DOUBLE) AS f FROM hit JOIN keymap USING (k) GROUP BY t, request) SELECT t, count(*) AS fanout_req_samples, round(avg(f), 6) AS fanout_req_mean, min(f) AS fanout_req_min, max(f) AS fanout_req_max, round(var_pop(f), 6) AS fanout_req_var FROM fan GROUP BY t")
+def fanout_sampled(spark, sf_dir):
+    """Fan-out of at most eight further requests of each tick."""
+    places = layout.keymap(bound(spark, sf_dir).slices)
+    return metrics.fanout_stats(metrics.request_fanouts(_sampled(spark, sf_dir), places))
+
+
+@query(_SAMPLED + ", n AS (SELECT t, count(*) AS n FROM sq GROUP BY t) SELECT t, k, round(CAST(count(*) AS DOUBLE) / n, 6) AS demand FROM hit JOIN n USING (t) GROUP BY t, k, n")
+def demand_sampled(spark, sf_dir):
+    return planner.sampled_demand(_sampled(spark, sf_dir))
