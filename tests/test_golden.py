@@ -317,3 +317,10 @@ def test_apportion_of_large_groups_is_that_of_small_ones(spark):
     for n in (F.lit(0), F.lit(10), F.col("g") * 7 + 5):
         small, large = (sorted((r["g"], r["k"], r["cnt"]) for r in f(own, n, by=("g",)).collect()) for f in (planner.apportion, planner.apportion_large))
         assert small == large
+
+
+def test_dense_tables_have_a_bound(spark, monkeypatch):
+    monkeypatch.setattr(routing, "MEMBERS", 3)
+    assert len(routing.gathered(spark.range(3)).first()["m"]) == 3
+    with pytest.raises(Exception, match="too many members for one row: 4"):
+        routing.gathered(spark.range(4)).collect()

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.numbers import EPS, half_even
 from ..sources.shared import written
 from .ordered import first_rows
+from .routing import gathered
 
 
 def normalized(weights: DataFrame, weight: str = "weight", by: tuple = ()) -> DataFrame:
@@ -71,7 +72,7 @@ def apportion_large(items: DataFrame, n: Column, by: tuple = (), prob: str = "pr
 
 def cold_pool(keys: DataFrame, hot: DataFrame, ticks: DataFrame) -> DataFrame:
     """t, k, prob of the keys that are not hot in a tick, probabilities renormalised. ticks: t and what else is to be kept."""
-    everyone = keys.agg(F.collect_list(F.struct("k", "prob")).alias("m"))
+    everyone = gathered(keys.select("k", "prob"))
     grid = ticks.join(F.broadcast(everyone), F.lit(True)).select(*ticks.columns, F.explode("m").alias("m")).select(*ticks.columns, "m.k", "m.prob")
     cold = grid.join(hot.select("t", "k"), ["t", "k"], "left_anti")
     return normalized(cold.withColumnRenamed("prob", "weight"), by=("t",)).drop("weight")

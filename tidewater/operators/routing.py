@@ -56,9 +56,20 @@ def slice_loads(work: DataFrame, slices: DataFrame) -> DataFrame:
     return densified(loads, slices.select("slice_id", "server"), "slice_id", "load")
 
 
+#: Members (servers, slices, keys) that may travel together in one broadcast row; there are as many in every tick of a dense table.
+MEMBERS = 1_000_000
+
+
+def gathered(members: DataFrame) -> DataFrame:
+    """One row with all members as an array `m`; raises where there are more than MEMBERS."""
+    n = F.count(F.lit(1))
+    fits = F.when(n > MEMBERS, F.raise_error(F.concat(F.lit("too many members for one row: "), n.cast("string"))).cast("int"))
+    return members.agg(fits.alias("__fits"), F.collect_list(F.struct(*members.columns)).alias("m")).where("__fits IS NULL").select("m")
+
+
 def filled(ticks: DataFrame, members: DataFrame, values: DataFrame, key: str, value: str) -> DataFrame:
     """A row for each tick and member; missing values are 0. The members travel as one array in one row."""
-    everyone = members.agg(F.collect_list(F.struct(*members.columns)).alias("m"))
+    everyone = gathered(members)
     grid = ticks.join(F.broadcast(everyone), F.lit(True)).select("t", F.explode("m").alias("m")).select("t", "m.*")
     return grid.join(values.select("t", key, value), ["t", key], "left").withColumn(value, F.coalesce(value, F.lit(0.0)))
 
@@ -70,7 +81,7 @@ def densified(values: DataFrame, members: DataFrame, key: str, *value: str) -> D
     all members are put beside a tick's values and summed where they lie.
     """
     cells = values.groupBy("t").agg(F.collect_list(F.struct(key, *value)).alias("__cells"))
-    everyone = members.agg(F.collect_list(F.struct(*members.columns)).alias("m"))
+    everyone = gathered(members)
     more = [c for c in members.columns if c != key]
     kinds = {f.name: f.dataType for f in members.schema.fields}
     zeros = F.transform("m", lambda e: F.struct(e[key].alias(key), *[F.lit(0.0).alias(v) for v in value], *[e[c].alias(c) for c in more], F.lit(1).alias("__own")))

@@ -365,7 +365,7 @@ def run(spark: SparkSession, c: Config, parts: Parts = Parts(), progress: Callab
 
 def _sampled(at: DataFrame, n, keys: DataFrame, hot: DataFrame, c: Config, repeat: bool) -> DataFrame:
     """t, request, k, cnt of requests 1 ... n (a column or a number) of each tick."""
-    samples = at.select("t", F.explode(F.sequence(F.lit(1), n)).alias("request"), "hot_mass").withColumn("seed", F.col("t") * 1000 + F.col("request"))
+    samples = at.select("t", F.explode(F.sequence(F.lit(1), n)).alias("request"), "hot_mass").withColumn("seed", F.col("t").cast("long") * STRIDE + F.col("request"))
     return planner.request_plans(samples, keys, hot, min(c.nprobe, c.n_keys), repeat=repeat)
 
 
@@ -508,7 +508,7 @@ def _request_plans(at: DataFrame, keys: DataFrame, hot: DataFrame, c: Config, pa
     each = each.withColumn("burst_id", F.col("burst_id") * STRIDE + F.floor((F.col("request") - 1) / max(1, int(c.burst_mean))))
     each = written(each.withColumn("tick", F.col("t")).withColumn("t", F.col("t").cast("long") * STRIDE + F.col("request")))
     own = parts.hot_sets(each, c)
-    samples = each.select("t", "request", "hot_mass", (F.col("tick") * 1000 + F.col("request")).alias("seed"))
+    samples = each.select("t", "request", "hot_mass", (F.col("tick").cast("long") * STRIDE + F.col("request")).alias("seed"))
     plans = planner.request_plans(samples, keys, own, min(c.nprobe, c.n_keys), repeat=c.allow_repeat)
     return plans.withColumn("t", F.floor(F.col("t") / STRIDE).cast("int"))
 
