@@ -81,6 +81,23 @@ def trace_read_back(spark, sf_dir):
     return steps.join(runs.trace(spark, path, "state", 25).select("t", most.alias("most")), "t")
 
 
+@query(
+    ", w AS (SELECT t, sum(work) AS workload FROM work GROUP BY t), i AS (SELECT t, CASE WHEN avg(util) > 1e-12 THEN max(util) / avg(util) ELSE 0 END AS imbalance FROM util GROUP BY t), n AS (SELECT t, count(*) AS n_requests FROM ev GROUP BY t), c AS (SELECT t, CAST(to_json(map_from_entries(list((CAST(k AS VARCHAR), n) ORDER BY k))) AS VARCHAR) AS cells FROM (SELECT t, k, count(*) AS n FROM ev GROUP BY t, k) GROUP BY t)"
+    " SELECT t, round(workload, 6) AS workload, round(imbalance, 6) AS imbalance, n_requests, cells AS cluster_loads, CAST(NULL AS DOUBLE) AS latency, " + ", ".join(f"(SELECT round(max(work), 6) FROM work WHERE work.t = w.t AND server = {x}) AS work_s{x}" for x in (0, 7)) + " FROM w JOIN i USING (t) JOIN n USING (t) JOIN c USING (t)"
+)
+def series_read_back(spark, sf_dir):
+    """A time series written as wide CSV in its fixed order and read again: numbers, JSON cells with quotes, empty cells, columns of servers."""
+    series, per = _series(spark, sf_dir)
+    counts = bound(spark, sf_dir).work.groupBy("t", "k").agg(F.count(F.lit(1)).alias("n"))
+    entries = F.array_sort(F.collect_list(F.struct("k", "n")))
+    cells = counts.groupBy("t").agg(F.to_json(F.map_from_entries(F.transform(entries, lambda e: F.struct(e["k"].cast("string").alias("key"), e["n"].alias("value"))))).alias("cluster_loads"))
+    wide = metrics.wide(per, list(range(8)), ["work", "util"])
+    path = f"{shared.folder(spark)}/series"
+    trace.write_series(series.join(cells, "t").join(wide, "t"), path, list(range(8)))
+    back = trace.read_series(spark, path, [*trace.BASE, *trace.server_columns(list(range(8)))])
+    return back.select("t", "workload", "imbalance", "n_requests", "cluster_loads", "latency", "work_s0", "work_s7")
+
+
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k, 'OBJECT<k: BIGINT>' AS kind FROM ev")
 def props_variant(spark, sf_dir):
     """Cells taken apart without a schema."""
