@@ -83,7 +83,7 @@ def plan_counts(requests: DataFrame, keys: DataFrame, hot: DataFrame, nprobe: in
 
     requests: t, n_requests, hot_mass, dist_mode ('zipf' or 'uniform', for the cold keys); keys: k, prob; hot: t, k, weight.
     """
-    requests, keys, hot = written(requests), written(keys.select("k", "prob")), written(hot.select("t", "k", "weight"))
+    requests, hot = written(requests), written(hot.select("t", "k", "weight"))
     n_hot = hot.groupBy("t").agg(F.count(F.lit(1)).alias("n_hot"))
     ticks = requests.join(n_hot, "t", "left").withColumn("target", F.col("n_requests") * nprobe)
     to_hot, to_cold = hot_cold_split(F.col("target"), F.col("hot_mass"), F.coalesce("n_hot", F.lit(0)))
