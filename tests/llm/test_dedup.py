@@ -302,3 +302,23 @@ def test_half_of_all_rows_in_one_component(spark, monkeypatch):
     got = {r["fp"]: r["component_id"] for r in named.collect()}
     assert {got[simhash._signed(f)] for f in chain} == {1000} and ("root", 1) in seen
     assert len({got[simhash._signed(f)] for f in lone}) == 400
+
+
+def test_a_snapshot_is_stored_and_opened_again(spark, tmp_path, monkeypatch):
+    """Batches against a stored snapshot: new texts go by the filter, changed classes by their bucket, whose folders alone are read."""
+    monkeypatch.setattr(exact_dedup, "BUCKET_KEYS", 16)
+    old = [(i, prose(i % 150, 4), "en", "x") for i in range(300)]
+    exact_dedup.write_snapshot(exact_dedup.build_snapshot(common.Scratch(spark), exact_dedup.digests(table(spark, old))), str(tmp_path / "snap"))
+    snapshot = exact_dedup.open_snapshot(spark, str(tmp_path / "snap"))
+    assert snapshot.buckets == 10 and snapshot.classes.count() == 150
+    asked, held = [], exact_dedup._held
+    monkeypatch.setattr(exact_dedup, "_held", lambda snap, buckets: (asked.append(held(snap, buckets)), asked[-1])[1])
+    new = [(1000, prose(3, 4) + "  ", "en", "x"), (1001, prose(3, 4), "en", "x"), (1002, "never seen before", "en", "x"), (1003, None, "en", "x")]
+    got = {r["key"]: (r["members"], r["best"]["doc_id"], r["is_new"]) for r in exact_dedup.ingest_changes(common.Scratch(spark), snapshot, exact_dedup.digests(table(spark, new))).collect()}
+    sha = lambda t: hashlib.sha256(re.sub(r"[\x20\x09-\x0D]", "", t or "").encode()).digest()
+    assert {bytes(k): v for k, v in got.items()} == {sha(prose(3, 4)): (4, 1000, False), sha("never seen before"): (1, 1002, True), sha(None): (1, 1003, True)}
+    assert len(asked[0].inputFiles()) >= 1 and asked[0].select("bucket").distinct().count() <= 3
+    plan = asked[0]._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*bucket", plan), plan
+    nothing = exact_dedup.open_snapshot(spark, str(tmp_path / "snap"))
+    assert exact_dedup.ingest_changes(common.Scratch(spark), nothing, exact_dedup.digests(table(spark, []))).count() == 0

@@ -197,6 +197,42 @@ def ingest(scratch: Scratch, snapshot: Snapshot, incoming: DataFrame) -> DataFra
     return merged.unionByName(flags.where("not hit").select("key", "members", "best")).unionByName(kept)
 
 
+# ---- stored snapshots
+
+_CLASSES = "key binary, members long, best struct<neg: long, no_id: boolean, doc_id: long>, bucket long"
+_FILTERS = "bucket long, seed long, length long, count long, prints binary"
+
+
+def write_snapshot(snapshot: Snapshot, folder: str) -> None:
+    """A new folder with the classes by bucket, and the filters. It is never changed: later classes go to a snapshot of their own."""
+    snapshot.classes.repartition("bucket").write.partitionBy("bucket").parquet(f"{folder}/classes")
+    snapshot.filters.withColumn("buckets", F.lit(snapshot.buckets)).write.parquet(f"{folder}/filters")
+
+
+def open_snapshot(spark: SparkSession, folder: str) -> Snapshot:
+    filters = spark.read.schema(f"{_FILTERS}, buckets int").parquet(f"{folder}/filters")
+    first = filters.select("buckets").first()
+    return Snapshot(spark.read.schema(_CLASSES).parquet(f"{folder}/classes"), filters.drop("buckets"), first["buckets"] if first else 1)
+
+
+def _held(snapshot: Snapshot, buckets: list[int]) -> DataFrame:
+    """The classes of some buckets; of a stored snapshot only their folders are read."""
+    return snapshot.classes.where(F.col("bucket").isin(buckets)).select("key", "bucket", F.col("members").alias("old_members"), F.col("best").alias("old_best"))
+
+
+def ingest_changes(scratch: Scratch, snapshot: Snapshot, incoming: DataFrame) -> DataFrame:
+    """key, members, best of the classes that the incoming digest rows bring or change, and `is_new`.
+
+    What the filters reject is new without a look at the snapshot; only the buckets of what they let through are read.
+    """
+    grouped = scratch.save(_grouped(incoming), "incoming")
+    flags = scratch.save(screen(grouped, snapshot).withColumn("bucket", _bucket(snapshot.buckets)), "screened")
+    buckets = [r["bucket"] for r in flags.where("hit").select("bucket").distinct().collect()]  # a number for BUCKET_KEYS classes
+    both = flags.where("hit").join(_held(snapshot, buckets), ["bucket", "key"], "left")
+    merged = both.select("key", (F.col("members") + F.coalesce("old_members", F.lit(0))).alias("members"), F.least("best", F.coalesce("old_best", "best")).alias("best"), F.col("old_best").isNull().alias("is_new"))
+    return flags.where("not hit").select("key", "members", "best", F.lit(True).alias("is_new")).unionByName(merged)
+
+
 def _bodies(docs: DataFrame, ids: DataFrame, digest_len: int) -> DataFrame:
     """doc_id, key, n_cp, body of the documents that may have one of the ids."""
     maybe, _ = screened(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ids)
