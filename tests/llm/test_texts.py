@@ -841,6 +841,83 @@ def test_language_keeps_all_grams(spark, monkeypatch):
         assert np.allclose(model.log_p(probes), plain.log_p(probes), rtol=1e-9)
 
 
+def plain_models(rows, names):
+    """Model() of each language's rows."""
+    out = []
+    for name in names:
+        counted = Counter(w for _, t, la, _ in rows if la == name for w in language.words_of(t))
+        codes, of = next(language.grams(list(counted)))
+        unique, inverse = np.unique(codes, return_inverse=True)
+        n = np.bincount(inverse, weights=np.array(list(counted.values()))[of]).astype(int)
+        once, twice = (n == 1).sum(), (n == 2).sum()
+        out.append(language.Model(unique, n, once / (once + 2 * twice) if once and twice else 0.5))
+    return out
+
+
+def test_language_counts_and_fits_on_all_rows(spark, monkeypatch):
+    """Models are of all rows; the score and its bounds are of all rows and windows, each by models without its part."""
+    monkeypatch.setattr(language, "ALIKE", 300)
+    rng = np.random.default_rng(9)
+    common = [f"{a}{b}{c}o" for a in "ptk" for b in "aei" for c in "lnr"]
+    own = {"aa": ["zuva", "zilo"], "bb": ["guva", "gilo"]}
+    rows = []
+    for i in range(160):
+        la = "ab"[i % 2] * 2
+        rare = "".join(rng.choice(list("abcdefgh"), 5))  # grams that one part alone has
+        rows.append((i, " ".join([rare, *rng.choice(common + own[la], rng.integers(1, 60))]), la, "x"))
+    rows += [(1000 + i, "quvo quvi", "cc", "x") for i in range(5)]  # of a language of few rows
+    got = language.learn(table(spark, rows))
+    assert got.names == ["aa", "bb", "cc"]
+    hashes = {r["doc_id"]: r["h"] for r in table(spark, rows).select("doc_id", F.xxhash64("doc_id").alias("h")).collect()}
+    part = {r[0]: hashes[r[0]] % language.HELD if r[2] != "cc" else -1 for r in rows}
+    assert len(set(part.values())) == language.HELD + 1
+    without = [plain_models([r for r in rows if part[r[0]] != p], got.names) for p in range(language.HELD)]
+    whole = plain_models(rows, got.names)
+    probes = np.concatenate([whole[0].grams[-1][0], whole[1].grams[-1][0], rng.integers(0, 1 << 60, 50)])
+    for i in range(3):
+        assert np.array_equal(got.models[i].grams[-1][0], whole[i].grams[-1][0])
+        want = np.stack([m.log_p(probes) for m in [whole[i], *(w[i] for w in without)]], axis=1)
+        assert np.allclose(got.variants[i].log_p(probes), want, rtol=1e-9)
+        assert np.allclose(got.models[i].log_p(probes), want[:, 0], rtol=1e-9)
+    y, n, e = [], [], []
+    for i, t, la, _ in rows:
+        if part[i] < 0:
+            continue
+        words = language.words_of(t)
+        for ws in [words] + [words[(a := (hashes[i] + k) % (len(words) - k + 1)) : a + k] for k in language.WINDOWS if k < len(words)]:
+            codes = np.concatenate([c for c, _ in language.grams(ws)])
+            y.append(got.names.index(la))
+            n.append(len(codes))
+            e.append([-m.log_p(codes).sum() / len(codes) for m in without[part[i]]])
+    y, n, e = np.array(y), np.array(n), np.array(e)
+    least = e.min(axis=1)
+    alike = np.searchsorted(got.lengths, language._step(n))
+    assert len(got.ceilings) > 1 and min(np.bincount(alike)) >= 300
+    assert np.allclose(got.ceilings, [np.sort(least[alike == g])[int(np.ceil(0.995 * (alike == g).sum())) - 1] for g in range(len(got.ceilings))])
+
+    def loss(power, heat):
+        x = -(heat * n**power)[:, None] * (e - least[:, None])
+        return -(x[np.arange(len(y)), y] - np.log(np.exp(x).sum(axis=1))).mean()
+
+    assert np.isclose(loss(got.power, got.heat), min(loss(*t) for t in language.TRIED), rtol=1e-6)
+
+
+def test_language_of_one_part_is_learned(spark):
+    """A language whose rows all have one doc_id, which would be left out together."""
+    ids = {r["id"]: r["h"] % language.HELD for r in spark.range(100).select("id", F.xxhash64("id").alias("h")).collect()}
+    one = min(i for i, part in ids.items() if part == 0)
+    rows = [(one, "quvo quvi quva", "qq", "x")] * 40 + [(200 + i, prose(i, 30), "en", "x") for i in range(40)]
+    model = language.learn(table(spark, rows))
+    got = {(r["doc_id"], r["lang_pred"]) for r in language.identify(table(spark, rows), model).collect()}
+    assert (one, "qq") in got and (200, "en") in got and len(got) == 41
+
+
+def test_words_of_equals_the_expression():
+    for a in range(0, 0xD800, 64):
+        text = " ".join(f"A{chr(c)}b{chr(c)}" for c in range(a, a + 64))
+        assert language.words_of(text) == language.WORD.findall(text.lower())
+
+
 # ---- SQL where there is some
 
 

@@ -2,7 +2,8 @@
 
 A gram of k symbols is a number of k * bits bits, the last symbol in the lowest. A model has, for each order, the seen
 grams with the logarithms of their probabilities, and the seen contexts with those of their back-off weights. Unseen grams take
-the weight of their context, if it was seen, and what the shorter gram has.
+the weight of their context, if it was seen, and what the shorter gram has. Several models of the same grams may stand
+side by side: the logarithms are then rows of as many columns.
 """
 
 from __future__ import annotations
@@ -17,10 +18,12 @@ from pyspark.sql import DataFrame
 
 from .common import Scratch
 
-#: Rows of a file of the models.
+#: Logarithms in a file of the models.
 PART = 1 << 20
 
-_PAIR = np.dtype([("code", np.int64), ("log", np.float64)])
+
+def _pair(width: int) -> np.dtype:
+    return np.dtype([("code", np.int64), ("log", np.float64, (width,)) if width > 1 else ("log", np.float64)])
 
 
 def packed(code: np.ndarray, sizes: np.ndarray, order: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -35,12 +38,12 @@ def packed(code: np.ndarray, sizes: np.ndarray, order: int, bits: int) -> tuple[
 class Backoff:
     """For each order sorted grams with log probabilities, and sorted contexts with log back-off weights."""
 
-    def __init__(self, grams: list, backs: list, bits: int, floor: float):
+    def __init__(self, grams: list, backs: list, bits: int, floor: float | np.ndarray):
         self.grams, self.backs, self.bits, self.floor = grams, backs, bits, floor
 
     def log_p(self, codes: np.ndarray, order: int | None = None) -> np.ndarray:
         """Log probability of each gram's last symbol after those before it, by at most `order` symbols."""
-        out, open_ = np.zeros(len(codes)), np.arange(len(codes))
+        out, open_ = np.zeros((len(codes), *self.grams[0][1].shape[1:])), np.arange(len(codes))
         for k in range(order or len(self.grams), 0, -1):
             own = codes[open_] & ((1 << self.bits * k) - 1)
             hit, logs = self._find(self.grams[k - 1], own)
@@ -51,30 +54,37 @@ class Backoff:
         out[open_] += self.floor
         return out
 
+    def variant(self, k: int) -> Backoff:
+        """One of the models that stand side by side."""
+        own = lambda known: [(codes, logs[:, k]) for codes, logs in known]
+        return Backoff(own(self.grams), own(self.backs), self.bits, self.floor[k])
+
     @staticmethod
     def _find(known: tuple, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         codes, logs = known
         if not len(codes):
-            return np.zeros(len(own), bool), np.empty(0)
+            return np.zeros(len(own), bool), logs
         at = np.minimum(np.searchsorted(codes, own), len(codes) - 1)
         hit = codes[at] == own
         return hit, logs[at[hit]]
 
 
-def publish(scratch: Scratch, rows_: DataFrame) -> tuple[list[str], dict[tuple[int, int], tuple[int, int]]]:
-    """Names of files that every executor gets, with the rows (lang, kind, code, log) in order; where each kind stands in all of them.
+def publish(scratch: Scratch, rows_: DataFrame, logs: list[str] = ["log"], used: list[str] = []) -> tuple[list[str], dict[tuple[int, int], tuple[int, int]]]:
+    """Names of files that every executor gets, with the rows (lang, kind, code, logs) in order; where each kind stands in all of them.
 
-    The files are written by executors, PART rows each, to the shared folder; no row goes through the driver. lang is the
-    number of a model. Kinds below the order are the grams of kind + 1 symbols, those from it on the contexts.
+    The files are written by executors, PART logarithms each, to the shared folder; no row goes through the driver. lang is
+    the number of a model. Kinds below the order are the grams of kind + 1 symbols, those from it on the contexts. The
+    scratch tables `used` for the rows are dropped as soon as these are written.
     """
     spark = scratch.spark
     rows_ = scratch.save(rows_, "rows")
+    scratch.drop(*used)
     spans, n = {}, 0
     for r in rows_.groupBy("lang", "kind").count().orderBy("lang", "kind").collect():
         spans[r["lang"], r["kind"]] = n, n + r["count"]
         n += r["count"]
     order = ("lang", "kind", "code")
-    scratch.save(rows_.repartitionByRange(max(1, n // PART), *order).sortWithinPartitions(*order).select("code", "log"), "model")
+    scratch.save(rows_.repartitionByRange(max(1, n * len(logs) // PART), *order).sortWithinPartitions(*order).select("code", *logs), "model")
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{scratch.base}/model")
     found = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(folder)
     files = sorted((f.getPath().getName(), f.getPath().toString()) for f in found if f.getPath().getName().startswith("part-"))
@@ -84,14 +94,14 @@ def publish(scratch: Scratch, rows_: DataFrame) -> tuple[list[str], dict[tuple[i
     return [name for name, _ in files], spans
 
 
-def mapped(files: list[str], spans: dict[tuple[int, int], tuple[int, int]], model: int, order: int) -> tuple[list, list]:
-    """Grams and contexts of a published model, by order, mapped into memory."""
-    own = np.asarray(np.memmap(_laid_out(files), _PAIR, "r")) if spans else np.empty(0, _PAIR)
+def mapped(files: list[str], spans: dict[tuple[int, int], tuple[int, int]], model: int, order: int, width: int = 1) -> tuple[list, list]:
+    """Grams and contexts of a published model, by order, mapped into memory; width: logarithms of each."""
+    own = np.asarray(np.memmap(_laid_out(files, width), _pair(width), "r")) if spans else np.empty(0, _pair(width))
     part = lambda k: (own["code"][slice(*spans.get((model, k), (0, 0)))], own["log"][slice(*spans.get((model, k), (0, 0)))])
     return [part(k) for k in range(order)], [part(order + k) for k in range(order)]
 
 
-def _laid_out(files: list[str]) -> str:
+def _laid_out(files: list[str], width: int) -> str:
     """One file of pairs beside the executor's copies, written by the first of the machine's workers that needs it."""
     whole = SparkFiles.get(files[0]) + ".pairs"
     with open(whole + ".lock", "w") as lock:
@@ -100,8 +110,9 @@ def _laid_out(files: list[str]) -> str:
             with open(whole + ".new", "wb") as out:
                 for name in files:
                     for batch in pq.ParquetFile(SparkFiles.get(name)).iter_batches(1 << 16):
-                        pairs = np.empty(batch.num_rows, _PAIR)
-                        pairs["code"], pairs["log"] = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+                        pairs = np.empty(batch.num_rows, _pair(width))
+                        code, *logs = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+                        pairs["code"], pairs["log"] = code, np.stack(logs, axis=1) if width > 1 else logs[0]
                         out.write(pairs.tobytes())
             os.replace(whole + ".new", whole)
     return whole
