@@ -23,7 +23,22 @@ PART = 1 << 20
 
 
 def _pair(width: int) -> np.dtype:
-    return np.dtype([("code", np.int64), ("log", np.float64, (width,)) if width > 1 else ("log", np.float64)])
+    return np.dtype([("code", np.int64), ("log", np.float64)] + [("others", np.float32, (width - 1,))] * (width > 1))
+
+
+class _Beside:
+    """Logarithms of one model, and beside them those of others in single precision, read as rows of doubles."""
+
+    def __init__(self, log: np.ndarray, others: np.ndarray):
+        self.log, self.others, self.shape = log, others, (len(log), 1 + others.shape[1])
+
+    def __getitem__(self, at) -> np.ndarray:
+        if isinstance(at, tuple):
+            rows_, k = at
+            return self.log[rows_] if k == 0 else self.others[rows_, k - 1]
+        out = np.empty((len(at), self.shape[1]))
+        out[:, 0], out[:, 1:] = self.log[at], self.others[at]
+        return out
 
 
 def packed(code: np.ndarray, sizes: np.ndarray, order: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -63,7 +78,7 @@ class Backoff:
     def _find(known: tuple, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         codes, logs = known
         if not len(codes):
-            return np.zeros(len(own), bool), logs
+            return np.zeros(len(own), bool), np.empty((0, *logs.shape[1:]))
         at = np.minimum(np.searchsorted(codes, own), len(codes) - 1)
         hit = codes[at] == own
         return hit, logs[at[hit]]
@@ -97,7 +112,11 @@ def publish(scratch: Scratch, rows_: DataFrame, logs: list[str] = ["log"], used:
 def mapped(files: list[str], spans: dict[tuple[int, int], tuple[int, int]], model: int, order: int, width: int = 1) -> tuple[list, list]:
     """Grams and contexts of a published model, by order, mapped into memory; width: logarithms of each."""
     own = np.asarray(np.memmap(_laid_out(files, width), _pair(width), "r")) if spans else np.empty(0, _pair(width))
-    part = lambda k: (own["code"][slice(*spans.get((model, k), (0, 0)))], own["log"][slice(*spans.get((model, k), (0, 0)))])
+
+    def part(k):
+        of = own[slice(*spans.get((model, k), (0, 0)))]
+        return of["code"], _Beside(of["log"], of["others"]) if width > 1 else of["log"]
+
     return [part(k) for k in range(order)], [part(order + k) for k in range(order)]
 
 
@@ -112,7 +131,9 @@ def _laid_out(files: list[str], width: int) -> str:
                     for batch in pq.ParquetFile(SparkFiles.get(name)).iter_batches(1 << 16):
                         pairs = np.empty(batch.num_rows, _pair(width))
                         code, *logs = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-                        pairs["code"], pairs["log"] = code, np.stack(logs, axis=1) if width > 1 else logs[0]
+                        pairs["code"], pairs["log"] = code, logs[0]
+                        if width > 1:
+                            pairs["others"] = np.stack(logs[1:], axis=1)
                         out.write(pairs.tobytes())
             os.replace(whole + ".new", whole)
     return whole

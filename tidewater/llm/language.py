@@ -201,7 +201,7 @@ def tables(scratch: Scratch, counts: DataFrame, langs: int) -> tuple[DataFrame,
     """Model() over tables: lang, kind, code, logs of each language in counts (lang as a number, gram, n0 and on).
 
     n0 and log0 are of all rows, the others of all but one part. What a part alone has counts 0 without it: its grams
-    have there what they back off to, its contexts the weight 1.
+    have there what they back off to, its contexts the weight 1. All but p0 and log0 are kept in single precision.
     Kinds below ORDER are the grams of kind + 1 characters; those from ORDER on the contexts of kind - ORDER + 1.
     With them, how many symbols each language has in each variant.
     """
@@ -231,11 +231,11 @@ def tables(scratch: Scratch, counts: DataFrame, langs: int) -> tuple[DataFrame,
             own = own.join(lower.withColumnsRenamed({"gram": "suffix"} | {f"p{v}": f"below{v}" for v in every}), ["lang", "suffix"])
             below = col("below")
         share = [F.when(t > 0, F.greatest(n - d[v], F.lit(0.0)) / t).otherwise(F.lit(0.0)) for v, (n, t) in enumerate(zip(col("n"), col("total")))]
-        p = [(s + w * b).alias(f"p{v}") for v, (s, w, b) in enumerate(zip(share, col("weight"), below))]
+        p = [(s + w * b).cast("float" if v else "double").alias(f"p{v}") for v, (s, w, b) in enumerate(zip(share, col("weight"), below))]
         lower = scratch.save(own.select("lang", "gram", *p), f"p{k}")
         scratch.drop(f"level{k}")
         for kind, table_, code, name in ((k - 1, lower, "gram", "p"), (ORDER + k - 1, contexts, "context", "weight")):
-            found.append(table_.select("lang", F.lit(kind).alias("kind"), F.col(code).alias("code"), *(F.log(x).alias(f"log{v}") for v, x in enumerate(col(name)))))
+            found.append(table_.select("lang", F.lit(kind).alias("kind"), F.col(code).alias("code"), *(F.log(x).cast("float" if v else "double").alias(f"log{v}") for v, x in enumerate(col(name)))))
     out = found[0]
     for df in found[1:]:
         out = out.unionByName(df)
